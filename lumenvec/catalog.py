@@ -1,11 +1,335 @@
-"""Every query of the engine over the fixture tables, and SQL that computes the same."""
+"""Every query of the engine over the fixture tables, and SQL that computes the same.
+
+Scores are rounded to 6 digits before they are ranked, in both, so that ranks agree.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenvec import model
+from lumenvec.functions.quantize import Quantizer
+from lumenvec.operators import clusters, exact, postings, seismic
+from lumenvec.operators.selectors import ListSelector, MappedSelector, NotSelector, Selector, SetSelector, is_small
+from lumenvec.operators.topk import padded, recall, top_k
+from lumenvec.sources.corpora import CORPORA, QUERY_IDS, SQL, split
+
+K = 10
+LAM, BETA, ALPHA, SEED, CUT, HEAP = 25, 4, 0.4, 42, 8, 1.0
+ALLOWED = list(range(30, 200, 3))
+FEW = [40, 50, 60, 70]
+#: External ids are the ordinals stretched and shifted.
+EXT_MUL, EXT_ADD = 7, 1000
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return keep
+
+
+def _with(corpus: str, body: str, more: str = "") -> str:
+    return f"WITH RECURSIVE v AS ({SQL[corpus]}), q AS (SELECT doc_id AS qid, term, weight FROM v WHERE doc_id < {QUERY_IDS}), d AS (SELECT * FROM v WHERE doc_id >= {QUERY_IDS}), qids AS (SELECT DISTINCT qid FROM q), docs AS (SELECT DISTINCT doc_id FROM d){', ' + more if more else ''} {body}"
+
+
+def _scores(d: str = "d", q: str = "q") -> str:
+    return f"SELECT qid, doc_id, round(sum(q.weight::DOUBLE * d.weight::DOUBLE), 6) AS score FROM {q} q JOIN {d} d USING (term) GROUP BY 1, 2"
+
+
+def _top(source: str, k: int = K) -> str:
+    return f"SELECT qid, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM ({source})) WHERE rank <= {k}"
+
+
+def _exact(corpus: str, where: str = "", k: int = K) -> str:
+    return _with(corpus, _top(f"SELECT * FROM ({_scores()}) WHERE score > 0", k) if not where else _top(f"SELECT * FROM ({_scores('s')}) WHERE score > 0", k), f"s AS (SELECT * FROM d WHERE {where})" if where else "")
+
+
+def _corpus(name: str, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return split(CORPORA[name](spark, sf_dir))
+
+
+# ---- data model
+
+for _name in CORPORA:
+    _add(f"vectors_triples_{_name}", SQL[_name])(lambda s, d, n=_name: CORPORA[n](s, d))
+    _add(f"vectors_stats_{_name}", f"SELECT count(DISTINCT doc_id) AS n_vectors, count(*) AS nnz, count(DISTINCT term) AS n_terms FROM ({SQL[_name]})")(lambda s, d, n=_name: model.stats(CORPORA[n](s, d)))
+
+
+@_add("dense_rows", f"WITH v AS ({SQL['emb']}) SELECT doc_id, i AS term, coalesce(max(weight) FILTER (term = i), 0) AS weight FROM v, (SELECT unnest(range(0, 64)) AS i) GROUP BY doc_id, i")
+def dense_rows(spark, d):
+    rows = model.dense(CORPORA["emb"](spark, d), 64)
+    return rows.select("doc_id", F.posexplode("dense").alias("term", "weight"))
+
+
+@_add("rows_roundtrip", SQL["users"])
+def rows_roundtrip(spark, d):
+    return model.to_triples(model.to_rows(CORPORA["users"](spark, d)))
+
+
+# ---- exact search
+
+for _name in ("emb", "basket", "users", "text"):
+    _add(f"exact_topk_{_name}", _exact(_name))(lambda s, d, n=_name: exact.inverted(*_corpus(n, s, d), K, digits=6))
+
+
+@_add("brute_topk_zero_fill", _with("users", _top("SELECT i.qid, o.doc_id, coalesce(s.score, 0) AS score FROM qids i CROSS JOIN docs o LEFT JOIN s ON s.qid = i.qid AND s.doc_id = o.doc_id", 200), f"s AS ({_scores()})"))
+def brute_topk_zero_fill(spark, d):
+    q, v = _corpus("users", spark, d)
+    return exact.brute(q, q.select("qid").distinct(), v, v.select("doc_id").distinct(), 200, 6)
+
+
+def _padded_sql(where: str, k: int) -> str:
+    return _with("basket", f"SELECT i.qid, i.rank, coalesce(r.doc_id, -1) AS doc_id, coalesce(r.score, -1) AS score FROM (SELECT qid, unnest(range(1, {k + 1})) AS rank FROM qids) i LEFT JOIN r ON r.qid = i.qid AND r.rank = i.rank", f"s AS (SELECT * FROM d WHERE {where}), r AS ({_top(f'SELECT * FROM ({_scores("s")}) WHERE score > 0', k)})")
+
+
+@_add("topk_padded", _padded_sql("doc_id % 5 = 0", K))
+def topk_padded(spark, d):
+    q, v = _corpus("basket", spark, d)
+    return padded(exact.inverted(q, v.where("doc_id % 5 = 0"), K, digits=6), q.select("qid").distinct(), K)
+
+
+@_add("topk_k_exceeds_corpus", _padded_sql("doc_id < 40", 50))
+def topk_k_exceeds_corpus(spark, d):
+    q, v = _corpus("basket", spark, d)
+    return padded(exact.inverted(q, v.where("doc_id < 40"), 50, digits=6), q.select("qid").distinct(), 50)
+
+
+# ---- selectors
+
+_IN = ", ".join(map(str, ALLOWED))
+
+
+def _filtered(selector: Selector) -> Query:
+    return lambda s, d: exact.inverted(*_corpus("emb", s, d), K, selector, 6)
+
+
+_add("filter_set", _exact("emb", f"doc_id IN ({_IN})"))(_filtered(SetSelector(ALLOWED)))
+_add("filter_array_dups", _exact("emb", f"doc_id IN ({_IN})"))(_filtered(ListSelector(ALLOWED + ALLOWED)))
+_add("filter_not", _exact("emb", f"doc_id NOT IN ({_IN})"))(_filtered(NotSelector(SetSelector(ALLOWED))))
+_add("filter_double_not", _exact("emb", f"doc_id IN ({_IN})"))(_filtered(NotSelector(NotSelector(SetSelector(ALLOWED)))))
+
+
+@_add("exact_match_small_selector", _with("basket", _top("SELECT i.qid, o.doc_id, coalesce(s.score, 0) AS score FROM qids i CROSS JOIN o LEFT JOIN s ON s.qid = i.qid AND s.doc_id = o.doc_id"), f"o AS (SELECT doc_id FROM docs WHERE doc_id IN ({', '.join(map(str, FEW))})), s AS ({_scores()})"))
+def exact_match_small_selector(spark, d):
+    q, v = _corpus("basket", spark, d)
+    chosen = SetSelector(FEW)
+    if not is_small(chosen, K):
+        raise ValueError("not a small selector")
+    return exact.match(q, q.select("qid").distinct(), v, v.select("doc_id").distinct(), chosen, K, 6)
+
+
+def _id_map(v: DataFrame) -> DataFrame:
+    return v.select("doc_id").distinct().withColumn("ext_id", F.col("doc_id") * EXT_MUL + EXT_ADD)
+
+
+@_add("idmap_topk", _with("emb", f"SELECT qid, rank, doc_id * {EXT_MUL} + {EXT_ADD} AS doc_id, score FROM ({_top(f'SELECT * FROM ({_scores()}) WHERE score > 0')})"))
+def idmap_topk(spark, d):
+    q, v = _corpus("emb", spark, d)
+    return exact.inverted(q, v, K, digits=6).join(_id_map(v), "doc_id").select("qid", "rank", F.col("ext_id").alias("doc_id"), "score")
+
+
+@_add("idmap_filter", _with("emb", f"SELECT qid, rank, doc_id * {EXT_MUL} + {EXT_ADD} AS doc_id, score FROM ({_top(f'SELECT * FROM ({_scores("s")}) WHERE score > 0')})", f"s AS (SELECT * FROM d WHERE doc_id IN ({_IN}))"))
+def idmap_filter(spark, d):
+    q, v = _corpus("emb", spark, d)
+    ids = _id_map(v)
+    chosen = MappedSelector(SetSelector([x * EXT_MUL + EXT_ADD for x in ALLOWED] + [5]), ids)
+    return exact.inverted(q, v, K, chosen, 6).join(ids, "doc_id").select("qid", "rank", F.col("ext_id").alias("doc_id"), "score")
+
+
+# ---- quantisation
+
+_KINDS = {"8": Quantizer("8bit", 0.0, 1.0), "16": Quantizer("16bit", 0.0, 1.0)}
+_ASKED = {k: Quantizer(x.kind, 0.0, 0.5) for k, x in _KINDS.items()}
+
 
-def queries() -> dict:
-    return {}
+def _code(q: Quantizer, w: str = "weight") -> str:
+    import numpy as np
+
+    scale = float(np.float32(q.top) / (np.float32(q.vmax) - np.float32(q.vmin)))
+    return f"round(greatest(0::FLOAT, least({q.top}::FLOAT, ({w}::FLOAT - {q.vmin}::FLOAT) * {scale!r}::FLOAT)))::INTEGER"
+
+
+for _bits, _q in _KINDS.items():
+    _add(f"quantize{_bits}", f"SELECT doc_id, term, {_code(_q)} AS code FROM ({SQL['emb']})")(lambda s, d, q=_q: CORPORA["emb"](s, d).select("doc_id", "term", q.encode(F.col("weight")).alias("code")))
+    _add(f"dequantize{_bits}", f"SELECT doc_id, term, round({_q.vmin} + {_code(_q)}::DOUBLE * ({_q.vmax - _q.vmin}::DOUBLE / {_q.top}), 6) AS weight FROM ({SQL['emb']})")(lambda s, d, q=_q: CORPORA["emb"](s, d).select("doc_id", "term", F.round(q.decode(q.encode(F.col("weight"))), 6).alias("weight")))
+
+
+def _coded(s, d, q: Quantizer, asked: Quantizer) -> tuple[DataFrame, DataFrame]:
+    queries, v = _corpus("emb", s, d)
+    return queries.withColumn("weight", asked.encode(F.col("weight")).cast("double")), v.withColumn("weight", q.encode(F.col("weight")).cast("double"))
+
+
+def _decoded(found: DataFrame, q: Quantizer, asked: Quantizer) -> DataFrame:
+    return found.withColumn("score", F.round(q.decode_dot(F.col("score"), asked), 6))
+
+
+def _sq_sql(q: Quantizer, asked: Quantizer) -> str:
+    factor = f"({(q.vmax - q.vmin) * (asked.vmax - asked.vmin) / q.top**2!r}::DOUBLE)"
+    return _with("emb", f"SELECT qid, rank, doc_id, round(score * {factor}, 6) AS score FROM ({_top(f'SELECT * FROM ({_scores("cd", "cq")}) WHERE score > 0')})", f"cq AS (SELECT qid, term, {_code(asked)} AS weight FROM q), cd AS (SELECT doc_id, term, {_code(q)} AS weight FROM d)")
+
+
+for _name, _q, _a in (("sq_exact_topk8", _KINDS["8"], _KINDS["8"]), ("sq_exact_topk16", _KINDS["16"], _KINDS["16"]), ("sq_query_range", _KINDS["8"], _ASKED["8"])):
+    _add(_name, _sq_sql(_q, _a))(lambda s, d, q=_q, a=_a: _decoded(exact.inverted(*_coded(s, d, q, a), K, digits=6), q, a))
+
+
+# ---- posting lists
+
+_add("postings", f"SELECT term, doc_id, weight FROM ({SQL['basket']})")(lambda s, d: postings.postings(CORPORA["basket"](s, d)))
+_add("term_stats", f"SELECT term, count(*) AS df, greatest(0, max(weight)::DOUBLE) AS max_weight FROM ({SQL['emb']}) GROUP BY term")(lambda s, d: postings.term_stats(CORPORA["emb"](s, d)))
+_PRUNED = f"SELECT term, doc_id, weight FROM d QUALIFY row_number() OVER (PARTITION BY term ORDER BY weight DESC, doc_id) <= {LAM}"
+_CUTS = f"SELECT qid, list_no, term FROM (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, term) - 1 AS list_no FROM q) WHERE list_no < {CUT}"
+for _name in ("emb", "basket"):
+    _add(f"lambda_prune_{_name}", _with(_name, _PRUNED))(lambda s, d, n=_name: postings.prune(_corpus(n, s, d)[1], LAM).select("term", "doc_id", "weight"))
+    _add(f"cut_terms_{_name}", _with(_name, _CUTS))(lambda s, d, n=_name: postings.cut_terms(_corpus(n, s, d)[0], CUT))
+_add("maxscore_prefix", _with("basket", "SELECT qid, term, bound, round(sum(bound) OVER (PARTITION BY qid ORDER BY bound, term ROWS UNBOUNDED PRECEDING), 6) AS prefix FROM (SELECT qid, term, round(weight::DOUBLE * max_weight, 6) AS bound FROM q JOIN (SELECT term, greatest(0, max(weight)) AS max_weight FROM d GROUP BY term) USING (term))"))(lambda s, d: postings.upper_bounds(_corpus("basket", s, d)[0], postings.term_stats(_corpus("basket", s, d)[1])))
+
+# ---- clusters, step by step; each step's SQL goes on from the last
+
+
+def _steps(corpus: str, d: str = "d", q: str = "q") -> list[tuple[str, str]]:
+    pruned = _PRUNED.replace("FROM d", f"FROM {d}")
+    return [
+        ("pl", pruned),
+        ("cen", f"SELECT term, cluster, doc_id FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY md5(concat_ws(':', '{SEED}', term::VARCHAR, doc_id::VARCHAR)), doc_id) - 1 AS cluster FROM pl) WHERE cluster < {BETA}"),
+        ("oth", "SELECT term, doc_id FROM pl ANTI JOIN cen USING (term, doc_id)"),
+        ("sim", f"SELECT o.term, o.doc_id, c.cluster, round(sum(a.weight::DOUBLE * b.weight::DOUBLE), 6) AS s FROM oth o JOIN cen c ON o.term = c.term JOIN {d} a ON a.doc_id = o.doc_id JOIN {d} b ON b.doc_id = c.doc_id AND b.term = a.term GROUP BY 1, 2, 3"),
+        ("best", "SELECT term, doc_id, cluster FROM sim WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY term, doc_id ORDER BY s DESC, cluster) = 1"),
+        ("mem", "SELECT term, cluster, row_number() OVER (PARTITION BY term, cluster ORDER BY late, doc_id) - 1 AS pos, doc_id FROM (SELECT term, coalesce(cluster, 0) AS cluster, doc_id, 1 AS late FROM oth LEFT JOIN best USING (term, doc_id) UNION ALL SELECT term, cluster, doc_id, 0 FROM cen)"),
+        ("mx", f"SELECT m.term, m.cluster, x.term AS s_term, greatest(0, max(x.weight::DOUBLE)) AS s_value FROM mem m JOIN {d} x USING (doc_id) GROUP BY 1, 2, 3"),
+        ("sm", f"SELECT term, cluster, s_term, s_value FROM (SELECT *, row_number() OVER o AS r, sum(s_value) OVER (PARTITION BY term, cluster) AS total, coalesce(sum(s_value) OVER (PARTITION BY term, cluster ORDER BY s_value DESC, s_term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM mx WINDOW o AS (PARTITION BY term, cluster ORDER BY s_value DESC, s_term)) WHERE r = 1 OR total = 0 OR round(before, 6) < round({ALPHA}::DOUBLE * total, 6)"),
+        ("cuts", _CUTS.replace("FROM q)", f"FROM {q})")),
+        ("ss", f"SELECT e.qid, e.list_no, e.term, e.cluster, coalesce(f.s, 0) AS s FROM (SELECT * FROM cuts JOIN (SELECT term, cluster FROM mem WHERE pos = 0) USING (term)) e LEFT JOIN (SELECT c.qid, c.term, m.cluster, round(sum(x.weight::DOUBLE * m.s_value), 6) AS s FROM cuts c JOIN sm m ON m.term = c.term JOIN {q} x ON x.qid = c.qid AND x.term = m.s_term GROUP BY 1, 2, 3) f ON f.qid = e.qid AND f.term = e.term AND f.cluster = e.cluster"),
+    ]
+
+
+def _upto(corpus: str, step: str, body: str | None = None, d: str = "d", q: str = "q", more: str = "") -> str:
+    names = [n for n, _ in _steps(corpus)]
+    every = ([more] if more else []) + [f"{n} AS MATERIALIZED ({sql})" for n, sql in _steps(corpus, d, q)[: names.index(step) + 1]]
+    return _with(corpus, body or f"SELECT * FROM {step}", ", ".join(every))
+
+
+def _search_sql(heap: float, k: int = K, selector: str = "true", d: str = "d", q: str = "q", out: str = "score") -> str:
+    return f"""SELECT qid, rank, doc_id, {out} AS score FROM ({_top(f'''
+      SELECT s.qid, s.doc_id, s.score FROM scd s LEFT JOIN tau USING (qid) WHERE before < {k} OR tau IS NULL OR best * {heap}::DOUBLE >= tau''', k)})"""
+
+
+def _search_steps(d: str, q: str, k: int, where: str = "true") -> str:
+    return ", ".join([
+        "vis AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY list_no, CASE WHEN list_no = 0 THEN -s ELSE 0 END, cluster) AS seq FROM ss)",
+        f"met AS MATERIALIZED (SELECT qid, doc_id, min(seq) AS seq, max(s) AS best FROM vis JOIN mem USING (term, cluster) WHERE {where} GROUP BY 1, 2)",
+        f"sco AS MATERIALIZED (SELECT m.qid, m.doc_id, round(sum(a.weight::DOUBLE * b.weight::DOUBLE), 6) AS score FROM met m JOIN {d} a ON a.doc_id = m.doc_id JOIN {q} b ON b.qid = m.qid AND b.term = a.term GROUP BY 1, 2)",
+        "scd AS MATERIALIZED (SELECT m.*, coalesce(s.score, 0) AS score, (count(*) OVER (PARTITION BY m.qid ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS before FROM met m LEFT JOIN sco s ON s.qid = m.qid AND s.doc_id = m.doc_id)",
+        f"tau AS (SELECT qid, score AS tau FROM scd WHERE before < {k} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) = {k})",
+    ])
+
+
+def _seismic_sql(corpus: str, heap: float = HEAP, where: str = "true", d: str = "d", q: str = "q", more: str = "", out: str = "score") -> str:
+    inner = _upto(corpus, "ss", "@", d, q, more)
+    return inner.replace(" @", ", " + _search_steps(d, q, K, where) + " " + _search_sql(heap, d=d, q=q, out=out))
+
+
+def _built(corpus: str, s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    q, v = _corpus(corpus, s, d)
+    return (q, v, *seismic.build(v, LAM, BETA, ALPHA, SEED))
+
+
+for _name in ("emb", "basket"):
+    _add(f"centroids_{_name}", _upto(_name, "cen"))(lambda s, d, n=_name: clusters.centroids(postings.prune(_corpus(n, s, d)[1], LAM), BETA, SEED))
+    _add(f"assign_clusters_{_name}", _upto(_name, "mem"))(lambda s, d, n=_name: _built(n, s, d)[2])
+    _add(f"cluster_maxpool_{_name}", _upto(_name, "mx"))(lambda s, d, n=_name: clusters.max_pool(_built(n, s, d)[2], _corpus(n, s, d)[1]))
+    _add(f"alpha_summary_{_name}", _upto(_name, "sm"))(lambda s, d, n=_name: _built(n, s, d)[3])
+    _add(f"summary_scores_{_name}", _upto(_name, "ss"))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.summary_scores(q, m, sm, CUT))(*_built(n, s, d)))
+    _add(f"seismic_topk_{_name}", _seismic_sql(_name))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.search(q, m, sm, v, K, CUT, HEAP))(*_built(n, s, d)))
+_add("blocks", _upto("emb", "mem", "SELECT m.term, m.cluster, m.doc_id, x.term AS s_term, x.weight FROM mem m JOIN d x USING (doc_id)"))(lambda s, d: clusters.blocks(_built("emb", s, d)[2], _corpus("emb", s, d)[1]))
+
+
+@_add("seismic_filter", _seismic_sql("emb", where=f"doc_id IN ({_IN})"))
+def seismic_filter(spark, d):
+    q, v, m, sm = _built("emb", spark, d)
+    return seismic.search(q, m, sm, v, K, CUT, HEAP, SetSelector(ALLOWED))
+
+
+_Q8 = _KINDS["8"]
+
+
+@_add("seismic_sq_topk", _seismic_sql("emb", d="cd", q="cq", more=f"cq AS MATERIALIZED (SELECT qid, term, {_code(_Q8)}::DOUBLE AS weight FROM q), cd AS MATERIALIZED (SELECT doc_id, term, {_code(_Q8)}::DOUBLE AS weight FROM d)", out=f"round(score * ({1 / 255**2!r}::DOUBLE), 6)"))
+def seismic_sq_topk(spark, d):
+    q, v = _coded(spark, d, _Q8, _Q8)
+    m, sm = seismic.build(v, LAM, BETA, ALPHA, SEED)
+    return _decoded(seismic.search(q, m, sm, v, K, CUT, HEAP), _Q8, _Q8)
+
+
+@_add("seismic_recall", _seismic_sql("emb").replace("SELECT qid, rank, doc_id, score AS score FROM (", "@", 1).replace("@", f"SELECT round(avg(hits / {K}.0::DOUBLE), 6) AS recall FROM (SELECT t.qid, count(f.doc_id)::DOUBLE AS hits FROM ({_top(f'SELECT * FROM ({_scores()}) WHERE score > 0')}) t LEFT JOIN (SELECT qid, doc_id FROM (", 1) + ") f ON f.qid = t.qid AND f.doc_id = t.doc_id GROUP BY t.qid)")
+def seismic_recall(spark, d):
+    q, v, m, sm = _built("emb", spark, d)
+    return recall(seismic.search(q, m, sm, v, K, CUT, HEAP), exact.inverted(q, v, K, digits=6), K)
+
+
+@_add("seismic_noprune_equals_exact", _exact("users"))
+def seismic_noprune_equals_exact(spark, d):
+    q, v = _corpus("users", spark, d)
+    m, sm = seismic.build(v, 0, 5, 1.5, SEED)
+    return seismic.search(q, m, sm, v, K, 1 << 16, 1e9)
+
+
+# ---- files
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: the checkpoint folder, or a temporary one where none is set, as in tests."""
+    import os
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lumenvec")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@_add("index_roundtrip", _seismic_sql("emb"))
+def index_roundtrip(spark, d):
+    """Saves vectors and clusters as tables, reads them again and searches."""
+    q, v, m, sm = _built("emb", spark, d)
+    to = _folder(spark)
+    for name, table in (("vectors_rows", model.to_rows(v)), ("cluster_members", m), ("cluster_summary", sm)):
+        table.write.parquet(f"{to}/{name}")
+    v, m, sm = model.to_triples(spark.read.parquet(f"{to}/vectors_rows")), spark.read.parquet(f"{to}/cluster_members"), spark.read.parquet(f"{to}/cluster_summary")
+    return seismic.search(q, m, sm, v, K, CUT, HEAP)
+
+
+@_add("csr_roundtrip", f"SELECT doc_id, term, weight FROM ({SQL['emb']})")
+def csr_roundtrip(spark, d):
+    """The embeddings corpus written as an interchange file, converted to the native layout and read again."""
+    import os
+
+    import numpy as np
+
+    from lumenvec.sources.csr import convert, read_csr, write_csr
+
+    rows = CORPORA["emb"](spark, d).orderBy("doc_id", "term").toArrow()
+    doc = rows.column(0).to_numpy()
+    path = _folder(spark).removeprefix("file://")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    write_csr(path, np.searchsorted(doc, np.arange(doc.max() + 2)), rows.column(1).to_numpy(), rows.column(2).to_numpy(), 64)
+    return read_csr(spark, convert(path), "native", 64)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+__all__ = ["oracle_sql", "queries", "top_k"]
