@@ -184,16 +184,21 @@ def components(docs: DataFrame) -> DataFrame:
     one = some.join(classes, ["n", "sig_a", "sig_b"]).where("doc_id = id").dropDuplicates(["id", "n", "sig_a", "sig_b"])
     # an id that stands on rows of different texts would hold different sets: links go by id, texts by their own
     one = cut(one.select("id", "n", "bits", "prefix"))
+    spread = one.select("id", "n", F.explode("prefix").alias("h"))
+    # most elements are in one class only: those go first, on counts alone
+    often = spread.groupBy("h").agg(F.count("*").alias("members")).where("members > 1").select("h")
+    shared = cut(spread.join(often, "h").select("h", "id", "n"))
     band = F.floor(F.ln(F.col("n")) / F.lit(-log(PERCENT / 100))).cast("int")
-    spread = one.select("id", "n", F.explode("prefix").alias("h"), band.alias("own"))
     # a class stands in its own band's tile and in the one below, where partners of smaller sizes are
-    tiles = spread.select("id", "n", "h", F.col("own").alias("band")).unionByName(spread.select("id", "n", "h", (F.col("own") - 1).alias("band")))
-    heads = tiles.groupBy("h", "band").agg(F.min(F.struct("n", "id")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    full = cut(tiles.join(heads, ["h", "band"]).select("h", "band", "id", F.col("head.id").alias("head")))
+    tiles = shared.select("id", "h", F.explode(F.array(band, band - 1)).alias("band"))
+    heads = tiles.groupBy("h", "band").agg(F.min("id").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
+    full = tiles.join(heads, ["h", "band"])
     facts = one.select("id", "n", "bits")
     u, v = (facts.select(*[F.col(c).alias(f"{c}_{x}") for c in facts.columns]) for x in "uv")
-    star = full.where("id <> head").select(F.greatest("id", "head").alias("id_u"), F.least("id", "head").alias("id_v")).distinct()
-    star = star.join(u, "id_u").join(v, "id_v").where(_may_link("bits_u", "n_u", "bits_v", "n_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+    star = full.where("id > head").select(F.col("id").alias("id_u"), F.col("head").alias("id_v")).distinct()
+    star = star.join(u, "id_u").join(v, "id_v").where(_may_link("bits_u", "n_u", "bits_v", "n_v"))
+    # one head for each class: the one it may share most with, by sizes
+    star = star.groupBy(F.col("id_u").alias("u")).agg(F.min("id_v").alias("v"))
     links = cut(_verify(star, rows))
     part = connect(links)
     # tiles whose members are in several components
