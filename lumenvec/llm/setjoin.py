@@ -26,8 +26,10 @@ from lumenvec.llm.linking import cut
 WORDS = 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Bits of a bitmap, in 64-bit words.
+#: 64-bit words of the smallest bitmap; larger sets have more, a power of two, at least two bits for each element.
 BITMAP_WORDS = 16
+#: Bits of the filter of the ids whose arrays are wanted; it only saves work, so its size needn't follow theirs.
+FILTER_LOG2 = 24
 #: Documents of the sample that tells frequent elements (it only changes their order, not results), and most of those kept.
 SAMPLE, FREQUENT = 20_000, 1 << 17
 SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint"
@@ -68,8 +70,11 @@ def _prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
-    bits[(s >> np.uint64(20)).astype(np.int64) % (64 * BITMAP_WORDS)] = 1
+    width = 64 * BITMAP_WORDS
+    while width < 2 * len(s):
+        width *= 2
+    bits = np.zeros(width, np.uint8)
+    bits[((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -120,38 +125,73 @@ def _signed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                         sig[1].append(np.bitwise_xor.reduce(mix(s + np.uint64(0x9E3779B97F4A7C15))) if len(s) else np.uint64(0))
                 edge = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(prefixes).view(np.int64)))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) * BITMAP_WORDS + 1, BITMAP_WORDS, dtype=np.int32)), pa.array(np.concatenate(bits)))
+                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bits)]).astype(np.int32)), pa.array(np.concatenate(bits)))
                 sigs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in sig]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), *sigs, flat, prefix], ["doc_id", "n", "sig_a", "sig_b", "bits", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, bits array<bigint>, prefix array<bigint>")
 
 
+def _filter_bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_LOG2)).astype(np.int64)
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bit for every id, from bounded partial filters: one row for each 64 bits of it at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_LOG2, np.uint8)
+        for b in batches:
+            bits[_filter_bit(b.column(0).to_numpy())] = 1
+        packed = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], ["at", "bits"])
+
+    got = ids.mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    packed = np.zeros(1 << (FILTER_LOG2 - 6), np.int64)
+    packed[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return packed
+
+
 def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s): the sorted set of each document in ids (one row for each id)."""
+    """(id, s): the sorted sets of the documents in ids, and of a few more that the filter of ids can't tell from them; texts are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value.view(np.uint8))
         for b in batches:
+            b = b.filter(pa.array(bits[_filter_bit(b.column(0).to_numpy())].astype(bool)))
             for lo, hi, data, offsets in slices(b.column(1)):
                 raw = [s.tobytes() for s in shingle_sets(data, offsets)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(raw, pa.binary())], ["id", "s"])
 
-    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(run, "id bigint, s binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, s binary")
 
 
 def _may_link(bits_a, n_a, bits_b, n_b) -> Column:
-    """Whether sizes and bit counts leave room for a link: bits of one set that the other lacks are elements it lacks."""
-    lacks = lambda x, y: sum((F.bit_count(F.get(x, k).bitwiseAND(F.bitwise_not(F.get(y, k)))) for k in range(BITMAP_WORDS)), F.lit(0))
-    a, b = F.col(n_a), F.col(n_b)
+    """Whether sizes and bit counts leave room for a link: bits of one set that the other lacks are elements it lacks.
+
+    A wider bitmap is folded to the narrower one's width, of which partners' are at most twice.
+    """
+    a, b, x, y = F.col(n_a), F.col(n_b), F.col(bits_a), F.col(bits_b)
     sizes = (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
-    most = F.least(a - lacks(F.col(bits_a), F.col(bits_b)), b - lacks(F.col(bits_b), F.col(bits_a)))
-    return sizes & ((100 + PERCENT) * most >= PERCENT * (a + b))
+
+    def room(in_x: Column, in_y: Column, in_both: Column) -> Column:
+        most = F.least(a - (in_x - in_both), b - (in_y - in_both))
+        return (100 + PERCENT) * most >= PERCENT * (a + b)
+
+    total = lambda words: F.aggregate(words, F.lit(0), lambda t, w: t + F.bit_count(w))
+    fold = lambda w: F.when((F.size(x) == F.size(y)) | (F.size(w) == F.least(F.size(x), F.size(y))), w).otherwise(F.zip_with(F.slice(w, F.lit(1), (F.size(w) / 2).cast("int")), F.slice(w, (F.size(w) / 2).cast("int") + 1, (F.size(w) / 2).cast("int")), lambda p, q: p.bitwiseOR(q)))
+    plain = lambda f: sum((F.bit_count(f(k)) for k in range(BITMAP_WORDS)), F.lit(0))
+    small = room(plain(lambda k: F.get(x, k)), plain(lambda k: F.get(y, k)), plain(lambda k: F.get(x, k).bitwiseAND(F.get(y, k))))
+    large = room(total(fold(x)), total(fold(y)), total(F.zip_with(fold(x), fold(y), lambda p, q: p.bitwiseAND(q))))
+    return sizes & F.when((F.size(x) == BITMAP_WORDS) & (F.size(y) == BITMAP_WORDS), small).otherwise(large)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of (u, v) that are links, by exact intersection of the sorted arrays."""
     pairs = cut(pairs)
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
     arrays = cut(_arrays(docs, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
