@@ -81,4 +81,5 @@ def clean(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns and their text as it is."""
     mine = [c for c in docs.columns]
     rows = docs.select(F.struct(*mine).alias("_row"), F.col("doc_id"), F.col("text"))
-    return _judged(rows).where("kept").select("_row.*")
+    # a condition that isn't deterministic is not pushed down, where the measures would be worked out again for every use
+    return _judged(rows).withColumn("_keep", F.col("kept") & (F.rand(0) >= 0)).where("_keep").select("_row.*")
