@@ -26,3 +26,8 @@ def lower_ascii(value: Column) -> Column:
 
 def without(value: Column, chars: str) -> Column:
     return F.translate(value, chars, "")
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it: a lambda's variable is never replaced by its expression."""
+    return F.get(F.transform(F.array(value), f), 0)

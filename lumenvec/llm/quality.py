@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.llm._native import SPACES, text, without, words
+from lumenvec.llm._native import SPACES, let, text, without, words
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
@@ -24,23 +24,22 @@ BOILERPLATE = r"(?i)\b(cookie policy|privacy policy|terms of (use|service)|all r
 BOILER_CHARS = 200
 
 
-def _windows(w: str) -> Column:
-    """3-word windows as (64-bit hash, position), sorted."""
+def _repeats(w: Column) -> Column:
+    """How many of the words w stand in 3-word windows found twice or more; windows are told apart by 64-bit hashes, sorted with their positions."""
     hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    own = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
-    return F.when(F.size(w) >= 4, own).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
+    twice = lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
+    places = let(windows, lambda s: F.sort_array(F.transform(twice(s), lambda x: x["i"])))
+    steps = lambda at: F.transform(at, lambda x, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get(at, k - 1))))
+    return F.when(F.size(w) >= 4, let(places, lambda at: F.aggregate(steps(at), F.lit(0), lambda a, x: a + x))).otherwise(0)
 
 
 def _measured(docs: DataFrame) -> DataFrame:
     """One row for each row of `docs` with the base measures, and the cleaned text."""
     t = docs.select(*[F.col(c) for c in docs.columns], text().alias("_t"))
-    t = t.withColumn("_w", words(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.length(without(x, SPACES)) > 0))
-    t = t.withColumn("n_words", F.size("_w").cast("bigint"))
-    t = t.withColumn("_win", _windows("_w"))
-    twice = F.filter("_win", lambda x, k: (F.get("_win", k - 1)["h"] == x["h"]) | (F.get("_win", k + 1)["h"] == x["h"]))
-    t = t.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    steps = F.transform("_at", lambda x, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get("_at", k - 1))))
-    t = t.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("bigint"))
+    t = t.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.length(without(x, SPACES)) > 0))
+    t = t.withColumn("_counts", let(words(F.col("_t")), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeats(w).cast("bigint").alias("r"))))
+    t = t.withColumn("n_words", F.col("_counts.n")).withColumn("n_repeat_words", F.col("_counts.r"))
     t = t.withColumn("word_chars", F.length(without(F.col("_t"), SPACES)).cast("bigint"))
     t = t.withColumn("n_symbols", (F.length("_t") - F.length(without(F.col("_t"), SYMBOLS))).cast("bigint"))
     t = t.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"))
