@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenvec.llm._native import lower_ascii, text
+from lumenvec.llm._native import let, lower_ascii, text
 
 K = 3
 #: Diagonals so far apart are one match; shares of a template's k-grams that must vote, and of its words that must agree.
@@ -57,7 +57,7 @@ def templates(spark) -> DataFrame:
     return spark.createDataFrame(rows, "template string, label string, t_words array<string>")
 
 
-def _phrase_starts(w: str) -> list[tuple[str, Column]]:
+def _phrase_starts(w: Column) -> list[tuple[str, Column]]:
     """By label, an array of the starts of its phrase; texts without the phrase's first words do no more than look for them."""
     def starts(parts: list[str]) -> Column:
         here = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: _all([F.get(w, i + j) == F.lit(p) for j, p in enumerate(parts)]))
@@ -77,8 +77,8 @@ def spans(docs: DataFrame) -> DataFrame:
     """(row, template, label, first, last): places with enough votes, by the words' numbers from 0; docs: (row, text)."""
     t = templates(docs.sparkSession)
     grams = t.select("template", "label", F.size("t_words").alias("t_size"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("t_words") - K), lambda i: _gram("t_words", i))).alias("t_pos", "gram"))
-    own = docs.select("row", words_of(F.col("text")).alias("w")).where(F.size("w") >= K)
-    own = own.select("row", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: _gram("w", i))).alias("pos", "gram"))
+    rolling = let(words_of(F.col("text")), lambda w: F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: _gram(w, i))))
+    own = docs.select("row", F.posexplode(rolling).alias("pos", "gram"))
     votes = own.join(F.broadcast(grams), "gram").groupBy("row", "template", "label", "t_size", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + K - 1).alias("last"))
     by = Window.partitionBy("row", "template").orderBy("diagonal")
     votes = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -1 << 30).over(by) > NEAR).cast("int"))
@@ -106,11 +106,11 @@ def scan(docs: DataFrame) -> DataFrame:
     score 1. Repeated rows are scanned each: rows, not ids, are matched.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    base = rows.withColumn("w", words_of(F.col("text")))
-    starts = _phrase_starts("w")
-    base = base.select("doc_id", "row", F.size("w").cast("bigint").alias("n_words"), *[s.alias(f"s{k}") for k, (_, s) in enumerate(starts)])
+    found = lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), *[s.alias(f"s{k}") for k, (_, s) in enumerate(_phrase_starts(w))])
+    base = rows.select("doc_id", "row", let(words_of(F.col("text")), found).alias("b")).select("doc_id", "row", "b.*")
+    starts = list(PHRASES.items())
     every = F.concat(*[F.col(f"s{k}") for k in range(len(starts))])
-    names = F.filter(F.array(*[F.when(F.size(f"s{k}") > 0, F.lit(label)) for k, (label, _) in enumerate(starts)]), lambda x: x.isNotNull())
+    names = F.filter(F.array(*[F.when(F.size(f"s{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(starts)]), lambda x: x.isNotNull())
     base = base.select("doc_id", "row", "n_words", F.size(every).cast("bigint").alias("n_base"), F.array_min(every).cast("bigint").alias("first_word"), F.array_max(every).cast("bigint").alias("last_word"), F.array_sort(names).alias("base"))
     # equal rows are the same text: matched once
     once = rows.select("row", "text")
