@@ -158,7 +158,7 @@ class InvertedIndex(Index):
     def build(self):
         if self.vectors is None:
             raise RuntimeError("nothing to build")
-        self.vectors.agg(F.count("*")).collect()  # a term out of range fails here
+        self.vectors.agg(F.sum("term"), F.sum("weight")).collect()  # a term out of range fails here
         self.lists = postings.postings(self.vectors)
 
     def search_frame(self, queries, query_ids, k, params=None):
@@ -192,7 +192,7 @@ class SeismicIndex(Index):
     def build(self):
         if self.vectors is None:
             raise RuntimeError("nothing to build")
-        self.vectors.agg(F.count("*")).collect()
+        self.vectors.agg(F.sum("term"), F.sum("weight")).collect()
         c = self.cluster.resolved(self.n)
         member, summary = seismic.build(self.weights(), c.lam, c.beta, c.alpha, c.seed)
         self.member, self.summary = member.persist(), summary.persist()
