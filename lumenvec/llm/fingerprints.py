@@ -12,16 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenvec.llm._native import text
+from lumenvec.llm._native import let, text
 
 #: A paragraph: so many characters, on to the end of the sentence, inside one line.
 PARAGRAPH = r"[^\n]{1,160}(?:[^\n.!?]*[.!?]+|[^\n]*)"
-#: Digests that a part is meant for; cells of each of three tables at first, and how often they are doubled.
-PART_ITEMS = 12
-CELLS = 8
-RETRIES = 3
+#: Digests that a part is meant for; cells of each of three tables at first, and how often they are doubled (a part's cells fit a 64-bit mask).
+PART_ITEMS = 4
+CELLS = 4
+RETRIES = 2
 #: Rounds of peeling before a part counts as failed.
-ROUNDS = 12
+ROUNDS = 8
 #: Ids that are looked at together when neighbours in order are sought; blocks of blocks twice more.
 BLOCK_LOG2 = 12
 
@@ -31,45 +31,42 @@ def _digests(value: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.col(value), F.lit(PARAGRAPH), F.lit(0)), lambda x: F.xxhash64(x))))
 
 
-def _cells(cells: int, salt: int, x: Column) -> list[Column]:
-    """The cells of a digest, one in each of three tables that stand one after another."""
-    return [(F.pmod(F.xxhash64(x, F.lit(salt * 3 + t)), F.lit(cells)) + t * cells).cast("int") for t in range(3)]
-
-
 def _check(x: Column) -> Column:
     return F.xxhash64(x, F.lit(-1))
 
 
 def _placed(x: Column, n: Column, cells: int, salt: int) -> Column:
-    return F.struct(x.alias("x"), n.alias("n"), _check(x).alias("c"), *[c.alias(f"a{t}") for t, c in enumerate(_cells(cells, salt, x))])
+    """A digest, its sign, its check value and the mask of its cells, one in each of three tables that stand one after another."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.pmod(F.xxhash64(x, F.lit(salt * 3 + t)), F.lit(cells)) + t * cells).cast("int")) for t in range(3)]
+    return F.struct(x.alias("x"), n.alias("n"), _check(x).alias("c"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("m"))
 
 
-def _with(cell: Column, p: Column, j: Column, add: bool) -> Column:
-    """The cell j after p is put in or taken out, if j is one of its cells."""
-    n = cell["n"] + p["n"] if add else cell["n"] - p["n"]
-    changed = F.struct(n.alias("n"), cell["x"].bitwiseXOR(p["x"]).alias("x"), cell["c"].bitwiseXOR(p["c"]).alias("c"))
-    return F.when((p["a0"] == j) | (p["a1"] == j) | (p["a2"] == j), changed).otherwise(cell)
+def _with(cell: Column, placed: Column, bit: Column, add: bool) -> Column:
+    """The cell of this bit after those of `placed` that it is a cell of are put in or taken out."""
+    put = lambda a, p: F.struct((a["n"] + p["n"] if add else a["n"] - p["n"]).alias("n"), a["x"].bitwiseXOR(p["x"]).alias("x"), a["c"].bitwiseXOR(p["c"]).alias("c"))
+    return F.aggregate(F.filter(placed, lambda p: p["m"].bitwiseAND(bit) != 0), cell, put)
 
 
 def sketch(items: Column, cells: int, salt: int = 0) -> Column:
     """Cells (n, x, c) of items (x, sign): count, XOR of digests, XOR of check values."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("c"))
     placed = F.transform(items, lambda it: _placed(it["x"], it["sign"], cells, salt))
-    # a one-element array stands in for a name: items are placed once
-    fill = lambda ps: F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), lambda j: F.aggregate(ps, zero, lambda a, p: _with(a, p, j, True)))
-    return F.get(F.transform(F.array(placed), fill), 0)
+    bits = F.array(*[F.lit(1 << j).cast("bigint") for j in range(3 * cells)])
+    return let(placed, lambda ps: F.transform(bits, lambda bit: _with(zero, ps, bit, True)))
 
 
 def peel(table: Column, cells: int, salt: int = 0) -> Column:
     """How many digests are in a table of differences; null if it can't be peeled empty."""
     pure = lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"]))
+    bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("bigint"), j)
 
     def one_round(state: Column, _: Column) -> Column:
+        # a digest that is alone in several cells is taken out once
         found = F.array_distinct(F.transform(F.filter(state["t"], pure), lambda c: _placed(c["x"], c["n"], cells, salt)))
-        take = lambda gone: F.struct(F.transform(state["t"], lambda c, j: F.aggregate(gone, c, lambda a, p: _with(a, p, j, False))).alias("t"), (state["k"] + F.size(gone)).alias("k"))
-        return F.when(F.exists(state["t"], pure), F.get(F.transform(F.array(found), take), 0)).otherwise(state)
+        take = lambda gone: F.when(F.size(gone) > 0, F.struct(F.transform(state["t"], lambda c, j: _with(c, gone, bit(j), False)).alias("t"), (state["k"] + F.size(gone)).alias("k"), F.lit(True).alias("on"))).otherwise(F.struct(state["t"].alias("t"), state["k"].alias("k"), F.lit(False).alias("on")))
+        return F.when(state["on"], let(found, take)).otherwise(state)
 
-    start = F.struct(table.alias("t"), F.lit(0).alias("k"))
+    start = F.struct(table.alias("t"), F.lit(0).alias("k"), F.lit(True).alias("on"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round, lambda s: F.when(F.forall(s["t"], lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0)), s["k"]))
 
 
@@ -111,7 +108,7 @@ def _serial(digests: str) -> Column:
     """A text's fingerprint: its number of paragraphs and 128 bits of its first table's cells."""
     items = F.transform(digests, lambda x: F.struct(x.alias("x"), F.lit(1).alias("sign")))
     table = sketch(items, CELLS)
-    return F.get(F.transform(F.array(table), lambda t: F.concat(F.size(digests).cast("string"), F.lit(":"), *[F.lpad(F.lower(F.hex(F.xxhash64(t, F.lit(k)))), 16, "0") for k in range(2)])), 0)
+    return let(table, lambda t: F.concat(F.size(digests).cast("string"), F.lit(":"), *[F.lpad(F.lower(F.hex(F.xxhash64(t, F.lit(k)))), 16, "0") for k in range(2)]))
 
 
 _NO_ID = -(1 << 63)
