@@ -1,7 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are 5-byte strings of the lower-cased text that tell the two labels apart in the training
-rows; their counts come from all training rows. Examples are a bounded sample of the training rows
+Terms are beginnings of words (runs of letters, in lower case), each by itself and once more for each
+density it reaches in the text, so that what any text may hold once by chance is told from what a
+text keeps saying. Kept are those that tell the two labels apart in the training rows; their counts
+come from all training rows. Examples are a bounded sample of the training rows
 that contain such terms. The index keeps, for each term and each block of examples, the largest
 weight; a query visits blocks by descending upper bound and stops when no block can hold a closer
 neighbour, so its nearest examples are exact. Votes are weighted by cosine and smoothed with the
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from lumenvec.llm._bytes import LOWER, mix, slices
 from lumenvec.llm.langid import held_out
 
-N = 5
+#: Bytes of a word's beginning; a term's densities are one word in 2 ** k.
+N = 6
+DENSITIES = (8, 7, 6, 5)
 #: Most examples of each label in the index, and most terms.
 EXAMPLES = 3000
 TERMS = 20_000
@@ -35,21 +39,47 @@ SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 _BITS = 22
 
 
-def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """5-byte strings (as integers) inside each text, and their rows."""
-    if len(data) < N:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    x = LOWER[data].astype(np.uint64)
-    n = len(x) - N + 1
-    key = x[:n].copy()
-    for k in range(1, N):
-        key = (key << np.uint64(8)) | x[k : n + k]
-    keep = np.ones(n, bool)
-    for k in range(1, N):
-        edge = offsets[1:-1] - k
-        keep[edge[(edge >= 0) & (edge < n)]] = False
-    at = np.flatnonzero(keep)
-    return key[at], np.searchsorted(offsets, at, side="right") - 1
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes (ASCII and Latin-1 letters), and which of them are letters; all beyond ASCII count as such."""
+    x = LOWER[data]
+    if len(x):
+        wide = np.flatnonzero((x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] < 0x9F) & (x[1:] != 0x97)) + 1
+        x[wide] += 0x20
+    return x, (x >= 0x80) | ((x >= 0x61) & (x <= 0x7A))
+
+
+def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms (as integers) of each text, once each, in the order of their rows; their rows and how often they stand there."""
+    x, letter = _letters(data)
+    n = len(x)
+    if not letter.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    edges = offsets[:-1][offsets[:-1] < n]
+    first[edges] = letter[edges]
+    at = np.flatnonzero(first)
+    # a word's bytes end at the first that is no letter, or at its text's end
+    key = np.zeros(len(at), np.uint64)
+    row = np.searchsorted(offsets, at, side="right") - 1
+    inside = np.ones(len(at), bool)
+    for k in range(N):
+        inside &= at + k < offsets[row + 1]
+        here = np.minimum(at + k, n - 1)
+        inside &= letter[here]
+        key = (key << np.uint64(8)) | np.where(inside, x[here], 0).astype(np.uint64)
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
+    tf = np.diff(np.append(edge, len(key)))
+    all_words = np.bincount(row, minlength=len(offsets) - 1)
+    key, row = key[edge], row[edge]
+    dense = [tf << k >= all_words[row] for k in DENSITIES]
+    key = np.concatenate([key, *[key[d] | np.uint64(i + 1 << 8 * N) for i, d in enumerate(dense)]])
+    tf = np.concatenate([tf, *[np.ones(d.sum(), np.int64) for d in dense]])
+    row = np.concatenate([row, *[row[d] for d in dense]])
+    by = np.argsort(row, kind="stable")
+    return key[by], row[by], tf[by]
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -71,11 +101,7 @@ def _texts_with(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for _, _, data, offsets in slices(b.column(0), 4 << 20):
-                key, row = terms_of(data, offsets)
-                order = np.lexsort((row, key))
-                key, row = key[order], row[order]
-                fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else []
-                got, n = np.unique(key[fresh], return_counts=True)
+                got, n = np.unique(terms_of(data, offsets)[0], return_counts=True)
                 keys.append(got)
                 counts.append(n)
                 size += len(got)
@@ -97,9 +123,7 @@ def _count_given(rows: DataFrame, keys: np.ndarray) -> np.ndarray:
         total = np.zeros(len(shared.value), np.int64)
         for b in batches:
             for _, _, data, offsets in slices(b.column(0)):
-                term, row = find(data, offsets)
-                pair = np.unique(row * len(total) + term)
-                total += np.bincount(pair % len(total), minlength=len(total))
+                total += np.bincount(find(data, offsets)[0], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
@@ -119,12 +143,15 @@ class Finder:
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[_slot(self.keys)] = True
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key, row = terms_of(data, offsets)
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the given terms, rows and how often they stand there, by row and term."""
+        key, row, tf = terms_of(data, offsets)
         at = np.flatnonzero(self.maybe[_slot(key)])
         where = np.minimum(np.searchsorted(self.keys, key[at]), max(len(self.keys) - 1, 0))
         hit = self.keys[where] == key[at] if len(self.keys) else np.zeros(0, bool)
-        return where[hit], row[at[hit]]
+        where, at = where[hit], at[hit]
+        by = np.lexsort((where, row[at]))
+        return where[by], row[at[by]], tf[at[by]]
 
 
 class Index:
@@ -204,14 +231,12 @@ class Model:
         if self.index is None:
             return out
         self.find = self.find or Finder(self.keys)
-        for r, term, tf in _by_row(*self.find(data, offsets), len(self.keys)):
+        for r, term, tf in _by_row(*self.find(data, offsets)):
             out[r] = self.index.score(term, tf, self.rate)
         return out
 
 
-def _by_row(term: np.ndarray, row: np.ndarray, terms: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    pair, tf = np.unique(row * terms + term, return_counts=True)
-    row, term = pair // terms, pair % terms
+def _by_row(term: np.ndarray, row: np.ndarray, tf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
     for a, b in zip(edge, [*edge[1:], len(row)]):
         yield int(row[a]), term[a:b], tf[a:b]
@@ -245,7 +270,7 @@ def train(rows: DataFrame) -> Model:
         for b in batches:
             label, order_ = b.column(1).to_numpy(), b.column(2).to_numpy()
             for lo, _, data, offsets in slices(b.column(0)):
-                got = list(_by_row(*find(data, offsets), len(shared.value))) if len(shared.value) else []
+                got = list(_by_row(*find(data, offsets))) if len(shared.value) else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(label[lo + r]) for r, _, _ in got], pa.int32()), pa.array([int(order_[lo + r]) for r, _, _ in got], pa.int64()), pa.array([t.tolist() for _, t, _ in got], pa.list_(pa.int64())), pa.array([f.tolist() for _, _, f in got], pa.list_(pa.int64()))],
                     ["label", "by", "term", "tf"],
