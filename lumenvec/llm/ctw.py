@@ -4,10 +4,11 @@ The model is a decomposed context tree: each byte is coded by its 8 binary decis
 significant first; every node (a context of 0 to DEPTH preceding bytes, and the bits so far) has a
 Krichevsky-Trofimov estimate of its counts, and a node's weighted probability is the even mixture
 of that estimate and of the product over its children, contexts one byte longer. Counts come from
-all training texts. A context is a node of the tree if it makes up at least `share` of the training
-bytes, so the tree has DEPTH / share nodes at most at any corpus size; what follows in rarer
-contexts belongs to one remaining child of their parent. Once trained, the tree is a table of the
-log probability of each byte after each deepest context, so scoring is a lookup for each byte.
+all training texts, and every context found there is a node, so the tree grows with the corpus. It is
+a table of counts, dealt by the last two bytes of the context: what hangs below two bytes is at most 256
+contexts, weighed together in one task, and what is above them is 257 contexts on the driver. What
+comes out is a table of the log probability of each 4-byte string of the texts. Its common rows are
+broadcast, the others are joined to the strings that need them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ from lumenvec.llm._bytes import LOWER, slices, word_hashes, words
 from lumenvec.llm.langid import held_out
 
 DEPTH = 3
-SHARE = 2.0**-16
+#: Strings that make up such a share of all are looked up in each task, the others joined; it changes the work, not results.
+COMMON_GRAMS = 2.0**-20
+_SLOTS_LOG2 = 22
+#: Rows of a block of the tree that is weighed at once; more only where contexts of the same last two bytes have more.
+BLOCK_ROWS = 4096
 #: Words whose counts every task gets, the most frequent; the counts of all others are joined.
 COMMON_WORDS = 1 << 16
 #: The end token's key; no word's hash is used for it.
@@ -58,11 +63,11 @@ def _counted(held: list) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     key, n = key[order], np.concatenate([n for _, n in held])[order]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[edge], np.add.reduceat(n, edge) if len(edge) else n
+    return key[edge], np.add.reduceat(n, edge, axis=0) if len(edge) else n
 
 
-def count(train: DataFrame) -> DataFrame:
-    """(kind, key, n): counts of word hashes and of 4-byte strings over all training texts, summed in each task first."""
+def count(docs: DataFrame) -> DataFrame:
+    """(kind, key, n, every): counts of word hashes in training texts and of 4-byte strings in training and in all texts of (text, held_out), summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
@@ -74,26 +79,32 @@ def count(train: DataFrame) -> DataFrame:
                 held[kind].clear()
                 size[kind] = 0
                 for lo in range(0, len(key), 1 << 17):
-                    k = key[lo : lo + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int64)), pa.array(n[lo : lo + (1 << 17)].astype(np.int64))], ["kind", "key", "n"])
+                    k, c = key[lo : lo + (1 << 17)], n[lo : lo + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int64)), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())], ["kind", "key", "n", "every"])
+
+        def add(kind: int, key: np.ndarray, teaches: bool) -> None:
+            key, n = np.unique(key, return_counts=True)
+            held[kind].append((key, np.stack([n * teaches, n], 1).astype(np.int64)))
+            size[kind] += len(key)
 
         for b in batches:
+            every = ~np.array(b.column(1).to_pylist(), bool)
             for lo, hi, data, offsets in slices(b.column(0), 8 << 20):
-                lowered = LOWER[data]
-                starts, ends, _ = words(lowered, offsets)
-                ends_n = np.array([hi - lo], np.int64)
-                for kind, key in ((_WORD, _keys(lowered, starts, ends)), (_GRAM, _grams(lowered, offsets)[0])):
-                    got = np.unique(key, return_counts=True)
-                    held[kind].append((got[0], got[1].astype(np.int64)))
-                    size[kind] += len(got[0])
-                held[_WORD].append((np.array([END], np.int64), ends_n))
+                lowered, teaches = LOWER[data], every[lo:hi]
+                starts, ends, at = words(lowered, offsets)
+                gram, edge = _grams(lowered, offsets)
+                of_gram = np.repeat(teaches, np.diff(edge))
+                add(_WORD, np.concatenate([_keys(lowered, starts, ends)[np.repeat(teaches, np.diff(at))], np.full(teaches.sum(), END, np.int64)]), True)
+                add(_GRAM, gram[of_gram], True)
+                add(_GRAM, gram[~of_gram], False)
                 for kind in (_WORD, _GRAM):
                     if size[kind] > 3_000_000:
                         yield from out(kind)
         yield from out(_WORD)
         yield from out(_GRAM)
 
-    return train.select("text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    found = docs.select("text", "held_out").mapInArrow(run, "kind int, key bigint, n bigint, every bigint")
+    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -110,7 +121,10 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    out, some = np.zeros(zeros.shape), zeros + ones > 0
+    zeros, ones = zeros[some], ones[some]
+    out[some] = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    return out
 
 
 def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +138,7 @@ def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """The trained tree as log2 probabilities of bytes after each node without children of its own."""
+    """A tree held whole in one process, contexts left out or not, as log10 probabilities of bytes; what the dealt tree is compared with."""
 
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
         """parts: by depth, context << 8 | byte and its count, for all contexts that are nodes."""
@@ -221,8 +235,118 @@ class Tree:
         return np.add.reduceat(got.astype(np.float64), edge[:-1]) if len(edge) > 1 else np.zeros(0)
 
 
-def _scored(docs: DataFrame, tree, common, n_train: int, v_train: int) -> DataFrame:
-    """By document: its own sums, and the hashes and counts of words that aren't common."""
+def _weighed(counts: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of nodes with counts [.., 256] and their children's summed log probabilities: own probability of a one, share of the own estimate, log probability."""
+    zeros, ones = _bits(counts)
+    own = _kt(zeros, ones)
+    total = np.logaddexp(own, below) - np.log(2)
+    return (ones + 0.5) / (zeros + ones + 1.0), np.exp(own - np.log(2) - total), total
+
+
+class _Block:
+    """The contexts of three bytes below some contexts of two, weighed."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        self.nodes, self.at = np.unique(key >> 8, return_inverse=True)
+        counts = np.zeros((len(self.nodes), 256))
+        np.add.at(counts, (self.at, key & 255), n)
+        zeros, ones = _bits(counts)
+        self.one = (ones + 0.5) / (zeros + ones + 1.0)
+        self.above, self.parent = np.unique(self.nodes & 0xFFFF, return_inverse=True)
+        self.counts, below = np.zeros((len(self.above), 256)), np.zeros((len(self.above), 256))
+        np.add.at(self.counts, self.parent, counts)
+        np.add.at(below, self.parent, _kt(zeros, ones))
+        self.own, self.alone, self.total = _weighed(self.counts, below)
+
+    def logs(self, here: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Log10 probability [context, 256] of bytes, from what the contexts of one byte say and leave."""
+        last = self.above & 255
+        mixed, left = here[last] + left[last] * self.alone * self.own, left[last] * (1 - self.alone)
+        return Tree._bytes_of(mixed[self.parent] + left[self.parent] * self.one)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, n) in blocks that hold all of a context of two bytes; batches come in the order of those."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        if sum(len(k) for k, _ in held) < BLOCK_ROWS:
+            continue
+        key, n = (np.concatenate(x) for x in zip(*held))
+        of = key >> 8 & 0xFFFF
+        edge = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(key))
+        lo = 0
+        for i, hi in enumerate(edge[:-1].tolist()):
+            if hi - lo >= BLOCK_ROWS or i == len(edge) - 2:  # the last context may go on in the next batch
+                yield key[lo:hi], n[lo:hi]
+                lo = hi
+        held = [(key[lo:], n[lo:])]
+    if held and sum(len(k) for k, _ in held):
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def log_probabilities(grams: DataFrame) -> DataFrame:
+    """(key, log): log10 probability of the last byte of each 4-byte string after the three before it; grams: (key, n), n 0 where training texts lack it."""
+    above = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+    dealt = grams.select("key", "n").repartition(above).sortWithinPartitions(above).persist(StorageLevel.DISK_ONLY)
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, below = np.zeros((256, 256)), np.zeros((256, 256))
+        for key, n in _blocks(batches):
+            block = _Block(key, n)
+            np.add.at(counts, block.above & 255, block.counts)
+            np.add.at(below, block.above & 255, block.total)
+        at = np.flatnonzero((counts != 0) | (below != 0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at]), pa.array(below.ravel()[at])], ["at", "n", "below"])
+
+    got = dealt.mapInArrow(up, "at bigint, n double, below double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("below").alias("below")).toArrow()
+    counts, below = np.zeros(1 << 16), np.zeros(1 << 16)
+    counts[got.column(0).to_numpy()], below[got.column(0).to_numpy()] = got.column(1).to_numpy(), got.column(2).to_numpy()
+    counts = counts.reshape(256, 256)
+    own, alone, total = _weighed(counts, below.reshape(256, 256))
+    root, root_alone, _ = _weighed(counts.sum(0), total.sum(0))
+    here = root_alone * root + (1 - root_alone) * alone * own
+    shared = grams.sparkSession.sparkContext.broadcast((here, (1 - root_alone) * (1 - alone)))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in _blocks(batches):
+            block = _Block(key, n)
+            log = block.logs(*shared.value)[block.at, key & 255].astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(log)], ["key", "log"])
+
+    return dealt.mapInArrow(down, "key bigint, log double")
+
+
+class Common:
+    """Log probabilities of common strings, looked up in one place each; of strings that share a place the most frequent has it."""
+
+    def __init__(self, key: np.ndarray, log: np.ndarray, n: np.ndarray):
+        order = np.lexsort((key, n))
+        self.key, self.log = key[order].astype(np.uint32), log[order]
+        self.table = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
+    @staticmethod
+    def slot(gram: np.ndarray) -> np.ndarray:
+        return (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS_LOG2)
+
+    def __call__(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which strings are known, and the log probability of each (0 where not)."""
+        if self.table is None:
+            keys, logs = np.zeros(1 << _SLOTS_LOG2, np.uint32), np.full(1 << _SLOTS_LOG2, np.nan, np.float32)
+            at = self.slot(self.key)
+            keys[at], logs[at] = self.key, self.log
+            self.table = keys, logs
+        at = self.slot(gram)
+        log = self.table[1][at]
+        hit = (self.table[0][at] == gram) & ~np.isnan(log)
+        return hit, np.where(hit, log, 0.0).astype(np.float64)
+
+
+def _scored(docs: DataFrame, grams, common, n_train: int, v_train: int) -> DataFrame:
+    """By document: its own sums, and the hashes of words and the strings that aren't common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs, known = common.value
@@ -243,15 +367,19 @@ def _scored(docs: DataFrame, tree, common, n_train: int, v_train: int) -> DataFr
                 n = np.diff(at) + 1
                 rest = key[~hit]
                 edge = np.concatenate([[0], np.cumsum(np.bincount(row[~hit], minlength=rows))]).astype(np.int32)
+                gram, of = _grams(lowered, offsets)
+                known_gram, log = grams.value(gram)
+                rare = np.flatnonzero(~known_gram)
+                rare_edge = np.searchsorted(rare, of).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, rows), pa.array(n), pa.array(seen.astype(np.int64)), pa.array(sums - n * bottom), pa.array(tree.value.score(lowered, offsets)), pa.ListArray.from_arrays(pa.array(edge), pa.array(rest))],
-                    ["doc_id", "n_tokens", "n_known", "base", "score", "rest"],
+                    [b.column(0).slice(lo, rows), pa.array(n), pa.array(seen.astype(np.int64)), pa.array(sums - n * bottom), pa.array(np.add.reduceat(log, of[:-1])), pa.ListArray.from_arrays(pa.array(edge), pa.array(rest)), pa.ListArray.from_arrays(pa.array(rare_edge), pa.array(gram[rare].astype(np.int64)))],
+                    ["doc_id", "n_tokens", "n_known", "base", "score", "rest", "rare"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<bigint>, rare array<bigint>")
 
 
-def score(docs: DataFrame, share: float = SHARE, common_words: int = COMMON_WORDS) -> DataFrame:
+def score(docs: DataFrame, common_grams: float = COMMON_GRAMS, common_words: int = COMMON_WORDS) -> DataFrame:
     """Scores every row of `docs` with what the rows that aren't held out (remainder 2 of 7) teach.
 
     A null text is empty: one token, the end. Without training rows all counts are 0. Texts of the
@@ -259,40 +387,28 @@ def score(docs: DataFrame, share: float = SHARE, common_words: int = COMMON_WORD
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(folds=7).alias("held_out"), F.col("text").cast("string").alias("text"))
-    counts = count(rows.where("not held_out")).persist(StorageLevel.DISK_ONLY)
-    words_, grams = counts.where(f"kind = {_WORD}").select("key", "n"), counts.where(f"kind = {_GRAM}").select("key", "n")
+    counts = count(rows).persist(StorageLevel.DISK_ONLY)
+    words_, grams = counts.where(f"kind = {_WORD}").select("key", "n"), counts.where(f"kind = {_GRAM}").select("key", "n", "every")
     n_train, v_train = words_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tree = spark.sparkContext.broadcast(_tree(grams, total, share))
+    logs = grams.join(log_probabilities(grams), "key").persist(StorageLevel.DISK_ONLY)
+    total = logs.agg(F.coalesce(F.sum("every"), F.lit(0))).first()[0]
+    got = logs.where(F.col("every") >= common_grams * total).select("key", "log", "every").toArrow()
+    often = spark.sparkContext.broadcast(Common(*[got.column(k).to_numpy() for k in range(3)]))
     top = words_.orderBy(F.desc("n"), "key").limit(common_words).toArrow()
     keys, n = top.column(0).to_numpy(), top.column(1).to_numpy()
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], np.log10(n[order] + 1.0), (n[order] > 0).astype(np.int64)))
-    own = _scored(rows, tree, common, n_train, v_train)
+    own = _scored(rows, often, common, n_train, v_train)
     # each row gets a name of its own, so that repeated ids stay apart; its sums travel with the first of its entries
     own = own.withColumn("row", F.monotonically_increasing_id())
     carried = ["doc_id", "n_tokens", "n_known", "base", "score"]
-    entries = own.select("row", *carried, F.posexplode(F.concat(F.array(F.lit(END).cast("bigint")), "rest")).alias("pos", "key"))
+    entries = own.select("row", *carried, F.size("rest").alias("words"), F.posexplode(F.concat(F.array(F.lit(END).cast("bigint")), "rest", "rare")).alias("pos", "key"))
     first = F.col("pos") == 0
-    entries = entries.select("row", F.when(first, -1).otherwise(_WORD).alias("kind"), F.when(first, F.col("row")).otherwise(F.col("key")).alias("key"), *[F.when(first, F.col(c)).alias(c) for c in carried])
-    found = entries.join(words_.select(F.lit(_WORD).alias("kind"), "key", "n"), ["kind", "key"], "left")
-    sums = found.groupBy("row").agg(*[F.max(c).alias(c) for c in carried], F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("n").alias("seen"))
+    entries = entries.select("row", F.when(first, -1).when(F.col("pos") <= F.col("words"), _WORD).otherwise(_GRAM).alias("kind"), F.when(first, F.col("row")).otherwise(F.col("key")).alias("key"), *[F.when(first, F.col(c)).alias(c) for c in carried])
+    known = words_.select(F.lit(_WORD).alias("kind"), "key", "n", F.lit(None).cast("double").alias("log")).unionByName(logs.select(F.lit(_GRAM).alias("kind"), "key", F.lit(None).cast("bigint").alias("n"), "log"))
+    found = entries.join(known, ["kind", "key"], "left")
+    sums = found.groupBy("row").agg(*[F.max(c).alias(c) for c in carried], F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("n").alias("seen"), F.sum("log").alias("rarer"))
     return sums.select(
         "doc_id", held_out(folds=7).alias("held_out"), "n_tokens", (F.col("n_known") + F.col("seen")).alias("n_known"), F.lit(n_train).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rarer", F.lit(0.0))).alias("score"),
     )
-
-
-def _tree(grams: DataFrame, total: int, share: float) -> Tree:
-    """Fetches, of the counts, what nodes of the tree need; the number of nodes bounds it."""
-    least = max(1.0, share * total)
-    parts = []
-    for depth in range(DEPTH + 1):
-        key = F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1))
-        at = grams.groupBy(key.alias("key")).agg(F.sum("n").alias("n")) if depth < DEPTH else grams
-        if depth:
-            big = at.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("context")
-            at = at.join(big, F.shiftright("key", 8) == F.col("context"), "left_semi")
-        got = at.toArrow()
-        parts.append((got.column(0).to_numpy(), got.column(1).to_numpy()))
-    return Tree(parts)

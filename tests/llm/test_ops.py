@@ -229,3 +229,22 @@ def test_tree_probabilities_sum_to_one():
         parts.append((key, np.bincount(at, n)))
     tree = ctw.Tree(parts)
     assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-3)
+
+
+def test_every_context_is_a_node(spark):
+    """Contexts far rarer than 2^-16 of the bytes count: the dealt tree says what one with all contexts in one process does, looked up or joined."""
+    import numpy as np
+
+    d = spark.createDataFrame([(i, (EN if i % 2 else DE) * 300 + f" rare{i:03d}") for i in range(60)], "doc_id long, text string").repartition(3)
+    lows = {r.doc_id: np.frombuffer(r.text.translate(LOW).encode(), np.uint8) for r in d.collect()}
+    grams = {i: ctw._grams(x, np.array([0, len(x)]))[0].astype(np.int64) for i, x in lows.items()}
+    key, n = np.unique(np.concatenate([g for i, g in grams.items() if zlib.crc32(str(i).encode()) % 7 != 2]), return_counts=True)
+    parts = []
+    for depth in range(4):
+        k, at = np.unique(key & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+        parts.append((k, np.bincount(at, n)))
+    tree = ctw.Tree(parts)
+    want = {i: tree.score(x, np.array([0, len(x)]))[0] for i, x in lows.items()}
+    for share in (0.0, ctw.COMMON_GRAMS, 0.01):
+        got = by_id(ctw.score(d, share))
+        assert {i: r.score for i, r in got.items()} == pytest.approx(want, rel=1e-5)
