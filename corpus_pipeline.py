@@ -12,7 +12,7 @@ from lumenvec.llm.linking import set_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without their failing and repeated lines."""
     return quality.clean(docs)
 
 

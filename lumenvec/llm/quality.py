@@ -35,7 +35,7 @@ def _repeats(w: Column) -> Column:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """One row for each row of `docs` with the base measures, and the cleaned text."""
+    """One row for each row of `docs` with the base measures."""
     t = docs.select(*[F.col(c) for c in docs.columns], text().alias("_t"))
     t = t.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.length(without(x, SPACES)) > 0))
     t = t.withColumn("_counts", let(words(F.col("_t")), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeats(w).cast("bigint").alias("r"))))
@@ -58,6 +58,15 @@ def line_fails(line: Column) -> Column:
     return (chars > 0) & (symbols | shouts | bars | boiler)
 
 
+def _cleaned(value: Column) -> Column:
+    """The text without lines that fail and without lines said before; blank lines stay. Lines are sorted to find those said before."""
+    numbered = F.sort_array(F.transform(F.split(value, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    blank = lambda x: F.length(without(x, SPACES)) == 0
+    first = let(numbered, lambda s: F.filter(s, lambda y, k: blank(y["x"]) | ~F.coalesce(F.get(s, k - 1)["x"] == y["x"], F.lit(False))))
+    passing = F.sort_array(F.transform(F.filter(first, lambda y: ~line_fails(y["x"])), lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x"))))
+    return F.array_join(F.transform(passing, lambda y: y["x"]), "\n")
+
+
 def _judged(docs: DataFrame) -> DataFrame:
     t = _measured(docs)
     t = t.withColumn("_bad", F.transform("_lines", line_fails))
@@ -77,8 +86,14 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns and their text as it is."""
+    """The rows of `docs` that are kept, with all their columns; the text is without failing and repeated lines, and n_chars, if there, is its length."""
     mine = [c for c in docs.columns]
     rows = docs.select(F.struct(*mine).alias("_row"), F.col("doc_id"), F.col("text"))
     # a condition that isn't deterministic is not pushed down, where the measures would be worked out again for every use
-    return _judged(rows).withColumn("_keep", F.col("kept") & (F.rand(0) >= 0)).where("_keep").select("_row.*")
+    kept = _judged(rows).withColumn("_keep", F.col("kept") & (F.rand(0) >= 0)).where("_keep")
+    less = F.col("lost_chars") > 0
+    kept = kept.select("_row", less.alias("_less"), F.when(less, _cleaned(F.col("_t"))).otherwise(F.col("_t")).alias("_clean"))
+    new = {"text": F.col("_clean")}
+    if "n_chars" in mine:
+        new["n_chars"] = F.when(F.col("_less"), F.length("_clean")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in mine])

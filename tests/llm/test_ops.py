@@ -248,3 +248,14 @@ def test_every_context_is_a_node(spark):
     for share in (0.0, ctw.COMMON_GRAMS, 0.01):
         got = by_id(ctw.score(d, share))
         assert {i: r.score for i, r in got.items()} == pytest.approx(want, rel=1e-5)
+
+
+def test_failing_and_repeated_lines_go(spark):
+    prose = [" ".join(f"word{k}x{i}" for i in range(30)) for k in range(4)]
+    text = "\n".join([prose[0], "", "click here", prose[1], "said twice", prose[2], "", "said twice", prose[3], ""])
+    want = "\n".join([prose[0], "", prose[1], "said twice", prose[2], "", prose[3], ""])
+    same = "\n\n".join(prose) + "\n"
+    d = spark.createDataFrame([(1, text, len(text)), (2, same, len(same))], "doc_id long, text string, n_chars int")
+    out = quality.clean(d)
+    assert out.schema == d.schema or out.dtypes == d.dtypes
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: (want, len(want)), 2: (same, len(same))}
