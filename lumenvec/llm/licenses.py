@@ -3,8 +3,8 @@
 All rolling word k-grams of all texts are hashed and joined to the positions of the same k-grams in
 a fixed set of license templates. A match at text word p and template word q votes for the diagonal
 p - q; votes are summed by diagonal, neighbouring diagonals are merged, so a few words put in or
-left out don't break a match, and spans with enough votes are verified word for word against their
-template. Only DataFrame functions run; the templates are a constant of this module, so their
+left out don't break a match, and spans with enough votes are verified: the words around their
+diagonals must agree, in order, with all of the template's. Only DataFrame functions run; the templates are a constant of this module, so their
 broadcast has a fixed size.
 """
 
@@ -38,8 +38,6 @@ TEMPLATES = {
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "proprietary": ["no part of this publication may be reproduced distributed or transmitted in any form", "unauthorized copying of this file via any medium is strictly prohibited"],
 }
-#: Each template has one of these words, and so has any text that holds enough of one.
-ANCHOR = r"licen|permi|redistribution|domain|reproduced|unauthorized|option|compliance"
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -74,7 +72,7 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(row, template, label, first, last): places with enough votes, by the words' numbers from 0; docs: (row, text)."""
+    """(row, template, label, first, last, diagonals): places with enough votes, by the words' numbers from 0; docs: (row, text)."""
     t = templates(docs.sparkSession)
     grams = t.select("template", "label", F.size("t_words").alias("t_size"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("t_words") - K), lambda i: _gram("t_words", i))).alias("t_pos", "gram"))
     rolling = let(words_of(F.col("text")), lambda w: F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: _gram(w, i))))
@@ -83,20 +81,31 @@ def spans(docs: DataFrame) -> DataFrame:
     by = Window.partitionBy("row", "template").orderBy("diagonal")
     votes = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -1 << 30).over(by) > NEAR).cast("int"))
     votes = votes.withColumn("band", F.sum("new").over(by))
-    bands = votes.groupBy("row", "template", "label", "t_size", "band").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+    bands = votes.groupBy("row", "template", "label", "t_size", "band").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.collect_list("diagonal").alias("diagonals"))
     bands = bands.where(F.col("votes") >= LEAST_VOTES * (F.col("t_size") - (K - 1)))
-    return bands.select("row", "template", "label", "first", "last")
+    return bands.select("row", "template", "label", "first", "last", "diagonals")
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays."""
+    step = lambda row, w: F.aggregate(F.sequence(F.lit(1), F.size(a)), F.array(F.lit(0)), lambda done, j: F.concat(done, F.array(F.when(F.get(a, j - 1) == w, F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(done, j - 1), F.get(row, j))))))
+    return F.get(F.aggregate(b, F.array_repeat(F.lit(0), F.size(a) + 1), step), F.size(a))
 
 
 def _verified(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Spans whose words agree with their template's; only texts that can hold a template are sent to them."""
+    """Spans whose words agree, in order, with their template's: on one of its diagonals all words of the template are asked for, and NEAR more on either side."""
     t = templates(docs.sparkSession)
-    able = docs.where(F.col("text").rlike("(?i)" + ANCHOR)).select("row", "text")
-    rows = found.join(able, "row").join(F.broadcast(t.select("template", "t_words")), "template")
-    part = F.slice(words_of(F.col("text")), F.col("first") + 1, F.col("last") - F.col("first") + 1)
-    rows = rows.select("row", "label", "first", "last", "t_words", part.alias("part"))
-    agree = F.size(F.array_intersect("t_words", "part")) / F.size(F.array_distinct("t_words"))
-    return rows.withColumn("score", agree).where(F.col("score") >= LEAST_AGREE).select("row", "label", "first", "last", "score")
+    rows = found.join(docs.select("row", "text"), "row").join(F.broadcast(t.select("template", "t_words")), "template")
+    size = F.size("t_words")
+
+    def agreement(w: Column) -> Column:
+        whole = F.exists("diagonals", lambda d: F.slice(w, F.greatest(d, F.lit(0)) + 1, size) == F.col("t_words"))
+        near = lambda d: F.filter(F.slice(w, F.greatest(d - NEAR, F.lit(0)) + 1, size + 2 * NEAR), lambda x: F.array_contains("t_words", x))
+        most = F.array_max(F.transform("diagonals", lambda d: _common(F.col("t_words"), near(d))))
+        return F.when(whole, 1.0).otherwise(most / size)
+
+    rows = rows.select("row", "label", "first", "last", let(words_of(F.col("text")), agreement).alias("score"))
+    return rows.where(F.col("score") >= LEAST_AGREE)
 
 
 def scan(docs: DataFrame) -> DataFrame:

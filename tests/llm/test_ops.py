@@ -259,3 +259,19 @@ def test_failing_and_repeated_lines_go(spark):
     out = quality.clean(d)
     assert out.schema == d.schema or out.dtypes == d.dtypes
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: (want, len(want)), 2: (same, len(same))}
+
+
+def test_near_verbatim_licenses(spark):
+    mit = "granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    texts = {
+        0: ("Unauthorised copying of this file via any medium is strictly prohibited", "proprietary"),
+        1: (f"Permission was hereby {mit}", "mit"),
+        2: (f"Permission is {mit} then", "mit"),
+        3: (f"x y permission is now hereby {mit}", "mit"),
+        4: ("associated documentation files permission is hereby granted free of charge to any copy of this software and person obtaining a", ""),
+        5: ("licensed under the license", ""),
+    }
+    d = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    got = by_id(licenses.scan(d))
+    assert {i: got[i].labels for i in texts} == {i: x for i, (_, x) in texts.items()}
+    assert got[0].score == pytest.approx(10 / 11) and got[1].score == pytest.approx(19 / 20)
