@@ -36,10 +36,16 @@ _FOLD = np.where(_LETTER, LOWER, 0x20).astype(np.uint8)
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams (as integers) that have a letter first or second and lie inside one text, and the row of each."""
-    folded = _FOLD[data]
-    if len(folded) < N:
+    """N-grams (as integers) that have a letter first or second and lie inside one text, and the row of each.
+
+    A text has a separator before it and N - 1 after it, so each of its letters is first and second in one.
+    """
+    rows = len(offsets) - 1
+    if not rows:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    folded = np.full(len(data) + N * rows, 0x20, np.uint8)
+    folded[np.arange(len(data)) + np.repeat(N * np.arange(rows) + 1, np.diff(offsets))] = _FOLD[data]
+    offsets = offsets + N * np.arange(rows + 1)
     x = folded.astype(np.uint32)
     gram = (x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:]
     keep = (folded[:-3] != 0x20) | (folded[1:-2] != 0x20)

@@ -275,3 +275,11 @@ def test_near_verbatim_licenses(spark):
     got = by_id(licenses.scan(d))
     assert {i: got[i].labels for i in texts} == {i: x for i, (_, x) in texts.items()}
     assert got[0].score == pytest.approx(10 / 11) and got[1].score == pytest.approx(19 / 20)
+
+
+def test_every_text_with_a_letter_has_a_language(spark, docs):
+    filters = langid.train(docs.where("lang in ('en', 'de')"))
+    d = spark.createDataFrame([(1, "a"), (2, "the"), (3, "ü"), (4, "123 - b"), (5, "12 - 3"), (6, "und")], "doc_id long, text string")
+    got = by_id(langid.predict(d, filters))
+    assert {i for i, r in got.items() if r.lang_pred == "und"} == {5} and got[2].lang_pred == "en"
+    assert all(r.score > 0 for i, r in got.items() if i != 5)
