@@ -6,8 +6,8 @@ text keeps saying. Kept are those that tell the two labels apart in the training
 come from all training rows. Examples are a bounded sample of the training rows
 that contain such terms. The index keeps, for each term and each block of examples, the largest
 weight; a query visits blocks by descending upper bound and stops when no block can hold a closer
-neighbour, so its nearest examples are exact. Votes are weighted by cosine and smoothed with the
-base rate, and the neighbours found are the evidence.
+neighbour, so its nearest examples are exact. Votes are weighted by cosine and by how many training
+texts an example of its label stands for, and smoothed with the base rate, and the neighbours found are the evidence.
 """
 
 from __future__ import annotations
@@ -160,13 +160,14 @@ class Finder:
 class Index:
     """Block-max inverted index over the examples' unit vectors."""
 
-    def __init__(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+    def __init__(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, stands_for: np.ndarray | None = None):
         self.idf, self.labels = idf, labels.astype(float)
         self.blocks = -(-len(rows) // BLOCK)
         # alike examples side by side make tight bounds: by their heaviest term
         lead = [int(t[np.argmax(idf[t])]) if len(t) else -1 for t, _ in rows]
         order = np.argsort(lead, kind="stable")
         self.labels = self.labels[order]
+        self.stands_for = (np.ones(len(rows)) if stands_for is None else stands_for)[order]
         term = np.concatenate([rows[i][0] for i in order]) if rows else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(rows)), [len(rows[i][0]) for i in order]) if rows else np.zeros(0, np.int64)
         w = np.concatenate([self.vector(*rows[i]) for i in order]) if rows else np.zeros(0)
@@ -218,6 +219,8 @@ class Index:
     def score(self, term: np.ndarray, tf: np.ndarray, rate: float) -> float:
         """Distance-weighted share of toxic votes among the neighbours, with some votes at the base rate."""
         cos, number = self.nearest(term, tf)
+        if len(number):
+            cos = cos * self.stands_for[number] / self.stands_for[number].mean()
         return float((cos @ self.labels[number] + PRIOR_VOTES * rate) / (cos.sum() + PRIOR_VOTES))
 
 
@@ -281,10 +284,12 @@ def train(rows: DataFrame) -> Model:
 
     # equal texts are one example; examples in the order of a hash of the text, a fair sample
     found = rows.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("by")).mapInArrow(vectors, "label int, by bigint, term array<bigint>, tf array<bigint>")
-    sample = []
+    texts = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count_distinct("by").alias("n")).collect()}
+    sample, stands_for = [], []
     for label in (0, 1):
         sample += found.where(F.col("label") == label).groupBy("by").agg(F.min(F.struct("term", "tf")).alias("v")).orderBy("by").limit(EXAMPLES).select(F.lit(label).alias("label"), "v.term", "v.tf").collect()
-    index = Index(idf, [(np.array(r["term"]), np.array(r["tf"])) for r in sample], np.array([r["label"] for r in sample]))
+        stands_for += [texts[label] / (len(sample) - len(stands_for))] * (len(sample) - len(stands_for)) if label in texts else []
+    index = Index(idf, [(np.array(r["term"]), np.array(r["tf"])) for r in sample], np.array([r["label"] for r in sample]), np.array(stands_for))
     return Model(keys, index if sample else None, rate)
 
 

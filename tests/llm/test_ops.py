@@ -283,3 +283,12 @@ def test_every_text_with_a_letter_has_a_language(spark, docs):
     got = by_id(langid.predict(d, filters))
     assert {i for i, r in got.items() if r.lang_pred == "und"} == {5} and got[2].lang_pred == "en"
     assert all(r.score > 0 for i, r in got.items() if i != 5)
+
+
+def test_votes_stand_for_the_texts_of_their_label(spark, monkeypatch):
+    """Where labels are thinned by different shares, the share of toxic neighbours stays that of all texts."""
+    rows = [(f"a walk {i}" + " grublix" * (i < 15), 0) for i in range(400)] + [(f"a walk {i}" + " grublix" * (i < 408), 1) for i in range(400, 410)]
+    monkeypatch.setattr(toxicity, "EXAMPLES", 5)
+    model = toxicity.train(spark.createDataFrame(rows, "text string, label int"))
+    got = toxicity.predict(spark.createDataFrame([(1, "a walk grublix")], "doc_id long, text string"), model).first()
+    assert got.score == pytest.approx(8 / 23, abs=0.03)
