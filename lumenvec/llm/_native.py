@@ -10,6 +10,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text(column: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

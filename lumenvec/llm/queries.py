@@ -77,19 +77,20 @@ _COUNT = "(length({0}) - length(translate({0}, '{1}', '')))"
 
 
 def _op6() -> str:
+    """Lines are rows here: one is lost if a rule fails it or an equal one comes before it."""
     solid, count = _SOLID.format, _COUNT.format
-    n = f"(length(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    ')) - {solid('x')} + 1)"
-    bars = count("x", "|»›•")
+    n, bars = r"len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))", count("x", "|»›•")
     bad = f"(100 * {count('x', '#*$%&<>')} > {quality.LINE_SYMBOLS} * {n} OR 100 * {count('x', '!?')} > {quality.LINE_SHOUTS} * {n} OR (100 * {bars} > {quality.LINE_BARS} * {n} AND {bars} >= 3) OR (length(x) <= {quality.BOILER_CHARS} AND regexp_matches(x, '{quality.BOILERPLATE}')))"
     return rf"""
-WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {solid("x")} > 0) AS lines FROM documents),
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM w WHERE len(w) >= 3),
 twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rep AS (SELECT doc_id, count(DISTINCT j) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY doc_id),
-m AS (SELECT doc_id, len(w) AS n_words, {solid("t")} AS word_chars, {_COUNT.format("t", "#*$%&|<>")} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words,
-  least({solid("t")}, coalesce(list_sum(list_transform(lines, lambda x: CASE WHEN {bad} THEN {solid("x")} ELSE 0 END)), 0)
-    + coalesce(list_sum(list_transform(lines, lambda x: {solid("x")})), 0) - coalesce(list_sum(list_transform(list_distinct(lines), lambda x: {solid("x")})), 0)) AS lost_chars
-  FROM w LEFT JOIN rep USING (doc_id)),
+lines AS (SELECT doc_id, x, i FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS i FROM w) WHERE {solid("x")} > 0),
+told AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id, x ORDER BY i) > 1 AS again FROM lines),
+lost AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum({solid("x")}) FILTER (again OR {bad}), 0) AS lost_chars FROM told GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, {solid("t")} AS word_chars, {_COUNT.format("t", "#*$%&|<>")} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, coalesce(lost_chars, 0) AS lost_chars
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
 b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost_chars <= {quality.MOST_LOST} * word_chars AS kept, CAST(lost_chars AS BIGINT) AS lost_chars FROM b
 """
