@@ -6,11 +6,13 @@ at a time, so no Python string is made per word and memory does not follow the b
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: The word separators of every contract here: space and tab to carriage return.
 SPACE = np.zeros(256, bool)
@@ -19,7 +21,18 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: Texts are worked on in slices of about so many bytes (one longer text makes a slice alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+
+#: Bytes of a batch of rows that goes to a Python worker, so that its memory doesn't follow the length of texts.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark cut batches by bytes as well as by rows, in a session where larger ones are allowed."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -101,7 +114,3 @@ def word_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     total = np.zeros(len(lowered) + 1, np.uint64)
     np.cumsum(DIGIT[lowered] * up[: len(lowered)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def strings(column) -> list[str]:
-    return ["" if x is None else x for x in column.to_pylist()]

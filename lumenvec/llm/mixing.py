@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenvec.llm._native import text, without
+from lumenvec.llm._native import quoted, text, without
 
 #: Weights of the sources in order, repeating; the mix's size over that of all documents; most epochs.
 WEIGHTS = (3, 1, 2)
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def sample(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of `docs` as often as the mix takes it, the last of a source cut to the words taken."""
     mine = docs.columns
-    rows = _mixed(docs, [F.struct(*mine).alias("row")], seed)
+    rows = _mixed(docs, [F.struct(*map(quoted, mine)).alias("row")], seed)
     whole = F.col("fraction") == F.col("size")
     copies = F.col("epochs").cast("int") + F.when(F.col("fraction") > 0, 1).otherwise(0)
     rows = rows.where((copies > 0) & (F.col("size") > 0)).withColumn("nth", F.explode(F.sequence(F.lit(1), copies)))

@@ -6,7 +6,9 @@ their prefixes (the first elements in one fixed order, frequent ones last), so c
 one for each prefix element and band of sizes, each class also in the band below. In a tile, bit
 counts of hashed bitmaps bound the intersection from above; what passes is verified on the sorted
 arrays. First each class is verified against its tiles' smallest member only; then, in tiles whose
-members aren't yet in one component, the remaining pairs are.
+members aren't yet in one component, the remaining pairs are. Large tiles are dealt in blocks of
+members, two blocks to a group, so that no task holds a tile and no pair that its bit counts rule out
+is ever a row.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.llm._bytes import LOWER, mix, slices, word_hashes, words
+from lumenvec.llm._bytes import LOWER, mix, slices, small_batches, word_hashes, words
 from lumenvec.llm.linking import components as connect
 from lumenvec.llm.linking import cut
 
@@ -32,6 +34,8 @@ BITMAP_WORDS = 16
 FILTER_LOG2 = 24
 #: Documents of the sample that tells frequent elements (it only changes their order, not results), and most of those kept.
 SAMPLE, FREQUENT = 20_000, 1 << 17
+#: Members of a tile at most that are paired as rows; larger tiles are cut into blocks of about so many members.
+FEW, BLOCK = 64, 1024
 SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint"
 
 
@@ -59,11 +63,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> li
     return out
 
 
-def least_overlap(n, m, percent: int = PERCENT):
-    """The smallest intersection of a link between sets of n and m elements."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def _prefix_size(n: int, percent: int = PERCENT) -> int:
     """Elements of a set of n of which a link's partner of any size has one in its own prefix."""
     return n - -(-percent * n // 100) + 1 if n else 0
@@ -168,13 +167,17 @@ def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id bigint, s binary")
 
 
+def _sizes_fit(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes may be linked."""
+    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
+
+
 def _may_link(bits_a, n_a, bits_b, n_b) -> Column:
     """Whether sizes and bit counts leave room for a link: bits of one set that the other lacks are elements it lacks.
 
     A wider bitmap is folded to the narrower one's width, of which partners' are at most twice.
     """
     a, b, x, y = F.col(n_a), F.col(n_b), F.col(bits_a), F.col(bits_b)
-    sizes = (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
     def room(in_x: Column, in_y: Column, in_both: Column) -> Column:
         most = F.least(a - (in_x - in_both), b - (in_y - in_both))
@@ -185,11 +188,14 @@ def _may_link(bits_a, n_a, bits_b, n_b) -> Column:
     plain = lambda f: sum((F.bit_count(f(k)) for k in range(BITMAP_WORDS)), F.lit(0))
     small = room(plain(lambda k: F.get(x, k)), plain(lambda k: F.get(y, k)), plain(lambda k: F.get(x, k).bitwiseAND(F.get(y, k))))
     large = room(total(fold(x)), total(fold(y)), total(F.zip_with(fold(x), fold(y), lambda p, q: p.bitwiseAND(q))))
-    return sizes & F.when((F.size(x) == BITMAP_WORDS) & (F.size(y) == BITMAP_WORDS), small).otherwise(large)
+    return _sizes_fit(a, b) & F.when((F.size(x) == BITMAP_WORDS) & (F.size(y) == BITMAP_WORDS), small).otherwise(large)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of (u, v) that are links, by exact intersection of the sorted arrays."""
+    """Those of (u, v) that are links, by exact intersection of the sorted arrays.
+
+    The arrays of a document that is in many pairs are dealt with its pairs, by the other document.
+    """
     pairs = cut(pairs)
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
     arrays = cut(_arrays(docs, ids))
@@ -199,30 +205,81 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                small, large = (x, y) if len(x) < len(y) else (y, x)
+                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
     with_u = pairs.join(arrays.select(F.col("id").alias("u"), F.col("s").alias("su")), "u")
-    return with_u.join(arrays.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v").select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
+    both = with_u.join(arrays.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v").select("u", "v", "su", "sv")
+    return both.mapInArrow(run, "u bigint, v bigint")
+
+
+def _blocks(tiles: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(u, v), u > v, of different labels, that sizes and bit counts don't rule out; tiles: (h, band, members, lo, id, label, n, bits).
+
+    Members with the tile's smallest label, often nearly all, need only meet the others. Both sides
+    are dealt into blocks by a hash of the id; each two blocks that must meet make a group of their
+    own, some thousand rows, whatever the tile's size.
+    """
+    tiles = tiles.withColumn("same", F.col("label") == F.col("lo"))
+    sides = tiles.groupBy("h", "band").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(c) / block)).cast("int").alias(a) for a, c in (("n_same", F.col("same")), ("n_other", ~F.col("same")))])
+    tiles = tiles.join(sides, ["h", "band"])
+    own = F.when(F.col("same"), F.pmod(F.xxhash64("id"), F.col("n_same"))).otherwise(F.col("n_same") + F.pmod(F.xxhash64("id"), F.col("n_other"))).cast("int")
+    others = F.sequence(F.when(F.col("same"), F.col("n_same")).otherwise(F.lit(0)), F.col("n_same") + F.col("n_other") - 1)
+    met = tiles.select("h", "band", F.explode(others).alias("other"), own.alias("block"), "id", "label", "n", "bits")
+    met = met.select("h", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "label", "n", "bits")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, label, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
+        bits = table.column("bits").combine_chunks()
+        flat, edge = bits.flatten().to_numpy(zero_copy_only=False), bits.offsets.to_numpy() - bits.offsets[0].as_py()
+        order = np.argsort(-ids)
+        wide = np.diff(edge)
+        u, v = [], []
+        # bitmaps as bytes, folded to the width of the narrowest there
+        least = int(wide.min())
+        rows = np.stack([np.bitwise_or.reduce(flat[a:b].reshape(-1, least), 0) for a, b in zip(edge, edge[1:])])[order]
+        ids, label, n = ids[order], label[order], n[order]
+        own = _popcount(rows)
+        for k in range(len(ids) - 1):
+            rest = slice(k + 1, None)
+            both = _popcount(rows[k] & rows[rest])
+            a, b = n[k], n[rest]
+            most = np.minimum(a - (own[k] - both), b - (own[rest] - both))
+            fits = ((100 + PERCENT) * most >= PERCENT * (a + b)) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)) & (label[k] != label[rest]) & (ids[k] != ids[rest])
+            at = np.flatnonzero(fits)
+            u.append(np.full(len(at), ids[k]))
+            v.append(ids[rest][at])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"u": pa.array(np.concatenate(u or none)), "v": pa.array(np.concatenate(v or none))})
+
+    return met.groupBy("h", "band", "i", "j").applyInArrow(run, "u bigint, v bigint")
+
+
+def _popcount(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words.view(np.uint64)).sum(-1).astype(np.int64)
 
 
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`.
 
-    A null or empty text, or one without words, has an empty set and links with nothing. Repeated
-    rows have equal sets, so they are one class. Rows without an id count as one more id, below all
-    others, and come back with null in its place.
+    A null or empty text, or one without words, has an empty set and links with nothing; an empty
+    table gives no rows. Texts of any length are taken whole. Repeated rows have equal sets, so they
+    are one class, and which of equals leads a class or tile goes by the smallest id. Rows without an
+    id count as one more id, below all others, and come back with null in its place. Other columns
+    of `docs`, whatever they are called, aren't looked at.
     """
+    small_batches(docs.sparkSession)
     none = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(none)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(_signed(rows, _frequent(rows)))
     some = signed.where("n > 0")
     # a class of equal sets goes on as its smallest document
     classes = cut(some.groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("id")))
-    one = some.join(classes, ["n", "sig_a", "sig_b"]).where("doc_id = id").dropDuplicates(["id", "n", "sig_a", "sig_b"])
     # an id that stands on rows of different texts would hold different sets: links go by id, texts by their own
+    one = some.join(classes, ["n", "sig_a", "sig_b"]).where("doc_id = id").dropDuplicates(["id", "n", "sig_a", "sig_b"])
     one = cut(one.select("id", "n", "bits", "prefix"))
     spread = one.select("id", "n", F.explode("prefix").alias("h"))
     # most elements are in one class only: those go first, on counts alone
@@ -230,25 +287,28 @@ def components(docs: DataFrame) -> DataFrame:
     shared = cut(spread.join(often, "h").select("h", "id", "n"))
     band = F.floor(F.ln(F.col("n")) / F.lit(-log(PERCENT / 100))).cast("int")
     # a class stands in its own band's tile and in the one below, where partners of smaller sizes are
-    tiles = shared.select("id", "h", F.explode(F.array(band, band - 1)).alias("band"))
-    heads = tiles.groupBy("h", "band").agg(F.min("id").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
+    tiles = shared.select("id", "n", "h", F.explode(F.array(band, band - 1)).alias("band"))
+    heads = tiles.groupBy("h", "band").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
     full = tiles.join(heads, ["h", "band"])
     facts = one.select("id", "n", "bits")
     u, v = (facts.select(*[F.col(c).alias(f"{c}_{x}") for c in facts.columns]) for x in "uv")
-    star = full.where("id > head").select(F.col("id").alias("id_u"), F.col("head").alias("id_v")).distinct()
+    # bitmaps join pairs only once these are few: of sizes that may be linked, and each once
+    star = full.where((F.col("id") > F.col("head.id")) & _sizes_fit(F.col("n"), F.col("head.n"))).select(F.col("id").alias("id_u"), F.col("head.id").alias("id_v")).distinct()
     star = star.join(u, "id_u").join(v, "id_v").where(_may_link("bits_u", "n_u", "bits_v", "n_v"))
-    # one head for each class: the one it may share most with, by sizes
+    # one head for each class, the smallest
     star = star.groupBy(F.col("id_u").alias("u")).agg(F.min("id_v").alias("v"))
     links = cut(_verify(star, rows))
     part = connect(links)
     # tiles whose members are in several components
     labelled = full.join(part.withColumnRenamed("component_id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("h", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h", "band")
-    open_ = labelled.join(mixed, ["h", "band"], "left_semi").join(facts, "id").select("h", "band", "id", "label", "n", "bits")
-    a, b = (open_.select("h", "band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "n", "bits")]) for x in "uv")
-    rest = a.join(b, ["h", "band"]).where((F.col("id_u") > F.col("id_v")) & (F.col("label_u") != F.col("label_v")) & _may_link("bits_u", "n_u", "bits_v", "n_v"))
-    rest = rest.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct().join(links, ["u", "v"], "left_anti")
-    more = _verify(rest, rows)
+    mixed = labelled.groupBy("h", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h", "band", "lo")
+    open_ = cut(labelled.join(mixed, ["h", "band"]).select("h", "band", "members", "lo", "id", "label", "n"))
+    few = open_.where(F.col("members") <= FEW)
+    a, b = (few.select("h", "band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "n")]) for x in "uv")
+    rest = a.join(b, ["h", "band"]).where((F.col("id_u") > F.col("id_v")) & (F.col("label_u") != F.col("label_v")) & _sizes_fit(F.col("n_u"), F.col("n_v")))
+    rest = rest.select("id_u", "id_v").distinct().join(u, "id_u").join(v, "id_v").where(_may_link("bits_u", "n_u", "bits_v", "n_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+    many = _blocks(open_.where(F.col("members") > FEW).join(facts.select("id", "bits"), "id"))
+    more = _verify(rest.unionByName(many).distinct().join(links, ["u", "v"], "left_anti"), rows)
     part = connect(links.unionByName(more))
     classes = classes.join(part, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     out = signed.select("doc_id", "n", "sig_a", "sig_b").join(classes.drop("id"), ["n", "sig_a", "sig_b"], "left")
