@@ -8,33 +8,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenvec.llm import bpe, mixing, quality, secret_scan, setjoin
-from lumenvec.llm.linking import set_folder
+from lumenvec.llm.linking import cut, set_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without their failing and repeated lines."""
+    """Documents that the quality rules keep, without their failing and repeated lines.
+
+    Null, empty and short texts go; equal rows are judged alike; other columns stay as they are.
+    """
     return quality.clean(docs)
 
 
+#: Ids of documents to drop, at most, that are sent to every task (16 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates."""
-    groups = setjoin.components(docs).select("doc_id", "component_id").distinct()
-    keep = groups.where("doc_id is null or doc_id = component_id").select("doc_id")
-    return docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """One document, the one with the smallest id, of each group of near duplicates.
+
+    Documents without an id stay, and so do all rows of an id that stays; texts that are null, empty
+    or without words are like no other and stay. All columns are kept, whatever they are called; an
+    empty table stays empty.
+    """
+    goes = setjoin.components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("kept")).where("kept < doc_id")
+    goes = cut(goes.select(F.col("doc_id").alias("gone")))
+    if goes.count() <= BROADCAST_IDS:
+        goes = F.broadcast(goes)
+    return docs.join(goes, docs["doc_id"] == goes["gone"], "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by the secret's kind in brackets."""
+    """All documents, their secrets replaced by the secret's kind in brackets; null and empty texts stay so, and so do other columns."""
     return secret_scan.redact(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents as often as it takes them."""
+    """The mix of sources: documents as often as it takes them, ties by id; documents without words, null ones too, are never taken."""
     return mixing.sample(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row."""
+    """Token counts and digests of every row, a null text counting as empty; an empty table gives none."""
     return bpe.digest(docs)
 
 
