@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from lumenvec.llm._bytes import LOWER, slices, word_hashes, words
 
 #: Words whose encoding a worker keeps (about 200 bytes a word).
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 250_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
