@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from lumenvec import model
 from lumenvec.functions.quantize import Quantizer
 from lumenvec.operators import clusters, exact, postings, seismic
-from lumenvec.operators.selectors import ListSelector, MappedSelector, NotSelector, Selector, SetSelector, is_small
+from lumenvec.operators.selectors import ListSelector, NotSelector, Selector, SetSelector, is_small
 from lumenvec.operators.topk import padded, recall, top_k
-from lumenvec.sources.corpora import CORPORA, QUERY_IDS, SQL, split
+from lumenvec.plans.index import ClusterParameters, SearchParameters, SeismicParameters, index_factory, read_index, write_index
+from lumenvec.sources.corpora import CORPORA, QUERY_STEP, SQL, split
 
 K = 10
-LAM, BETA, ALPHA, SEED, CUT, HEAP = 25, 4, 0.4, 42, 8, 1.0
+PRUNE, ALPHA, SEED, CUT, HEAP = 25, 0.4, 42, 8, 1.0
+#: Lists' lengths and numbers of clusters go by the number of documents; every document stays in its heaviest list.
+CLUSTERS = ClusterParameters(-1, -1, ALPHA, SEED, True)
+LAM_SQL = "greatest(160, floor(0.0005 * (SELECT count(DISTINCT doc_id) FROM {0}))::BIGINT)"
 ALLOWED = list(range(30, 200, 3))
 FEW = [40, 50, 60, 70]
 #: External ids are the ordinals stretched and shifted.
@@ -40,7 +44,7 @@ def _add(name: str, sql: str | None = None):
 
 
 def _with(corpus: str, body: str, more: str = "") -> str:
-    return f"WITH RECURSIVE v AS ({SQL[corpus]}), q AS (SELECT doc_id AS qid, term, weight FROM v WHERE doc_id < {QUERY_IDS}), d AS (SELECT * FROM v WHERE doc_id >= {QUERY_IDS}), qids AS (SELECT DISTINCT qid FROM q), docs AS (SELECT DISTINCT doc_id FROM d){', ' + more if more else ''} {body}"
+    return f"WITH RECURSIVE v AS ({SQL[corpus]}), q AS (SELECT doc_id AS qid, term, weight FROM v WHERE doc_id % {QUERY_STEP} = 0), d AS (SELECT * FROM v), qids AS (SELECT DISTINCT qid FROM q), docs AS (SELECT DISTINCT doc_id FROM d){', ' + more if more else ''} {body}"
 
 
 def _scores(d: str = "d", q: str = "q") -> str:
@@ -89,20 +93,21 @@ def brute_topk_zero_fill(spark, d):
     return exact.brute(q, q.select("qid").distinct(), v, v.select("doc_id").distinct(), 200, 6)
 
 
-def _padded_sql(where: str, k: int) -> str:
-    return _with("basket", f"SELECT i.qid, i.rank, coalesce(r.doc_id, -1) AS doc_id, coalesce(r.score, -1) AS score FROM (SELECT qid, unnest(range(1, {k + 1})) AS rank FROM qids) i LEFT JOIN r ON r.qid = i.qid AND r.rank = i.rank", f"s AS (SELECT * FROM d WHERE {where}), r AS ({_top(f'SELECT * FROM ({_scores("s")}) WHERE score > 0', k)})")
+def _padded_sql(corpus: str, k: int) -> str:
+    return _with(corpus, f"SELECT i.qid, i.rank, coalesce(r.doc_id, -1) AS doc_id, coalesce(r.score, -1) AS score FROM (SELECT qid, unnest(range(1, {k + 1})) AS rank FROM qids) i LEFT JOIN r ON r.qid = i.qid AND r.rank = i.rank", f"r AS ({_top(f'SELECT * FROM ({_scores()}) WHERE score > 0', k)})")
 
 
-@_add("topk_padded", _padded_sql("doc_id % 5 = 0", K))
+@_add("topk_padded", _padded_sql("basket", 50))
 def topk_padded(spark, d):
+    """Many orders share a part with fewer than 50 others."""
     q, v = _corpus("basket", spark, d)
-    return padded(exact.inverted(q, v.where("doc_id % 5 = 0"), K, digits=6), q.select("qid").distinct(), K)
+    return padded(exact.inverted(q, v, 50, digits=6), q.select("qid").distinct(), 50)
 
 
-@_add("topk_k_exceeds_corpus", _padded_sql("doc_id < 40", 50))
+@_add("topk_k_exceeds_corpus", _padded_sql("users", 2000))
 def topk_k_exceeds_corpus(spark, d):
-    q, v = _corpus("basket", spark, d)
-    return padded(exact.inverted(q, v.where("doc_id < 40"), 50, digits=6), q.select("qid").distinct(), 50)
+    q, v = _corpus("users", spark, d)
+    return padded(exact.inverted(q, v, 2000, digits=6), q.select("qid").distinct(), 2000)
 
 
 # ---- selectors
@@ -129,22 +134,57 @@ def exact_match_small_selector(spark, d):
     return exact.match(q, q.select("qid").distinct(), v, v.select("doc_id").distinct(), chosen, K, 6)
 
 
-def _id_map(v: DataFrame) -> DataFrame:
-    return v.select("doc_id").distinct().withColumn("ext_id", F.col("doc_id") * EXT_MUL + EXT_ADD)
+def _indexed(spark: SparkSession, d: str, corpus: str, descriptor: str, dimension: int, ids: bool = False):
+    """(queries, their ids, index) of a corpus whose ids are ordinals, built by its descriptor."""
+    q, v = _corpus(corpus, spark, d)
+    n = v.select(F.max("doc_id")).first()[0] + 1
+    index = index_factory(spark, dimension, descriptor)
+    if ids:
+        index.add_frame_with_ids(v, n, spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") * EXT_MUL + EXT_ADD).alias("ext_id")))
+    else:
+        index.add_frame(v, n)
+    index.build()
+    return q, q.select("qid").distinct(), index
+
+
+def _reread(spark: SparkSession, index):
+    """The index after it was written to a folder that all executors share and read again."""
+    to = _folder(spark)
+    write_index(index, to)
+    index.close()
+    return read_index(spark, to)
+
+
+def _wide(found: DataFrame) -> DataFrame:
+    return found.select("qid", "rank", F.col("doc_id").cast("bigint").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @_add("idmap_topk", _with("emb", f"SELECT qid, rank, doc_id * {EXT_MUL} + {EXT_ADD} AS doc_id, score FROM ({_top(f'SELECT * FROM ({_scores()}) WHERE score > 0')})"))
 def idmap_topk(spark, d):
-    q, v = _corpus("emb", spark, d)
-    return exact.inverted(q, v, K, digits=6).join(_id_map(v), "doc_id").select("qid", "rank", F.col("ext_id").alias("doc_id"), "score")
+    q, ids, index = _indexed(spark, d, "emb", "idmap,inverted", 64, True)
+    return _wide(index.search_frame(q, ids, K))
 
 
 @_add("idmap_filter", _with("emb", f"SELECT qid, rank, doc_id * {EXT_MUL} + {EXT_ADD} AS doc_id, score FROM ({_top(f'SELECT * FROM ({_scores("s")}) WHERE score > 0')})", f"s AS (SELECT * FROM d WHERE doc_id IN ({_IN}))"))
 def idmap_filter(spark, d):
-    q, v = _corpus("emb", spark, d)
-    ids = _id_map(v)
-    chosen = MappedSelector(SetSelector([x * EXT_MUL + EXT_ADD for x in ALLOWED] + [5]), ids)
-    return exact.inverted(q, v, K, chosen, 6).join(ids, "doc_id").select("qid", "rank", F.col("ext_id").alias("doc_id"), "score")
+    """Filtered by external ids, after the index was saved and read."""
+    q, ids, index = _indexed(spark, d, "emb", "idmap,inverted", 64, True)
+    chosen = SetSelector([x * EXT_MUL + EXT_ADD for x in ALLOWED] + [5])
+    return _wide(_reread(spark, index).search_frame(q, ids, K, SearchParameters(chosen)))
+
+
+@_add("inverted_roundtrip", _exact("emb"))
+def inverted_roundtrip(spark, d):
+    q, ids, index = _indexed(spark, d, "emb", "inverted", 64)
+    return _wide(_reread(spark, index).search_frame(q, ids, K))
+
+
+@_add("brutal_index", _with("users", _top("SELECT i.qid, o.doc_id, coalesce(s.score, 0) AS score FROM qids i CROSS JOIN (SELECT unnest(range((SELECT max(doc_id) + 1 FROM d))) AS doc_id) o LEFT JOIN s ON s.qid = i.qid AND s.doc_id = o.doc_id"), f"s AS ({_scores()})"))
+def brutal_index(spark, d):
+    q, v = _corpus("users", spark, d)
+    index = index_factory(spark, 1 << 16, "brutal")
+    index.add_frame(v, v.select(F.max("doc_id")).first()[0] + 1)
+    return _wide(index.search_frame(q, q.select("qid").distinct(), K))
 
 
 # ---- quantisation
@@ -187,10 +227,10 @@ for _name, _q, _a in (("sq_exact_topk8", _KINDS["8"], _KINDS["8"]), ("sq_exact_t
 
 _add("postings", f"SELECT term, doc_id, weight FROM ({SQL['basket']})")(lambda s, d: postings.postings(CORPORA["basket"](s, d)))
 _add("term_stats", f"SELECT term, count(*) AS df, greatest(0, max(weight)::DOUBLE) AS max_weight FROM ({SQL['emb']}) GROUP BY term")(lambda s, d: postings.term_stats(CORPORA["emb"](s, d)))
-_PRUNED = f"SELECT term, doc_id, weight FROM d QUALIFY row_number() OVER (PARTITION BY term ORDER BY weight DESC, doc_id) <= {LAM}"
+_PRUNED = f"SELECT term, doc_id, weight FROM d QUALIFY row_number() OVER (PARTITION BY term ORDER BY weight DESC, doc_id) <= {PRUNE}"
 _CUTS = f"SELECT qid, list_no, term FROM (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, term) - 1 AS list_no FROM q) WHERE list_no < {CUT}"
 for _name in ("emb", "basket"):
-    _add(f"lambda_prune_{_name}", _with(_name, _PRUNED))(lambda s, d, n=_name: postings.prune(_corpus(n, s, d)[1], LAM).select("term", "doc_id", "weight"))
+    _add(f"lambda_prune_{_name}", _with(_name, _PRUNED))(lambda s, d, n=_name: postings.prune(_corpus(n, s, d)[1], PRUNE).select("term", "doc_id", "weight"))
     _add(f"cut_terms_{_name}", _with(_name, _CUTS))(lambda s, d, n=_name: postings.cut_terms(_corpus(n, s, d)[0], CUT))
 _add("maxscore_prefix", _with("basket", "SELECT qid, term, bound, round(sum(bound) OVER (PARTITION BY qid ORDER BY bound, term ROWS UNBOUNDED PRECEDING), 6) AS prefix FROM (SELECT qid, term, round(weight::DOUBLE * max_weight, 6) AS bound FROM q JOIN (SELECT term, greatest(0, max(weight)) AS max_weight FROM d GROUP BY term) USING (term))"))(lambda s, d: postings.upper_bounds(_corpus("basket", s, d)[0], postings.term_stats(_corpus("basket", s, d)[1])))
 
@@ -198,10 +238,11 @@ _add("maxscore_prefix", _with("basket", "SELECT qid, term, bound, round(sum(boun
 
 
 def _steps(corpus: str, d: str = "d", q: str = "q") -> list[tuple[str, str]]:
-    pruned = _PRUNED.replace("FROM d", f"FROM {d}")
+    lam = LAM_SQL.format(d)
+    pruned = f"SELECT term, doc_id, weight FROM {d} QUALIFY row_number() OVER (PARTITION BY term ORDER BY weight DESC, doc_id) <= {lam} OR row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) = 1"
     return [
         ("pl", pruned),
-        ("cen", f"SELECT term, cluster, doc_id FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY md5(concat_ws(':', '{SEED}', term::VARCHAR, doc_id::VARCHAR)), doc_id) - 1 AS cluster FROM pl) WHERE cluster < {BETA}"),
+        ("cen", f"SELECT term, cluster, doc_id FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY md5(concat_ws(':', '{SEED}', term::VARCHAR, doc_id::VARCHAR)), doc_id) - 1 AS cluster FROM pl) WHERE cluster < floor(0.1 * {lam})"),
         ("oth", "SELECT term, doc_id FROM pl ANTI JOIN cen USING (term, doc_id)"),
         ("sim", f"SELECT o.term, o.doc_id, c.cluster, round(sum(a.weight::DOUBLE * b.weight::DOUBLE), 6) AS s FROM oth o JOIN cen c ON o.term = c.term JOIN {d} a ON a.doc_id = o.doc_id JOIN {d} b ON b.doc_id = c.doc_id AND b.term = a.term GROUP BY 1, 2, 3"),
         ("best", "SELECT term, doc_id, cluster FROM sim WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY term, doc_id ORDER BY s DESC, cluster) = 1"),
@@ -219,38 +260,56 @@ def _upto(corpus: str, step: str, body: str | None = None, d: str = "d", q: str
     return _with(corpus, body or f"SELECT * FROM {step}", ", ".join(every))
 
 
-def _search_sql(heap: float, k: int = K, selector: str = "true", d: str = "d", q: str = "q", out: str = "score") -> str:
-    return f"""SELECT qid, rank, doc_id, {out} AS score FROM ({_top(f'''
-      SELECT s.qid, s.doc_id, s.score FROM scd s LEFT JOIN tau USING (qid) WHERE before < {k} OR tau IS NULL OR best * {heap}::DOUBLE >= tau''', k)})"""
-
-
-def _search_steps(d: str, q: str, k: int, where: str = "true") -> str:
+def _search_steps(d: str, q: str, k: int, heap: float, where: str = "true") -> str:
+    score = f"SELECT p.qid, p.doc_id, coalesce(s.score, 0) AS score FROM {{0}} p LEFT JOIN (SELECT m.qid, m.doc_id, round(sum(a.weight::DOUBLE * b.weight::DOUBLE), 6) AS score FROM {{0}} m JOIN {d} a ON a.doc_id = m.doc_id JOIN {q} b ON b.qid = m.qid AND b.term = a.term GROUP BY 1, 2) s USING (qid, doc_id)"
     return ", ".join([
-        "vis AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY list_no, CASE WHEN list_no = 0 THEN -s ELSE 0 END, cluster) AS seq FROM ss)",
-        f"met AS MATERIALIZED (SELECT qid, doc_id, min(seq) AS seq, max(s) AS best FROM vis JOIN mem USING (term, cluster) WHERE {where} GROUP BY 1, 2)",
-        f"sco AS MATERIALIZED (SELECT m.qid, m.doc_id, round(sum(a.weight::DOUBLE * b.weight::DOUBLE), 6) AS score FROM met m JOIN {d} a ON a.doc_id = m.doc_id JOIN {q} b ON b.qid = m.qid AND b.term = a.term GROUP BY 1, 2)",
-        "scd AS MATERIALIZED (SELECT m.*, coalesce(s.score, 0) AS score, (count(*) OVER (PARTITION BY m.qid ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS before FROM met m LEFT JOIN sco s ON s.qid = m.qid AND s.doc_id = m.doc_id)",
-        f"tau AS (SELECT qid, score AS tau FROM scd WHERE before < {k} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) = {k})",
+        f"may AS MATERIALIZED (SELECT term, cluster, doc_id FROM mem WHERE {where})",
+        "vis AS MATERIALIZED (SELECT *, coalesce(sum(size) OVER (PARTITION BY qid ORDER BY list_no, CASE WHEN list_no = 0 THEN -s ELSE 0 END, cluster, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ss JOIN (SELECT term, cluster, count(*) AS size FROM may GROUP BY 1, 2) USING (term, cluster))",
+        f"fst AS MATERIALIZED (SELECT DISTINCT qid, doc_id FROM vis JOIN may USING (term, cluster) WHERE before < {k})",
+        f"fsc AS MATERIALIZED ({score.format('fst')})",
+        f"tau AS MATERIALIZED (SELECT qid, score AS tau FROM fsc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) = {k})",
+        f"rst AS MATERIALIZED (SELECT DISTINCT qid, doc_id FROM vis LEFT JOIN tau USING (qid) JOIN may USING (term, cluster) WHERE before >= {k} AND (tau IS NULL OR s * {heap}::DOUBLE >= tau) EXCEPT SELECT qid, doc_id FROM fst)",
+        f"evl AS MATERIALIZED (SELECT * FROM fsc UNION ALL {score.format('rst')})",
     ])
 
 
 def _seismic_sql(corpus: str, heap: float = HEAP, where: str = "true", d: str = "d", q: str = "q", more: str = "", out: str = "score") -> str:
     inner = _upto(corpus, "ss", "@", d, q, more)
-    return inner.replace(" @", ", " + _search_steps(d, q, K, where) + " " + _search_sql(heap, d=d, q=q, out=out))
+    return inner.replace(" @", ", " + _search_steps(d, q, K, heap, where) + f" SELECT qid, rank, doc_id, {out} AS score FROM ({_top('SELECT * FROM evl')})")
+
+
+def _work_sql(corpus: str) -> str:
+    body = "SELECT qid, n_candidates, n_evaluated FROM (SELECT qid, count(DISTINCT doc_id) AS n_candidates FROM cuts JOIN mem USING (term) GROUP BY qid) JOIN (SELECT qid, count(*) AS n_evaluated FROM evl GROUP BY qid) USING (qid)"
+    return _upto(corpus, "ss", "@").replace(" @", ", " + _search_steps("d", "q", K, HEAP) + " " + body)
 
 
 def _built(corpus: str, s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(queries, documents, members, summary); the last two are built once, to tables, as every search reads them several times."""
     q, v = _corpus(corpus, s, d)
-    return (q, v, *seismic.build(v, LAM, BETA, ALPHA, SEED))
+    to = _folder(s)
+    for name, table in zip(("members", "summary"), _clustered(v)):
+        table.write.parquet(f"{to}/{name}")
+    return q, v, s.read.parquet(f"{to}/members"), s.read.parquet(f"{to}/summary")
+
+
+def _clustered(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    c = CLUSTERS.resolved(v.select("doc_id").distinct().count())
+    return seismic.build(v, c.lam, c.beta, c.alpha, c.seed, c.every)
+
+
+def _centroids(v: DataFrame) -> DataFrame:
+    c = CLUSTERS.resolved(v.select("doc_id").distinct().count())
+    return clusters.centroids(postings.prune_keeping(v, c.lam), c.beta, c.seed)
 
 
 for _name in ("emb", "basket"):
-    _add(f"centroids_{_name}", _upto(_name, "cen"))(lambda s, d, n=_name: clusters.centroids(postings.prune(_corpus(n, s, d)[1], LAM), BETA, SEED))
+    _add(f"centroids_{_name}", _upto(_name, "cen"))(lambda s, d, n=_name: _centroids(_corpus(n, s, d)[1]))
     _add(f"assign_clusters_{_name}", _upto(_name, "mem"))(lambda s, d, n=_name: _built(n, s, d)[2])
     _add(f"cluster_maxpool_{_name}", _upto(_name, "mx"))(lambda s, d, n=_name: clusters.max_pool(_built(n, s, d)[2], _corpus(n, s, d)[1]))
     _add(f"alpha_summary_{_name}", _upto(_name, "sm"))(lambda s, d, n=_name: _built(n, s, d)[3])
     _add(f"summary_scores_{_name}", _upto(_name, "ss"))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.summary_scores(q, m, sm, CUT))(*_built(n, s, d)))
     _add(f"seismic_topk_{_name}", _seismic_sql(_name))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.search(q, m, sm, v, K, CUT, HEAP))(*_built(n, s, d)))
+    _add(f"seismic_work_{_name}", _work_sql(_name))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.work(q, m, sm, v, K, CUT, HEAP))(*_built(n, s, d)))
 _add("blocks", _upto("emb", "mem", "SELECT m.term, m.cluster, m.doc_id, x.term AS s_term, x.weight FROM mem m JOIN d x USING (doc_id)"))(lambda s, d: clusters.blocks(_built("emb", s, d)[2], _corpus("emb", s, d)[1]))
 
 
@@ -261,26 +320,41 @@ def seismic_filter(spark, d):
 
 
 _Q8 = _KINDS["8"]
+_DESCRIPTOR = f"lambda=-1|beta=-1|alpha={ALPHA}|seed={SEED}|every=1"
 
 
 @_add("seismic_sq_topk", _seismic_sql("emb", d="cd", q="cq", more=f"cq AS MATERIALIZED (SELECT qid, term, {_code(_Q8)}::DOUBLE AS weight FROM q), cd AS MATERIALIZED (SELECT doc_id, term, {_code(_Q8)}::DOUBLE AS weight FROM d)", out=f"round(score * ({1 / 255**2!r}::DOUBLE), 6)"))
 def seismic_sq_topk(spark, d):
-    q, v = _coded(spark, d, _Q8, _Q8)
-    m, sm = seismic.build(v, LAM, BETA, ALPHA, SEED)
-    return _decoded(seismic.search(q, m, sm, v, K, CUT, HEAP), _Q8, _Q8)
+    """The quantised index through its descriptor, saved and read again."""
+    q, ids, index = _indexed(spark, d, "emb", f"seismic_sq,quantizer=8bit|vmin=0|vmax=1|{_DESCRIPTOR}", 64)
+    return _wide(_reread(spark, index).search_frame(q, ids, K, SeismicParameters(None, CUT, HEAP)))
 
 
-@_add("seismic_recall", _seismic_sql("emb").replace("SELECT qid, rank, doc_id, score AS score FROM (", "@", 1).replace("@", f"SELECT round(avg(hits / {K}.0::DOUBLE), 6) AS recall FROM (SELECT t.qid, count(f.doc_id)::DOUBLE AS hits FROM ({_top(f'SELECT * FROM ({_scores()}) WHERE score > 0')}) t LEFT JOIN (SELECT qid, doc_id FROM (", 1) + ") f ON f.qid = t.qid AND f.doc_id = t.doc_id GROUP BY t.qid)")
-def seismic_recall(spark, d):
-    q, v, m, sm = _built("emb", spark, d)
-    return recall(seismic.search(q, m, sm, v, K, CUT, HEAP), exact.inverted(q, v, K, digits=6), K)
+def _recall_sql(corpus: str) -> str:
+    found = f"fnd AS ({_top('SELECT * FROM evl')}), tru AS ({_top(f'SELECT * FROM ({_scores()}) WHERE score > 0')})"
+    body = f"SELECT round(avg(hits / {K}.0::DOUBLE), 6) AS recall FROM (SELECT t.qid, count(f.doc_id)::DOUBLE AS hits FROM tru t LEFT JOIN fnd f ON f.qid = t.qid AND f.doc_id = t.doc_id GROUP BY t.qid)"
+    return _upto(corpus, "ss", "@").replace(" @", ", " + _search_steps("d", "q", K, HEAP) + f", {found} {body}")
+
+
+def _recall(corpus: str) -> Query:
+    def run(spark, d):
+        q, v, m, sm = _built(corpus, spark, d)
+        return recall(seismic.search(q, m, sm, v, K, CUT, HEAP), exact.inverted(q, v, K, digits=6), K)
+
+    return run
+
+
+_add("seismic_recall", _recall_sql("emb"))(_recall("emb"))
+_add("seismic_recall_basket", _recall_sql("basket"))(_recall("basket"))
 
 
 @_add("seismic_noprune_equals_exact", _exact("users"))
 def seismic_noprune_equals_exact(spark, d):
     q, v = _corpus("users", spark, d)
-    m, sm = seismic.build(v, 0, 5, 1.5, SEED)
-    return seismic.search(q, m, sm, v, K, 1 << 16, 1e9)
+    to = _folder(spark)
+    for name, table in zip(("members", "summary"), seismic.build(v, 0, 5, 1.5, SEED)):
+        table.write.parquet(f"{to}/{name}")
+    return seismic.search(q, spark.read.parquet(f"{to}/members"), spark.read.parquet(f"{to}/summary"), v, K, 1 << 16, 1e9)
 
 
 # ---- files
@@ -298,13 +372,9 @@ def _folder(spark: SparkSession) -> str:
 
 @_add("index_roundtrip", _seismic_sql("emb"))
 def index_roundtrip(spark, d):
-    """Saves vectors and clusters as tables, reads them again and searches."""
-    q, v, m, sm = _built("emb", spark, d)
-    to = _folder(spark)
-    for name, table in (("vectors_rows", model.to_rows(v)), ("cluster_members", m), ("cluster_summary", sm)):
-        table.write.parquet(f"{to}/{name}")
-    v, m, sm = model.to_triples(spark.read.parquet(f"{to}/vectors_rows")), spark.read.parquet(f"{to}/cluster_members"), spark.read.parquet(f"{to}/cluster_summary")
-    return seismic.search(q, m, sm, v, K, CUT, HEAP)
+    """An index built by its descriptor, saved, read and searched."""
+    q, ids, index = _indexed(spark, d, "emb", f"seismic,{_DESCRIPTOR}", 64)
+    return _wide(_reread(spark, index).search_frame(q, ids, K, SeismicParameters(None, CUT, HEAP)))
 
 
 @_add("csr_roundtrip", f"SELECT doc_id, term, weight FROM ({SQL['emb']})")

@@ -44,9 +44,10 @@ def to_triples(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def dense(vectors: DataFrame, dimension: int, key: str = "doc_id") -> DataFrame:
-    """One array of all weights for each vector, for tests and debugging; of repeated terms the largest weight stays."""
-    by = vectors.groupBy(key, "term").agg(F.max("weight").alias("weight")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("m"))
-    return by.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0).cast("float"))).alias("dense"))
+    """One array of all weights (or codes) for each vector, for tests and debugging; terms are unique in a vector."""
+    kind = vectors.schema["weight"].dataType
+    by = vectors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("m"))
+    return by.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast(kind))).alias("dense"))
 
 
 def stats(vectors: DataFrame) -> DataFrame:

@@ -14,7 +14,10 @@ BROADCAST_BYTES = 8 << 20
 
 def small_side(queries: DataFrame) -> DataFrame:
     """Queries marked for broadcast if Spark's own size estimate proves them small."""
-    size = queries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    plan = getattr(queries, "_jdf", None)  # a remote session has none and goes by Spark's own limit
+    if plan is None:
+        return queries
+    size = plan.queryExecution().optimizedPlan().stats().sizeInBytes()
     return F.broadcast(queries) if int(str(size)) <= BROADCAST_BYTES else queries
 
 
@@ -36,13 +39,13 @@ def inverted(queries: DataFrame, vectors: DataFrame, k: int, selector: Selector
 def brute(queries: DataFrame, query_ids: DataFrame, vectors: DataFrame, docs: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """The k best of all documents, whatever their score.
 
-    Documents that share no term score 0. Only the first k + (documents with a term in common) of
-    them can be among the best, so zeros come from each query's smallest unseen ids, not from all
-    pairs of queries and documents.
+    Documents that share no term score 0. A query with k scores above 0 needs none of them; for any
+    other, they are among the first k + (documents with a term in common), so zeros come from
+    its smallest unseen ids, not from all pairs of queries and documents.
     """
     own = scores(queries, vectors, digits)
-    seen = own.groupBy("qid").agg(F.count("*").alias("seen"))
-    many = query_ids.join(seen, "qid", "left").select("qid", (F.coalesce("seen", F.lit(0)) + k).alias("many"))
+    seen = own.groupBy("qid").agg(F.count("*").alias("seen"), F.count_if(F.col("score") > 0).alias("above"))
+    many = query_ids.join(seen, "qid", "left").where(F.coalesce("above", F.lit(0)) < k).select("qid", (F.coalesce("seen", F.lit(0)) + k).alias("many"))
     most = many.agg(F.coalesce(F.max("many"), F.lit(0))).first()[0]
     first = docs.select("doc_id").orderBy("doc_id").limit(int(most))
     zeros = many.join(first.withColumn("nth", F.row_number().over(_by_id())), F.col("nth") <= F.col("many")).select("qid", "doc_id")

@@ -24,6 +24,16 @@ def prune(vectors: DataFrame, lam: int) -> DataFrame:
     return vectors.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= lam).drop("_r")
 
 
+def prune_keeping(vectors: DataFrame, lam: int) -> DataFrame:
+    """The same, and of every document the heaviest posting, ties by term, so that pruning leaves no document out."""
+    if lam <= 0:
+        return vectors
+    list_order = Window.partitionBy("term").orderBy(F.desc("weight"), F.asc("doc_id"))
+    own_order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), F.asc("term"))
+    ranked = vectors.withColumn("_r", F.row_number().over(list_order)).withColumn("_o", F.row_number().over(own_order))
+    return ranked.where((F.col("_r") <= lam) | (F.col("_o") == 1)).drop("_r", "_o")
+
+
 def cut_terms(queries: DataFrame, cut: int) -> DataFrame:
     """(qid, list_no, term): each query's `cut` heaviest terms, numbered from 0, ties by term."""
     if cut <= 0:

@@ -1,9 +1,9 @@
 """Approximate search over clustered posting lists.
 
 Clusters of each query's heaviest lists are scored by their summaries. The first clusters in visiting
-order that hold k documents give a threshold, the k-th best exact score among them; every other
-cluster is visited if its summary, times heap_factor, reaches it. That visits all that a search with
-a rising threshold would.
+order that hold k members give a threshold, the k-th best exact score among them; any other cluster
+is opened if its summary, times heap_factor, reaches it. That visits all that a search with
+a rising threshold would, and no vector of a cluster that isn't opened is read.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenvec.operators.exact import small_side
 from lumenvec.operators.postings import cut_terms
 from lumenvec.operators.selectors import Selector
 from lumenvec.operators.topk import check_k, top_k
@@ -26,39 +27,62 @@ def summary_scores(queries: DataFrame, member: DataFrame, summary: DataFrame, cu
     return every.join(found, ["qid", "term", "cluster"], "left").select("qid", "list_no", "term", "cluster", F.coalesce("s", F.lit(0.0)).alias("s"))
 
 
-def search(queries: DataFrame, member: DataFrame, summary: DataFrame, vectors: DataFrame, k: int, cut: int = 10, heap_factor: float = 1.0, selector: Selector | None = None, digits: int = 6) -> DataFrame:
-    """(qid, rank, doc_id, score): the k best of the documents visited, by exact score."""
-    check_k(k)
-    s = summary_scores(queries, member, summary, cut)
-    order = Window.partitionBy("qid").orderBy("list_no", F.when(F.col("list_no") == 0, -F.col("s")).otherwise(F.lit(0.0)), "cluster")
-    visits = s.withColumn("at", F.row_number().over(order))
-    allowed = selector.apply(member) if selector is not None else member
-    inside = visits.join(allowed.select("term", "cluster", "doc_id"), ["term", "cluster"])
-    # a document counts where it is met first; it is scored once
-    met = inside.groupBy("qid", "doc_id").agg(F.min("at").alias("at"), F.max("s").alias("best"))
+def _scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, digits: int) -> DataFrame:
+    """(qid, doc_id, score) of these pairs by whole vectors."""
     q = queries.select("qid", "term", F.col("weight").cast("double").alias("w"))
     of = vectors.select("doc_id", "term", F.col("weight").cast("double").alias("v"))
-    exact_ = met.join(of, "doc_id").join(q, ["qid", "term"]).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("v")), digits).alias("score"))
-    scored = met.join(exact_, ["qid", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    ahead = Window.partitionBy("qid").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    scored = scored.withColumn("before", F.count("*").over(ahead))
-    # clusters before whose start fewer than k documents are known are the prefix
+    met = pairs.join(of, "doc_id").join(small_side(q), ["qid", "term"]).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("v")), digits).alias("score"))
+    return pairs.join(met, ["qid", "doc_id"], "left").select("qid", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _visits(queries: DataFrame, member: DataFrame, allowed: DataFrame, summary: DataFrame, cut: int) -> DataFrame:
+    """(qid, term, cluster, s, before): clusters in visiting order, and how many members those before it have."""
+    s = summary_scores(queries, member, summary, cut)
+    sizes = allowed.join(s.select("term").distinct(), "term", "left_semi").groupBy("term", "cluster").agg(F.count("*").alias("size"))
+    order = Window.partitionBy("qid").orderBy("list_no", F.when(F.col("list_no") == 0, -F.col("s")).otherwise(F.lit(0.0)), "cluster", "term")
+    ahead = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return s.join(sizes, ["term", "cluster"]).select("qid", "term", "cluster", "s", F.coalesce(ahead, F.lit(0)).alias("before"))
+
+
+def evaluated(queries: DataFrame, member: DataFrame, summary: DataFrame, vectors: DataFrame, k: int, cut: int = 10, heap_factor: float = 1.0, selector: Selector | None = None, digits: int = 6) -> DataFrame:
+    """(qid, doc_id, score) of the documents visited, each once.
+
+    The prefix is scored first and gives each query's threshold; of all other clusters only those
+    whose summary reaches it are opened, and only their documents meet the vectors. A query whose
+    prefix has fewer than k documents opens all.
+    """
+    check_k(k)
+    of = (selector.apply(member) if selector is not None else member).select("term", "cluster", "doc_id")
+    visits = _visits(queries, member, of, summary, cut)
+    first = visits.where(F.col("before") < k).join(of, ["term", "cluster"]).select("qid", "doc_id").distinct()
+    scored = _scores(first, queries, vectors, digits)
     rank = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-    prefix = scored.where(F.col("before") < k)
-    bound = prefix.withColumn("r", F.row_number().over(rank)).where(F.col("r") == k).select("qid", F.col("score").alias("tau"))
-    judged = scored.join(bound, "qid", "left")
-    keep = (F.col("before") < k) | F.col("tau").isNull() | (F.col("best") * heap_factor >= F.col("tau"))
-    return top_k(judged.where(keep).select("qid", "doc_id", "score"), k)
+    bound = scored.withColumn("r", F.row_number().over(rank)).where(F.col("r") == k).select("qid", F.col("score").alias("tau"))
+    later = visits.where(F.col("before") >= k).join(bound, "qid", "left").where(F.col("tau").isNull() | (F.col("s") * heap_factor >= F.col("tau")))
+    rest = later.join(of, ["term", "cluster"]).select("qid", "doc_id").distinct().join(first, ["qid", "doc_id"], "left_anti")
+    return scored.unionByName(_scores(rest, queries, vectors, digits))
+
+
+def search(queries: DataFrame, member: DataFrame, summary: DataFrame, vectors: DataFrame, k: int, cut: int = 10, heap_factor: float = 1.0, selector: Selector | None = None, digits: int = 6) -> DataFrame:
+    """(qid, rank, doc_id, score): the k best of the documents visited, by exact score."""
+    return top_k(evaluated(queries, member, summary, vectors, k, cut, heap_factor, selector, digits), k)
+
+
+def work(queries: DataFrame, member: DataFrame, summary: DataFrame, vectors: DataFrame, k: int, cut: int = 10, heap_factor: float = 1.0) -> DataFrame:
+    """(qid, n_candidates, n_evaluated): documents in the query's cut lists, and those whose vectors were scored."""
+    every = cut_terms(queries, cut).join(member, "term").groupBy("qid").agg(F.count_distinct("doc_id").alias("n_candidates"))
+    done = evaluated(queries, member, summary, vectors, k, cut, heap_factor).groupBy("qid").agg(F.count("*").alias("n_evaluated"))
+    return every.join(done, "qid")
 
 
-def build(vectors: DataFrame, lam: int, beta: int, alpha: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(members, summary) of all lists."""
+def build(vectors: DataFrame, lam: int, beta: int, alpha: float, seed: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members, summary) of all lists; every: no document is pruned from all its lists."""
     from lumenvec.operators.clusters import alpha_mass, centroids, max_pool, members
-    from lumenvec.operators.postings import prune
+    from lumenvec.operators.postings import prune, prune_keeping
 
-    pruned = prune(vectors, lam)
+    pruned = (prune_keeping if every else prune)(vectors, lam)
     member = members(pruned, centroids(pruned, beta, seed), vectors)
     return member, alpha_mass(max_pool(member, vectors), alpha)
 
 
-__all__ = ["build", "search", "summary_scores"]
+__all__ = ["build", "evaluated", "search", "summary_scores", "work"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,6 +88,11 @@ class MappedSelector(Selector):
     def __init__(self, selector: Selector, id_map: DataFrame):
         self.inner, self.id_map, self.size = selector, id_map, selector.size
 
+    def ids(self) -> list[int]:
+        """Ordinals of the ids that are mapped, for a selector that can be enumerated."""
+        self.inner.ids()
+        return [r[0] for r in self.inner.apply(self.id_map, "ext_id").select("doc_id").collect()]
+
     def apply(self, rows, column="doc_id", negate=False):
         chosen = self.inner.apply(self.id_map, "ext_id").select(F.col("doc_id").alias(column))
         return rows.join(chosen, column, "left_anti" if negate else "left_semi")
@@ -96,7 +101,3 @@ class MappedSelector(Selector):
 def is_small(selector: Selector | None, k: int) -> bool:
     """Whether search gives way to exact matching of the selected ids."""
     return selector is not None and selector.size is not None and selector.size <= k
-
-
-def literal_ids(spark: SparkSession, ids) -> DataFrame:
-    return spark.createDataFrame([(int(x),) for x in ids], "id bigint")

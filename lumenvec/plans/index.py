@@ -8,6 +8,7 @@ import random
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,18 +45,21 @@ class ClusterParameters:
     beta: int = -1
     alpha: float = 0.4
     seed: int = -1
+    every: bool = False  # whether each document stays in its heaviest list, whatever lambda says
 
     def resolved(self, n: int) -> ClusterParameters:
         lam = max(int(0.0005 * n), 160) if self.lam == -1 else self.lam
         beta = int(0.1 * lam) if self.beta == -1 else self.beta
         seed = random.randrange(1 << 31) if self.seed == -1 else self.seed
-        return ClusterParameters(lam, beta, self.alpha, seed)
+        return ClusterParameters(lam, beta, self.alpha, seed, self.every)
 
 
 class Index:
     """Vectors with ordinals as ids, in the order they were added."""
 
     kind = ""
+    #: Scores are rounded to so many digits before they are ranked, so that equal vectors tie whatever the order of their sums.
+    digits = 6
 
     def __init__(self, spark: SparkSession, dimension: int):
         self.spark, self.dimension = spark, check_dimension(dimension)
@@ -115,6 +119,12 @@ class Index:
     def search_padded(self, queries: DataFrame, query_ids: DataFrame, k: int, params: SearchParameters | None = None) -> DataFrame:
         return padded(self.search_frame(queries, query_ids, k, params), query_ids, k)
 
+    def close(self) -> None:
+        """Lets go of what build has kept on the executors' disks."""
+        for name in ("lists", "member", "summary"):
+            if getattr(self, name, None) is not None:
+                getattr(self, name).unpersist()
+
     # -- saving
 
     def tables(self) -> dict[str, DataFrame]:
@@ -143,7 +153,7 @@ class BruteIndex(Index):
         vectors, docs = self.vectors, self.docs()
         if self.strict and params is not None and params.selector is not None:
             vectors, docs = params.selector.apply(vectors), params.selector.apply(docs)
-        return exact.brute(queries, query_ids, vectors, docs, k)
+        return exact.brute(queries, query_ids, vectors, docs, k, self.digits)
 
 
 class InvertedIndex(Index):
@@ -158,13 +168,14 @@ class InvertedIndex(Index):
     def build(self):
         if self.vectors is None:
             raise RuntimeError("nothing to build")
-        self.vectors.agg(F.sum("term"), F.sum("weight")).collect()  # a term out of range fails here
-        self.lists = postings.postings(self.vectors)
+        # dealt by term once, for every search after; a term out of range fails here
+        self.lists = postings.postings(self.vectors).persist(StorageLevel.DISK_ONLY)
+        self.lists.agg(F.sum("term"), F.sum("weight")).collect()
 
     def search_frame(self, queries, query_ids, k, params=None):
         if self.lists is None:
             return exact.inverted(queries, self.vectors.limit(0), k)
-        return exact.inverted(queries, self.lists, k, params.selector if params else None)
+        return exact.inverted(queries, self.lists, k, params.selector if params else None, self.digits)
 
     def tables(self):
         return {"postings": postings.postings(self.vectors), "term_stats": postings.term_stats(self.vectors)}
@@ -194,8 +205,8 @@ class SeismicIndex(Index):
             raise RuntimeError("nothing to build")
         self.vectors.agg(F.sum("term"), F.sum("weight")).collect()
         c = self.cluster.resolved(self.n)
-        member, summary = seismic.build(self.weights(), c.lam, c.beta, c.alpha, c.seed)
-        self.member, self.summary = member.persist(), summary.persist()
+        member, summary = seismic.build(self.weights(), c.lam, c.beta, c.alpha, c.seed, c.every)
+        self.member, self.summary = member.persist(StorageLevel.DISK_ONLY), summary.persist(StorageLevel.DISK_ONLY)
 
     def _params(self, params):
         plain = params or self.parameters()
@@ -208,11 +219,11 @@ class SeismicIndex(Index):
             raise ValueError("cut must be positive")
         queries = self.prepared(queries, p)
         if is_small(p.selector, k):
-            found = exact.match(queries, query_ids, self.weights(), self.docs(), p.selector, k)
+            found = exact.match(queries, query_ids, self.weights(), self.docs(), p.selector, k, self.digits)
         elif self.member is None:
             found = exact.inverted(queries, self.vectors.limit(0), k)
         else:
-            found = seismic.search(queries, self.member, self.summary, self.weights(), k, p.cut, p.heap_factor, p.selector)
+            found = seismic.search(queries, self.member, self.summary, self.weights(), k, p.cut, p.heap_factor, p.selector, self.digits)
         return self.finished(found, p)
 
     def prepared(self, queries, p):
@@ -283,13 +294,19 @@ class IdMapIndex(Index):
 
     def add_with_ids(self, n, indptr, indices, values, ids):
         ids = [int(x) for x in ids]
-        if len(ids) != n or len(set(ids)) != n:
-            raise ValueError("ids must be as many as vectors, and distinct")
-        if self.id_map is not None and self.id_map.where(F.col("ext_id").isin(ids)).take(1):
-            raise ValueError("ids must be distinct")
+        if len(ids) != n:
+            raise ValueError("ids must be as many as vectors")
+        self.add_frame_with_ids(_triples(self.spark, n, indptr, indices, values), n, self.spark.createDataFrame(list(enumerate(ids)), "doc_id int, ext_id int"))
+
+    def add_frame_with_ids(self, vectors: DataFrame, n: int, ids: DataFrame) -> None:
+        """The same for triples with doc_id from 0 to n - 1, and ids: (doc_id, ext_id)."""
         at = self.inner.n
-        self.inner.add(n, indptr, indices, values)
-        self._extend(n, self.spark.createDataFrame([(at + i, x) for i, x in enumerate(ids)], "doc_id int, ext_id int"))
+        mine = ids.select((F.col("doc_id") + at).cast("int").alias("doc_id"), F.col("ext_id").cast("int").alias("ext_id"))
+        every = mine if self.id_map is None else self.id_map.unionByName(mine)
+        if every.groupBy("ext_id").count().where("count > 1").take(1):
+            raise ValueError("ids must be distinct")
+        self.inner.add_frame(vectors, n)
+        self._extend(n, mine)
 
     def read_csr(self, path, layout="interchange"):
         at = self.inner.n
@@ -299,6 +316,9 @@ class IdMapIndex(Index):
     def build(self):
         self.inner.build()
 
+    def close(self):
+        self.inner.close()
+
     def search_frame(self, queries, query_ids, k, params=None):
         if params is not None and params.selector is not None:
             params = dataclasses.replace(params, selector=MappedSelector(params.selector, self.id_map))
@@ -317,6 +337,8 @@ def _triples(spark: SparkSession, n: int, indptr, indices, values) -> DataFrame:
     indptr, indices, values = np.asarray(indptr, np.int64), np.asarray(indices), np.asarray(values)
     if values.dtype != np.float32:
         raise TypeError("weights must be float32")
+    if not np.issubdtype(indices.dtype, np.integer):
+        raise TypeError("indices must be integers")
     if len(indptr) != n + 1 or indptr[0] != 0 or indptr[-1] != len(indices) or len(indices) != len(values) or (np.diff(indptr) < 0).any():
         raise ValueError("bad row offsets")
     import pandas as pd
@@ -346,7 +368,7 @@ def index_factory(spark: SparkSession, dimension: int, descriptor: str) -> Index
         return InvertedIndex(spark, dimension)
     if head not in ("seismic", "seismic_sq"):
         raise ValueError(f"unknown index type {head}")
-    cluster = ClusterParameters(int(options.get("lambda", 10)), int(options.get("beta", 5)), float(options.get("alpha", 0.5)), int(options.get("seed", -1)))
+    cluster = ClusterParameters(int(options.get("lambda", 10)), int(options.get("beta", 5)), float(options.get("alpha", 0.5)), int(options.get("seed", -1)), options.get("every", "0") == "1")
     if head == "seismic":
         return SeismicIndex(spark, dimension, cluster)
     kind = options.get("quantizer", "8bit")

@@ -42,10 +42,10 @@ SQL = {
     "text": "SELECT doc_id, ('0x' || substr(md5(lower(w)), 1, 4))::BIGINT AS term, count(*)::DOUBLE AS weight FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY 1, 2",
 }
 CORPORA = {"emb": emb, "basket": basket, "users": users, "text": text}
-#: Vectors with smaller ids are the queries, all others the documents.
-QUERY_IDS = 20
+#: Vectors whose id is divisible by this are the queries; all vectors, those too, are the documents.
+QUERY_STEP = 100
 
 
-def split(vectors: DataFrame, queries: int = QUERY_IDS) -> tuple[DataFrame, DataFrame]:
+def split(vectors: DataFrame, step: int = QUERY_STEP) -> tuple[DataFrame, DataFrame]:
     """(queries, documents)."""
-    return vectors.where(F.col("doc_id") < queries).withColumnRenamed("doc_id", "qid"), vectors.where(F.col("doc_id") >= queries)
+    return vectors.where(F.col("doc_id") % step == 0).withColumnRenamed("doc_id", "qid"), vectors

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from lumenvec import model
 from lumenvec.functions.quantize import Quantizer
-from lumenvec.operators import clusters, exact, postings
-from lumenvec.operators.selectors import ListSelector, NotSelector, SetSelector
+from lumenvec.operators import clusters, exact, postings, seismic
+from lumenvec.operators.selectors import FrameSelector, ListSelector, MappedSelector, NotSelector, SetSelector, WhereSelector
 from lumenvec.operators.topk import top_k
 from lumenvec.plans.index import SearchParameters, SeismicParameters, SeismicSQParameters, index_factory, read_index, write_index
 
@@ -27,11 +27,27 @@ def built(spark, descriptor, rows, dim=128, ids=None):
     return x
 
 
-def test_inverted_multi_term(spark):
-    x = built(spark, "inverted", [{0: 1.0, 1: 0.5}, {0: 0.8, 2: 0.6}, {0: 0.9, 3: 0.7}])
-    d, i = x.search(*csr([{0: 1.0, 1: 0.8}]), 4)
-    assert i.tolist() == [[0, 2, 1, -1]] or np.allclose(d[0, :3], [1.4, 0.9, 0.8])
-    assert d[0, 3] == -1
+def drawn(seed, n, dim, nnz):
+    """n vectors of some weights, as dicts."""
+    rng = np.random.default_rng(seed)
+    return [dict(zip(rng.choice(dim, nnz, replace=False).tolist(), (rng.integers(1, 64, nnz) / 64).tolist())) for _ in range(n)]
+
+
+def brute(docs, query, k, allowed=None):
+    """(score, id) of the k best positive scores, by plain sums; 64ths are exact in any order of sums."""
+    found = [(sum(w * d.get(t, 0) for t, w in query.items()), -i) for i, d in enumerate(docs) if allowed is None or i in allowed]
+    return [(s, -i) for s, i in sorted(found, reverse=True)[:k] if s > 0]
+
+
+def test_inverted_against_brute_force(spark):
+    docs, asked = drawn(1, 60, 20, 4), drawn(2, 6, 20, 3)
+    x = built(spark, "inverted", docs, 20)
+    d, i = x.search(*csr(asked), 70)
+    for row, query in enumerate(asked):
+        want = brute(docs, query, 70)
+        assert i[row].tolist() == [n for _, n in want] + [-1] * (70 - len(want))
+        assert np.allclose(d[row, : len(want)], [s for s, _ in want], atol=1e-5) and (d[row, len(want) :] == -1).all()
+    x.close()
 
 
 def test_trailing_empty_document_counts(spark, tmp_path):
@@ -58,11 +74,27 @@ def test_seismic_lambda_filter_and_small_selector(spark):
     assert y.search(*csr([{0: 1.0}]), 2, SearchParameters(SetSelector([1, 3])))[1].tolist() == [[1, 3]]
 
 
-def test_heap_factor_large_visits_all(spark):
-    docs = [{0: 1, 1: 0.5}, {0: 0.9}, {1: 0.8, 2: 0.3}, {2: 0.7}, {3: 0.6}, {0: 0.1, 3: 0.4}]
-    x = built(spark, "seismic,lambda=10|beta=2|alpha=0.5|seed=3", docs)
-    d, i = x.search(*csr([{0: 1, 1: 0.8, 2: 0.5}]), 6, SeismicParameters(None, 5, 1000.0))
-    assert i[0, :5].tolist() == [0, 1, 2, 3, 5] and np.allclose(d[0, :5], [1.4, 0.9, 0.79, 0.35, 0.1], atol=1e-5)
+def test_search_that_prunes_nothing_is_exact(spark):
+    docs, asked = drawn(3, 80, 16, 4), drawn(4, 5, 16, 3)
+    x = built(spark, "seismic,lambda=0|beta=3|alpha=0.7|seed=9", docs, 16)
+    got = x.search(*csr(asked), 80, SeismicParameters(None, 16, 1e6))[1]
+    for row, query in enumerate(asked):
+        want = [n for _, n in brute(docs, query, 80)]
+        found = got[row][got[row] >= 0].tolist()
+        assert found[: len(want)] == want
+
+
+def test_pruned_search_opens_fewer_documents(spark):
+    docs, asked = drawn(5, 300, 24, 6), drawn(6, 8, 24, 5)
+    x = built(spark, "seismic,lambda=40|beta=6|alpha=0.6|seed=2|every=1", docs, 24)
+    assert x.member.select("doc_id").distinct().count() == 300  # pruning leaves no document out
+    q = spark.createDataFrame([(n, t, float(w)) for n, r in enumerate(asked) for t, w in r.items()], "qid int, term int, weight double")
+    done = {r.qid: r for r in seismic.work(q, x.member, x.summary, x.vectors, 5, 5, 1.0).collect()}
+    assert len(done) == 8 and all(5 <= r.n_evaluated <= r.n_candidates for r in done.values()) and sum(r.n_evaluated for r in done.values()) < sum(r.n_candidates for r in done.values())
+    exact_ = [[n for _, n in brute(docs, r, 5)] for r in asked]
+    got = x.search(*csr(asked), 5, SeismicParameters(None, 5, 1.0))[1]
+    assert np.mean([len({*a} & {*b}) / 5 for a, b in zip(got.tolist(), exact_)]) >= 0.8
+    x.close()
 
 
 def test_recall_floor_and_persistence(spark, tmp_path):
@@ -92,34 +124,55 @@ def test_brute_zero_fill_and_exact_match(spark):
     assert [(r.doc_id, r.score) for r in got] == [(2, 5.0), (0, 1.0)]
 
 
-def test_idmap(spark):
+def test_idmap(spark, tmp_path):
     x = built(spark, "idmap,inverted", [{0: 1.0}, {0: 0.5}, {0: 0.2}], ids=[100, 200, 300])
     assert x.search(*csr([{0: 1.0}]), 3, SearchParameters(SetSelector([100, 300])))[1].tolist() == [[100, 300, -1]]
     assert x.search(*csr([{0: 1.0}]), 2, SearchParameters(SetSelector([999])))[1].tolist() == [[-1, -1]]
     with pytest.raises(ValueError):
         x.add_with_ids(*csr([{0: 1.0}]), [100])
+    write_index(x, str(tmp_path / "i"))
+    again = read_index(spark, str(tmp_path / "i"))
+    assert again.num_vectors == 3 and again.search(*csr([{0: 1.0}]), 2)[1].tolist() == [[100, 200]]
+    assert MappedSelector(SetSelector([200, 999]), again.id_map).ids() == [1]
 
 
 def test_quantizer(spark):
-    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
-    q = Quantizer("8bit", 0, 1)
-    assert one(q.encode(F.lit(0.5).cast("float"))) == 128 and one(q.encode(F.lit(9.0).cast("float"))) == 255
-    assert abs(one(Quantizer("8bit", 0, 2).decode_dot(F.lit(65025), Quantizer("8bit", 0, 4))) - 8.0) < 1e-3
-    assert abs(one(Quantizer("16bit", 0, 10).decode_dot(F.lit(65535**2), Quantizer("16bit", 0, 5))) - 50.0) < 1e-2
-    for bad in ((1, 1), (2, 1), (0, float("inf")), (float("nan"), 1)):
+    """Codes are those of a rounded, clipped line; a decoded product is near the product of decoded values."""
+    values = np.linspace(-0.5, 3.5, 41).astype(np.float32)
+    v = spark.createDataFrame([(float(x),) for x in values], "x float")
+    for kind, top in (("8bit", 255), ("16bit", 65535)):
+        q, asked = Quantizer(kind, 0.25, 3.0), Quantizer(kind, 0.0, 2.0)
+        codes = np.array([r[0] for r in v.select(q.encode(F.col("x"))).collect()])
+        line = np.clip((values.astype(float) - 0.25) / 2.75 * top, 0, top)
+        assert (np.abs(codes - line) <= 0.5 + 1e-3).all()
+        back = np.array([r[0] for r in spark.createDataFrame([(int(c),) for c in codes], "c int").select(q.decode(F.col("c"))).collect()])
+        assert np.abs(back - np.clip(values, 0.25, 3.0)).max() <= 2.75 / top
+    for bad in ((3, 3), (5, 2), (0, float("inf")), (float("nan"), 4)):
         with pytest.raises(ValueError):
             Quantizer("8bit", *bad)
 
 
 def test_alpha_and_assignment(spark):
-    p = spark.createDataFrame([(0, 0, t, w) for t, w in enumerate([10.0, 5.0, 3.0, 2.0])], "term int, cluster int, s_term int, s_value double")
-    assert [r.s_term for r in clusters.alpha_mass(p, 0.5).collect()] == [0]
-    assert clusters.alpha_mass(p.withColumn("s_value", F.lit(0.0)), 0.5).count() == 4
-    v = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (2, 0, 0.9), (3, 1, 0.8), (4, 0, 0.7), (5, 9, 1.0)], "doc_id int, term int, weight double")
-    lists = spark.createDataFrame([(7, d) for d in range(6)], "term int, doc_id int")
-    cen = spark.createDataFrame([(7, 0, 0), (7, 1, 1)], "term int, cluster int, doc_id int")
+    rng = np.random.default_rng(11)
+    weights = (rng.integers(1, 100, 12) / 8).tolist()
+    p = spark.createDataFrame([(0, 0, t, w) for t, w in enumerate(weights)], "term int, cluster int, s_term int, s_value double")
+    for alpha in (0.2, 0.6, 1.0):
+        want, mass = [], 0.0
+        for t in sorted(range(12), key=lambda t: (-weights[t], t)):
+            if mass < alpha * sum(weights):
+                want.append(t)
+                mass += weights[t]
+        assert {r.s_term for r in clusters.alpha_mass(p, alpha).collect()} == set(want)
+    assert clusters.alpha_mass(p.withColumn("s_value", F.lit(0.0)), 0.5).count() == 12
+    docs = drawn(12, 30, 10, 3)
+    v = spark.createDataFrame([(i, t, float(w)) for i, d in enumerate(docs) for t, w in d.items()], "doc_id int, term int, weight double")
+    lists = spark.createDataFrame([(7, d) for d in range(30)], "term int, doc_id int")
+    cen = spark.createDataFrame([(7, c, d) for c, d in enumerate((4, 9, 21))], "term int, cluster int, doc_id int")
     got = {r.doc_id: (r.cluster, r.pos) for r in clusters.members(lists, cen, v).collect()}
-    assert {d: c for d, (c, _) in got.items()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0} and got[0][1] == got[1][1] == 0
+    dot = lambda a, b: sum(w * docs[b].get(t, 0) for t, w in docs[a].items())
+    for d in range(30):
+        like = [dot(d, c) for c in (4, 9, 21)]
+        assert got[d] == ((4, 9, 21).index(d), 0) if d in (4, 9, 21) else got[d][0] == int(np.argmax(like)) and got[d][1] > 0
 
 
 def test_errors(spark):
@@ -129,6 +182,8 @@ def test_errors(spark):
     x = index_factory(spark, 8, "inverted")
     with pytest.raises(TypeError):
         x.add(1, [0, 1], [0], np.array([1.0]))
+    with pytest.raises(TypeError):
+        x.add(1, [0, 1], np.array([0.5]), np.array([1.0], np.float32))
     x.add(*csr([{8: 1.0}]))
     with pytest.raises(Exception, match="out of range"):
         x.build()
@@ -151,3 +206,14 @@ def test_incremental_equals_one_batch_and_ties(spark):
 def test_dense(spark):
     v = spark.createDataFrame([(0, 1, 2.0), (0, 3, 4.0)], "doc_id int, term int, weight double").withColumn("weight", F.col("weight").cast("float"))
     assert model.dense(v, 5).first()["dense"] == [0, 2, 0, 4, 0]
+    codes = v.withColumn("weight", Quantizer("8bit", 0, 4).encode(F.col("weight")))
+    assert model.dense(codes, 4).first()["dense"] == [0, 128, 0, 255]
+
+
+def test_selectors_by_table_and_expression(spark):
+    v = spark.range(10).select(F.col("id").alias("doc_id"))
+    some = FrameSelector(spark.createDataFrame([(2,), (2,), (11,)], "id long"))
+    assert [r[0] for r in some.apply(v).collect()] == [2] and NotSelector(some).apply(v).count() == 9
+    assert WhereSelector(lambda c: c > 7).apply(v).count() == 2 and NotSelector(WhereSelector(lambda c: c > 7)).apply(v).count() == 8
+    with pytest.raises(TypeError):
+        some.ids()
