@@ -1,10 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs.
 
-A text's paragraphs are its lines, long ones cut at ends of sentences, so an edit changes few of
-them. Each paragraph's 64-bit digest goes into one part of the sketch and there into three cells, each
-holding a count and the XOR of digests and of check values. Two versions' sketches are subtracted;
-cells left with a single digest are peeled until none is left, which recovers the digests that
-differ, or it fails and the part is built again with twice the cells. Only DataFrame functions run.
+A text's paragraphs are pieces of its lines, short ones at its start, cut at ends of sentences, so
+an edit changes few of them. A sketch has three tables of cells; each paragraph's 64-bit digest goes into one
+cell of each, and a cell holds a count and the XOR of digests and of check values. The fingerprint is
+a text's smallest sketch, written out. Two versions' sketches are subtracted cell by cell; cells left with
+a single digest are peeled until none is left, which recovers the digests that differ and whose they
+are. Where that fails, the digests of both are dealt into parts by their hash, a sketch for each, and a
+part that fails is built again with twice the cells until it can be peeled. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -13,102 +15,116 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenvec.llm._native import let, text
-
-#: A paragraph: so many characters, on to the end of the sentence, inside one line.
-PARAGRAPH = r"[^\n]{1,160}(?:[^\n.!?]*[.!?]+|[^\n]*)"
-#: Digests that a part is meant for; cells of each of three tables at first, and how often they are doubled (a part's cells fit a 64-bit mask).
+from lumenvec.llm.linking import cut
+
+#: Characters of a text that are cut into short pieces.
+START = 480
+#: Pieces: so many characters, on to the end of the sentence, inside one line.
+SHORT = r"[^\n]{1,40}(?:[^\n.!? ]*[.!?]*)"
+LONG = r"[^\n]{1,160}(?:[^\n.!?]*[.!?]+|[^\n]*)"
+#: Digests that a part is meant for, cells of each of a sketch's three tables at first, and how often they are doubled at most.
 PART_ITEMS = 4
 CELLS = 4
-RETRIES = 2
-#: Rounds of peeling before a part counts as failed.
-ROUNDS = 8
-#: Ids that are looked at together when neighbours in order are sought; blocks of blocks twice more.
-BLOCK_LOG2 = 12
+DOUBLINGS = 10
+#: Rounds of peeling before a sketch counts as failed.
+ROUNDS = 12
+_FOUND = "array<struct<x: bigint, n: int>>"
+
 
+def _pieces(value: Column, size: str) -> Column:
+    return F.regexp_extract_all(value, F.lit(size), F.lit(0))
 
-def _digests(value: str) -> Column:
-    """Sorted distinct digests of a text's paragraphs."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.col(value), F.lit(PARAGRAPH), F.lit(0)), lambda x: F.xxhash64(x))))
+
+def _digests(value: Column) -> Column:
+    """Distinct digests of a text's paragraphs."""
+    rest = F.substring(value, F.lit(START + 1), F.greatest(F.length(value) - START, F.lit(0)))
+    pieces = F.concat(_pieces(F.substring(value, 1, START), SHORT), F.when(F.length(value) > START, _pieces(rest, LONG)).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))
 
 
 def _check(x: Column) -> Column:
-    return F.xxhash64(x, F.lit(-1))
+    return F.xxhash64(x, F.lit(-1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _placed(x: Column, n: Column, cells: int, salt: int) -> Column:
-    """A digest, its sign, its check value and the mask of its cells, one in each of three tables that stand one after another."""
-    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.pmod(F.xxhash64(x, F.lit(salt * 3 + t)), F.lit(cells)) + t * cells).cast("int")) for t in range(3)]
-    return F.struct(x.alias("x"), n.alias("n"), _check(x).alias("c"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("m"))
+def _placed(x: Column, n: Column, cells: Column, salt: Column) -> Column:
+    """A digest, its count, its check value and its cells, one in each of three tables that stand one after another."""
+    at = lambda t: (F.pmod(F.xxhash64(x, salt, F.lit(t)), cells).cast("int") + t * cells).cast("int")
+    return F.struct(x.alias("x"), n.cast("int").alias("n"), _check(x).alias("c"), at(0).alias("a"), at(1).alias("b"), at(2).alias("d"))
 
 
-def _with(cell: Column, placed: Column, bit: Column, add: bool) -> Column:
-    """The cell of this bit after those of `placed` that it is a cell of are put in or taken out."""
+def _with(cell: Column, placed: Column, add: bool) -> Column:
+    """The cell after these are put in or taken out."""
     put = lambda a, p: F.struct((a["n"] + p["n"] if add else a["n"] - p["n"]).alias("n"), a["x"].bitwiseXOR(p["x"]).alias("x"), a["c"].bitwiseXOR(p["c"]).alias("c"))
-    return F.aggregate(F.filter(placed, lambda p: p["m"].bitwiseAND(bit) != 0), cell, put)
+    return F.aggregate(placed, cell, put)
 
 
-def sketch(items: Column, cells: int, salt: int = 0) -> Column:
-    """Cells (n, x, c) of items (x, sign): count, XOR of digests, XOR of check values."""
+def sketch(digests: Column, cells: Column, salt: Column) -> Column:
+    """Cells (n, x, c) of an array of digests: count, XOR of digests, XOR of check values."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("c"))
-    placed = F.transform(items, lambda it: _placed(it["x"], it["sign"], cells, salt))
-    bits = F.array(*[F.lit(1 << j).cast("bigint") for j in range(3 * cells)])
-    return let(placed, lambda ps: F.transform(bits, lambda bit: _with(zero, ps, bit, True)))
+    placed = F.transform(digests, lambda x: _placed(x, F.lit(1), cells, salt))
+    table = lambda ps, t, f: F.transform(F.sequence(t * cells, (t + 1) * cells - 1), lambda j: _with(zero, F.filter(ps, lambda p: p[f] == j), True))
+    return let(placed, lambda ps: F.concat(*[table(ps, t, f) for t, f in enumerate("abd")]))
+
 
+def subtract(one: Column, other: Column) -> Column:
+    """What two sketches of the same size don't share, cell by cell: digests in both cancel out."""
+    return F.zip_with(one, other, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["x"].bitwiseXOR(y["x"]).alias("x"), x["c"].bitwiseXOR(y["c"]).alias("c")))
 
-def peel(table: Column, cells: int, salt: int = 0) -> Column:
-    """How many digests are in a table of differences; null if it can't be peeled empty."""
+
+def peel(difference: Column, cells: Column, salt: Column) -> Column:
+    """The digests (x, n) of a difference, n 1 for those of the first version and -1 for those of the second; null if it can't be peeled empty."""
     pure = lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"]))
-    bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("bigint"), j)
 
     def one_round(state: Column, _: Column) -> Column:
         # a digest that is alone in several cells is taken out once
         found = F.array_distinct(F.transform(F.filter(state["t"], pure), lambda c: _placed(c["x"], c["n"], cells, salt)))
-        take = lambda gone: F.when(F.size(gone) > 0, F.struct(F.transform(state["t"], lambda c, j: _with(c, gone, bit(j), False)).alias("t"), (state["k"] + F.size(gone)).alias("k"), F.lit(True).alias("on"))).otherwise(F.struct(state["t"].alias("t"), state["k"].alias("k"), F.lit(False).alias("on")))
+        mine = lambda gone, g: F.filter(gone, lambda p: (p["a"] == g) | (p["b"] == g) | (p["d"] == g))
+        names = lambda gone: F.transform(gone, lambda p: F.struct(p["x"].alias("x"), p["n"].alias("n")))
+        take = lambda gone: F.struct(F.when(F.size(gone) > 0, F.transform(state["t"], lambda c, g: _with(c, mine(gone, g), False))).otherwise(state["t"]).alias("t"), F.concat(state["k"], names(gone)).alias("k"), (F.size(gone) > 0).alias("on"))
         return F.when(state["on"], let(found, take)).otherwise(state)
 
-    start = F.struct(table.alias("t"), F.lit(0).alias("k"), F.lit(True).alias("on"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round, lambda s: F.when(F.forall(s["t"], lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0)), s["k"]))
+    start = F.struct(difference.alias("t"), F.array().cast(_FOUND).alias("k"), F.lit(True).alias("on"))
+    empty = lambda t: F.forall(t, lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round, lambda s: F.when(empty(s["t"]), s["k"]))
 
 
-def differing(items: str) -> Column:
-    """How many digests two versions don't share; items: one part's digests of both, signs 1 and -1.
+def differing(one: Column, other: Column) -> Column:
+    """The digests that two arrays don't share, as `peel` has them: sketches of both, subtracted and peeled; each failure doubles the cells.
 
-    Tables double on failure; what the largest can't peel is told by plain comparison.
+    A sketch of 2048 cells a table for a part of some digests fails ten times over with no chance
+    worth naming; the job would then fail rather than give a wrong result.
     """
-    tries = [peel(sketch(F.col(items), CELLS << k, k), CELLS << k, k) for k in range(RETRIES + 1)]
-    side = lambda s: F.transform(F.filter(items, lambda x: x["sign"] == s), lambda x: x["x"])
-    plain = F.size(F.array_except(side(1), side(-1))) + F.size(F.array_except(side(-1), side(1)))
-    return F.coalesce(*tries, plain)
+
+    def attempt(found: Column, k: Column) -> Column:
+        cells = (F.lit(CELLS) * F.pow(F.lit(2), k)).cast("int")
+        return F.when(found.isNotNull(), found).otherwise(let(cells, lambda n: peel(subtract(sketch(one, n, k), sketch(other, n, k)), n, k)))
+
+    got = F.aggregate(F.sequence(F.lit(0), F.lit(DOUBLINGS - 1)), F.lit(None).cast(_FOUND), attempt)
+    return F.coalesce(got, F.raise_error(F.lit("a sketch could not be peeled")).cast(_FOUND))
 
 
 def following(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id) for distinct non-null ids, after the last the first; no task sees more than 2 ** BLOCK_LOG2 of them in order.
+    """(doc_id, next_id) for distinct non-null ids, after the last the first.
 
-    Neighbours inside a block of ids are told by a window; the last of a block is followed by the
-    first of the next block that has any, found likewise among blocks, and among blocks of blocks.
+    Ids are dealt by ranges, whatever their values; neighbours inside a range are told by a window,
+    and the last of a range is followed by the first of the next, of which there are as many as partitions.
     """
+    dealt = cut(ids.select(F.col("doc_id").alias("id")).repartitionByRange("id").withColumn("p", F.spark_partition_id()))
+    inside = dealt.withColumn("next", F.lead("id").over(Window.partitionBy("p").orderBy("id")))
+    firsts = dealt.groupBy("p").agg(F.min("id").alias("first"))
+    after = firsts.select("p", F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("first")).alias("after"), F.min("first").over(Window.partitionBy(F.lit(0))).alias("least"))
+    return inside.join(F.broadcast(after), "p").select(F.col("id").alias("doc_id"), F.coalesce("next", "after", "least").alias("next_id"))
 
-    def next_of(d: DataFrame, level: int) -> DataFrame:
-        """(id, next): null for the last."""
-        if level == 0:
-            return d.select("id", F.lead("id").over(Window.partitionBy().orderBy("id")).alias("next"))
-        d = d.withColumn("b", F.shiftright("id", BLOCK_LOG2))
-        inside = d.withColumn("next", F.lead("id").over(Window.partitionBy("b").orderBy("id")))
-        blocks = d.groupBy("b").agg(F.min("id").alias("first"))
-        up = next_of(blocks.select(F.col("b").alias("id")), level - 1)
-        up = up.join(blocks.select(F.col("b").alias("next"), "first"), "next", "left").select(F.col("id").alias("b"), F.col("first").alias("after"))
-        return inside.join(up, "b").select("id", F.coalesce("next", "after").alias("next"))
 
-    got = next_of(ids.select(F.col("doc_id").alias("id")), 2)
-    least = ids.agg(F.min("doc_id").alias("least"))
-    return got.crossJoin(F.broadcast(least)).select(F.col("id").alias("doc_id"), F.coalesce("next", "least").alias("next_id"))
+def _first_sketch(digests: str) -> Column:
+    return sketch(F.col(digests), F.lit(CELLS), F.lit(0))
 
 
-def _serial(digests: str) -> Column:
-    """A text's fingerprint: its number of paragraphs and 128 bits of its first table's cells."""
-    items = F.transform(digests, lambda x: F.struct(x.alias("x"), F.lit(1).alias("sign")))
-    table = sketch(items, CELLS)
-    return let(table, lambda t: F.concat(F.size(digests).cast("string"), F.lit(":"), *[F.lpad(F.lower(F.hex(F.xxhash64(t, F.lit(k)))), 16, "0") for k in range(2)]))
+def _serial(digests: str, cells: str) -> Column:
+    """A fingerprint: the number of paragraphs, then the cells of the smallest sketch in hexadecimal, count, digests and check values."""
+    wide = lambda x, n: F.right(F.lpad(F.hex(x), F.lit(16), F.lit("0")), F.lit(n))
+    cell = lambda c: F.concat(wide(c["n"].cast("bigint"), 4), wide(c["x"], 16), wide(c["c"], 8))
+    return F.lower(F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(F.transform(cells, cell), "")))
 
 
 _NO_ID = -(1 << 63)
@@ -119,13 +135,18 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of `docs`.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, removed, added) of every row of `docs`.
+
+    removed and added: the digests of paragraphs that the edited text lacks and that it alone has, as
+    recovered from the sketches. Likeness is 1 less the share of digests that differ in those of both.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the
     next document's text. A null or empty text has no paragraphs; two texts without paragraphs are
     alike (1). Of documents with the same id, the one whose text begins smallest is what the id
     before it is followed by, and all of them are followed by the same text. A row without an id is
-    followed by the first document and follows none; a single document follows itself.
+    followed by the first document and follows none; a single document follows itself. Repeated rows
+    give a row each; an empty table gives none. Long texts have more parts, not larger ones. Other
+    columns, whatever they are called, aren't looked at.
     """
     rows = _texts(docs)
     ids = rows.select("k").where(F.col("k") != _NO_ID).distinct().withColumnRenamed("k", "doc_id")
@@ -135,27 +156,39 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     need = rows.groupBy("k").agg(F.max(F.floor(F.length("text") / 2)).cast("int").alias("need"))
     follow = follow.join(need, follow["doc_id"] == need["k"]).select(F.col("doc_id").alias("to"), F.col("next_id").alias("k"), "need")
     # only as much of the next text as the edit needs travels, and its paragraphs' digests
-    heads = rows.join(follow, "k").select("to", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("head"), _digests("text").alias("digests")).alias("next"))
+    heads = rows.join(follow, "k").select("to", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("head"), _digests(F.col("text")).alias("digests")).alias("next"))
     heads = heads.groupBy("to").agg(F.min("next").alias("next"))
     both = rows.join(heads, rows["k"] == heads["to"], "left").withColumn("n_chars", F.length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.coalesce("next.head", F.lit("")), F.lit(1), half))
     both = both.withColumn("edited", edited).withColumn("row", F.monotonically_increasing_id())
-    both = both.select("k", "row", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), _digests("text").alias("own"), _digests("edited").alias("other"), F.coalesce("next.digests", F.array().cast("array<bigint>")).alias("following"))
-    both = both.withColumn("fingerprint", _serial("own")).withColumn("edited_fingerprint", _serial("other"))
-    both = both.withColumn("sum0", F.size("own") + F.size("other")).withColumn("sum1", F.size("own") + F.size("following"))
-    carried = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "sum0", "sum1"]
-    # each pair's digests go into parts that don't grow with the text; a row's results travel beside them
-    def entries(pair: int, other: str) -> list[Column]:
-        parts = F.greatest(F.lit(1), F.ceil(F.col(f"sum{pair}") / PART_ITEMS)).cast("bigint")
-        return [F.transform(side, lambda x: F.struct(F.lit(pair).alias("pair"), F.pmod(F.xxhash64(x, F.lit(-2)), parts).alias("part"), x.alias("x"), F.lit(sign).alias("sign"))) for side, sign in (("own", 1), (other, -1))]
+    both = both.select("k", "row", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), _digests(F.col("text")).alias("own"), _digests(F.col("edited")).alias("other"), F.coalesce("next.digests", F.array().cast("array<bigint>")).alias("following"))
+    both = both.select("*", *[_first_sketch(c).alias(f"{c}_sketch") for c in ("own", "other", "following")])
+    # the fingerprints themselves are compared first
+    small = lambda c: peel(subtract(F.col("own_sketch"), F.col(f"{c}_sketch")), F.lit(CELLS), F.lit(0))
+    both = both.select("*", small("other").alias("found0"), small("following").alias("found1"))
+    own_row = F.struct("n_chars", "edited_sha256", _serial("own", "own_sketch").alias("fingerprint"), _serial("other", "other_sketch").alias("edited_fingerprint"), (F.size("own") + F.size("other")).alias("sum0"), (F.size("own") + F.size("following")).alias("sum1"), "found0", F.size("found1").alias("differ1"))
+    # what they can't tell goes into parts that don't grow with the text; a row's own results travel beside those
+    def entries(pair: int, other: str) -> Column:
+        parts = F.greatest(F.lit(1), F.ceil((F.size("own") + F.size(other)) / PART_ITEMS)).cast("bigint")
+        sides = [F.transform(side, lambda x: F.struct(F.lit(pair).alias("pair"), F.pmod(F.xxhash64(x, F.lit(-2)), parts).alias("part"), x.alias("x"), F.lit(sign).alias("sign"))) for side, sign in (("own", 1), (other, -1))]
+        return F.when(F.col(f"found{pair}").isNull(), F.concat(*sides)).otherwise(F.array().cast("array<struct<pair: int, part: bigint, x: bigint, sign: int>>"))
 
     head = F.array(F.struct(F.lit(2).alias("pair"), F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("x"), F.lit(0).alias("sign")))
-    items = both.select("k", "row", F.struct(*carried).alias("own_row"), F.explode(F.concat(head, *entries(0, "other"), *entries(1, "following"))).alias("e"))
+    items = both.select("k", "row", own_row.alias("own_row"), F.explode(F.concat(head, entries(0, "other"), entries(1, "following"))).alias("e"))
     mine = F.col("e.pair") == 2
     items = items.select("k", "row", "e.pair", "e.part", F.when(~mine, F.struct("e.x", "e.sign")).alias("item"), F.when(mine, F.col("own_row")).alias("own_row"))
     parts = items.groupBy("k", "row", "pair", "part").agg(F.collect_list("item").alias("items"), F.first("own_row", True).alias("own_row"))
-    parts = parts.withColumn("differ", F.when(F.col("pair") < 2, differing("items")))
-    total = parts.groupBy("k", "row").agg(F.first("own_row", True).alias("r"), *[F.coalesce(F.sum(F.when(F.col("pair") == p, F.col("differ"))), F.lit(0)).alias(f"differ{p}") for p in (0, 1)])
-    near = lambda p: F.when(F.col(f"r.sum{p}") > 0, 1.0 - F.col(f"differ{p}") / F.col(f"r.sum{p}")).otherwise(1.0)
-    return total.select(F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), "r.n_chars", "r.edited_sha256", "r.fingerprint", "r.edited_fingerprint", near(0).alias("near_edited"), near(1).alias("near_next"))
+    side = lambda s: F.transform(F.filter("items", lambda x: x["sign"] == s), lambda x: x["x"])
+    parts = parts.withColumn("found", F.when(F.col("pair") < 2, differing(side(1), side(-1))))
+    total = parts.groupBy("k", "row").agg(
+        F.first("own_row", True).alias("r"), F.flatten(F.collect_list(F.when(F.col("pair") == 0, F.col("found")))).alias("found0"), F.sum(F.when(F.col("pair") == 1, F.size("found"))).alias("differ1")
+    )
+    total = total.withColumn("found", F.coalesce("r.found0", "found0"))
+    near = lambda differ, whole: F.when(whole > 0, 1.0 - differ / whole).otherwise(1.0)
+    whose = lambda n: F.array_sort(F.transform(F.filter("found", lambda x: x["n"] == n), lambda x: x["x"]))
+    return total.select(
+        F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), "r.n_chars", "r.edited_sha256", "r.fingerprint", "r.edited_fingerprint",
+        near(F.size("found"), F.col("r.sum0")).alias("near_edited"), near(F.when(F.col("r.differ1") >= 0, F.col("r.differ1")).otherwise(F.col("differ1")), F.col("r.sum1")).alias("near_next"),
+        whose(1).alias("removed"), whose(-1).alias("added"),
+    )

@@ -46,11 +46,15 @@ def by_id(frame):
     return {r["doc_id"]: r for r in frame.collect()}
 
 
+def pieces(t):
+    cut = lambda size, x: re.findall(size, x)
+    return set(cut(fingerprints.SHORT, t[: fingerprints.START])) | set(cut(fingerprints.LONG, t[fingerprints.START :]))
+
+
 def test_fingerprints(docs, empty, spark):
     got = by_id(fingerprints.fingerprint(docs))
     texts = {i: t or "" for i, t, *_ in TEXTS}
     ids = sorted(texts)
-    parts = lambda t: set(re.findall(fingerprints.PARAGRAPH, t))
     near = lambda a, b: 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
     for k, i in enumerate(ids):
         t, nxt = texts[i], texts[ids[(k + 1) % len(ids)]]
@@ -58,20 +62,35 @@ def test_fingerprints(docs, empty, spark):
         edited = t[: len(t) - h] + nxt[:h]
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.near_edited == pytest.approx(near(parts(t), parts(edited))) and r.near_next == pytest.approx(near(parts(t), parts(nxt)))
-    assert got[0].fingerprint == got[1].fingerprint != got[4].fingerprint and got[0].near_next == 1
+        a, b = pieces(t), pieces(edited)
+        assert r.near_edited == pytest.approx(near(a, b)) and r.near_next == pytest.approx(near(a, pieces(nxt)))
+        assert (len(r.removed), len(r.added)) == (len(a - b), len(b - a))
+        assert r.fingerprint.startswith(f"{len(a)}:") and len(r.fingerprint.partition(":")[2]) == 12 * 28
+    assert got[0].fingerprint == got[1].fingerprint != got[4].fingerprint and got[0].near_next == 1 and 0.3 < got[4].near_edited < 1
     assert fingerprints.fingerprint(docs).count() == len(TEXTS) and fingerprints.fingerprint(empty).count() == 0
     none = spark.createDataFrame([(None, "a"), (5, "bc"), (9000, "d"), (1 << 40, "e")], "doc_id long, text string")
     assert {r.doc_id: r.n_chars for r in fingerprints.fingerprint(none).collect()} == {None: 1, 5: 2, 9000: 1, 1 << 40: 1}
 
 
+def test_next_ids_of_any_values(spark):
+    import random
+
+    rng = random.Random(3)
+    ids = sorted({rng.randrange(-(1 << 62), 1 << 62) for _ in range(500)})
+    got = {r.doc_id: r.next_id for r in fingerprints.following(spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(7)).collect()}
+    assert got == dict(zip(ids, [*ids[1:], ids[0]]))
+
+
 def test_sketch_fails_then_grows(spark):
-    """More digests than the first tables can hold are still all recovered."""
+    """Sketches subtract; more digests than the first can hold are still all recovered, with their side."""
     from pyspark.sql import functions as F
 
-    d = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.struct(F.xxhash64(i).alias("x"), F.lit(1).alias("sign"))).alias("items"))
-    assert d.select(fingerprints.peel(fingerprints.sketch(F.col("items"), 8), 8)).first()[0] is None
-    assert d.select(fingerprints.differing("items")).first()[0] == 60
+    numbers = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: F.xxhash64(i))
+    d = spark.range(1).select(numbers(1, 60).alias("one"), numbers(21, 90).alias("other"), numbers(3, 61).alias("near"))
+    small = lambda c: fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("one"), F.lit(4), F.lit(0)), fingerprints.sketch(F.col(c), F.lit(4), F.lit(0))), F.lit(4), F.lit(0))
+    r = d.select(small("other").alias("fails"), small("near").alias("few"), fingerprints.differing(F.col("one"), F.col("other")).alias("all"), numbers(1, 90).alias("x")).first()
+    assert r["fails"] is None and sorted((x.x, x.n) for x in r["few"]) == sorted([(r.x[0], 1), (r.x[1], 1), (r.x[60], -1)])
+    assert sorted((x.x, x.n) for x in r["all"]) == sorted([(r.x[i], 1) for i in range(20)] + [(r.x[i], -1) for i in range(60, 90)])
 
 
 def test_languages(docs, empty):
