@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.llm._bytes import LOWER, slices, word_hashes
+from lumenvec.llm._bytes import LOWER, slices, small_batches, word_hashes
 
 KINDS = ("assign", "access", "hex", "crf")
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
@@ -322,9 +322,12 @@ def training_set(texts: list[str], seed: int = 7) -> tuple[np.ndarray, ...]:
 
 
 def train(docs: DataFrame, most: int = SAMPLE_LINES) -> Field:
-    """A field from a bounded sample: lines of at most 600 characters of the documents whose hash of the text is smallest."""
+    """A field from a bounded sample: four lines in a row, of at most 600 characters each, from a place in each document that its hash draws; documents are drawn by the hash too."""
     line = F.expr("filter(split(text, '\\n'), x -> length(x) between 1 and 600)")
-    few = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.slice(line, 1, 4).alias("lines")).where("size(lines) > 0").orderBy("h").limit(most // 2)
+    # a fair sample by a hash: about twice as many documents as are wanted come to the driver, however many there are
+    share = min(1.0, most / max(docs.count(), 1))
+    hashed = docs.where("text is not null").withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+    few = hashed.select("h", F.slice(line, 1 + F.pmod(F.shiftright("h", 41), F.greatest(F.lit(1), F.size(line) - 3)).cast("int"), 4).alias("lines")).where("size(lines) > 0").orderBy("h").limit(most // 2)
     texts = [t for r in few.collect() for t in r["lines"]][:most]
     # what a field needs to see even if the sample is empty or has no such lines
     texts += ["See https://example.org/a/b-c_d?x=1 or call +1 (555) 010-0199 now.", "id 20240131-17 costs $1,299.00 (v2.10.3)", "Order A12345678 shipped to 10.0.0.1:8080", "password reset and token rules: see key = value"] * 20
@@ -398,8 +401,10 @@ def _redacted(text: bytes, found: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Every row of `docs` with all its columns, secrets in its text replaced by [kind], and n_chars, if there, that of the new text.
 
-    A null text stays null.
+    A null text stays null, an empty one empty; repeated rows are treated alike; an empty table gives
+    none. A very long text is worked on whole, by itself. Columns may have any names.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field or train(docs))
     at, counted = docs.columns.index("text"), "n_chars" in docs.columns
     rows = docs.withColumn("text", F.col("text").cast("string"))
@@ -419,32 +424,15 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """(doc_id, spans array<struct<kind, start, end>>, redacted text) of every row; secrets give way to [kind].
-
-    Offsets are in code points, the end exclusive. A null text stays null and has no spans.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(field or train(docs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
-            null = b.column(1).is_null().to_pylist()
-            spans, clean = [], []
-            for r, text, found in _scan(b.column(1), shared.value):
-                spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in _points(text, found)])
-                clean.append(None if null[r] else _redacted(text, found))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind), pa.array(clean, pa.string())], ["doc_id", "spans", "redacted"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, spans array<struct<kind: string, start: bigint, end: bigint>>, redacted string")
-
-
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Counts and digests of the spans of every row of `docs`.
 
     A null or empty text has none: counts of 0, the digest of an empty string. Repeated rows are
-    scanned each. Spans of the field that overlap a fixed pattern's are left out.
+    scanned each; an empty table gives no rows. A very long text is scanned whole, by itself. Spans of
+    the field that overlap a fixed pattern's are left out; of spans with the same start the kind first
+    in KINDS comes first. Columns other than doc_id (null or not) and text aren't looked at.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field or train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
