@@ -4,11 +4,12 @@ The model is a decomposed context tree: each byte is coded by its 8 binary decis
 significant first; every node (a context of 0 to DEPTH preceding bytes, and the bits so far) has a
 Krichevsky-Trofimov estimate of its counts, and a node's weighted probability is the even mixture
 of that estimate and of the product over its children, contexts one byte longer. Counts come from
-all training texts, and every context found there is a node, so the tree grows with the corpus. It is
-a table of counts, dealt by the last two bytes of the context: what hangs below two bytes is at most 256
-contexts, weighed together in one task, and what is above them is 257 contexts on the driver. What
-comes out is a table of the log probability of each 4-byte string of the texts. Its common rows are
-broadcast, the others are joined to the strings that need them.
+all training texts, and every context found there is a node, so the tree grows with the corpus; where a
+text leaves what training texts reach, the deepest node that they reach speaks. The tree is
+a table of counts, dealt by the last two bytes of the context: what hangs below is weighed in one task, and
+what is above is 257 contexts on the driver. What comes out is a table of the log probability of each
+string of DEPTH + 1 bytes of the texts. Its common rows are broadcast, the others are joined to the
+strings that need them.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.llm._bytes import LOWER, slices, word_hashes, words
+from lumenvec.llm._bytes import LOWER, mix, slices, small_batches, word_hashes, words
 from lumenvec.llm.langid import held_out
 
-DEPTH = 3
+#: Bytes of the longest contexts.
+DEPTH = 5
 #: Strings that make up such a share of all are looked up in each task, the others joined; it changes the work, not results.
-COMMON_GRAMS = 2.0**-20
+COMMON_GRAMS = 2.0**-22
 _SLOTS_LOG2 = 22
 #: Rows of a block of the tree that is weighed at once; more only where contexts of the same last two bytes have more.
 BLOCK_ROWS = 4096
@@ -34,7 +36,6 @@ BLOCK_ROWS = 4096
 COMMON_WORDS = 1 << 16
 #: The end token's key; no word's hash is used for it.
 END = 0
-SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 _WORD, _GRAM = 0, 1
 
 
@@ -45,14 +46,17 @@ def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _grams(lowered: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte and an end mark (a zero byte) of each text, itself after the three bytes before it (zero bytes before a text's start), and the offsets by row."""
+    """For every byte and an end mark (a zero byte) of each text, itself after the DEPTH bytes before it (zero bytes before a text's start), and the offsets by row."""
     rows = len(offsets) - 1
-    pad = np.zeros(len(lowered) + DEPTH * rows + rows, np.uint32)
+    pad = np.zeros(len(lowered) + DEPTH * rows + rows, np.int64)
     own = np.arange(len(lowered)) + np.repeat((DEPTH + 1) * np.arange(rows) + DEPTH, np.diff(offsets))
     pad[own] = lowered
     to = offsets + (DEPTH + 1) * np.arange(rows + 1)
-    gram = (pad[:-3] << 24) | (pad[1:-2] << 16) | (pad[2:-1] << 8) | pad[3:]
-    keep = np.ones(len(gram), bool)
+    n = len(pad) - DEPTH
+    gram = np.zeros(n, np.int64)
+    for k in range(DEPTH + 1):
+        gram = gram << 8 | pad[k : k + n]
+    keep = np.ones(n, bool)
     for k in range(1, DEPTH + 1):
         keep[(to[1:-1] - k)] = False
     return gram[keep], offsets + np.arange(rows + 1)
@@ -67,7 +71,7 @@ def _counted(held: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """(kind, key, n, every): counts of word hashes in training texts and of 4-byte strings in training and in all texts of (text, held_out), summed in each task first."""
+    """(kind, key, n, every): counts of word hashes in training texts and of strings of DEPTH + 1 bytes in training and in all texts of (text, held_out), summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
@@ -98,7 +102,7 @@ def count(docs: DataFrame) -> DataFrame:
                 add(_GRAM, gram[of_gram], True)
                 add(_GRAM, gram[~of_gram], False)
                 for kind in (_WORD, _GRAM):
-                    if size[kind] > 3_000_000:
+                    if size[kind] > 1_000_000:
                         yield from out(kind)
         yield from out(_WORD)
         yield from out(_GRAM)
@@ -127,142 +131,58 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From counts [.., 256] of bytes, zeros and ones [.., 256] of the binary nodes, node 1 the root."""
-    zeros, ones = np.zeros(counts.shape), np.zeros(counts.shape)
-    level = counts.astype(float)
-    for depth in range(7, -1, -1):
-        zeros[..., 1 << depth : 2 << depth], ones[..., 1 << depth : 2 << depth] = level[..., 0::2], level[..., 1::2]
-        level = level[..., 0::2] + level[..., 1::2]
-    return zeros, ones
-
-
-class Tree:
-    """A tree held whole in one process, contexts left out or not, as log10 probabilities of bytes; what the dealt tree is compared with."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
-        """parts: by depth, context << 8 | byte and its count, for all contexts that are nodes."""
-        self.nodes: list[np.ndarray] = []  # by depth, the contexts, sorted; a context's last byte is its lowest
-        counts = []
-        for key, n in parts:
-            nodes, at = np.unique(key.astype(np.int64) >> 8, return_inverse=True)
-            table = np.zeros((len(nodes), 256))
-            np.add.at(table, (at, key.astype(np.int64) & 255), n)
-            self.nodes.append(nodes)
-            counts.append(table)
-        if not len(self.nodes[0]):
-            self.nodes[0], counts[0] = np.zeros(1, np.int64), np.zeros((1, 256))
-        # upwards: log weighted probability of each binary node
-        weigh: list[tuple] = [()] * (DEPTH + 1)
-        below = None
-        for depth in range(DEPTH, -1, -1):
-            zeros, ones = _bits(counts[depth])
-            own = _kt(zeros, ones)
-            if depth == DEPTH or not len(self.nodes[depth + 1]):
-                weigh[depth] = (zeros, ones, own, None, None)
-                below = own
-                continue
-            parent = np.searchsorted(self.nodes[depth], self.nodes[depth + 1] & ((1 << 8 * depth) - 1))
-            rest = counts[depth].copy()
-            np.subtract.at(rest, parent, counts[depth + 1])
-            rest_zeros, rest_ones = _bits(rest)
-            split = _kt(rest_zeros, rest_ones)
-            np.add.at(split, parent, below)
-            has = np.zeros(len(own), bool)
-            has[parent] = True
-            total = np.where(has[:, None], np.logaddexp(own, split) - np.log(2), own)
-            # the share of the node's own estimate once all training counts are in
-            weigh[depth] = (zeros, ones, own, np.where(has[:, None], np.exp(own - np.log(2) - total), 1.0), (rest_zeros, rest_ones, has))
-            below = total
-        # downwards: probability of a one at each binary node, for deepest nodes and for what remains
-        kt = lambda zeros, ones: (ones + 0.5) / (zeros + ones + 1.0)
-        self.rows: list[np.ndarray] = []  # log2 probabilities, by depth, for the remaining child (or the node if it has none)
-        above = below_above = None
-        for depth in range(DEPTH + 1):
-            zeros, ones, _, alone, rest = weigh[depth]
-            if depth == 0:
-                mixed, left = np.zeros_like(zeros), np.ones_like(zeros)
-            else:
-                parent = np.searchsorted(self.nodes[depth - 1], self.nodes[depth] & ((1 << 8 * (depth - 1)) - 1))
-                mixed, left = above[parent], below_above[parent]
-            alone = np.ones_like(zeros) if alone is None else alone
-            here = mixed + left * alone * kt(zeros, ones)
-            onwards = left * (1 - alone)
-            last = here if rest is None else here + onwards * kt(rest[0], rest[1])
-            self.rows.append(self._bytes_of(last))
-            above, below_above = here, onwards
-        self._index()
-
-    @staticmethod
-    def _bytes_of(one: np.ndarray) -> np.ndarray:
-        """Log10 probability [.., 256] of each byte from the probability of a one at each binary node."""
-        one = np.clip(one, 1e-12, 1 - 1e-12)
-        level = np.zeros((len(one), 1))
-        for depth in range(8):
-            p = one[:, 1 << depth : 2 << depth]
-            nxt = np.empty((len(one), 2 << depth))
-            nxt[:, 0::2], nxt[:, 1::2] = level + np.log10(1 - p), level + np.log10(p)
-            level = nxt
-        return level.astype(np.float32)
-
-    def _index(self) -> None:
-        """One table of all rows; by 3-byte context, the row of its deepest node (int32, 64 MB), made by each process for itself."""
-        first = np.cumsum([0, *map(len, self.rows)])
-        self.table = np.concatenate(self.rows)
-        self.first = first[:-1]
-        del self.rows
-        self.at = None
-
-    def place(self) -> np.ndarray:
-        if self.at is None:
-            at = np.zeros(1 << 24, np.int32)
-            wide = at.reshape(256, 256, 256)  # [third last, second last, last]
-            c = self.nodes[1]
-            wide[:, :, c] = self.first[1] + np.arange(len(c), dtype=np.int32)
-            c = self.nodes[2]
-            wide[:, c >> 8, c & 255] = self.first[2] + np.arange(len(c), dtype=np.int32)
-            at[self.nodes[3]] = self.first[3] + np.arange(len(self.nodes[3]), dtype=np.int32)
-            self.at = at
-        return self.at
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "at"} | {"at": None}
-
-    def score(self, lowered: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text with its end mark."""
-        gram, edge = _grams(lowered, offsets)
-        got = self.table.reshape(-1)[self.place()[gram >> 8].astype(np.int64) << 8 | (gram & 255)]
-        return np.add.reduceat(got.astype(np.float64), edge[:-1]) if len(edge) > 1 else np.zeros(0)
+class Block:
+    """Nodes below some contexts of `top` bytes, by depth from `top` to DEPTH, weighed together.
 
+    A node is a context and a binary decision; only those that the strings reach are rows here, so
+    memory follows the strings. key: strings of DEPTH + 1 bytes, n: their training counts, 0 for strings of other texts.
+    """
 
-def _weighed(counts: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of nodes with counts [.., 256] and their children's summed log probabilities: own probability of a one, share of the own estimate, log probability."""
-    zeros, ones = _bits(counts)
+    def __init__(self, key: np.ndarray, n: np.ndarray, top: int = 2, depth: int = DEPTH):
+        byte, context = key & 255, key >> 8
+        bit = np.arange(8)
+        node = (1 << bit) | (byte[:, None] >> (8 - bit))
+        self.one = (byte[:, None] >> (7 - bit)) & 1
+        ids, at = np.unique((context[:, None] << 8 | node).ravel(), return_inverse=True)
+        self.at = at.reshape(node.shape)  # of each string, its eight nodes
+        n = np.repeat(n.astype(float), 8)
+        ones = self.one.ravel().astype(float)
+        self.levels: list[tuple] = []  # from DEPTH up: (ids, zeros, ones, own, total, parent in the next)
+        zeros, ones, below = np.bincount(at, n * (1 - ones), len(ids)), np.bincount(at, n * ones, len(ids)), None
+        for d in range(depth, top - 1, -1):
+            own, total = weigh(zeros, ones, below)
+            up, parent = np.unique((ids >> 8 & ((1 << 8 * max(d - 1, 0)) - 1)) << 8 | (ids & 255), return_inverse=True)
+            self.levels.append((ids, zeros, ones, own, total, parent))
+            ids, below = up, np.bincount(parent, total, len(up))
+            zeros, ones = np.bincount(parent, zeros, len(up)), np.bincount(parent, ones, len(up))
+        self.above = (ids, zeros, ones, below)
+
+    def logs(self, mixed: np.ndarray, left: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Log10 probability of each string's last byte, from what the nodes of `above` say (see `descend`)."""
+        for k in range(len(self.levels) - 1, -1, -1):
+            _, zeros, ones, own, total, parent = self.levels[k]
+            mixed, left, stop = descend(zeros, ones, own, total, mixed[parent], left[parent], stop[parent], k == 0)
+        p = np.clip(stop, 1e-12, 1 - 1e-12)[self.at]
+        return np.log10(np.where(self.one, p, 1 - p)).sum(1)
+
+
+def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the own estimate and of the weighted probability; below: the children's summed log probabilities, None at the greatest depth."""
     own = _kt(zeros, ones)
-    total = np.logaddexp(own, below) - np.log(2)
-    return (ones + 0.5) / (zeros + ones + 1.0), np.exp(own - np.log(2) - total), total
+    return own, own if below is None else np.logaddexp(own, below) - np.log(2)
 
 
-class _Block:
-    """The contexts of three bytes below some contexts of two, weighed."""
+def descend(zeros, ones, own, total, mixed, left, stop, last: bool):
+    """One depth further down: what the estimates so far say of a one, the share that is left to deeper ones, and what is said if nothing is deeper.
 
-    def __init__(self, key: np.ndarray, n: np.ndarray):
-        self.nodes, self.at = np.unique(key >> 8, return_inverse=True)
-        counts = np.zeros((len(self.nodes), 256))
-        np.add.at(counts, (self.at, key & 255), n)
-        zeros, ones = _bits(counts)
-        self.one = (ones + 0.5) / (zeros + ones + 1.0)
-        self.above, self.parent = np.unique(self.nodes & 0xFFFF, return_inverse=True)
-        self.counts, below = np.zeros((len(self.above), 256)), np.zeros((len(self.above), 256))
-        np.add.at(self.counts, self.parent, counts)
-        np.add.at(below, self.parent, _kt(zeros, ones))
-        self.own, self.alone, self.total = _weighed(self.counts, below)
-
-    def logs(self, here: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Log10 probability [context, 256] of bytes, from what the contexts of one byte say and leave."""
-        last = self.above & 255
-        mixed, left = here[last] + left[last] * self.alone * self.own, left[last] * (1 - self.alone)
-        return Tree._bytes_of(mixed[self.parent] + left[self.parent] * self.one)
+    A node that no training text reaches says nothing: all that is left goes to the deepest that one reaches.
+    """
+    some = zeros + ones > 0
+    p = (ones + 0.5) / (zeros + ones + 1.0)
+    alone = np.ones(len(p)) if last else np.exp(own - np.log(2) - total)
+    here = mixed + left * alone * p
+    onwards = left * (1 - alone)
+    return np.where(some, here, stop), np.where(some, onwards, 0.0), np.where(some, here + onwards * p, stop)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -286,32 +206,34 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def log_probabilities(grams: DataFrame) -> DataFrame:
-    """(key, log): log10 probability of the last byte of each 4-byte string after the three before it; grams: (key, n), n 0 where training texts lack it."""
+    """(key, log): log10 probability of the last byte of each string after those before it; grams: (key, n), n 0 where training texts lack it."""
     above = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
     dealt = grams.select("key", "n").repartition(above).sortWithinPartitions(above).persist(StorageLevel.DISK_ONLY)
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, below = np.zeros((256, 256)), np.zeros((256, 256))
+        sums = np.zeros((3, 1 << 16))
         for key, n in _blocks(batches):
-            block = _Block(key, n)
-            np.add.at(counts, block.above & 255, block.counts)
-            np.add.at(below, block.above & 255, block.total)
-        at = np.flatnonzero((counts != 0) | (below != 0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at]), pa.array(below.ravel()[at])], ["at", "n", "below"])
-
-    got = dealt.mapInArrow(up, "at bigint, n double, below double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("below").alias("below")).toArrow()
-    counts, below = np.zeros(1 << 16), np.zeros(1 << 16)
-    counts[got.column(0).to_numpy()], below[got.column(0).to_numpy()] = got.column(1).to_numpy(), got.column(2).to_numpy()
-    counts = counts.reshape(256, 256)
-    own, alone, total = _weighed(counts, below.reshape(256, 256))
-    root, root_alone, _ = _weighed(counts.sum(0), total.sum(0))
-    here = root_alone * root + (1 - root_alone) * alone * own
-    shared = grams.sparkSession.sparkContext.broadcast((here, (1 - root_alone) * (1 - alone)))
+            ids, *values = Block(key, n).above
+            for total, value in zip(sums, values):
+                np.add.at(total, ids, value)
+        at = np.flatnonzero((sums != 0).any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(x[at]) for x in sums]], ["at", "zeros", "ones", "below"])
+
+    got = dealt.mapInArrow(up, "at bigint, zeros double, ones double, below double").groupBy("at").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
+    zeros, ones, below = np.zeros((3, 1 << 16))
+    for k, x in enumerate((zeros, ones, below)):
+        x[got.column(0).to_numpy()] = got.column(k + 1).to_numpy()
+    # contexts of one byte, then of none
+    own, total = weigh(zeros, ones, below)
+    fold = lambda x: x.reshape(256, 256).sum(0)
+    root_own, root_total = weigh(fold(zeros), fold(ones), fold(total))
+    root = descend(fold(zeros), fold(ones), root_own, root_total, np.zeros(256), np.ones(256), np.full(256, 0.5), False)
+    shared = grams.sparkSession.sparkContext.broadcast(descend(zeros, ones, own, total, *[np.tile(x, 256) for x in root], False))
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n in _blocks(batches):
-            block = _Block(key, n)
-            log = block.logs(*shared.value)[block.at, key & 255].astype(np.float64)
+            block = Block(key, n)
+            log = block.logs(*[x[block.above[0]] for x in shared.value])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(log)], ["key", "log"])
 
     return dealt.mapInArrow(down, "key bigint, log double")
@@ -322,7 +244,7 @@ class Common:
 
     def __init__(self, key: np.ndarray, log: np.ndarray, n: np.ndarray):
         order = np.lexsort((key, n))
-        self.key, self.log = key[order].astype(np.uint32), log[order]
+        self.key, self.log = key[order], log[order]
         self.table = None
 
     def __getstate__(self):
@@ -330,12 +252,12 @@ class Common:
 
     @staticmethod
     def slot(gram: np.ndarray) -> np.ndarray:
-        return (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS_LOG2)
+        return (mix(gram.view(np.uint64)) >> np.uint64(64 - _SLOTS_LOG2)).astype(np.int64)
 
     def __call__(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which strings are known, and the log probability of each (0 where not)."""
         if self.table is None:
-            keys, logs = np.zeros(1 << _SLOTS_LOG2, np.uint32), np.full(1 << _SLOTS_LOG2, np.nan, np.float32)
+            keys, logs = np.full(1 << _SLOTS_LOG2, -1, np.int64), np.full(1 << _SLOTS_LOG2, np.nan, np.float32)
             at = self.slot(self.key)
             keys[at], logs[at] = self.key, self.log
             self.table = keys, logs
@@ -372,20 +294,23 @@ def _scored(docs: DataFrame, grams, common, n_train: int, v_train: int) -> DataF
                 rare = np.flatnonzero(~known_gram)
                 rare_edge = np.searchsorted(rare, of).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, rows), pa.array(n), pa.array(seen.astype(np.int64)), pa.array(sums - n * bottom), pa.array(np.add.reduceat(log, of[:-1])), pa.ListArray.from_arrays(pa.array(edge), pa.array(rest)), pa.ListArray.from_arrays(pa.array(rare_edge), pa.array(gram[rare].astype(np.int64)))],
-                    ["doc_id", "n_tokens", "n_known", "base", "score", "rest", "rare"],
+                    [b.column(0).slice(lo, rows), pa.array(n), pa.array(np.diff(of)), pa.array(seen.astype(np.int64)), pa.array(sums - n * bottom), pa.array(np.add.reduceat(log, of[:-1])), pa.ListArray.from_arrays(pa.array(edge), pa.array(rest)), pa.ListArray.from_arrays(pa.array(rare_edge), pa.array(gram[rare]))],
+                    ["doc_id", "n_tokens", "n_bytes", "n_known", "base", "score", "rest", "rare"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<bigint>, rare array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_bytes bigint, n_known bigint, base double, score double, rest array<bigint>, rare array<bigint>")
 
 
 def score(docs: DataFrame, common_grams: float = COMMON_GRAMS, common_words: int = COMMON_WORDS) -> DataFrame:
     """Scores every row of `docs` with what the rows that aren't held out (remainder 2 of 7) teach.
 
-    A null text is empty: one token, the end. Without training rows all counts are 0. Texts of the
-    same row repeated are scored each, and count each in training. A null doc_id is training.
+    bits_per_byte is the code length of a text with its end mark, by its bytes and that mark. A null
+    text is empty: one token, the end. Without training rows all counts are 0, and each bit costs one.
+    Repeated rows are scored each, and count each in training; an empty table gives none. A null
+    doc_id is training. Long texts are taken whole. Other columns aren't looked at, whatever they are called.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(folds=7).alias("held_out"), F.col("text").cast("string").alias("text"))
     counts = count(rows).persist(StorageLevel.DISK_ONLY)
     words_, grams = counts.where(f"kind = {_WORD}").select("key", "n"), counts.where(f"kind = {_GRAM}").select("key", "n", "every")
@@ -401,7 +326,7 @@ def score(docs: DataFrame, common_grams: float = COMMON_GRAMS, common_words: int
     own = _scored(rows, often, common, n_train, v_train)
     # each row gets a name of its own, so that repeated ids stay apart; its sums travel with the first of its entries
     own = own.withColumn("row", F.monotonically_increasing_id())
-    carried = ["doc_id", "n_tokens", "n_known", "base", "score"]
+    carried = ["doc_id", "n_tokens", "n_bytes", "n_known", "base", "score"]
     entries = own.select("row", *carried, F.size("rest").alias("words"), F.posexplode(F.concat(F.array(F.lit(END).cast("bigint")), "rest", "rare")).alias("pos", "key"))
     first = F.col("pos") == 0
     entries = entries.select("row", F.when(first, -1).when(F.col("pos") <= F.col("words"), _WORD).otherwise(_GRAM).alias("kind"), F.when(first, F.col("row")).otherwise(F.col("key")).alias("key"), *[F.when(first, F.col(c)).alias(c) for c in carried])
@@ -411,4 +336,5 @@ def score(docs: DataFrame, common_grams: float = COMMON_GRAMS, common_words: int
     return sums.select(
         "doc_id", held_out(folds=7).alias("held_out"), "n_tokens", (F.col("n_known") + F.col("seen")).alias("n_known"), F.lit(n_train).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rarer", F.lit(0.0))).alias("score"),
+        (-(F.col("score") + F.coalesce("rarer", F.lit(0.0))) / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -236,37 +236,165 @@ def test_scores(docs, empty):
     assert ctw.score(empty).count() == 0
 
 
-def test_tree_probabilities_sum_to_one():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    text = rng.choice(np.frombuffer(b"abcd ", np.uint8), 4000)
-    gram, n = np.unique(ctw._grams(text, np.array([0, 4000]))[0].astype(np.int64), return_counts=True)
-    parts = []
-    for depth in range(4):
-        key, at = np.unique(gram & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
-        parts.append((key, np.bincount(at, n)))
-    tree = ctw.Tree(parts)
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-3)
+class PlainTree:
+    """Context-tree weighting by its definition, one node at a time."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts, self.children = depth, {}, {}
+        for t in texts:
+            past = bytes(depth)
+            for byte in (*t, 0):
+                for d in range(depth + 1):
+                    context = past[depth - d :]
+                    for k in range(8):
+                        key = (context, 1 << k | byte >> 8 - k)
+                        self.counts.setdefault(key, [0, 0])[byte >> 7 - k & 1] += 1
+                        if d:
+                            self.children.setdefault((context[1:], key[1]), set()).add(context)
+                past = (past + bytes([byte]))[1:]
+        self.known = {}
+
+    def own(self, key):
+        from math import lgamma, log, pi
+
+        z, o = self.counts[key]
+        return lgamma(z + 0.5) + lgamma(o + 0.5) - lgamma(z + o + 1) - log(pi)
+
+    def total(self, key):
+        from math import exp, log, log1p
+
+        if key not in self.known:
+            own = self.own(key)
+            if len(key[0]) < self.depth:
+                below = sum(self.total((c, key[1])) for c in self.children[key])
+                high, low = max(own, below), min(own, below)
+                own = high + log1p(exp(low - high)) - log(2)
+            self.known[key] = own
+        return self.known[key]
+
+    def bit(self, past, node):
+        """Probability of a one."""
+        from math import exp, log
+
+        said, left, p = 0.0, 1.0, 0.5
+        for d in range(self.depth + 1):
+            key = (past[self.depth - d :], node)
+            if key not in self.counts:
+                break
+            z, o = self.counts[key]
+            p = (o + 0.5) / (z + o + 1)
+            alone = 1.0 if d == self.depth else exp(self.own(key) - log(2) - self.total(key))
+            said, left = said + left * alone * p, left * (1 - alone)
+        return said + left * p
+
+    def score(self, text):
+        out, past = 0.0, bytes(self.depth)
+        for byte in (*text, 0):
+            for k in range(8):
+                one = self.bit(past, 1 << k | byte >> 8 - k)
+                out += log10(one if byte >> 7 - k & 1 else 1 - one)
+            past = (past + bytes([byte]))[1:]
+        return out
 
 
 def test_every_context_is_a_node(spark):
-    """Contexts far rarer than 2^-16 of the bytes count: the dealt tree says what one with all contexts in one process does, looked up or joined."""
-    import numpy as np
-
-    d = spark.createDataFrame([(i, (EN if i % 2 else DE) * 300 + f" rare{i:03d}") for i in range(60)], "doc_id long, text string").repartition(3)
-    lows = {r.doc_id: np.frombuffer(r.text.translate(LOW).encode(), np.uint8) for r in d.collect()}
-    grams = {i: ctw._grams(x, np.array([0, len(x)]))[0].astype(np.int64) for i, x in lows.items()}
-    key, n = np.unique(np.concatenate([g for i, g in grams.items() if zlib.crc32(str(i).encode()) % 7 != 2]), return_counts=True)
-    parts = []
-    for depth in range(4):
-        k, at = np.unique(key & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
-        parts.append((k, np.bincount(at, n)))
-    tree = ctw.Tree(parts)
-    want = {i: tree.score(x, np.array([0, len(x)]))[0] for i, x in lows.items()}
-    for share in (0.0, ctw.COMMON_GRAMS, 0.01):
+    """The dealt tree says what one by the definition does, strings looked up or joined, in training texts and others, empty and odd ones too."""
+    texts = {i: (EN if i % 2 else DE)[i * 3 : 60 + i * 7] + f" rare{i:03d}é" for i in range(24)} | {24: "", 25: "zzz unseen QQ\x00", 26: None, 27: EN, 28: EN}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    raw = {i: (t or "").translate(LOW).encode() for i, t in texts.items()}
+    plain = PlainTree([t for i, t in raw.items() if zlib.crc32(str(i).encode()) % 7 != 2], ctw.DEPTH)
+    want = {i: plain.score(t) for i, t in raw.items()}
+    for share in (0.0, 0.01):
         got = by_id(ctw.score(d, share))
         assert {i: r.score for i, r in got.items()} == pytest.approx(want, rel=1e-5)
+    assert {i: r.bits_per_byte for i, r in got.items()} == pytest.approx({i: -want[i] / log10(2) / (len(raw[i]) + 1) for i in raw}, rel=1e-5)
+    assert plain.bit(bytes(ctw.DEPTH), 1) != 0.5 and {r.held_out for r in got.values()} == {True, False}
+    past = b"the c"[-ctw.DEPTH :]
+    every = [1.0]
+    for k in range(8):  # all bytes' probabilities after one context
+        every = [q * x for node, q in zip(range(1 << k, 2 << k), every) for x in (1 - plain.bit(past, node), plain.bit(past, node))]
+    assert sum(every) == pytest.approx(1)
+
+
+def test_base_patterns_and_offsets(spark):
+    """Base spans are those of the patterns over code points, whatever stands around them."""
+    rows = {0: 'é😀 password = "abc123" ÄPI_KEY=abcdef12', 1: "x AKIA" + "A" * 15 + " AKIAAB AKIA" + "Z9" * 10 + "é", 2: "dead" * 6 + "\n" + "0" * 23 + "😀" + "f" * 30, 3: "Token:short secret: longenough_=. passwd='12345' passwd='123456'", 4: None, 5: "ApiKey  =  aaaaaa apikey=bbbbbb", 6: "secret=token=abcdef"}
+    assign = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    got = by_id(secret_scan.scan(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), secret_scan.Field()))
+    for i, t in rows.items():
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        base = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[1] == k for x in spans) for k in range(3))
+
+
+def test_viterbi_against_all_labellings():
+    from itertools import product
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    field = secret_scan.Field()
+    field.pair += rng.normal(size=(3, 3))
+    for n in (1, 2, 5, 7):
+        e = rng.normal(size=(n, 3)) * 2
+        value = lambda y: field.start[y[0]] + sum(e[t, y[t]] for t in range(n)) + sum(field.pair[a, b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
+        best = max(product(range(3), repeat=n), key=value)
+        assert value(field.viterbi(e, np.zeros(n, int)).tolist()) == pytest.approx(value(best))
+
+
+def test_field_finds_planted_secrets(spark):
+    """Secrets of shapes that the patterns miss, drawn anew, put into real texts that the training sample may hold without them."""
+    import random
+
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    field = secret_scan.train(docs)
+    rng = random.Random(4321)
+    texts = [r[0] for r in docs.select("text").collect()]
+    planted, where = [], []
+    for t in texts:
+        words = t.split(" ")
+        at = rng.randrange(len(words) + 1)
+        secret = "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(30))
+        head = " ".join([*words[:at], "key: "])
+        planted.append(head + secret + " " + " ".join(words[at:]))
+        where.append((len(head.encode()), len((head + secret).encode())))
+    hit = [any(x < b and y > a for x, _, y in spans) for (_, _, spans), (a, b) in zip(secret_scan._scan(pa.array(planted), field), where)]
+    assert sum(hit) >= 0.9 * len(hit)
+    assert sum(k == 3 for _, _, spans in secret_scan._scan(pa.array(texts), field) for _, k, _ in spans) <= len(texts) // 50
+
+
+@pytest.mark.parametrize("few, block", [(64, 1024), (3, 4)])
+def test_join_of_large_groups(spark, monkeypatch, few, block):
+    """Many copies, many near copies and a passage that unlike documents share; tiles paired as rows, or dealt in blocks."""
+    import random
+
+    monkeypatch.setattr(setjoin, "FEW", few)
+    monkeypatch.setattr(setjoin._blocks, "__defaults__", (block,))
+    rng = random.Random(8)
+    draw = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    stem, passage = draw(120), draw(60)
+    texts = [" ".join(stem)] * 40
+    for k in range(60):
+        w = list(stem)
+        for _ in range(1 + k % 4):
+            w[rng.randrange(120)] = f"n{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join([*draw(5 + k), *passage, *draw(5)]) for k in range(40)]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    part = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if part[i] != part[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                old, new = max(part[i], part[j]), min(part[i], part[j])
+                part = [new if x == old else x for x in part]
+    got = by_id(setjoin.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)))
+    assert [got[i].component_id for i in range(len(texts))] == part
 
 
 def test_failing_and_repeated_lines_go(spark):
