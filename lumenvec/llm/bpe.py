@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumenvec.llm._bytes import LOWER, slices, word_hashes, words
+from lumenvec.llm._bytes import LOWER, slices, small_batches, word_hashes, words
 
 #: Words whose encoding a worker keeps (about 200 bytes a word).
 KEPT_WORDS = 250_000
@@ -286,7 +286,13 @@ def digest_batch(texts: pa.Array, path: str) -> tuple[list[int], list[str], list
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, without sending the ids back to the JVM."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, without sending the ids back to the JVM.
+
+    A null or empty text has no tokens, and digests of an empty string. Repeated rows give a row each;
+    an empty table gives none. Long texts are encoded whole; merges of equal rank go from left to
+    right. Columns other than doc_id (null or not) and text aren't looked at, whatever they are called.
+    """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
