@@ -23,8 +23,8 @@ N = 4
 SHARE = 1 / 20_000
 CELLS_LOG2 = 20
 PROBES = 2
-#: Most languages of one filter (bits of a cell).
-MOST_LANGS = 64
+#: Languages of one plane of the filter (bits of a cell, at most); more languages have more planes, 8 MB each.
+PLANE = 64
 UND = "und"
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
@@ -88,19 +88,17 @@ def count_ngrams(train: DataFrame) -> DataFrame:
 
 
 class Filters:
-    """A bit-sliced Bloom filter: cells of language bits."""
+    """A bit-sliced Bloom filter: cells of language bits, in planes of PLANE languages."""
 
     def __init__(self, grams: dict[str, np.ndarray], cells_log2: int = CELLS_LOG2):
-        if len(grams) > MOST_LANGS:
-            raise ValueError(f"at most {MOST_LANGS} languages")
         self.langs = sorted(grams)
         self.log2 = cells_log2
         kind = np.uint8 if len(grams) <= 8 else np.uint64
-        self.cells = np.zeros(1 << cells_log2, kind)
+        self.cells = np.zeros((-(-max(len(grams), 1) // PLANE), 1 << cells_log2), kind)
         for k, lang in enumerate(self.langs):
             for p in self.probes(grams[lang].astype(np.uint32)):
-                self.cells[p] |= kind(1 << k)
-        fill = np.array([np.count_nonzero(self.cells >> kind(k) & kind(1)) for k in range(len(grams))]) / len(self.cells)
+                self.cells[k // PLANE][p] |= kind(1 << k % PLANE)
+        fill = np.array([np.count_nonzero(self.cells[k // PLANE] >> kind(k % PLANE) & kind(1)) for k in range(len(grams))]) / (1 << cells_log2)
         #: By language, how often an n-gram that it doesn't contain is found all the same.
         self.false = fill**PROBES
 
@@ -108,9 +106,10 @@ class Filters:
         h = mix(gram.astype(np.uint64))
         return [(h >> np.uint64(64 - self.log2 - 20 * k)).astype(np.int64) & ((1 << self.log2) - 1) for k in range(PROBES)]
 
-    def masks(self, gram: np.ndarray) -> np.ndarray:
+    def masks(self, gram: np.ndarray) -> list[np.ndarray]:
+        """By plane, the bits of all languages that contain each n-gram."""
         a, b = self.probes(gram)
-        return self.cells[a] & self.cells[b]
+        return [plane[a] & plane[b] for plane in self.cells]
 
     def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By row, the language's number (-1: none) and the score."""
@@ -120,12 +119,12 @@ class Filters:
         mask = self.masks(gram)
         found = np.empty((rows, n))
         if n <= 8:
-            table = np.bincount(row << 8 | mask, minlength=rows << 8).reshape(rows, 256)
+            table = np.bincount(row << 8 | mask[0], minlength=rows << 8).reshape(rows, 256)
             for k in range(n):
                 found[:, k] = table[:, (np.arange(256) >> k & 1).astype(bool)].sum(1)
         else:
             for k in range(n):
-                found[:, k] = np.bincount(row[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=rows)
+                found[:, k] = np.bincount(row[(mask[k // PLANE] >> np.uint64(k % PLANE) & np.uint64(1)).astype(bool)], minlength=rows)
         some = np.maximum(total, 1)[:, None]
         # of t n-grams a share s is the language's: found = t s + t (1 - s) false
         share = np.clip((found / some - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
@@ -154,7 +153,9 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
     A null text, a text without letters and, if there was nothing to learn from, any text is `und`
     with score 0. A text with letters but no known n-gram goes to the first language with an even
-    score. Repeated rows are judged each.
+    score; of languages with equal shares the first by name wins. Repeated rows are judged each.
+    Texts of any length are judged whole. Only doc_id, text and, in training, lang are looked at.
+    An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
