@@ -38,7 +38,9 @@ BLOCK = 64
 NEIGHBOURS = 15
 #: Votes of the base rate that are added to the neighbours'.
 PRIOR_VOTES = 0.6
-SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
+SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<struct<doc_id: bigint, toxic: int, cosine: double>>"
+#: The evidence as Arrow sees it.
+_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 _BITS = 22
 
 
@@ -160,13 +162,14 @@ class Finder:
 class Index:
     """Block-max inverted index over the examples' unit vectors."""
 
-    def __init__(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, stands_for: np.ndarray | None = None):
+    def __init__(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, stands_for: np.ndarray | None = None, ids: list | None = None):
         self.idf, self.labels = idf, labels.astype(float)
         self.blocks = -(-len(rows) // BLOCK)
         # alike examples side by side make tight bounds: by their heaviest term
         lead = [int(t[np.argmax(idf[t])]) if len(t) else -1 for t, _ in rows]
         order = np.argsort(lead, kind="stable")
         self.labels = self.labels[order]
+        self.ids = [ids[i] for i in order] if ids else [None] * len(rows)
         self.stands_for = (np.ones(len(rows)) if stands_for is None else stands_for)[order]
         term = np.concatenate([rows[i][0] for i in order]) if rows else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(rows)), [len(rows[i][0]) for i in order]) if rows else np.zeros(0, np.int64)
@@ -216,12 +219,13 @@ class Index:
             least = found[-1] if len(found) else -1.0
         return found, number
 
-    def score(self, term: np.ndarray, tf: np.ndarray, rate: float) -> float:
-        """Distance-weighted share of toxic votes among the neighbours, with some votes at the base rate."""
+    def score(self, term: np.ndarray, tf: np.ndarray, rate: float) -> tuple[float, list[dict]]:
+        """Distance-weighted share of toxic votes among the neighbours, with some votes at the base rate; and those neighbours, nearest first."""
         cos, number = self.nearest(term, tf)
+        evidence = [{"doc_id": self.ids[i], "toxic": int(self.labels[i]), "cosine": float(c)} for c, i in zip(cos, number)]
         if len(number):
             cos = cos * self.stands_for[number] / self.stands_for[number].mean()
-        return float((cos @ self.labels[number] + PRIOR_VOTES * rate) / (cos.sum() + PRIOR_VOTES))
+        return float((cos @ self.labels[number] + PRIOR_VOTES * rate) / (cos.sum() + PRIOR_VOTES)), evidence
 
 
 class Model:
@@ -232,14 +236,15 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"find": None}
 
-    def judge(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        out = np.full(len(offsets) - 1, float(self.rate))
+    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
+        """By row, the score and its evidence."""
+        out, evidence = np.full(len(offsets) - 1, float(self.rate)), [[]] * (len(offsets) - 1)
         if self.index is None:
-            return out
+            return out, evidence
         self.find = self.find or Finder(self.keys)
         for r, term, tf in _by_row(*self.find(data, offsets)):
-            out[r] = self.index.score(term, tf, self.rate)
-        return out
+            out[r], evidence[r] = self.index.score(term, tf, self.rate)
+        return out, evidence
 
 
 def _by_row(term: np.ndarray, row: np.ndarray, tf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -249,7 +254,7 @@ def _by_row(term: np.ndarray, row: np.ndarray, tf: np.ndarray) -> Iterator[tuple
 
 
 def train(rows: DataFrame) -> Model:
-    """A model from rows of (text, label 0 or 1); bounded: TERMS terms and EXAMPLES examples a label come to the driver."""
+    """A model from rows of (text, label 0 or 1, and doc_id if examples are to be named); bounded: TERMS terms and EXAMPLES examples a label come to the driver."""
     spark = rows.sparkSession
     toxic, clean = rows.where("label = 1"), rows.where("label = 0")
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -274,37 +279,43 @@ def train(rows: DataFrame) -> Model:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder(shared.value)
         for b in batches:
-            label, order_ = b.column(1).to_numpy(), b.column(2).to_numpy()
+            label, order_, ids = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
             for lo, _, data, offsets in slices(b.column(0)):
                 got = list(_by_row(*find(data, offsets))) if len(shared.value) else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(label[lo + r]) for r, _, _ in got], pa.int32()), pa.array([int(order_[lo + r]) for r, _, _ in got], pa.int64()), pa.array([t.tolist() for _, t, _ in got], pa.list_(pa.int64())), pa.array([f.tolist() for _, _, f in got], pa.list_(pa.int64()))],
-                    ["label", "by", "term", "tf"],
+                    [pa.array([int(label[lo + r]) for r, _, _ in got], pa.int32()), pa.array([int(order_[lo + r]) for r, _, _ in got], pa.int64()), ids.take(pa.array([lo + r for r, _, _ in got], pa.int64())), pa.array([t.tolist() for _, t, _ in got], pa.list_(pa.int64())), pa.array([f.tolist() for _, _, f in got], pa.list_(pa.int64()))],
+                    ["label", "by", "doc_id", "term", "tf"],
                 )
 
     # equal texts are one example; examples in the order of a hash of the text, a fair sample
-    found = rows.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("by")).mapInArrow(vectors, "label int, by bigint, term array<bigint>, tf array<bigint>")
+    named = F.col("doc_id") if "doc_id" in rows.columns else F.lit(None)
+    found = rows.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("by"), named.cast("bigint").alias("doc_id")).mapInArrow(vectors, "label int, by bigint, doc_id bigint, term array<bigint>, tf array<bigint>")
     texts = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count_distinct("by").alias("n")).collect()}
     sample, stands_for = [], []
     for label in (0, 1):
-        sample += found.where(F.col("label") == label).groupBy("by").agg(F.min(F.struct("term", "tf")).alias("v")).orderBy("by").limit(EXAMPLES).select(F.lit(label).alias("label"), "v.term", "v.tf").collect()
+        sample += found.where(F.col("label") == label).groupBy("by").agg(F.min(F.struct("term", "tf")).alias("v"), F.min("doc_id").alias("doc_id")).orderBy("by").limit(EXAMPLES).select(F.lit(label).alias("label"), "doc_id", "v.term", "v.tf").collect()
         stands_for += [texts[label] / (len(sample) - len(stands_for))] * (len(sample) - len(stands_for)) if label in texts else []
-    index = Index(idf, [(np.array(r["term"]), np.array(r["tf"])) for r in sample], np.array([r["label"] for r in sample]), np.array(stands_for))
+    index = Index(idf, [(np.array(r["term"]), np.array(r["tf"])) for r in sample], np.array([r["label"] for r in sample]), np.array(stands_for), [r["doc_id"] for r in sample])
     return Model(keys, index if sample else None, rate)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of `docs`.
+    """(doc_id, held_out, score, predicted, evidence) of every row of `docs`.
 
     Null and empty texts, and texts with none of the telling terms, score the base rate (0 if there
-    was nothing to learn from). Repeated rows are scored each.
+    was nothing to learn from), without evidence. Evidence are the nearest examples, equal texts by their
+    smallest id; equally near ones go by their place in the index. Repeated rows are scored each, texts of
+    any length whole; other columns aren't looked at, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = np.concatenate([shared.value.judge(data, offsets) for _, _, data, offsets in slices(b.column(2))] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            for lo, hi, data, offsets in slices(b.column(2)):
+                score, evidence = shared.value.judge(data, offsets)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(evidence, _EVIDENCE)], ["doc_id", "held_out", "score", "predicted", "evidence"]
+                )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(folds=5, fold=0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)
@@ -319,4 +330,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.where(~held_out(folds=5, fold=0)).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(LABELLED)
     texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # bounded, so texts need no shuffle to meet their labels; they are read once for all that training asks
-    return predict(docs, train(cut(texts.join(F.broadcast(known), "doc_id").select("text", "label"))))
+    return predict(docs, train(cut(texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label"))))
