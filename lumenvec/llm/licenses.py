@@ -4,8 +4,8 @@ All rolling word k-grams of all texts are hashed and joined to the positions of
 a fixed set of license templates. A match at text word p and template word q votes for the diagonal
 p - q; votes are summed by diagonal, neighbouring diagonals are merged, so a few words put in or
 left out don't break a match, and spans with enough votes are verified: the words around their
-diagonals must agree, in order, with all of the template's. Only DataFrame functions run; the templates are a constant of this module, so their
-broadcast has a fixed size.
+diagonals must agree, in order, with all of the template's. Only DataFrame functions run; the
+templates are a constant of this module, so their broadcast has a fixed size.
 """
 
 from __future__ import annotations
@@ -22,20 +22,27 @@ LEAST_VOTES = 0.4
 LEAST_AGREE = 0.9
 #: Fixed phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Openings and notices of published licenses, in lower case and without punctuation.
+#: Openings, notices, conditions and disclaimers of published licenses, a paragraph each, in lower case and without punctuation; fixed values.
 TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license", "you may obtain a copy of the license at http www apache org licenses license 2 0"],
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "released under the mit license", "licensed under the mit license"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistributions of source code must retain the above copyright notice"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license", "you may obtain a copy of the license at http www apache org licenses license 2 0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
+    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "released under the mit license", "licensed under the mit license",
+            "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+            "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+            "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistributions of source code must retain the above copyright notice",
+            "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+            "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
     "gpl-3.0": ["licensed under the gnu general public license version 3", "either version 3 of the license or at your option any later version"],
     "gpl-2.0": ["licensed under the gnu general public license version 2", "either version 2 of the license or at your option any later version"],
+    "gpl": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
     "lgpl": ["licensed under the gnu lesser general public license"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at"],
     "cc-by-4.0": ["licensed under cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],
     "cc-by-sa-4.0": ["licensed under cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 international license"],
     "cc-by-nc-4.0": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"],
     "proprietary": ["no part of this publication may be reproduced distributed or transmitted in any form", "unauthorized copying of this file via any medium is strictly prohibited"],
 }
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -112,9 +119,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of `docs`.
 
     A null or empty text has no words, no labels (empty strings) and score 0; base matches alone
-    score 1. Repeated rows are scanned each: rows, not ids, are matched.
+    score 1. Repeated rows are scanned each: rows, not ids, are matched, told apart by 128 bits of hashes
+    of id and text, so rows without an id are matched too. Texts of any length are scanned whole; other
+    columns aren't looked at, and an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text().alias("text")).withColumn("row", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b")))
     found = lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), *[s.alias(f"s{k}") for k, (_, s) in enumerate(_phrase_starts(w))])
     base = rows.select("doc_id", "row", let(words_of(F.col("text")), found).alias("b")).select("doc_id", "row", "b.*")
     starts = list(PHRASES.items())
