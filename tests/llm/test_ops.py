@@ -439,3 +439,141 @@ def test_votes_stand_for_the_texts_of_their_label(spark, monkeypatch):
     model = toxicity.train(spark.createDataFrame(rows, "text string, label int"))
     got = toxicity.predict(spark.createDataFrame([(1, "a walk grublix")], "doc_id long, text string"), model).first()
     assert got.score == pytest.approx(8 / 23, abs=0.03)
+
+
+def test_more_languages_than_a_plane(spark):
+    """Seventy languages of their own letters; each text goes to its own."""
+    alphabet = [chr(0x4E00 + i) for i in range(70 * 12)]
+    rows = [(k * 10 + i, " ".join("".join(alphabet[12 * k + (i + j + x) % 12] for x in range(5)) for j in range(20)), f"l{k:02d}") for k in range(70) for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.train(d)
+    assert filters.cells.shape[0] == 2 and len(filters.langs) == 70
+    got = by_id(langid.predict(d, filters))
+    assert {i: got[i].lang_pred for i, _, _ in rows} == {i: x for i, _, x in rows}
+
+
+def test_languages_against_sets(spark):
+    """Every row's language and share by plain sets of n-grams; the filters' false positives may only turn near ties."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(None, "the house", "en"), (-1, None, "en"), (-2, "", None), (-3, "!? 12", "en")], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    letter = set(range(0x41, 0x5B)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
+
+    def grams(t):
+        b = bytes((x + 32 if 0x41 <= x < 0x5B else x) if x in letter else 32 for x in t.encode())
+        b = b" " + b + b"   "
+        return [b[i : i + 4] for i in range(len(b) - 3) if b[i] != 32 or b[i + 1] != 32]
+
+    rows = d.select("doc_id", "text", "lang").collect()
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    counts = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and not out(r.doc_id):
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    known = {x: {g for g, n in c.items() if n >= sum(c.values()) * langid.SHARE} for x, c in counts.items()}
+    got = langid.identify(d).collect()
+    assert len(got) == len(rows)
+    have = {(r.doc_id, r.held_out): (r.lang_pred, r.score) for r in got}
+    for r in rows:
+        lang, score = have[r.doc_id, out(r.doc_id)]
+        g = grams(r.text or "")
+        if not any(x.isalpha() for x in r.text or ""):
+            assert (lang, score) == ("und", 0)
+            continue
+        share = sorted(((sum(x in known[k] for x in g) / len(g), k) for k in known), reverse=True)
+        assert lang == share[0][1] or share[0][0] - share[1][0] < 0.02
+        assert score == pytest.approx(share[0][0] / sum(s for s, _ in share), abs=0.05)
+
+
+def test_licenses_against_brute_force(spark):
+    """Labels, spans' verdicts and scores of real texts and of notices with words changed, put in, left out and moved."""
+    import random
+
+    rng = random.Random(12)
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    every = [(x, t.split()) for x, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(r.doc_id, r.text) for r in real]
+    for k, (_, t) in enumerate(every):
+        for how in range(4):
+            w, at = list(t), rng.randrange(len(t))
+            w = [w, [*w[:at], "changed", *w[at + 1 :]], [*w[:at], "put", "in", *w[at:]], [*w[at:], *w[:at]]][how]
+            rows.append((10**6 + 10 * k + how, ", ".join([*rng.choice(real).text.split()[:30], *w, "Tail."])))
+    rows += [(None, " ".join(every[0][1])), (None, None), (5 * 10**6, ""), (5 * 10**6, "")]
+
+    def common(a, b):
+        last = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(last[j] + 1 if x == y else max(last[j + 1], now[j]))
+            last = now
+        return last[-1]
+
+    def plain(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+        base = {label for p, label in licenses.PHRASES.items() if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}
+        labels, best = set(base), 1.0 if base else 0.0
+        at = {}
+        for i in range(len(w) - 2):
+            at.setdefault(tuple(w[i : i + 3]), []).append(i)
+        for label, tw in every:
+            votes = Counter(i - j for j in range(len(tw) - 2) for i in at.get(tuple(tw[j : j + 3]), []))
+            bands = []
+            for d in sorted(votes):
+                if not bands or d - bands[-1][-1] > licenses.NEAR:
+                    bands.append([])
+                bands[-1].append(d)
+            for band in bands:
+                if sum(votes[d] for d in band) >= licenses.LEAST_VOTES * (len(tw) - 2):
+                    n = max(common(tw, w[max(d - licenses.NEAR, 0) : max(d - licenses.NEAR, 0) + len(tw) + 2 * licenses.NEAR]) for d in band) / len(tw)
+                    if n >= licenses.LEAST_AGREE:
+                        labels.add(label)
+                        best = max(best, n)
+        return len(w), ",".join(sorted(base)), ",".join(sorted(labels)), round(best, 9)
+
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    key = lambda x: (x[0] is not None, *map(str, x))
+    assert sorted(((r.doc_id, r.n_words, r.base_labels, r.labels, round(r.score, 9)) for r in got), key=key) == sorted(((i, *plain(t)) for i, t in rows), key=key)
+
+
+def test_toxicity_against_brute_force(spark):
+    """Every row's score and evidence by plain dictionaries and all examples."""
+    from math import log, sqrt
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    known = labels.where("toxic in (0, 1)").where(~langid.held_out(folds=5, fold=0)).selectExpr("doc_id", "toxic label")
+    model = toxicity.train(docs.where("text is not null").join(known, "doc_id").select("doc_id", "text", "label"))
+    odd = spark.createDataFrame([(None, None), (-1, ""), (-2, "É1 ß ÉA")], "doc_id long, text string")
+    number = {int(k): i for i, k in enumerate(model.keys)}
+    index = model.index
+    examples = [{} for _ in index.labels]
+    for t, d, w in zip(index.term.tolist(), index.doc.tolist(), index.w.tolist()):
+        examples[d][t] = w
+
+    def vector(text):
+        low = text.translate(LOW).encode()
+        low = re.sub(rb"\xc3([\x80-\x96\x98-\x9e])", lambda m: bytes([0xC3, m[1][0] + 0x20]), low)
+        words = Counter(int.from_bytes(w[: toxicity.N].ljust(toxicity.N, b"\0"), "big") for w in re.findall(rb"[a-z\x80-\xff]+", low))
+        total = sum(words.values())
+        tf = dict(words)
+        for i, k in enumerate(toxicity.DENSITIES):
+            tf |= {w | i + 1 << 8 * toxicity.N: 1 for w, n in words.items() if n << k >= total}
+        v = {number[w]: (1 + log(n)) * index.idf[number[w]] for w, n in tf.items() if w in number}
+        norm = sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / norm for t, x in v.items()}
+
+    rows = docs.unionByName(odd)
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    some = 0
+    for r in toxicity.predict(rows, model).collect():
+        v = vector(texts[r.doc_id])
+        cos = [(-round(sum(x * e[t] for t, x in v.items() if t in e), 12), k) for k, e in enumerate(examples) if not v.keys().isdisjoint(e)]
+        near = sorted(cos)[: toxicity.NEIGHBOURS]
+        weight = [index.stands_for[k] for _, k in near]
+        mean = sum(weight) / len(weight) if weight else 1
+        votes = [-c * w / mean for (c, _), w in zip(near, weight)]
+        want = (sum(x * index.labels[k] for x, (_, k) in zip(votes, near)) + toxicity.PRIOR_VOTES * model.rate) / (sum(votes) + toxicity.PRIOR_VOTES)
+        assert r.score == pytest.approx(want) and [e.cosine for e in r.evidence] == pytest.approx([-c for c, _ in near])
+        assert r.predicted == (r.score >= 0.5) and all(e.doc_id in texts for e in r.evidence)
+        some += bool(r.evidence)
+    assert some
