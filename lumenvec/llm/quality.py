@@ -107,6 +107,11 @@ def _clean_enough() -> Column:
     return 100 * _lost() <= MOST_LOST * F.col("_m.word_chars")
 
 
+def _kept() -> Column:
+    """The verdict; a condition that isn't deterministic is not pushed down, where the measures would be worked out again for every use."""
+    return ~_base_failed() & _clean_enough() & (F.monotonically_increasing_id() >= 0)
+
+
 def _cleaned(value: Column) -> Column:
     """The text without lines that fail and without lines said before; lines without words stay.
 
@@ -125,7 +130,7 @@ def measure(docs: DataFrame) -> DataFrame:
     other than doc_id (null or not) and text aren't looked at, whatever they are called.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return _judged(rows).select("doc_id", *[f"_m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], _base_failed().alias("base_failed"), (~_base_failed() & _clean_enough()).alias("kept"), _lost().alias("lost_chars"))
+    return _judged(rows).select("doc_id", *[f"_m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], _base_failed().alias("base_failed"), _kept().alias("kept"), _lost().alias("lost_chars"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -136,8 +141,7 @@ def clean(docs: DataFrame) -> DataFrame:
     """
     mine = docs.columns
     rows = docs.select(F.struct(*map(quoted, mine)).alias("_row"), F.col("text"))
-    # a condition that isn't deterministic is not pushed down, where the measures would be worked out again for every use
-    kept = _judged(rows).withColumn("_keep", ~_base_failed() & _clean_enough() & (F.monotonically_increasing_id() >= 0)).where("_keep")
+    kept = _judged(rows).withColumn("_keep", _kept()).where("_keep")
     less = _lost() > 0
     kept = kept.select("_row", less.alias("_less"), F.when(less, _cleaned(F.col("_t"))).otherwise(F.col("_t")).alias("_clean"))
     new = {"text": F.col("_clean")}
