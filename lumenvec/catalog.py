@@ -283,18 +283,20 @@ def _work_sql(corpus: str) -> str:
     return _upto(corpus, "ss", "@").replace(" @", ", " + _search_steps("d", "q", K, HEAP) + " " + body)
 
 
-def _built(corpus: str, s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(queries, documents, members, summary); the last two are built once, to tables, as every search reads them several times."""
-    q, v = _corpus(corpus, s, d)
-    to = _folder(s)
-    for name, table in zip(("members", "summary"), _clustered(v)):
+def _written(s, to: str, **tables: DataFrame) -> list[DataFrame]:
+    """The tables, written and read again, so that each is worked out once and Spark knows its size."""
+    for name, table in tables.items():
         table.write.parquet(f"{to}/{name}")
-    return q, v, s.read.parquet(f"{to}/members"), s.read.parquet(f"{to}/summary")
+    return [s.read.parquet(f"{to}/{name}") for name in tables]
 
 
-def _clustered(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _built(corpus: str, s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(queries, documents, members, summary), all as tables, as building and searching read them several times."""
+    to = _folder(s)
+    q, v = _written(s, to, queries=_corpus(corpus, s, d)[0], vectors=_corpus(corpus, s, d)[1])
     c = CLUSTERS.resolved(v.select("doc_id").distinct().count())
-    return seismic.build(v, c.lam, c.beta, c.alpha, c.seed, c.every)
+    (m,) = _written(s, to, members=seismic.lists(v, c.lam, c.beta, c.seed, c.every))
+    return q, v, m, *_written(s, to, summary=seismic.summaries(m, v, c.alpha))
 
 
 def _centroids(v: DataFrame) -> DataFrame:
@@ -307,7 +309,7 @@ for _name in ("emb", "basket"):
     _add(f"assign_clusters_{_name}", _upto(_name, "mem"))(lambda s, d, n=_name: _built(n, s, d)[2])
     _add(f"cluster_maxpool_{_name}", _upto(_name, "mx"))(lambda s, d, n=_name: clusters.max_pool(_built(n, s, d)[2], _corpus(n, s, d)[1]))
     _add(f"alpha_summary_{_name}", _upto(_name, "sm"))(lambda s, d, n=_name: _built(n, s, d)[3])
-    _add(f"summary_scores_{_name}", _upto(_name, "ss"))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.summary_scores(q, m, sm, CUT))(*_built(n, s, d)))
+    _add(f"summary_scores_{_name}", _upto(_name, "ss"))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.summary_scores(q, sm, CUT))(*_built(n, s, d)))
     _add(f"seismic_topk_{_name}", _seismic_sql(_name))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.search(q, m, sm, v, K, CUT, HEAP))(*_built(n, s, d)))
     _add(f"seismic_work_{_name}", _work_sql(_name))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.work(q, m, sm, v, K, CUT, HEAP))(*_built(n, s, d)))
 _add("blocks", _upto("emb", "mem", "SELECT m.term, m.cluster, m.doc_id, x.term AS s_term, x.weight FROM mem m JOIN d x USING (doc_id)"))(lambda s, d: clusters.blocks(_built("emb", s, d)[2], _corpus("emb", s, d)[1]))
@@ -350,11 +352,11 @@ _add("seismic_recall_basket", _recall_sql("basket"))(_recall("basket"))
 
 @_add("seismic_noprune_equals_exact", _exact("users"))
 def seismic_noprune_equals_exact(spark, d):
-    q, v = _corpus("users", spark, d)
     to = _folder(spark)
-    for name, table in zip(("members", "summary"), seismic.build(v, 0, 5, 1.5, SEED)):
-        table.write.parquet(f"{to}/{name}")
-    return seismic.search(q, spark.read.parquet(f"{to}/members"), spark.read.parquet(f"{to}/summary"), v, K, 1 << 16, 1e9)
+    q, v = _written(spark, to, queries=_corpus("users", spark, d)[0], vectors=_corpus("users", spark, d)[1])
+    (m,) = _written(spark, to, members=seismic.lists(v, 0, 5, SEED))
+    (sm,) = _written(spark, to, summary=seismic.summaries(m, v, 1.5))
+    return seismic.search(q, m, sm, v, K, 1 << 16, 1e9)
 
 
 # ---- files

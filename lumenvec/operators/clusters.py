@@ -24,10 +24,10 @@ def members(pruned: DataFrame, centers: DataFrame, vectors: DataFrame) -> DataFr
     of = vectors.select("doc_id", F.col("term").alias("t"), F.col("weight").cast("double").alias("w"))
     left = others.join(of, "doc_id").select("term", "doc_id", "t", "w")
     right = centers.join(of, "doc_id").select("term", "cluster", "t", F.col("w").alias("cw"))
-    like = left.join(right, ["term", "t"]).groupBy("term", "doc_id", "cluster").agg(F.round(F.sum(F.col("w") * F.col("cw")), 6).alias("s"))
-    best = like.groupBy("term", "doc_id").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("c"), F.max("s").alias("s"))
-    best = best.withColumn("c", F.when(F.col("s") > 0, F.col("c")).otherwise(0)).select("term", "doc_id", "c")
-    placed = others.join(best, ["term", "doc_id"], "left").select("term", F.coalesce("c", F.lit(0)).alias("cluster"), "doc_id", F.lit(1).alias("late"))
+    # a term that no centroid has still stands for its document, without a cluster
+    like = left.join(right, ["term", "t"], "left").groupBy("term", "doc_id", "cluster").agg(F.round(F.sum(F.col("w") * F.col("cw")), 6).alias("s"))
+    best = like.groupBy("term", "doc_id").agg(F.max_by("cluster", F.when(F.col("s") > 0, F.struct("s", -F.col("cluster")))).alias("c"))
+    placed = best.select("term", F.coalesce("c", F.lit(0)).alias("cluster"), "doc_id", F.lit(1).alias("late"))
     every = placed.unionByName(centers.select("term", "cluster", "doc_id", F.lit(0).alias("late")))
     order = Window.partitionBy("term", "cluster").orderBy("late", "doc_id")
     return every.select("term", "cluster", (F.row_number().over(order) - 1).alias("pos"), "doc_id")

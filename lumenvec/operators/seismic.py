@@ -17,28 +17,29 @@ from lumenvec.operators.selectors import Selector
 from lumenvec.operators.topk import check_k, top_k
 
 
-def summary_scores(queries: DataFrame, member: DataFrame, summary: DataFrame, cut: int) -> DataFrame:
-    """(qid, list_no, term, cluster, s) for every cluster of the query's cut lists; 0 if the summary shares no term."""
-    cuts = cut_terms(queries, cut)
-    clusters = member.where("pos = 0").select("term", "cluster")
-    every = cuts.join(clusters, "term")
+def summary_scores(queries: DataFrame, summary: DataFrame, cut: int) -> DataFrame:
+    """(qid, list_no, term, cluster, s) for every cluster of the query's cut lists; 0 if the summary shares no term.
+
+    Every cluster has a summary of at least one term, so one pass over the summaries finds all.
+    """
     q = queries.select("qid", F.col("term").alias("s_term"), F.col("weight").cast("double").alias("w"))
-    found = cuts.join(summary, "term").join(q, ["qid", "s_term"]).groupBy("qid", "term", "cluster").agg(F.round(F.sum(F.col("w") * F.col("s_value")), 6).alias("s"))
-    return every.join(found, ["qid", "term", "cluster"], "left").select("qid", "list_no", "term", "cluster", F.coalesce("s", F.lit(0.0)).alias("s"))
+    met = cut_terms(queries, cut).join(summary, "term").join(small_side(q), ["qid", "s_term"], "left")
+    return met.groupBy("qid", "list_no", "term", "cluster").agg(F.coalesce(F.round(F.sum(F.col("w") * F.col("s_value")), 6), F.lit(0.0)).alias("s"))
 
 
 def _scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, digits: int) -> DataFrame:
-    """(qid, doc_id, score) of these pairs by whole vectors."""
+    """(qid, doc_id, score) of these pairs by whole vectors; every document has a term, so none is lost in the join."""
     q = queries.select("qid", "term", F.col("weight").cast("double").alias("w"))
     of = vectors.select("doc_id", "term", F.col("weight").cast("double").alias("v"))
-    met = pairs.join(of, "doc_id").join(small_side(q), ["qid", "term"]).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("v")), digits).alias("score"))
-    return pairs.join(met, ["qid", "doc_id"], "left").select("qid", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    met = pairs.join(of, "doc_id").join(small_side(q), ["qid", "term"], "left")
+    return met.groupBy("qid", "doc_id").agg(F.coalesce(F.round(F.sum(F.col("w") * F.col("v")), digits), F.lit(0.0)).alias("score"))
 
 
-def _visits(queries: DataFrame, member: DataFrame, allowed: DataFrame, summary: DataFrame, cut: int) -> DataFrame:
+def _visits(queries: DataFrame, allowed: DataFrame, summary: DataFrame, cut: int) -> DataFrame:
     """(qid, term, cluster, s, before): clusters in visiting order, and how many members those before it have."""
-    s = summary_scores(queries, member, summary, cut)
-    sizes = allowed.join(s.select("term").distinct(), "term", "left_semi").groupBy("term", "cluster").agg(F.count("*").alias("size"))
+    s = summary_scores(queries, summary, cut)
+    asked = cut_terms(queries, cut).select("term").distinct()
+    sizes = allowed.join(asked, "term", "left_semi").groupBy("term", "cluster").agg(F.count("*").alias("size"))
     order = Window.partitionBy("qid").orderBy("list_no", F.when(F.col("list_no") == 0, -F.col("s")).otherwise(F.lit(0.0)), "cluster", "term")
     ahead = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return s.join(sizes, ["term", "cluster"]).select("qid", "term", "cluster", "s", F.coalesce(ahead, F.lit(0)).alias("before"))
@@ -48,19 +49,19 @@ def evaluated(queries: DataFrame, member: DataFrame, summary: DataFrame, vectors
     """(qid, doc_id, score) of the documents visited, each once.
 
     The prefix is scored first and gives each query's threshold; of all other clusters only those
-    whose summary reaches it are opened, and only their documents meet the vectors. A query whose
-    prefix has fewer than k documents opens all.
+    whose summary reaches it are opened, and only documents of opened clusters meet the vectors. A
+    query whose prefix has fewer than k documents opens all. The few documents of the prefix are
+    scored again with the others, which is less work than telling them apart.
     """
     check_k(k)
     of = (selector.apply(member) if selector is not None else member).select("term", "cluster", "doc_id")
-    visits = _visits(queries, member, of, summary, cut)
+    visits = _visits(queries, of, summary, cut)
     first = visits.where(F.col("before") < k).join(of, ["term", "cluster"]).select("qid", "doc_id").distinct()
-    scored = _scores(first, queries, vectors, digits)
     rank = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-    bound = scored.withColumn("r", F.row_number().over(rank)).where(F.col("r") == k).select("qid", F.col("score").alias("tau"))
-    later = visits.where(F.col("before") >= k).join(bound, "qid", "left").where(F.col("tau").isNull() | (F.col("s") * heap_factor >= F.col("tau")))
-    rest = later.join(of, ["term", "cluster"]).select("qid", "doc_id").distinct().join(first, ["qid", "doc_id"], "left_anti")
-    return scored.unionByName(_scores(rest, queries, vectors, digits))
+    bound = _scores(first, queries, vectors, digits).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).where(F.col("r") == k).select("qid", F.col("score").alias("tau"))
+    opened = visits.join(bound, "qid", "left").where((F.col("before") < k) | F.col("tau").isNull() | (F.col("s") * heap_factor >= F.col("tau")))
+    docs = opened.join(of, ["term", "cluster"]).select("qid", "doc_id").distinct()
+    return _scores(docs, queries, vectors, digits)
 
 
 def search(queries: DataFrame, member: DataFrame, summary: DataFrame, vectors: DataFrame, k: int, cut: int = 10, heap_factor: float = 1.0, selector: Selector | None = None, digits: int = 6) -> DataFrame:
@@ -75,14 +76,20 @@ def work(queries: DataFrame, member: DataFrame, summary: DataFrame, vectors: Dat
     return every.join(done, "qid")
 
 
-def build(vectors: DataFrame, lam: int, beta: int, alpha: float, seed: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(members, summary) of all lists; every: no document is pruned from all its lists."""
-    from lumenvec.operators.clusters import alpha_mass, centroids, max_pool, members
+def lists(vectors: DataFrame, lam: int, beta: int, seed: int, every: bool = False) -> DataFrame:
+    """The members of all lists' clusters; every: no document is pruned from all its lists."""
+    from lumenvec.operators.clusters import centroids, members
     from lumenvec.operators.postings import prune, prune_keeping
 
     pruned = (prune_keeping if every else prune)(vectors, lam)
-    member = members(pruned, centroids(pruned, beta, seed), vectors)
-    return member, alpha_mass(max_pool(member, vectors), alpha)
+    return members(pruned, centroids(pruned, beta, seed), vectors)
+
+
+def summaries(member: DataFrame, vectors: DataFrame, alpha: float) -> DataFrame:
+    """The summaries of clusters, from members that have best been written or persisted."""
+    from lumenvec.operators.clusters import alpha_mass, max_pool
+
+    return alpha_mass(max_pool(member, vectors), alpha)
 
 
-__all__ = ["build", "evaluated", "search", "summary_scores", "work"]
+__all__ = ["evaluated", "lists", "search", "summaries", "summary_scores", "work"]

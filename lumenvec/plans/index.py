@@ -205,8 +205,8 @@ class SeismicIndex(Index):
             raise RuntimeError("nothing to build")
         self.vectors.agg(F.sum("term"), F.sum("weight")).collect()
         c = self.cluster.resolved(self.n)
-        member, summary = seismic.build(self.weights(), c.lam, c.beta, c.alpha, c.seed, c.every)
-        self.member, self.summary = member.persist(StorageLevel.DISK_ONLY), summary.persist(StorageLevel.DISK_ONLY)
+        self.member = seismic.lists(self.weights(), c.lam, c.beta, c.seed, c.every).persist(StorageLevel.DISK_ONLY)
+        self.summary = seismic.summaries(self.member, self.weights(), c.alpha).persist(StorageLevel.DISK_ONLY)
 
     def _params(self, params):
         plain = params or self.parameters()
