@@ -1,4 +1,4 @@
-"""The ten operators as queries over the tables of a folder, and SQL for those that SQL can express."""
+"""The operators as queries over the tables of a folder, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenvec.llm import bpe, ctw, fingerprints, langid, licenses, mixing, quality, secret_scan, setjoin, toxicity
+from lumenvec.llm import bpe, ctw, fingerprints, langid, licenses, mixing, quality, resample, secret_scan, setjoin, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(_documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_document_fingerprints, op2_language_id, op3_ngram_jaccard_join, op4_secret_scan, op5_bpe, op6_quality_rules, op7_toxicity, op8_mixing, op9_license_scan, op10_lm_scoring]
+    every = [op1_document_fingerprints, op2_language_id, op3_ngram_jaccard_join, op4_secret_scan, op5_bpe, op6_quality_rules, op7_toxicity, op8_mixing, op9_license_scan, op10_lm_scoring, op11_importance_resampling]
     return {f.__name__: f for f in every}
 
 
@@ -112,5 +116,25 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 """
 
 
+def _op11() -> str:
+    """CRC-32 goes by half bytes here, the lower one first."""
+    table = "[" + ", ".join(f"{int(resample.CRC[16 * k])}::BIGINT" for k in range(16)) + "]"
+    words = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = "flatten([w, " + ", ".join(f"list_transform(range(1, len(w) - {k} + 1), lambda i: array_to_string(w[i:i + {k}], ' '))" for k in range(1, resample.LONGEST)) + "])"
+    return rf"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+f AS (SELECT doc_id, unnest({runs}) AS g FROM d),
+b AS (SELECT unnest({runs}) AS g FROM (SELECT {words} AS w FROM benchmark)),
+x AS (SELECT g, hex(g) AS h FROM (SELECT g FROM f UNION SELECT g FROM b)),
+c AS MATERIALIZED (SELECT g, xor(list_reduce(list_transform(range(length(h)), lambda i: strpos('0123456789ABCDEF', substr(h, i + CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END, 1)) - 1), lambda s, y: xor({table}[(xor(s, y) & 15) + 1], s >> 4), 4294967295::BIGINT), 4294967295::BIGINT) % {resample.BUCKETS} AS k FROM x),
+s AS (SELECT k, count(*) AS n FROM f JOIN c USING (g) GROUP BY k), t AS (SELECT k, count(*) AS n FROM b JOIN c USING (g) GROUP BY k),
+gain AS (SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + {resample.BUCKETS})::DOUBLE / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + {resample.BUCKETS})::DOUBLE)))::BIGINT AS v FROM s LEFT JOIN t USING (k)),
+o AS (SELECT doc_id, count(*) AS n_features, sum(v)::BIGINT AS weight FROM f JOIN c USING (g) JOIN gain USING (k) GROUP BY doc_id),
+r AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT) AS score FROM d LEFT JOIN o USING (doc_id)),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_words >= {resample.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {resample.PERCENT} * (SELECT count(*) FROM k) // 100 THEN rank END AS rank FROM r LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3, "op6_quality_rules": _op6(), "op8_mixing": OP8}
+    return {"op3_ngram_jaccard_join": OP3, "op6_quality_rules": _op6(), "op8_mixing": OP8, "op11_importance_resampling": _op11()}
