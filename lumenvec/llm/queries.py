@@ -120,11 +120,13 @@ def _op11() -> str:
     """CRC-32 goes by half bytes here, the lower one first."""
     table = "[" + ", ".join(f"{int(resample.CRC[16 * k])}::BIGINT" for k in range(16)) + "]"
     words = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-    runs = "flatten([w, " + ", ".join(f"list_transform(range(1, len(w) - {k} + 1), lambda i: array_to_string(w[i:i + {k}], ' '))" for k in range(1, resample.LONGEST)) + "])"
     return rf"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents),
-f AS (SELECT doc_id, unnest({runs}) AS g FROM d),
-b AS (SELECT unnest({runs}) AS g FROM (SELECT {words} AS w FROM benchmark)),
+u AS (SELECT 0 AS side, doc_id AS id, unnest(w) AS a, unnest(range(len(w))) AS i FROM d UNION ALL SELECT 1, item_id, unnest(w), unnest(range(len(w))) FROM (SELECT item_id, {words} AS w FROM benchmark)),
+l AS (SELECT side, id, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY side, id ORDER BY i)),
+e AS MATERIALIZED (SELECT side, id, a AS g FROM l UNION ALL SELECT side, id, a || ' ' || b FROM l WHERE b IS NOT NULL UNION ALL SELECT side, id, a || ' ' || b || ' ' || c FROM l WHERE c IS NOT NULL),
+f AS (SELECT id AS doc_id, g FROM e WHERE side = 0),
+b AS (SELECT g FROM e WHERE side = 1),
 x AS (SELECT g, hex(g) AS h FROM (SELECT g FROM f UNION SELECT g FROM b)),
 c AS MATERIALIZED (SELECT g, xor(list_reduce(list_transform(range(length(h)), lambda i: strpos('0123456789ABCDEF', substr(h, i + CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END, 1)) - 1), lambda s, y: xor({table}[(xor(s, y) & 15) + 1], s >> 4), 4294967295::BIGINT), 4294967295::BIGINT) % {resample.BUCKETS} AS k FROM x),
 s AS (SELECT k, count(*) AS n FROM f JOIN c USING (g) GROUP BY k), t AS (SELECT k, count(*) AS n FROM b JOIN c USING (g) GROUP BY k),
