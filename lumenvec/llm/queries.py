@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenvec.llm import bpe, ctw, fingerprints, langid, licenses, mixing, quality, resample, secret_scan, setjoin, toxicity
+from lumenvec.llm import bpe, collocations, ctw, fingerprints, html, langid, licenses, mixing, quality, resample, secret_scan, setjoin, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_document_fingerprints, op2_language_id, op3_ngram_jaccard_join, op4_secret_scan, op5_bpe, op6_quality_rules, op7_toxicity, op8_mixing, op9_license_scan, op10_lm_scoring, op11_importance_resampling]
+    every = [op1_document_fingerprints, op2_language_id, op3_ngram_jaccard_join, op4_secret_scan, op5_bpe, op6_quality_rules, op7_toxicity, op8_mixing, op9_license_scan, op10_lm_scoring, op11_importance_resampling, op12_phrase_collocations, op13_html_extraction]
     return {f.__name__: f for f in every}
 
 
@@ -138,5 +146,20 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {resample.PERCENT} *
 """
 
 
+OP12 = rf"""
+WITH p AS (SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+u AS (SELECT piece, lang, unnest(w) AS a, unnest(range(len(w))) AS i FROM w),
+l AS (SELECT lang, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d FROM u WINDOW o AS (PARTITION BY piece ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, g, count(*) AS f FROM (SELECT lang, [a] AS g FROM l UNION ALL SELECT lang, [a, b] FROM l WHERE b IS NOT NULL UNION ALL SELECT lang, [a, b, c] FROM l WHERE c IS NOT NULL UNION ALL SELECT lang, [a, b, c, d] FROM l WHERE d IS NOT NULL) GROUP BY lang, g HAVING count(*) >= {collocations.LEAST}),
+cut AS (SELECT lang, g, f AS a, k, g[1:k] AS head, g[k + 1:len(g)] AS tail FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f)),
+best AS (SELECT c.lang, c.g, c.a, x.f AS l, y.f AS r, {collocations.SCALE}::HUGEINT * c.a // (x.f + y.f) AS score FROM cut c JOIN f x ON x.lang = c.lang AND x.g = c.head JOIN f y ON y.lang = c.lang AND y.g = c.tail QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, k) = 1),
+inside AS (SELECT lang, g[i:i + n - 1] AS g, max(f) AS longer FROM (SELECT lang, g, f, n, unnest(range(1, len(g) - n + 2)) AS i FROM (SELECT lang, g, f, unnest(range(2, len(g))) AS n FROM f WHERE len(g) > 2)) GROUP BY ALL),
+kept AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN inside USING (lang, g) WHERE longer IS NULL OR 100 * longer < {collocations.COVERED} * a),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept QUALIFY rank <= {collocations.FIRST})
+SELECT lang, rank, phrase, a, l, r, (SELECT count(*) FROM u WHERE u.lang = top.lang) AS n, score::BIGINT AS score FROM top
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3, "op6_quality_rules": _op6(), "op8_mixing": OP8, "op11_importance_resampling": _op11()}
+    return {"op3_ngram_jaccard_join": OP3, "op6_quality_rules": _op6(), "op8_mixing": OP8, "op11_importance_resampling": _op11(), "op12_phrase_collocations": OP12}
