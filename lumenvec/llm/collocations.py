@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,9 @@ BUCKET_ENTRIES, MERGED_SHARDS = 1 << 20, 2048
 #: Dictionary entries of one bucket of words, within which words are numbered.
 BUCKET_WORDS = 1 << 14
 
+#: Bytes of the frequent words up to which every task holds them; more are joined to the shards' dictionaries.
+HELD_BYTES = 32 << 20
+
 #: What parts words: space and tab; and what parts pieces too.
 BREAKS = np.zeros(256, bool)
 BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -91,6 +95,48 @@ def vocabulary(entries: DataFrame, least: int) -> tuple[DataFrame, int]:
     return out, max(int(most).bit_length(), 1)
 
 
+def _translated(shard: int, raw: pa.Scalar, size: int, at: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """A shard's stream with the ids of its entries `at`, and 0 for all others."""
+    to = np.zeros(size + 1, np.int32)
+    to[at + 1] = ids
+    stream = to[np.frombuffer(raw.as_buffer(), "<i4")]
+    # of rare words and breaks one in a row is enough
+    stream = stream[(stream > 0) | np.concatenate([[True], stream[:-1] > 0])]
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([stream.astype("<i4").tobytes()], pa.binary())], ["shard", "ids"])
+
+
+def _numbered(own: DataFrame, entries: DataFrame, known: DataFrame) -> DataFrame:
+    """(shard, ids): every shard's stream in ids of the vocabulary."""
+    size = known.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    if size <= HELD_BYTES:
+        table = known.select("lang", "word", "id").toArrow()
+        by_lang = {x.as_py(): pc.equal(table["lang"], x) for x in table["lang"].unique()}
+        held = own.sparkSession.sparkContext.broadcast({x: (table["word"].filter(m).combine_chunks(), table["id"].filter(m).to_numpy()) for x, m in by_lang.items()})
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for shard, langs, terms, raw in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
+                    of, found = langs.values.to_numpy(zero_copy_only=False), np.zeros(len(terms.values), np.int64)
+                    for lang in np.unique(of):
+                        if lang in held.value:
+                            names, ids = held.value[lang]
+                            mine = np.flatnonzero(of == lang)
+                            at = pc.index_in(terms.values.take(pa.array(mine)), value_set=names).fill_null(-1).to_numpy()
+                            found[mine[at >= 0]] = ids[at[at >= 0]]
+                    at = np.flatnonzero(found)
+                    yield _translated(shard, raw, len(found), at, found[at])
+
+        return own.select("shard", "langs", "words", "stream").mapInArrow(look_up, "shard bigint, ids binary")
+    numbers = entries.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("numbers"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, n, raw, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                yield _translated(shard, raw, n, *(pairs.values.field(k).to_numpy() for k in range(2)))
+
+    return own.select("shard", F.size("words").alias("size"), "stream").join(numbers, "shard").mapInArrow(joined, "shard bigint, ids binary")
+
+
 def _runs(stream: np.ndarray, n: int) -> list[np.ndarray]:
     return [stream[k : len(stream) - n + 1 + k] for k in range(n)]
 
@@ -204,20 +250,7 @@ def count(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, Da
         return langs, known, spark.createDataFrame([], "ids array<bigint>, f bigint")
     bucket_bits = max(int(n_tokens // BUCKET_ENTRIES).bit_length(), 1)
     packings = {n: cqf.Packing(n, width, min(bucket_bits, width)) for n in range(2, LONGEST + 1)}
-    numbers = entries.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("numbers"))
-
-    def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for shard, size, raw, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                at, ids = (pairs.values.field(k).to_numpy() for k in range(2))
-                to = np.zeros(size + 1, np.int32)
-                to[at + 1] = ids
-                stream = to[np.frombuffer(raw.as_buffer(), "<i4")]
-                # of rare words and breaks one in a row is enough
-                stream = stream[(stream > 0) | np.concatenate([[True], stream[:-1] > 0])]
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([stream.astype("<i4").tobytes()], pa.binary())], ["shard", "ids"])
-
-    ids = cut(own.select("shard", F.size("words").alias("size"), "stream").join(numbers, "shard").mapInArrow(translate, "shard bigint, ids binary"))
+    ids = cut(_numbered(own, entries, known))
     found = cut(_pairs(ids, packings[2]))
     two = cut(_merge(found, packings, n_shards, least))
     more = cut(_longer(ids, _kept(found, two, packings[2]), packings[2], [packings[n] for n in range(3, LONGEST + 1)]))
