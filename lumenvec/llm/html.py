@@ -54,8 +54,10 @@ ASIDE_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments reply replies disqus respond".split())
 MAIN_WORDS = frozenset("article content post entry story main text body".split())
 
-_TOKEN = re.compile(r"""<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?""")
+_TOKEN = re.compile(r"""<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?|<[a-zA-Z][^>]*+\Z""")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
+#: Classes that say what an element has beside it, not what it is.
+_BESIDE = re.compile(r"(has|with|no|without)[-_]", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)")
 
@@ -66,13 +68,13 @@ def _words(name: str) -> list[str]:
 
 @lru_cache(1 << 14)
 def signature(tag: str, attributes: str) -> tuple[str, bool]:
-    """(name of a tag with its classes, whether it says itself that it isn't the article); names with digits aren't part of it."""
+    """(name of a tag with its classes, whether it says itself that it isn't the article); names with three digits or more, which may be another on every page, aren't part of it."""
     found, own = {}, []
     for m in _ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), unescape((m[2] or "").strip("\"'")))
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
-    said = {p for x in names for p in _words(x)}
-    own = sorted({x for x in found.get("class", "").split() if x.isascii() and not any(c.isdigit() for c in x)})
+    said = {p for x in names if not _BESIDE.match(x) for p in _words(x)}
+    own = sorted({x for x in found.get("class", "").split() if x.isascii() and sum(c.isdigit() for c in x) < 3})
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
     role = found.get("role", "").lower()
     off = tag in NOT_TEXT or hidden or role in ROLES or (tag not in ("html", "body", "main") and bool(said & ASIDE_WORDS))
