@@ -406,10 +406,13 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field or train(docs))
-    at, counted = docs.columns.index("text"), "n_chars" in docs.columns
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-    if counted:
-        rows = rows.withColumn("n_chars", F.col("n_chars").cast("bigint"))
+    names = docs.columns
+    # numbered while they are worked on, so that no name is read as an expression
+    at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    rows = rows.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+    if counted is not None:
+        rows = rows.withColumn(f"c{counted}", F.col(f"c{counted}").cast("bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -417,11 +420,11 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
             texts = [None if null[r] else _redacted(text, found) for r, text, found in _scan(b.column(at), shared.value)]
             columns = list(b.columns)
             columns[at] = pa.array(texts, pa.string())
-            if counted:
-                columns[b.schema.names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            if counted is not None:
+                columns[counted] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
 
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
