@@ -100,18 +100,31 @@ def _common(a: Column, b: Column) -> Column:
 
 
 def _verified(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Spans whose words agree, in order, with their template's: on one of its diagonals all words of the template are asked for, and NEAR more on either side."""
+    """(row, label, score) of spans whose words agree, in order, with their template's: on one of its diagonals all words of the template are asked for, and NEAR more on either side.
+
+    A text meets all its spans at once, and its words are worked out once. What stands on a diagonal is
+    told by two hashes, so that a notice that a text repeats is compared with its template once.
+    """
     t = templates(docs.sparkSession)
-    rows = found.join(docs.select("row", "text"), "row").join(F.broadcast(t.select("template", "t_words")), "template")
-    size = F.size("t_words")
+    sized = found.join(F.broadcast(t.select("template", F.size("t_words").alias("t_size"))), "template")
+    by_row = sized.groupBy("row").agg(F.collect_list(F.struct("template", "t_size", "diagonals")).alias("spans"))
+    begin = lambda d: F.greatest(d - NEAR, F.lit(0))
 
-    def agreement(w: Column) -> Column:
-        whole = F.exists("diagonals", lambda d: F.slice(w, F.greatest(d, F.lit(0)) + 1, size) == F.col("t_words"))
-        near = lambda d: F.filter(F.slice(w, F.greatest(d - NEAR, F.lit(0)) + 1, size + 2 * NEAR), lambda x: F.array_contains("t_words", x))
-        most = F.array_max(F.transform("diagonals", lambda d: _common(F.col("t_words"), near(d))))
-        return F.when(whole, 1.0).otherwise(most / size)
+    def places(w: Column) -> Column:
+        def of_span(s: Column) -> Column:
+            size = s["t_size"]
+            told = F.transform(s["diagonals"], lambda d: F.struct(F.xxhash64(F.slice(w, begin(d) + 1, size + 2 * NEAR)).alias("a"), F.xxhash64(F.lit(1), F.slice(w, begin(d) + 1, size + 2 * NEAR)).alias("b"), d.alias("d")))
+            return let(F.array_sort(told), lambda every: F.transform(F.filter(every, lambda x, i: (i == 0) | (F.get(every, i - 1)["a"] != x["a"]) | (F.get(every, i - 1)["b"] != x["b"])), lambda x: F.struct(s["template"].alias("template"), F.slice(w, begin(x["d"]) + 1, size + 2 * NEAR).alias("near"))))
 
-    rows = rows.select("row", "label", "first", "last", let(words_of(F.col("text")), agreement).alias("score"))
+        return F.flatten(F.transform("spans", of_span))
+
+    each = by_row.join(docs.select("row", "text"), "row").select("row", F.explode(let(words_of(F.col("text")), places)).alias("p"))
+    each = each.select("row", "p.*").join(F.broadcast(t), "template")
+    size = F.size("t_words")
+    # the template itself, NEAR words in (or from the start, at the start of a text), needs no comparing in order
+    whole = F.exists(F.sequence(F.lit(1), F.lit(NEAR + 1)), lambda i: F.slice("near", i, size) == F.col("t_words"))
+    most = _common(F.col("t_words"), F.filter("near", lambda x: F.array_contains("t_words", x)))
+    rows = each.select("row", "label", F.when(whole, 1.0).otherwise(most / size).alias("score"))
     return rows.where(F.col("score") >= LEAST_AGREE)
 
 
