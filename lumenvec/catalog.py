@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from lumenvec import model
 from lumenvec.functions.quantize import Quantizer
-from lumenvec.operators import clusters, exact, postings, seismic
+from lumenvec.operators import blocks, clusters, exact, maxscore, postings, seismic
 from lumenvec.operators.selectors import ListSelector, NotSelector, Selector, SetSelector, is_small
 from lumenvec.operators.topk import padded, recall, top_k
 from lumenvec.plans.index import ClusterParameters, SearchParameters, SeismicParameters, index_factory, read_index, write_index
+from lumenvec.plans.store import folder as _folder
+from lumenvec.plans.store import written
 from lumenvec.sources.corpora import CORPORA, QUERY_STEP, SQL, split
 
 K = 10
@@ -83,10 +85,28 @@ def rows_roundtrip(spark, d):
 
 # ---- exact search
 
-for _name in ("emb", "basket", "users", "text"):
+for _name in ("emb", "basket", "users"):
     _add(f"exact_topk_{_name}", _exact(_name))(lambda s, d, n=_name: exact.inverted(*_corpus(n, s, d), K, digits=6))
 
 
+def _banded(corpus: str, s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, lists, their statistics), as tables."""
+    to = _folder(s)
+    q, v = written(s, to, queries=_corpus(corpus, s, d)[0], lists=maxscore.lists(_corpus(corpus, s, d)[1]))
+    return q, v, *written(s, to, stats=maxscore.band_stats(v))
+
+
+@_add("exact_topk_text", _exact("text"))
+def exact_topk_text(spark, d):
+    """By upper bounds: stop words' lists meet all documents, the others' few."""
+    return maxscore.search(*_banded("text", spark, d), K, 6)
+
+
+for _name in ("emb", "basket", "users"):
+    # in two passes, whatever the share of postings that the first reads
+    _add(f"bounded_topk_{_name}", _exact(_name))(lambda s, d, n=_name: maxscore.search(*_banded(n, s, d), K, 6, most=1.0))
+
+
 @_add("brute_topk_zero_fill", _with("users", _top("SELECT i.qid, o.doc_id, coalesce(s.score, 0) AS score FROM qids i CROSS JOIN docs o LEFT JOIN s ON s.qid = i.qid AND s.doc_id = o.doc_id", 200), f"s AS ({_scores()})"))
 def brute_topk_zero_fill(spark, d):
     q, v = _corpus("users", spark, d)
@@ -207,7 +227,7 @@ for _bits, _q in _KINDS.items():
 
 def _coded(s, d, q: Quantizer, asked: Quantizer) -> tuple[DataFrame, DataFrame]:
     queries, v = _corpus("emb", s, d)
-    return queries.withColumn("weight", asked.encode(F.col("weight")).cast("double")), v.withColumn("weight", q.encode(F.col("weight")).cast("double"))
+    return queries.withColumn("weight", asked.encode(F.col("weight"))), v.withColumn("weight", q.encode(F.col("weight")).cast(q.column))
 
 
 def _decoded(found: DataFrame, q: Quantizer, asked: Quantizer) -> DataFrame:
@@ -283,20 +303,25 @@ def _work_sql(corpus: str) -> str:
     return _upto(corpus, "ss", "@").replace(" @", ", " + _search_steps("d", "q", K, HEAP) + " " + body)
 
 
-def _written(s, to: str, **tables: DataFrame) -> list[DataFrame]:
-    """The tables, written and read again, so that each is worked out once and Spark knows its size."""
-    for name, table in tables.items():
-        table.write.parquet(f"{to}/{name}")
-    return [s.read.parquet(f"{to}/{name}") for name in tables]
-
-
 def _built(corpus: str, s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(queries, documents, members, summary), all as tables, as building and searching read them several times."""
     to = _folder(s)
-    q, v = _written(s, to, queries=_corpus(corpus, s, d)[0], vectors=_corpus(corpus, s, d)[1])
+    q, v = written(s, to, queries=_corpus(corpus, s, d)[0], vectors=_corpus(corpus, s, d)[1])
     c = CLUSTERS.resolved(v.select("doc_id").distinct().count())
-    (m,) = _written(s, to, members=seismic.lists(v, c.lam, c.beta, c.seed, c.every))
-    return q, v, m, *_written(s, to, summary=seismic.summaries(m, v, c.alpha))
+    (m,) = written(s, to, members=seismic.lists(v, c.lam, c.beta, c.seed, c.every))
+    return q, v, m, *written(s, to, summary=seismic.summaries(m, v, c.alpha))
+
+
+def _blocked(corpus: str, s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, directory, blocks), as tables."""
+    q, v, m, sm = _built(corpus, s, d)
+    to, folders = _folder(s), blocks.folders_for(m.count() * v.count() // max(v.select("doc_id").distinct().count(), 1))
+    directory, rows = written(s, to, {"blocks": "part"}, directory=blocks.directory(m, sm), blocks=blocks.block_rows(m, v, folders))
+    return q, directory, blocks.with_folders(rows, folders)
+
+
+def _searched(corpus: str, s, d, selector: Selector | None = None, strata: tuple[int, ...] = ()) -> DataFrame:
+    return blocks.search(*_blocked(corpus, s, d), K, CUT, HEAP, selector, strata=strata)
 
 
 def _centroids(v: DataFrame) -> DataFrame:
@@ -310,15 +335,36 @@ for _name in ("emb", "basket"):
     _add(f"cluster_maxpool_{_name}", _upto(_name, "mx"))(lambda s, d, n=_name: clusters.max_pool(_built(n, s, d)[2], _corpus(n, s, d)[1]))
     _add(f"alpha_summary_{_name}", _upto(_name, "sm"))(lambda s, d, n=_name: _built(n, s, d)[3])
     _add(f"summary_scores_{_name}", _upto(_name, "ss"))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.summary_scores(q, sm, CUT))(*_built(n, s, d)))
-    _add(f"seismic_topk_{_name}", _seismic_sql(_name))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.search(q, m, sm, v, K, CUT, HEAP))(*_built(n, s, d)))
+    _add(f"seismic_topk_{_name}", _seismic_sql(_name))(lambda s, d, n=_name: _searched(n, s, d))
     _add(f"seismic_work_{_name}", _work_sql(_name))(lambda s, d, n=_name: (lambda q, v, m, sm: seismic.work(q, m, sm, v, K, CUT, HEAP))(*_built(n, s, d)))
 _add("blocks", _upto("emb", "mem", "SELECT m.term, m.cluster, m.doc_id, x.term AS s_term, x.weight FROM mem m JOIN d x USING (doc_id)"))(lambda s, d: clusters.blocks(_built("emb", s, d)[2], _corpus("emb", s, d)[1]))
 
 
 @_add("seismic_filter", _seismic_sql("emb", where=f"doc_id IN ({_IN})"))
 def seismic_filter(spark, d):
-    q, v, m, sm = _built("emb", spark, d)
-    return seismic.search(q, m, sm, v, K, CUT, HEAP, SetSelector(ALLOWED))
+    return _searched("emb", spark, d, SetSelector(ALLOWED))
+
+
+#: The threshold is raised after the first list, and after the third.
+STRATA = (1, 3)
+
+
+def _rounds_sql(corpus: str, body: str) -> str:
+    """Round by round: the blocks of some lists that reach the threshold, then the threshold of all documents opened so far."""
+    steps = _search_steps("d", "q", K, HEAP).split(", rst AS")[0].replace("tau AS MATERIALIZED", "tau0 AS MATERIALIZED").replace("fsc AS MATERIALIZED", "fsc AS MATERIALIZED")
+    more, last, every = [], 0, "SELECT * FROM fsc"
+    for r, end in enumerate([*STRATA, CUT]):
+        opened = f"SELECT DISTINCT qid, doc_id FROM vis LEFT JOIN tau{r} USING (qid) JOIN may USING (term, cluster) WHERE before >= {K} AND list_no >= {last} AND list_no < {end} AND (tau IS NULL OR s * {HEAP}::DOUBLE >= tau)"
+        more.append(f"ev{r} AS MATERIALIZED (SELECT p.qid, p.doc_id, coalesce(round(sum(a.weight::DOUBLE * b.weight::DOUBLE), 6), 0) AS score FROM ({opened}) p JOIN d a ON a.doc_id = p.doc_id LEFT JOIN q b ON b.qid = p.qid AND b.term = a.term GROUP BY 1, 2)")
+        every += f" UNION SELECT * FROM ev{r}"
+        more.append(f"tau{r + 1} AS MATERIALIZED (SELECT qid, score AS tau FROM ({every}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) = {K})")
+        last = end
+    return _upto(corpus, "ss", "@").replace(" @", ", " + ", ".join([steps, *more, f"evl AS ({every})"]) + " " + body)
+
+
+for _name in ("emb", "basket"):
+    _add(f"seismic_rounds_topk_{_name}", _rounds_sql(_name, f"SELECT qid, rank, doc_id, score FROM ({_top('SELECT * FROM evl')})"))(lambda s, d, n=_name: _searched(n, s, d, None, STRATA))
+    _add(f"seismic_rounds_work_{_name}", _rounds_sql(_name, "SELECT qid, count(*) AS n_evaluated FROM evl GROUP BY qid"))(lambda s, d, n=_name: blocks.evaluated(*_blocked(n, s, d), K, CUT, HEAP, STRATA))
 
 
 _Q8 = _KINDS["8"]
@@ -340,8 +386,8 @@ def _recall_sql(corpus: str) -> str:
 
 def _recall(corpus: str) -> Query:
     def run(spark, d):
-        q, v, m, sm = _built(corpus, spark, d)
-        return recall(seismic.search(q, m, sm, v, K, CUT, HEAP), exact.inverted(q, v, K, digits=6), K)
+        q, directory, rows = _blocked(corpus, spark, d)
+        return recall(blocks.search(q, directory, rows, K, CUT, HEAP), exact.inverted(*_corpus(corpus, spark, d), K, digits=6), K)
 
     return run
 
@@ -353,25 +399,16 @@ _add("seismic_recall_basket", _recall_sql("basket"))(_recall("basket"))
 @_add("seismic_noprune_equals_exact", _exact("users"))
 def seismic_noprune_equals_exact(spark, d):
     to = _folder(spark)
-    q, v = _written(spark, to, queries=_corpus("users", spark, d)[0], vectors=_corpus("users", spark, d)[1])
-    (m,) = _written(spark, to, members=seismic.lists(v, 0, 5, SEED))
-    (sm,) = _written(spark, to, summary=seismic.summaries(m, v, 1.5))
-    return seismic.search(q, m, sm, v, K, 1 << 16, 1e9)
+    q, v = written(spark, to, queries=_corpus("users", spark, d)[0], vectors=_corpus("users", spark, d)[1])
+    (m,) = written(spark, to, members=seismic.lists(v, 0, 5, SEED))
+    (sm,) = written(spark, to, summary=seismic.summaries(m, v, 1.5))
+    directory, rows = written(spark, to, directory=blocks.directory(m, sm), blocks=blocks.block_rows(m, v))
+    return blocks.search(q, directory, rows, K, 1 << 16, 1e9)
 
 
 # ---- files
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: the checkpoint folder, or a temporary one where none is set, as in tests."""
-    import os
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lumenvec")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @_add("index_roundtrip", _seismic_sql("emb"))
 def index_roundtrip(spark, d):
     """An index built by its descriptor, saved, read and searched."""

@@ -32,6 +32,11 @@ class Quantizer:
     def bytes_per_value(self) -> int:
         return BITS[self.kind] // 8
 
+    @property
+    def column(self) -> str:
+        """The narrowest column that holds every code: codes have no sign."""
+        return "smallint" if self.kind == "8bit" else "int"
+
     def encode(self, weight: Column) -> Column:
         """The code; Spark's float / float is double, so the scale is worked out here in single precision."""
         scale = float(np.float32(self.top) / (np.float32(self.vmax) - np.float32(self.vmin)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lumenvec.operators.selectors import Selector
 from lumenvec.operators.topk import check_k, padded, top_k
@@ -22,11 +23,13 @@ def small_side(queries: DataFrame) -> DataFrame:
 
 
 def scores(queries: DataFrame, vectors: DataFrame, digits: int | None = None) -> DataFrame:
-    """(qid, doc_id, score) of all pairs that share a term; partial sums are made before the shuffle."""
-    product = F.col("q.weight").cast("double") * F.col("d.weight").cast("double")
+    """(qid, doc_id, score) of all pairs that share a term; partial sums are made before the shuffle. Codes are summed as whole numbers."""
+    whole = all(isinstance(x.schema["weight"].dataType, IntegralType) for x in (queries, vectors))
+    kind = "bigint" if whole else "double"
+    product = F.col("q.weight").cast(kind) * F.col("d.weight").cast(kind)
     pairs = vectors.alias("d").join(small_side(queries).alias("q"), F.col("q.term") == F.col("d.term"))
     total = F.sum(product)
-    return pairs.groupBy("q.qid", "d.doc_id").agg((F.round(total, digits) if digits is not None else total).alias("score"))
+    return pairs.groupBy("q.qid", "d.doc_id").agg((F.round(total, digits) if digits is not None and not whole else total).alias("score"))
 
 
 def inverted(queries: DataFrame, vectors: DataFrame, k: int, selector: Selector | None = None, digits: int | None = None) -> DataFrame:
@@ -64,7 +67,7 @@ def match(queries: DataFrame, query_ids: DataFrame, vectors: DataFrame, docs: Da
     chosen = selector.apply(docs.select("doc_id"))
     own = scores(queries, selector.apply(vectors), digits)
     every = query_ids.select("qid").crossJoin(F.broadcast(chosen)).join(own, ["qid", "doc_id"], "left")
-    return top_k(every.select("qid", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score")), check_k(k))
+    return top_k(every.select("qid", "doc_id", F.coalesce("score", F.lit(0)).alias("score")), check_k(k))
 
 
 __all__ = ["brute", "inverted", "match", "padded", "scores", "small_side"]

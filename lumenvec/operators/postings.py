@@ -28,10 +28,8 @@ def prune_keeping(vectors: DataFrame, lam: int) -> DataFrame:
     """The same, and of every document the heaviest posting, ties by term, so that pruning leaves no document out."""
     if lam <= 0:
         return vectors
-    list_order = Window.partitionBy("term").orderBy(F.desc("weight"), F.asc("doc_id"))
-    own_order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), F.asc("term"))
-    ranked = vectors.withColumn("_r", F.row_number().over(list_order)).withColumn("_o", F.row_number().over(own_order))
-    return ranked.where((F.col("_r") <= lam) | (F.col("_o") == 1)).drop("_r", "_o")
+    own = vectors.groupBy("doc_id").agg(F.max_by(F.struct("term", "weight"), F.struct("weight", -F.col("term"))).alias("e")).select("doc_id", "e.term", "e.weight")
+    return prune(vectors, lam).select("doc_id", "term", "weight").unionByName(own).dropDuplicates(["term", "doc_id"])
 
 
 def cut_terms(queries: DataFrame, cut: int) -> DataFrame:

@@ -8,15 +8,15 @@ import random
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenvec.functions.quantize import BITS, Quantizer
 from lumenvec.model import VECTORS, check_dimension, to_rows, to_triples, validated
-from lumenvec.operators import clusters, exact, postings, seismic
+from lumenvec.operators import blocks, exact, maxscore, seismic
 from lumenvec.operators.selectors import MappedSelector, Selector, is_small
 from lumenvec.operators.topk import check_k, padded
+from lumenvec.plans.store import folder, written
 from lumenvec.sources.csr import read_csr
 
 
@@ -29,6 +29,7 @@ class SearchParameters:
 class SeismicParameters(SearchParameters):
     cut: int = 10
     heap_factor: float = 1.0
+    strata: tuple[int, ...] = ()  # numbers of lists after which the threshold is raised
 
 
 @dataclass(frozen=True)
@@ -120,8 +121,8 @@ class Index:
         return padded(self.search_frame(queries, query_ids, k, params), query_ids, k)
 
     def close(self) -> None:
-        """Lets go of what build has kept on the executors' disks."""
-        for name in ("lists", "member", "summary"):
+        """Lets go of what reading an index eagerly has kept in memory; what build writes goes with the checkpoint folder."""
+        for name in ("vectors", "lists", "stats", "member", "summary", "directory", "rows"):
             if getattr(self, name, None) is not None:
                 getattr(self, name).unpersist()
 
@@ -135,12 +136,16 @@ class Index:
 
     def write(self, path: str) -> None:
         for name, table in self.tables().items():
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            out = table.write.mode("overwrite")
+            (out.partitionBy("part") if "part" in table.columns else out).parquet(f"{path}/{name}")
         self.spark.createDataFrame([(json.dumps(self.meta()),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_meta.json")
 
     def load(self, path: str, meta: dict) -> None:
         self.n = meta["n"]
-        self.vectors = to_triples(self.spark.read.parquet(f"{path}/vectors_rows"))
+        self.vectors = self._loaded_vectors(path)
+
+    def _loaded_vectors(self, path: str) -> DataFrame:
+        return to_triples(self.spark.read.parquet(f"{path}/vectors_rows"))
 
 
 class BruteIndex(Index):
@@ -157,36 +162,41 @@ class BruteIndex(Index):
 
 
 class InvertedIndex(Index):
-    """Exact search over posting lists; documents must score above 0."""
+    """Exact search over posting lists by upper bounds; documents must score above 0."""
 
     kind = "inverted"
 
     def __init__(self, spark, dimension):
         super().__init__(spark, dimension)
-        self.lists = None
+        self.lists = self.stats = None
 
     def build(self):
         if self.vectors is None:
             raise RuntimeError("nothing to build")
         # dealt by term once, for every search after; a term out of range fails here
-        self.lists = postings.postings(self.vectors).persist(StorageLevel.DISK_ONLY)
-        self.lists.agg(F.sum("term"), F.sum("weight")).collect()
+        to = folder(self.spark)
+        (self.lists,) = written(self.spark, to, postings=maxscore.lists(self.vectors))
+        (self.stats,) = written(self.spark, to, term_stats=maxscore.band_stats(self.lists))
 
     def search_frame(self, queries, query_ids, k, params=None):
         if self.lists is None:
             return exact.inverted(queries, self.vectors.limit(0), k)
-        return exact.inverted(queries, self.lists, k, params.selector if params else None, self.digits)
+        chosen = params.selector if params else None
+        return maxscore.search(queries, self.lists if chosen is None else chosen.apply(self.lists), self.stats, k, self.digits)
 
     def tables(self):
-        return {"postings": postings.postings(self.vectors), "term_stats": postings.term_stats(self.vectors)}
+        if self.lists is None:
+            self.build()
+        return {"postings": self.lists, "term_stats": self.stats}
 
     def load(self, path, meta):
         self.n = meta["n"]
-        self.vectors = self.lists = self.spark.read.parquet(f"{path}/postings").select("doc_id", "term", "weight")
+        self.lists, self.stats = (self.spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats"))
+        self.vectors = self.lists.select("doc_id", "term", "weight")
 
 
 class SeismicIndex(Index):
-    """Approximate search over pruned, clustered posting lists."""
+    """Approximate search over pruned, clustered posting lists whose blocks hold their documents' vectors."""
 
     kind = "seismic"
     parameters = SeismicParameters
@@ -194,7 +204,8 @@ class SeismicIndex(Index):
     def __init__(self, spark, dimension, cluster: ClusterParameters = ClusterParameters()):
         super().__init__(spark, dimension)
         self.cluster = cluster
-        self.member = self.summary = None
+        self.member = self.summary = self.directory = self.rows = None
+        self.folders = 1
 
     def weights(self) -> DataFrame:
         """The vectors that are clustered and scored."""
@@ -203,10 +214,16 @@ class SeismicIndex(Index):
     def build(self):
         if self.vectors is None:
             raise RuntimeError("nothing to build")
-        self.vectors.agg(F.sum("term"), F.sum("weight")).collect()
+        to = folder(self.spark)
+        # written once, as building reads them several times; a term out of range fails here
+        (self.vectors,) = written(self.spark, to, vectors=self.vectors)
+        (own,) = written(self.spark, to, weights=self.weights()) if self.weights() is not self.vectors else (self.vectors,)
         c = self.cluster.resolved(self.n)
-        self.member = seismic.lists(self.weights(), c.lam, c.beta, c.seed, c.every).persist(StorageLevel.DISK_ONLY)
-        self.summary = seismic.summaries(self.member, self.weights(), c.alpha).persist(StorageLevel.DISK_ONLY)
+        (self.member,) = written(self.spark, to, cluster_members=seismic.lists(own, c.lam, c.beta, c.seed, c.every))
+        (self.summary,) = written(self.spark, to, cluster_summary=seismic.summaries(self.member, own, c.alpha))
+        self.folders = blocks.folders_for(self.member.count() * own.count() // max(self.n, 1))
+        self.directory, self.rows = written(self.spark, to, {"blocks": "part"}, directory=blocks.directory(self.member, self.summary), blocks=blocks.block_rows(self.member, own, self.folders))
+        self.rows = blocks.with_folders(self.rows, self.folders)
 
     def _params(self, params):
         plain = params or self.parameters()
@@ -220,10 +237,10 @@ class SeismicIndex(Index):
         queries = self.prepared(queries, p)
         if is_small(p.selector, k):
             found = exact.match(queries, query_ids, self.weights(), self.docs(), p.selector, k, self.digits)
-        elif self.member is None:
+        elif self.rows is None:
             found = exact.inverted(queries, self.vectors.limit(0), k)
         else:
-            found = seismic.search(queries, self.member, self.summary, self.weights(), k, p.cut, p.heap_factor, p.selector, self.digits)
+            found = blocks.search(queries, self.directory, self.rows, k, p.cut, p.heap_factor, p.selector, self.digits, p.strata)
         return self.finished(found, p)
 
     def prepared(self, queries, p):
@@ -233,23 +250,35 @@ class SeismicIndex(Index):
         return found
 
     def meta(self):
-        return super().meta() | {"cluster": dataclasses.asdict(self.cluster)}
+        return super().meta() | {"cluster": dataclasses.asdict(self.cluster), "folders": self.folders, "built": self.rows is not None}
+
+    def kept(self) -> dict[str, DataFrame]:
+        """The vectors as they are saved."""
+        return {"vectors_rows": to_rows(self.vectors)}
 
     def tables(self):
-        own = {"vectors_rows": to_rows(self.vectors)}
-        return own if self.member is None else own | {"cluster_members": self.member.repartition("term").sortWithinPartitions("term", "cluster", "pos"), "cluster_summary": self.summary.repartition("term").sortWithinPartitions("term", "cluster", "s_term"), "blocks": clusters.blocks(self.member, self.vectors).repartition("term").sortWithinPartitions("term", "cluster")}
+        if self.rows is None:
+            return self.kept()
+        return self.kept() | {"cluster_members": self.member, "cluster_summary": self.summary, "directory": self.directory, "blocks": self.rows}
 
     def block(self, term: int, cluster: int) -> DataFrame:
-        """The documents of one block with their vectors; empty if there is none."""
-        return clusters.blocks(self.member.where((F.col("term") == term) & (F.col("cluster") == cluster)), self.vectors)
+        """(doc_id, terms, weights) of one block's documents, read from its folder; empty if there is none."""
+        here = (F.col("part") == term % self.folders) & (F.col("term") == term) & (F.col("cluster") == cluster)
+        return self.rows.where(here).select("doc_id", "terms", "weights")
+
+    def num_blocks_in_list(self, term: int) -> int:
+        return blocks.num_blocks_in_list(self.directory, term)
 
     def load(self, path, meta):
         super().load(path, meta)
-        self.member, self.summary = (self.spark.read.parquet(f"{path}/{t}") for t in ("cluster_members", "cluster_summary"))
+        if meta.get("built", True):
+            self.folders = meta.get("folders", 1)
+            self.member, self.summary, self.directory, rows = (self.spark.read.parquet(f"{path}/{t}") for t in ("cluster_members", "cluster_summary", "directory", "blocks"))
+            self.rows = blocks.with_folders(rows, self.folders)
 
 
 class SeismicSQIndex(SeismicIndex):
-    """The same over 8- or 16-bit codes; scores are decoded at the end."""
+    """The same over 8- or 16-bit codes, which are stored and summed as whole numbers; scores are decoded at the end."""
 
     kind = "seismic_sq"
     parameters = SeismicSQParameters
@@ -257,12 +286,13 @@ class SeismicSQIndex(SeismicIndex):
     def __init__(self, spark, dimension, cluster: ClusterParameters = ClusterParameters(), quantizer: Quantizer = Quantizer()):
         super().__init__(spark, dimension, cluster)
         self.quantizer = quantizer
+        self.codes: DataFrame | None = None
 
     def weights(self):
-        return self.vectors.withColumn("weight", self.quantizer.encode(F.col("weight")).cast("double"))
+        return self.vectors.withColumn("weight", self.quantizer.encode(F.col("weight")).cast(self.quantizer.column)) if self.codes is None else self.codes
 
     def prepared(self, queries, p):
-        return queries.withColumn("weight", self.quantizer.for_query(p.vmin, p.vmax).encode(F.col("weight")).cast("double"))
+        return queries.withColumn("weight", self.quantizer.for_query(p.vmin, p.vmax).encode(F.col("weight")))
 
     def finished(self, found, p):
         return found.withColumn("score", self.quantizer.decode_dot(F.col("score"), self.quantizer.for_query(p.vmin, p.vmax)))
@@ -270,6 +300,17 @@ class SeismicSQIndex(SeismicIndex):
     def meta(self):
         return super().meta() | {"quantizer": dataclasses.asdict(self.quantizer)}
 
+    def kept(self):
+        """Codes only: they are made once and never again."""
+        return {"codes_rows": to_rows(self.weights())}
+
+    def load(self, path, meta):
+        self.codes = to_triples(self.spark.read.parquet(f"{path}/codes_rows"))
+        super().load(path, meta)
+
+    def _loaded_vectors(self, path):
+        return self.codes.withColumn("weight", self.quantizer.decode(F.col("weight")).cast("float"))
+
 
 class IdMapIndex(Index):
     """Another index under external ids."""
@@ -398,7 +439,7 @@ def _load(spark: SparkSession, path: str, meta: dict, lazy: bool) -> Index:
     out = kinds[meta["kind"]](spark, meta["dimension"], *args)
     out.load(path, meta)
     if not lazy:
-        for name in ("vectors", "lists", "member", "summary"):
+        for name in ("vectors", "lists", "stats", "member", "summary", "directory", "rows"):
             if getattr(out, name, None) is not None:
                 setattr(out, name, getattr(out, name).persist())
     return out

@@ -31,8 +31,9 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of words by document, words hashed to terms."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
-    d = d.select("doc_id", F.lower("w").alias("w"))
-    return d.groupBy("doc_id", _hashed("w").alias("term")).agg(F.count("*").cast("double").alias("weight"))
+    # counted by word first: a word is hashed once a document
+    d = d.groupBy("doc_id", F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+    return d.groupBy("doc_id", _hashed("w").alias("term")).agg(F.sum("n").cast("double").alias("weight"))
 
 
 SQL = {
