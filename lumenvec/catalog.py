@@ -83,6 +83,20 @@ def rows_roundtrip(spark, d):
     return model.to_triples(model.to_rows(CORPORA["users"](spark, d)))
 
 
+_EVENTS = "SELECT user_id AS doc_id, ('0x' || substr(md5(event_type), 1, 4))::BIGINT AS term, 1.0::DOUBLE AS weight FROM events"
+
+
+def _events(spark, d) -> DataFrame:
+    """An entry for every event, so that users have a term as often as they did the same."""
+    from lumenvec.sources.corpora import _hashed
+
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("doc_id"), _hashed("event_type").alias("term"), F.lit(1.0).alias("weight"))
+
+
+_add("duplicate_terms", f"SELECT doc_id, term, count(*) AS n FROM ({_EVENTS}) GROUP BY 1, 2 HAVING count(*) > 1")(lambda s, d: model.duplicates(_events(s, d)))
+_add("duplicates_summed", f"SELECT doc_id, term, sum(weight) AS weight FROM ({_EVENTS}) GROUP BY 1, 2")(lambda s, d: model.merged(_events(s, d), "sum"))
+_add("duplicates_refused", SQL["users"])(lambda s, d: model.merged(CORPORA["users"](s, d), "refuse"))
+
 # ---- exact search
 
 for _name in ("emb", "basket", "users"):
@@ -92,7 +106,9 @@ for _name in ("emb", "basket", "users"):
 def _banded(corpus: str, s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queries, lists, their statistics), as tables."""
     to = _folder(s)
-    q, v = written(s, to, queries=_corpus(corpus, s, d)[0], lists=maxscore.lists(_corpus(corpus, s, d)[1]))
+    (every,) = written(s, to, vectors=CORPORA[corpus](s, d))
+    q, v = split(every)
+    q, v = written(s, to, queries=q, lists=maxscore.lists(v))
     return q, v, *written(s, to, stats=maxscore.band_stats(v))
 
 
@@ -306,7 +322,8 @@ def _work_sql(corpus: str) -> str:
 def _built(corpus: str, s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(queries, documents, members, summary), all as tables, as building and searching read them several times."""
     to = _folder(s)
-    q, v = written(s, to, queries=_corpus(corpus, s, d)[0], vectors=_corpus(corpus, s, d)[1])
+    (v,) = written(s, to, vectors=CORPORA[corpus](s, d))
+    (q,) = written(s, to, queries=split(v)[0])
     c = CLUSTERS.resolved(v.select("doc_id").distinct().count())
     (m,) = written(s, to, members=seismic.lists(v, c.lam, c.beta, c.seed, c.every))
     return q, v, m, *written(s, to, summary=seismic.summaries(m, v, c.alpha))
@@ -418,19 +435,24 @@ def index_roundtrip(spark, d):
 
 @_add("csr_roundtrip", f"SELECT doc_id, term, weight FROM ({SQL['emb']})")
 def csr_roundtrip(spark, d):
-    """The embeddings corpus written as an interchange file, converted to the native layout and read again."""
-    import os
+    """The embeddings corpus written as an interchange file by all tasks, converted to the native layout and read again."""
+    from lumenvec.sources.csr import convert_frame, plain_path, read_csr, write_csr_frame
+
+    v = CORPORA["emb"](spark, d)
+    path = plain_path(_folder(spark))
+    write_csr_frame(v, path, v.select(F.max("doc_id")).first()[0] + 1, 64)
+    return read_csr(spark, convert_frame(spark, path), "native", 64)
 
-    import numpy as np
 
-    from lumenvec.sources.csr import convert, read_csr, write_csr
+@_add("csr_native_write", f"SELECT doc_id, term, weight FROM ({SQL['users']})")
+def csr_native_write(spark, d):
+    """Users' events written in the native layout by all tasks and read through Spark's own file formats."""
+    from lumenvec.sources.csr import _read_by_spark, plain_path, write_csr_frame
 
-    rows = CORPORA["emb"](spark, d).orderBy("doc_id", "term").toArrow()
-    doc = rows.column(0).to_numpy()
-    path = _folder(spark).removeprefix("file://")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    write_csr(path, np.searchsorted(doc, np.arange(doc.max() + 2)), rows.column(1).to_numpy(), rows.column(2).to_numpy(), 64)
-    return read_csr(spark, convert(path), "native", 64)
+    v = CORPORA["users"](spark, d)
+    path = plain_path(_folder(spark))
+    write_csr_frame(v, path, v.select(F.max("doc_id")).first()[0] + 1, 1 << 16, "native")
+    return _read_by_spark(spark, f"file://{path}", "native", 1 << 16)
 
 
 def queries() -> dict[str, Query]:

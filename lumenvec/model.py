@@ -28,9 +28,20 @@ def validated(vectors: DataFrame, dimension: int, key: str = "doc_id") -> DataFr
     return vectors.select(key, term.alias("term"), weight.alias("weight"))
 
 
-def merged(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Repeated terms of a row summed."""
-    return vectors.groupBy(key, "term").agg(F.sum("weight").cast("float").alias("weight"))
+def duplicates(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, n) of the terms that a row has more than once."""
+    return vectors.groupBy(key, "term").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def merged(vectors: DataFrame, policy: str, key: str = "doc_id") -> DataFrame:
+    """The triples with every term of a row once; policy: `sum` adds repeated ones up, `refuse` fails the job that reads them. One shuffle, combined before it."""
+    if policy not in ("sum", "refuse"):
+        raise ValueError("policy must be sum or refuse")
+    kind = vectors.schema["weight"].dataType
+    once = vectors.groupBy(key, "term").agg(F.sum("weight").cast(kind).alias("weight"), F.count("*").alias("n"))
+    if policy == "refuse":
+        once = once.withColumn("weight", F.when(F.col("n") == 1, F.col("weight")).otherwise(F.raise_error(F.lit("a row has a term twice")).cast(kind)))
+    return once.select(key, "term", "weight")
 
 
 def to_rows(vectors: DataFrame, key: str = "doc_id") -> DataFrame:

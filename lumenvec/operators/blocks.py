@@ -62,15 +62,31 @@ class Asked:
         self.whole = isinstance(queries.schema["weight"].dataType, IntegralType)
         self.type = "bigint" if self.whole else "double"
         some = rows.select("qid", "term", F.col("weight").cast(self.type).alias("weight")).limit(LOCAL_ROWS + 1).toArrow()
-        self.rows = self.held = None
+        self.rows = self.held = self.local = None
         if some.num_rows > LOCAL_ROWS:
             self.rows = to_rows(rows, "qid").select("qid", F.col("terms").alias("q_terms"), F.col("weights").alias("q_weights"))
             return
         qid, term, weight = (c.to_numpy() for c in some.columns)
         ids, at = np.unique(qid, return_inverse=True)
         key = (at.astype(np.int64) << 32) | term
-        order = np.argsort(key)
-        self.held = queries.sparkSession.sparkContext.broadcast((ids, key[order], weight[order]))
+        self.local = (qid, term, weight)
+        # a term that a query has twice counts twice
+        key, first = np.unique(key, return_inverse=True)
+        total = np.zeros(len(key), weight.dtype)
+        np.add.at(total, first, weight)
+        self.held = queries.sparkSession.sparkContext.broadcast((ids, key, total))
+
+    def cuts(self, queries: DataFrame, cut: int) -> DataFrame:
+        """(qid, list_no, term): what `cut_terms` gives."""
+        if cut <= 0 or self.local is None:
+            return cut_terms(queries, cut)
+        qid, term, weight = self.local
+        order = np.lexsort((term, -weight, qid))
+        qid, term = qid[order], term[order]
+        no = np.arange(len(qid)) - np.searchsorted(qid, qid)
+        keep = no < cut
+        table = pa.table({"qid": qid[keep], "list_no": no[keep].astype(np.int32), "term": term[keep]})
+        return F.broadcast(queries.sparkSession.createDataFrame(table))
 
     def scored(self, rows: DataFrame, keep: str, terms: str, values: str, digits: int | None) -> DataFrame:
         """The columns of `keep` (name type, ...; with qid) and `score`: products of the arrays `terms` and `values` with the row's query."""
@@ -121,8 +137,7 @@ VISIT = "qid bigint, list_no int, term int, cluster int, size bigint"
 
 def visits(asked: Asked, queries: DataFrame, directory_: DataFrame, cut: int) -> DataFrame:
     """(qid, list_no, term, cluster, s, before): blocks of the query's heaviest lists in visiting order, their summaries' scores, and how many documents those before it hold."""
-    cuts, _ = settled(cut_terms(queries, cut).select("qid", "list_no", "term"))
-    s = asked.scored(directory_.join(cuts, "term"), VISIT, "s_terms", "s_values", 6).withColumnRenamed("score", "s")
+    s = asked.scored(directory_.join(asked.cuts(queries, cut), "term"), VISIT, "s_terms", "s_values", 6).withColumnRenamed("score", "s")
     # dealt by query once, for the order and all that follows
     order = Window.partitionBy("qid").orderBy("list_no", F.when(F.col("list_no") == 0, -F.col("s")).otherwise(F.lit(0.0)), "cluster", "term")
     ahead = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -151,9 +166,12 @@ def rounds(queries: DataFrame, directory_: DataFrame, rows: DataFrame, k: int, c
 
     def opened(which: DataFrame, some: np.ndarray | None) -> DataFrame:
         of = rows
+        which = which.select("qid", "term", "cluster")
+        if held is not None:
+            which = F.broadcast(which)  # no more than are held
         if some is not None and "part" in rows.columns and len(some):
             of = rows.where(F.col("part").isin(_parts(rows, held.column("term").to_numpy()[some])))
-        return asked.scored(of.join(which.select("qid", "term", "cluster"), ["term", "cluster"]), "qid bigint, doc_id bigint", "terms", "weights", digits)
+        return asked.scored(of.join(which, ["term", "cluster"]), "qid bigint, doc_id bigint", "terms", "weights", digits)
 
     before = held.column("before").to_numpy() if held is not None else None
     found = opened(every.where(F.col("before") < k), np.flatnonzero(before < k) if held is not None else None)

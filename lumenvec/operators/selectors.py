@@ -52,10 +52,11 @@ class SetSelector(ListSelector):
 
 
 class FrameSelector(Selector):
-    """Ids in a column `id` of a DataFrame of any size."""
+    """Ids in a column `id` of a DataFrame of any size; counted: its rows are counted, so that a small one is told."""
 
-    def __init__(self, ids: DataFrame):
+    def __init__(self, ids: DataFrame, counted: bool = False):
         self.frame = ids
+        self.size = ids.count() if counted else None
 
     def apply(self, rows, column="doc_id", negate=False):
         return rows.join(self.frame.select(F.col("id").alias(column)), column, "left_anti" if negate else "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenvec.functions.quantize import BITS, Quantizer
-from lumenvec.model import VECTORS, check_dimension, to_rows, to_triples, validated
+from lumenvec.model import VECTORS, check_dimension, merged, to_rows, to_triples, validated
 from lumenvec.operators import blocks, exact, maxscore, seismic
 from lumenvec.operators.selectors import MappedSelector, Selector, is_small
 from lumenvec.operators.topk import check_k, padded
@@ -69,10 +69,14 @@ class Index:
 
     # -- taking vectors
 
-    def add_frame(self, vectors: DataFrame, n: int) -> None:
-        """n vectors as triples (doc_id from 0 to n - 1, term, weight); terms are checked when they are read."""
+    def add_frame(self, vectors: DataFrame, n: int, duplicates: str | None = None) -> None:
+        """n vectors as triples (doc_id from 0 to n - 1, term, weight); terms are checked when they are read.
+
+        duplicates: `sum` or `refuse` what a vector has twice of a term; None where it is known that none has.
+        """
         if n <= 0:
             raise ValueError("n must be positive")
+        vectors = vectors if duplicates is None else merged(vectors, duplicates)
         batch = validated(vectors, self.dimension).select((F.col("doc_id") + self.n).cast("int").alias("doc_id"), "term", "weight")
         self.vectors = batch if self.vectors is None else self.vectors.unionByName(batch)
         self.n += n
@@ -84,9 +88,11 @@ class Index:
         raise RuntimeError("add_with_ids is not implemented for this index")
 
     def read_csr(self, path: str, layout: str = "interchange") -> None:
-        from lumenvec.sources.csr import Layout
+        from lumenvec.sources.csr import layout_of
 
-        self.add_frame(read_csr(self.spark, path, layout, self.dimension), Layout(path, layout, self.dimension).rows)
+        if layout == "native" and self.n:
+            raise RuntimeError("a native file is only read into an empty index")
+        self.add_frame(read_csr(self.spark, path, layout, self.dimension), layout_of(self.spark, path, layout, self.dimension).rows)
 
     @property
     def num_vectors(self) -> int:
@@ -385,6 +391,12 @@ def _triples(spark: SparkSession, n: int, indptr, indices, values) -> DataFrame:
     import pandas as pd
 
     row = np.repeat(np.arange(n, dtype=np.int32), np.diff(indptr))
+    # of a term that a row has twice the last weight holds
+    key = (row.astype(np.int64) << 32) | indices.astype(np.int64)
+    last = len(key) - 1 - np.unique(key[::-1], return_index=True)[1]
+    if len(last) < len(key):
+        last.sort()
+        row, indices, values = row[last], indices[last], values[last]
     return spark.createDataFrame(pd.DataFrame({"doc_id": row, "term": indices.astype(np.int32), "weight": values}), VECTORS)
 
 

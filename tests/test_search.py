@@ -57,21 +57,31 @@ def test_trailing_empty_document_counts(spark, tmp_path):
 
 
 def test_prune_and_cut(spark):
-    v = spark.createDataFrame([(10, 0, 1.0), (20, 0, 4.0), (30, 0, 2.0), (40, 0, 3.0)], "doc_id int, term int, weight double")
-    assert {r.doc_id for r in postings.prune(v, 2).collect()} == {20, 40}
-    assert postings.prune(v, 0).count() == 4
-    q = spark.createDataFrame([(0, t, float(w)) for t, w in enumerate([1, 5, 3, 2, 4])], "qid int, term int, weight double")
-    assert [r.term for r in postings.cut_terms(q, 3).orderBy("list_no").collect()] == [1, 4, 2]
+    """Heaviest postings of every list, ties by id; heaviest terms of every query, ties by term."""
+    docs = drawn(21, 50, 6, 3)
+    v = spark.createDataFrame([(i, t, w) for i, d in enumerate(docs) for t, w in d.items()], "doc_id int, term int, weight double")
+    for lam in (1, 4, 0):
+        want = {(t, i) for t in range(6) for _, i in sorted((-d[t], i) for i, d in enumerate(docs) if t in d)[: lam or None]}
+        assert {(r.term, r.doc_id) for r in postings.prune(v, lam).collect()} == want
+        own = {(min(d, key=lambda t: (-d[t], t)), i) for i, d in enumerate(docs)}
+        assert sorted((r.term, r.doc_id) for r in postings.prune_keeping(v, lam).collect()) == sorted(want | own)
+    q = v.withColumnRenamed("doc_id", "qid")
+    got = {(r.qid, r.list_no): r.term for r in postings.cut_terms(q, 2).collect()}
+    assert got == {(i, n): t for i, d in enumerate(docs) for n, t in enumerate(sorted(d, key=lambda t: (-d[t], t))[:2])}
     with pytest.raises(ValueError):
         postings.cut_terms(q, 0)
 
 
-def test_seismic_lambda_filter_and_small_selector(spark):
-    x = built(spark, "seismic,lambda=2|beta=1|alpha=0.5|seed=1", [{0: 0.1}, {0: 0.2}, {0: 0.3}, {0: 0.4}])
-    assert x.search(*csr([{0: 1.0}]), 4)[1].tolist() == [[3, 2, -1, -1]]
-    y = built(spark, "seismic,lambda=10|beta=2|alpha=0.5|seed=1", [{0: 0.3}, {0: 1.0}, {0: 0.5}, {0: 0.8}])
-    assert y.search(*csr([{0: 1.0}]), 3, SeismicParameters(NotSelector(SetSelector([1]))))[1].tolist() == [[3, 2, 0]]
-    assert y.search(*csr([{0: 1.0}]), 2, SearchParameters(SetSelector([1, 3])))[1].tolist() == [[1, 3]]
+def test_one_list_pruned_and_filtered(spark):
+    """With one term a list is all: pruning keeps its heaviest, filters take from what is kept, and few ids are matched exactly."""
+    weights = {i: float(w) for i, w in enumerate(np.random.default_rng(22).permutation(12) + 1)}
+    best = sorted(weights, key=lambda i: -weights[i])
+    rows = [{0: w} for w in weights.values()]
+    x = built(spark, "seismic,lambda=5|beta=2|alpha=0.5|seed=1", rows)
+    assert x.search(*csr([{0: 2.0}]), 8)[1].tolist() == [best[:5] + [-1] * 3]
+    assert x.search(*csr([{0: 2.0}]), 8, SeismicParameters(NotSelector(SetSelector(best[1:3]))))[1].tolist() == [[best[0], *best[3:5], *[-1] * 5]]
+    few = sorted(best[6:8], key=lambda i: -weights[i])
+    assert x.search(*csr([{0: 2.0}]), 2, SearchParameters(SetSelector(few)))[1].tolist() == [few]
 
 
 def test_search_that_prunes_nothing_is_exact(spark):
@@ -125,15 +135,21 @@ def test_brute_zero_fill_and_exact_match(spark):
 
 
 def test_idmap(spark, tmp_path):
-    x = built(spark, "idmap,inverted", [{0: 1.0}, {0: 0.5}, {0: 0.2}], ids=[100, 200, 300])
-    assert x.search(*csr([{0: 1.0}]), 3, SearchParameters(SetSelector([100, 300])))[1].tolist() == [[100, 300, -1]]
-    assert x.search(*csr([{0: 1.0}]), 2, SearchParameters(SetSelector([999])))[1].tolist() == [[-1, -1]]
+    rng = np.random.default_rng(23)
+    ext = (rng.choice(5000, 9, replace=False) + 17).tolist()
+    docs = [{0: float(w)} for w in rng.permutation(9) + 1]
+    order = sorted(range(9), key=lambda i: -docs[i][0])
+    x = built(spark, "idmap,inverted", docs, ids=ext)
+    some = sorted(order[2:5] + order[:1])
+    want = [ext[i] for i in order if i in some]
+    assert x.search(*csr([{0: 1.0}]), 6, SearchParameters(SetSelector([ext[i] for i in some])))[1].tolist() == [want + [-1, -1]]
+    assert x.search(*csr([{0: 1.0}]), 2, SearchParameters(SetSelector([3])))[1].tolist() == [[-1, -1]]
     with pytest.raises(ValueError):
-        x.add_with_ids(*csr([{0: 1.0}]), [100])
+        x.add_with_ids(*csr([{0: 1.0}]), [ext[4]])
     write_index(x, str(tmp_path / "i"))
     again = read_index(spark, str(tmp_path / "i"))
-    assert again.num_vectors == 3 and again.search(*csr([{0: 1.0}]), 2)[1].tolist() == [[100, 200]]
-    assert MappedSelector(SetSelector([200, 999]), again.id_map).ids() == [1]
+    assert again.num_vectors == 9 and again.search(*csr([{0: 1.0}]), 3)[1].tolist() == [[ext[i] for i in order[:3]]]
+    assert MappedSelector(SetSelector([ext[7], 3]), again.id_map).ids() == [7]
 
 
 def test_quantizer(spark):
