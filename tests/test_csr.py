@@ -71,11 +71,12 @@ def test_writing_refuses(spark, tmp_path):
 def test_paths_that_only_spark_opens(spark, tmp_path, monkeypatch, layout, group, record):
     monkeypatch.setattr(csr, "GROUP_ENTRIES", group)
     monkeypatch.setattr(csr, "RECORD_BYTES", record)
-    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.rows.link./in", f"file://{tmp_path}")
+    store = f"{layout}{group}"  # Hadoop keeps a file system by its name
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{store}.link./in", f"file://{tmp_path}")
     entries = sorted(drawn(2, 33, 50) + [(33, t, 1.0) for t in range(40)])
     p = str(tmp_path / "d.csr")
     write_csr(p, np.searchsorted([e[0] for e in entries], np.arange(37)), [e[1] for e in entries], [e[2] for e in entries], 50, layout)
-    far = "viewfs://rows/in/d.csr"
+    far = f"viewfs://{store}/in/d.csr"
     assert sorted(map(tuple, read_csr(spark, far, layout, 50).collect())) == entries
     x = index_factory(spark, 50, "inverted")
     x.read_csr(far, layout)
@@ -85,7 +86,7 @@ def test_paths_that_only_spark_opens(spark, tmp_path, monkeypatch, layout, group
             x.read_csr(far, layout)
     else:
         assert sorted(map(tuple, read_csr(spark, convert_frame(spark, far, str(tmp_path / "e.mcsr")), "native", 50).collect())) == entries
-    for bad in ("viewfs://rows/in/none", far):
+    for bad in (f"viewfs://{store}/in/none", far):
         with pytest.raises(ValueError):
             read_csr(spark, bad, layout, 49)
 
