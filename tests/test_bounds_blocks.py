@@ -18,7 +18,8 @@ def zipf(seed, n, dim, longest):
     """Vectors of very different lengths whose terms are drawn by rank, in 64ths, so that sums are exact."""
     rng = np.random.default_rng(seed)
     p = 1 / np.arange(1, dim + 1)
-    return [dict(zip(*np.unique(rng.choice(dim, 1 + rng.integers(longest) // (1 + rng.integers(8)), p=p / p.sum()), return_counts=True))) for _ in range(n)]
+    drawn = (np.unique(rng.choice(dim, 1 + rng.integers(longest) // (1 + rng.integers(8)), p=p / p.sum()), return_counts=True) for _ in range(n))
+    return [dict(zip(terms.tolist(), counts.tolist())) for terms, counts in drawn]
 
 
 def rows_of(found):
