@@ -47,6 +47,17 @@ GAPS[[0x20, 0x09]] = True
 SHARDS = "shard bigint, n_tokens bigint, langs array<string>, words array<string>, counts array<bigint>, stream binary"
 
 
+def _packed(stream: np.ndarray) -> bytes:
+    """A stream as it is written: its length and its numbers, compressed."""
+    raw = stream.astype("<i4").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(value: pa.Scalar) -> np.ndarray:
+    raw = value.as_py()
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), "<i4")
+
+
 def _shard(texts: pa.Array, langs: list[str]) -> Iterator[tuple[int, list[str], list[str], np.ndarray, bytes]]:
     """(occurrences, language of each entry, word of each, count of each, stream) of every slice.
 
@@ -67,7 +78,7 @@ def _shard(texts: pa.Array, langs: list[str]) -> Iterator[tuple[int, list[str],
         piece = np.concatenate([[0], np.cumsum(BREAKS[data])])[starts] + row
         breaks = np.flatnonzero(np.diff(piece)) + 1
         stream = np.insert(number.astype(np.int32) + 1, breaks, 0)
-        yield len(starts), names[entries % len(names)].tolist(), column.dictionary.take(pa.array(entries // len(names))).to_pylist(), np.bincount(number), stream.astype("<i4").tobytes()
+        yield len(starts), names[entries % len(names)].tolist(), column.dictionary.take(pa.array(entries // len(names))).to_pylist(), np.bincount(number), _packed(stream)
 
 
 def shards(docs: DataFrame) -> DataFrame:
@@ -99,10 +110,10 @@ def _translated(shard: int, raw: pa.Scalar, size: int, at: np.ndarray, ids: np.n
     """A shard's stream with the ids of its entries `at`, and 0 for all others."""
     to = np.zeros(size + 1, np.int32)
     to[at + 1] = ids
-    stream = to[np.frombuffer(raw.as_buffer(), "<i4")]
+    stream = to[_unpacked(raw)]
     # of rare words and breaks one in a row is enough
     stream = stream[(stream > 0) | np.concatenate([[True], stream[:-1] > 0])]
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([stream.astype("<i4").tobytes()], pa.binary())], ["shard", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([_packed(stream)], pa.binary())], ["shard", "ids"])
 
 
 def _numbered(own: DataFrame, entries: DataFrame, known: DataFrame) -> DataFrame:
@@ -147,7 +158,7 @@ def _pairs(ids: DataFrame, p: cqf.Packing) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                a, c = _runs(np.frombuffer(raw.as_buffer(), "<i4"), 2)
+                a, c = _runs(_unpacked(raw), 2)
                 there = (a > 0) & (c > 0)
                 yield _batch([(2, k, shard, x) for k, _, x in cqf.filters(p, [a[there], c[there]])])
 
@@ -168,7 +179,7 @@ def _longer(ids: DataFrame, kept: DataFrame, two: cqf.Packing, longer: list[cqf.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, raw, pairs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                stream = np.frombuffer(raw.as_buffer(), "<i4")
+                stream = _unpacked(raw)
                 left, right = map(np.concatenate, zip(*[cqf.decode(two, x["bucket"], x["filter"])[:2] for x in pairs]))
                 a, c = two.unpack(*two.restored(left, right))
                 known = np.sort((a << 32) | c)
