@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -39,27 +39,38 @@ def inverted(queries: DataFrame, vectors: DataFrame, k: int, selector: Selector
     return top_k(scores(queries, vectors, digits).where("score > 0"), check_k(k))
 
 
+#: Bits of ids that are numbered together, and of ranges of those; places of zeros that are made at a time.
+RANGE_BITS, SUPER_BITS, STEP = 12, 10, 4096
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, nth): ids in order from 1, by counts of id ranges, and of ranges of ranges, which alone are added up in one place."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).select("doc_id", F.shiftright("doc_id", RANGE_BITS).alias("b"))
+    within = own.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("doc_id")))
+    ranges = own.groupBy("b").agg(F.count("*").alias("n")).withColumn("s", F.shiftright("b", SUPER_BITS))
+    earlier = F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    # one number for 4 million ids
+    supers = ranges.groupBy("s").agg(F.sum("n").alias("n")).agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("all"))
+    before = F.transform("all", lambda x, i: F.struct(x["s"].alias("s"), F.aggregate(F.slice("all", F.lit(1), i), F.lit(0).cast("bigint"), lambda done, y: done + y["n"]).alias("before")))
+    supers = supers.select(F.explode(before).alias("x")).select("x.s", "x.before")
+    starts = ranges.select("s", "b", F.coalesce(earlier, F.lit(0)).alias("earlier")).join(supers, "s")
+    return within.join(starts, "b").select("doc_id", (F.col("before") + F.col("earlier") + F.col("r")).alias("nth"))
+
+
 def brute(queries: DataFrame, query_ids: DataFrame, vectors: DataFrame, docs: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """The k best of all documents, whatever their score.
 
     Documents that share no term score 0. A query with k scores above 0 needs none of them; for any
-    other, they are among the first k + (documents with a term in common), so zeros come from
-    its smallest unseen ids, not from all pairs of queries and documents.
+    other, they are among the first k + (documents with a term in common): as many places as it has
+    scores, and k more, are joined to the numbered ids.
     """
     own = scores(queries, vectors, digits)
     seen = own.groupBy("qid").agg(F.count("*").alias("seen"), F.count_if(F.col("score") > 0).alias("above"))
-    many = query_ids.join(seen, "qid", "left").where(F.coalesce("above", F.lit(0)) < k).select("qid", (F.coalesce("seen", F.lit(0)) + k).alias("many"))
-    most = many.agg(F.coalesce(F.max("many"), F.lit(0))).first()[0]
-    first = docs.select("doc_id").orderBy("doc_id").limit(int(most))
-    zeros = many.join(first.withColumn("nth", F.row_number().over(_by_id())), F.col("nth") <= F.col("many")).select("qid", "doc_id")
-    zeros = zeros.join(own, ["qid", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(own.unionByName(zeros.select("qid", "doc_id", "score")), check_k(k))
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("doc_id")
+    many = query_ids.join(seen, "qid", "left").where(F.coalesce("above", F.lit(0)) < check_k(k)).select("qid", (F.coalesce("seen", F.lit(0)) + k).alias("many"))
+    steps = many.select("qid", "many", F.explode(F.sequence(F.lit(0), F.expr(f"(many - 1) div {STEP}"))).alias("step"))
+    places = steps.select("qid", F.explode(F.sequence(F.col("step") * STEP + 1, F.least("many", (F.col("step") + 1) * STEP))).alias("nth"))
+    zeros = places.join(numbered(docs), "nth").select("qid", "doc_id").join(own, ["qid", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(own.unionByName(zeros.select("qid", "doc_id", "score")), k)
 
 
 def match(queries: DataFrame, query_ids: DataFrame, vectors: DataFrame, docs: DataFrame, selector: Selector, k: int, digits: int | None = None) -> DataFrame:

@@ -28,6 +28,8 @@ from lumenvec.plans.store import settled
 FIRST_SHARE = 0.3
 #: Two passes pay if the first reads at most this share of the query terms' postings; else all are read at once. It changes the work only.
 FIRST_POSTINGS = 0.1
+#: And if there are so many postings that reading them takes longer than planning two passes, which is some seconds.
+LEAST_POSTINGS = 100_000_000
 #: What sums of doubles in another order, and rounding, may differ by.
 SLACK = 1e-5
 
@@ -87,30 +89,23 @@ def bounds(terms: DataFrame, stats: DataFrame, tau: DataFrame) -> DataFrame:
     return by_band.select("qid", "band", "term", "weight", "pos", "tau", "rest", "later", (reach * (1 + 1e-9) + SLACK >= F.col("tau")).alias("read"))
 
 
-def _small(frame: DataFrame, bounded: bool) -> DataFrame:
-    return F.broadcast(frame) if bounded else frame
-
-
-def _planned(terms: DataFrame, of: DataFrame, stats: DataFrame, k: int, bounded: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(partial scores of the first terms, their thresholds, bounds by band); bounded: whether the batch's terms are few."""
+def _planned(terms: DataFrame, of: DataFrame, stats: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(partial scores of the first terms, their thresholds, the terms to read by band, the bounds of all others by band)."""
     first = partial(terms.where("first").select("qid", "term", "weight"), of, ["term"])
-    tau = _small(thresholds(first, k), bounded)
-    return first, tau, bounds(terms, stats, tau)
+    tau, _ = settled(thresholds(first, k))
+    # of the terms never read in a band the one that comes first has the bounds of all
+    edge = F.coalesce(F.lag("read").over(Window.partitionBy("qid", "band").orderBy("pos")), F.lit(True))
+    by_band, _ = settled(bounds(terms, stats, tau).withColumn("edge", edge).where("read or edge").select("qid", "band", "term", "weight", "rest", "later", "read"))
+    return first, tau, by_band.where("read").select("qid", "band", "term", "weight"), by_band.where("not read").select("qid", "band", "rest", "later")
 
 
-def candidates(queries: DataFrame, of: DataFrame, stats: DataFrame, k: int, share: float = FIRST_SHARE, terms: DataFrame | None = None, bounded: bool = False) -> DataFrame:
+def candidates(queries: DataFrame, of: DataFrame, stats: DataFrame, k: int, share: float = FIRST_SHARE, terms: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id) of all documents that may be among the k best, and few others; of: `lists`."""
-    if terms is None:
-        terms, held = settled(ordered(queries, stats, share))
-        bounded = held is not None
-    first, tau, by_band = _planned(terms, of, stats, k, bounded)
-    # a row for a term and band: few times as many as terms
-    more = partial(_small(by_band.where("read").select("qid", "band", "term", "weight"), bounded), of, ["term", "band"])
-    both = first.unionByName(more).groupBy("qid", "doc_id", "band", "norm2").agg(F.sum("p").alias("p"), F.sum("seen").alias("seen"))
-    # of the terms never read in a band the one that comes first has the bounds of all
-    left = by_band.where(~F.col("read")).groupBy("qid", "band").agg(F.max("rest").alias("rest"), F.max("later").alias("later"))
+    terms = settled(ordered(queries, stats, share))[0] if terms is None else terms
+    first, tau, read, left = _planned(terms, of, stats, k)
+    both = first.unionByName(partial(read, of, ["term", "band"])).groupBy("qid", "doc_id", "band", "norm2").agg(F.sum("p").alias("p"), F.sum("seen").alias("seen"))
     reach = F.least(F.coalesce("rest", F.lit(0.0)), F.sqrt(F.coalesce("later", F.lit(0.0)) * F.greatest(F.col("norm2") - F.col("seen"), F.lit(0.0))))
-    met = both.join(_small(left, bounded), ["qid", "band"], "left").join(tau, "qid", "left")
+    met = both.join(left, ["qid", "band"], "left").join(tau, "qid", "left")
     most = (F.col("p") + reach) * (1 + 1e-9) + SLACK
     may = met.select("qid", "doc_id", "p", most.alias("most")).where(F.col("most") >= F.coalesce("tau", F.lit(0.0)))
     # with more terms read the k-th best partial score is higher: those that have it are among these
@@ -120,24 +115,24 @@ def candidates(queries: DataFrame, of: DataFrame, stats: DataFrame, k: int, shar
     return may.where(F.col("most") >= F.col("tau")).select("qid", "doc_id")
 
 
-def search(queries: DataFrame, of: DataFrame, stats: DataFrame, k: int, digits: int | None = None, vectors: DataFrame | None = None, share: float = FIRST_SHARE, most: float = FIRST_POSTINGS) -> DataFrame:
+def search(queries: DataFrame, of: DataFrame, stats: DataFrame, k: int, digits: int | None = None, vectors: DataFrame | None = None, share: float = FIRST_SHARE, most: float = FIRST_POSTINGS, least: int = LEAST_POSTINGS) -> DataFrame:
     """(qid, rank, doc_id, score): exactly what `exact.inverted` finds.
 
     of: `lists`, stats: its `band_stats`; vectors: the same triples where they are better found by
-    document. Batches with a negative weight on either side, and those whose first terms have more than
-    `most` of the postings, are searched by reading all postings of their terms.
+    document. Batches with a negative weight on either side, those whose first terms have more than `most`
+    of the postings, and those of fewer than `least` postings are searched by reading all postings of their terms.
     """
     check_k(k)
     terms, held = settled(ordered(queries, stats, share))
     if held is not None:
         some = held.to_pandas()
-        df = {"first": int(some.df[some["first"]].sum()), "every": int(some.df.sum()), "least": some.weight.min() if len(some) else 0}
+        df = {"first": int(some["df"][some["first"]].sum()), "every": int(some["df"].sum()), "least": some["weight"].min() if len(some) else 0}
     else:
         df = terms.agg(F.sum(F.when(F.col("first"), F.col("df"))).alias("first"), F.sum("df").alias("every"), F.min("weight").alias("least")).first()
-    negative = not df["every"] or df["least"] < 0 or stats.where("min_weight < 0").limit(1).count()
-    if negative or df["first"] > most * df["every"]:
+    plain = not df["every"] or df["every"] < least or df["first"] > most * df["every"] or df["least"] < 0
+    if plain or stats.where("min_weight < 0").limit(1).count():
         return inverted(queries, of, k, digits=digits)
-    pairs, _ = settled(candidates(queries, of, stats, k, share, terms, held is not None))
+    pairs, _ = settled(candidates(queries, of, stats, k, share, terms))
     return top_k(rescored(pairs, queries, of if vectors is None else vectors, digits).where("score > 0"), k)
 
 
@@ -151,9 +146,9 @@ def rescored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, digits: i
 
 def work(queries: DataFrame, of: DataFrame, stats: DataFrame, k: int, share: float = FIRST_SHARE) -> DataFrame:
     """(qid, n_postings, n_read, n_candidates): postings of the query's terms, those read in both passes, and documents scored."""
-    terms, held = settled(ordered(queries, stats, share))
-    *_, by_band = _planned(terms, of, stats, k, held is not None)
-    more = by_band.where("read").join(stats.select("term", "band", F.col("df").alias("in_band")), ["term", "band"]).groupBy("qid").agg(F.sum("in_band").alias("more"))
-    done = candidates(queries, of, stats, k, share, terms, held is not None).groupBy("qid").agg(F.count("*").alias("n_candidates"))
+    terms, _ = settled(ordered(queries, stats, share))
+    *_, read, _ = _planned(terms, of, stats, k)
+    more = read.join(stats.select("term", "band", F.col("df").alias("in_band")), ["term", "band"]).groupBy("qid").agg(F.sum("in_band").alias("more"))
+    done = candidates(queries, of, stats, k, share, terms).groupBy("qid").agg(F.count("*").alias("n_candidates"))
     own = terms.groupBy("qid").agg(F.sum("df").alias("n_postings"), F.sum(F.when(F.col("first"), F.col("df")).otherwise(0)).alias("first"))
     return own.join(more, "qid", "left").join(done, "qid", "left").select("qid", "n_postings", (F.col("first") + F.coalesce("more", F.lit(0))).alias("n_read"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))

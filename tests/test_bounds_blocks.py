@@ -46,7 +46,7 @@ def _bounded(spark, k, share):
     asked = docs[::50] + [{59: 1}, {0: 2, 58: 1}]
     v, q = frame(spark, docs, "doc_id"), frame(spark, asked, "qid")
     lists = maxscore.lists(v).cache()
-    got = rows_of(maxscore.search(q, lists, maxscore.band_stats(lists), k, 6, share=share, most=1.0))
+    got = rows_of(maxscore.search(q, lists, maxscore.band_stats(lists), k, 6, share=share, most=1.0, least=0))
     assert got == brute(docs, asked, k)
     lists.unpersist()
 
@@ -73,7 +73,7 @@ def test_negative_weights_are_searched_plainly(spark):
     lists = maxscore.lists(v)
     for weights in ({0: 1.0, 1: 1.0}, {0: 1.0, 1: -1.0}):
         q = frame(spark, [weights], "qid")
-        assert rows_of(maxscore.search(q, lists, maxscore.band_stats(lists), 3, 6, most=1.0)) == rows_of(exact.inverted(q, v, 3, digits=6))
+        assert rows_of(maxscore.search(q, lists, maxscore.band_stats(lists), 3, 6, most=1.0, least=0)) == rows_of(exact.inverted(q, v, 3, digits=6))
 
 
 def _tables(spark, docs, folders=3):

@@ -134,6 +134,27 @@ def test_brute_zero_fill_and_exact_match(spark):
     assert [(r.doc_id, r.score) for r in got] == [(2, 5.0), (0, 1.0)]
 
 
+def test_ids_are_numbered_in_order(spark):
+    ids = sorted({-(1 << 40), -5, 0, 1, 4095, 4096, 1 << 22, (1 << 22) + 1, (1 << 50) + 3, *np.random.default_rng(3).integers(-(1 << 24), 1 << 24, 300).tolist()})
+    d = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(5)
+    found = exact.numbered(d)
+    assert sorted(map(tuple, found.collect())) == [(i, n) for n, i in enumerate(ids, 1)]
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString().split("ObjectHashAggregate")[0]
+
+
+def test_zeros_come_before_negative_scores(spark):
+    """Whatever a query has seen, its zeros are the smallest ids that it hasn't."""
+    rng = np.random.default_rng(31)
+    docs = [{int(t): float(w) for t, w in zip(rng.choice(6, 2, replace=False), rng.integers(-3, 4, 2))} for _ in range(40)]
+    asked = [{0: 1.0}, {1: -1.0, 2: 1.0}, {9: 1.0}]
+    v = spark.createDataFrame([(3 * i, t, w) for i, d in enumerate(docs) for t, w in d.items()], "doc_id int, term int, weight double")
+    q = spark.createDataFrame([(i, t, w) for i, d in enumerate(asked) for t, w in d.items()], "qid int, term int, weight double")
+    for k in (3, 30, 60):
+        got = exact.brute(q, q.select("qid").distinct(), v, spark.range(0, 120, 3).select(F.col("id").alias("doc_id")), k, 6)
+        want = [(n, r, i, s) for n, a in enumerate(asked) for r, (s, i) in enumerate(sorted(((sum(w * d.get(t, 0) for t, w in a.items()), 3 * i) for i, d in enumerate(docs)), key=lambda x: (-x[0], x[1]))[:k], 1)]
+        assert sorted((r.qid, r["rank"], r.doc_id, r.score) for r in got.collect()) == want
+
+
 def test_idmap(spark, tmp_path):
     rng = np.random.default_rng(23)
     ext = (rng.choice(5000, 9, replace=False) + 17).tolist()
