@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenvec.model import to_rows
+
 
 def centroids(pruned: DataFrame, beta: int, seed: int) -> DataFrame:
     """(term, cluster, doc_id): beta documents of each list, drawn by a seeded hash; beta 0 means the root of the list's size."""
@@ -15,24 +21,93 @@ def centroids(pruned: DataFrame, beta: int, seed: int) -> DataFrame:
     return c.where(F.col("cluster") < F.greatest(F.lit(1), want)).select("term", "cluster", "doc_id")
 
 
+#: Documents of a list that meet its centroids in one place, about; products worked out at a time.
+BLOCK_DOCS, CHUNK_PRODUCTS = 1024, 1 << 22
+
+
 def members(pruned: DataFrame, centers: DataFrame, vectors: DataFrame) -> DataFrame:
     """(term, cluster, pos, doc_id): every posting in the cluster of the centroid most like it; the centroid is at 0.
 
-    Ties go to the lowest cluster, and so do documents that share nothing with any centroid.
+    Ties go to the lowest cluster, and so do documents that share nothing with any centroid. A long
+    list is dealt in blocks of about BLOCK_DOCS documents, each with a copy of the list's centroids.
     """
-    others = pruned.select("term", "doc_id").join(centers.select("term", "doc_id"), ["term", "doc_id"], "left_anti")
-    of = vectors.select("doc_id", F.col("term").alias("t"), F.col("weight").cast("double").alias("w"))
-    left = others.join(of, "doc_id").select("term", "doc_id", "t", "w")
-    right = centers.join(of, "doc_id").select("term", "cluster", "t", F.col("w").alias("cw"))
-    # a term that no centroid has still stands for its document, without a cluster
-    like = left.join(right, ["term", "t"], "left").groupBy("term", "doc_id", "cluster").agg(F.round(F.sum(F.col("w") * F.col("cw")), 6).alias("s"))
-    best = like.groupBy("term", "doc_id").agg(F.max_by("cluster", F.when(F.col("s") > 0, F.struct("s", -F.col("cluster")))).alias("c"))
-    placed = best.select("term", F.coalesce("c", F.lit(0)).alias("cluster"), "doc_id", F.lit(1).alias("late"))
+    rows = to_rows(vectors)
+    sized = pruned.select("term", "doc_id", F.ceil(F.count("*").over(Window.partitionBy("term")) / BLOCK_DOCS).cast("int").alias("blocks"))
+    own = sized.join(centers.select("term", "doc_id", "cluster"), ["term", "doc_id"], "left")
+    of = own.join(rows, "doc_id").select("term", "blocks", "doc_id", "cluster", "terms", "weights")
+    every = F.when(F.col("cluster").isNull(), F.array(F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = of.select("term", F.explode(every).alias("block"), "cluster", "doc_id", "terms", F.col("weights").cast("array<double>").alias("weights"))
+    # centroids come before the documents of their block
+    dealt = dealt.repartition("term", "block").sortWithinPartitions("term", "block", F.desc_nulls_last("cluster"), "doc_id")
+    placed = dealt.select(F.col("term").cast("bigint"), "block", "cluster", F.col("doc_id").cast("bigint"), "terms", "weights").mapInArrow(_assigned, "term bigint, cluster int, doc_id bigint")
+    kinds = {c: pruned.schema[c].dataType for c in ("term", "doc_id")}
+    placed = placed.select(F.col("term").cast(kinds["term"]), "cluster", F.col("doc_id").cast(kinds["doc_id"]), F.lit(1).alias("late"))
     every = placed.unionByName(centers.select("term", "cluster", "doc_id", F.lit(0).alias("late")))
     order = Window.partitionBy("term", "cluster").orderBy("late", "doc_id")
     return every.select("term", "cluster", (F.row_number().over(order) - 1).alias("pos"), "doc_id")
 
 
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, cluster, doc_id) of the documents in a stream of blocks, each after its centroids; a block's centroids are kept until it ends."""
+    kept: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([b])
+        table = table if kept is None else pa.concat_tables([kept, table])
+        table = table.combine_chunks()
+        term, block = table["term"].to_numpy(), table["block"].to_numpy()
+        group = np.concatenate([[0], np.cumsum((term[1:] != term[:-1]) | (block[1:] != block[:-1]))])
+        center = table["cluster"].is_valid().to_numpy()
+        docs = np.flatnonzero(~center)
+        if len(docs):
+            yield pa.RecordBatch.from_arrays([pa.array(term[docs], pa.int64()), pa.array(_nearest(table, group, np.flatnonzero(center), docs), pa.int32()), pa.array(table["doc_id"].to_numpy()[docs], pa.int64())], ["term", "cluster", "doc_id"])
+        kept = table.filter(pa.array(center & (group == group[-1])))
+
+
+def _entries(table: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row's number, term, weight) of the vectors of these rows."""
+    terms, weights = (table[c].combine_chunks().take(pa.array(rows)) for c in ("terms", "weights"))
+    terms, weights = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (terms, weights))
+    return np.repeat(np.arange(len(rows)), np.diff(terms.offsets.to_numpy())), terms.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy()
+
+
+def _nearest(table: pa.Table, group: np.ndarray, centers: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The cluster of each document: that of the centroid of its group with the largest product, rounded to 6 digits, if it is above 0."""
+    cluster = table["cluster"].combine_chunks().take(pa.array(centers)).to_numpy().astype(np.int64)
+    of, term, weight = _entries(table, centers)
+    key = (group[centers][of] << 32) | term
+    order = np.argsort(key, kind="stable")
+    key, of, weight = key[order], of[order], weight[order]
+    row, own, value = _entries(table, docs)
+    own = (group[docs][row] << 32) | own
+    lo, hi = np.searchsorted(key, own), np.searchsorted(key, own, side="right")
+    n = np.cumsum(hi - lo)
+    out = np.zeros(len(docs), np.int64)
+    # documents in slices, so that products stay bounded
+    ends = np.searchsorted(row, np.arange(1, len(docs) + 1))
+    first = 0
+    while first < len(docs):
+        start = ends[first - 1] if first else 0
+        done = n[start - 1] if start else 0
+        total = np.concatenate([[0], n])[ends[first:]] - done
+        last = first + max(int(np.searchsorted(total, CHUNK_PRODUCTS, side="right")), 1)
+        here = slice(start, ends[last - 1])
+        size = (hi - lo)[here]
+        at = np.repeat(lo[here], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        pair = np.repeat(row[here] - first, size) * len(centers) + of[at]
+        pairs, which = np.unique(pair, return_inverse=True)
+        like = np.round(np.bincount(which, np.repeat(value[here], size) * weight[at], len(pairs)), 6)
+        doc, c = pairs // len(centers), cluster[pairs % len(centers)]
+        best = np.lexsort((c, -like, doc))
+        doc, c, like = doc[best], c[best], like[best]
+        head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        head = head[like[head] > 0]
+        out[first + doc[head]] = c[head]
+        first = last
+    return out
+
+
 def max_pool(member: DataFrame, vectors: DataFrame) -> DataFrame:
     """(term, cluster, s_term, s_value): largest weight of each term in each cluster, at least 0."""
     of = vectors.select("doc_id", F.col("term").alias("s_term"), F.col("weight").cast("double").alias("w"))

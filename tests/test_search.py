@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +213,37 @@ def test_alpha_and_assignment(spark):
         assert got[d] == ((4, 9, 21).index(d), 0) if d in (4, 9, 21) else got[d][0] == int(np.argmax(like)) and got[d][1] > 0
 
 
+@pytest.mark.parametrize("docs_,products", [(1024, 1 << 22), (5, 7)])
+def test_assignment_in_blocks(spark, monkeypatch, docs_, products):
+    """Lists of very different lengths, dealt in blocks, and batches that cut blocks in two, against plain products."""
+    monkeypatch.setattr(clusters, "BLOCK_DOCS", docs_)
+    monkeypatch.setattr(clusters, "CHUNK_PRODUCTS", products)
+    rng = np.random.default_rng(41)
+    docs = [{int(t): float(rng.integers(-2, 5)) for t in np.unique(rng.zipf(1.5, 6) % 9)} for _ in range(120)]
+    v = spark.createDataFrame([(i, t, w) for i, d in enumerate(docs) for t, w in d.items()], "doc_id long, term long, weight double")
+    cen = clusters.centroids(v, 4, 3).cache()
+    of = {}
+    for r in cen.collect():
+        of.setdefault(r.term, {})[r.doc_id] = r.cluster
+    got = {(r.term, r.doc_id): (r.cluster, r.pos) for r in clusters.members(v, cen, v).collect()}
+    assert len(got) == sum(map(len, docs)) and {c: clusters.members(v, cen, v).schema[c].dataType for c in ("term", "doc_id")} == {c: v.schema[c].dataType for c in ("term", "doc_id")}
+    for (t, i), (c, pos) in got.items():
+        if i in of[t]:
+            assert (c, pos) == (of[t][i], 0)
+        else:
+            like = {k: sum(w * docs[j].get(x, 0) for x, w in docs[i].items()) for j, k in of[t].items()}
+            assert c == min((-s, k) for k, s in like.items() if s > 0)[1] if any(s > 0 for s in like.values()) else c == 0
+            assert pos > 0
+    plain = cen.join(v.withColumnRenamed("term", "x"), "doc_id").groupBy("term", "doc_id", "cluster").agg(F.collect_list("x"), F.collect_list("weight"))
+    batches = [(t, 0, c, i, xs, ws) for t, i, c, xs, ws in plain.collect()]
+    others = [(t, 0, None, i, list(docs[i]), list(docs[i].values())) for (t, i) in got if i not in of[t]]
+    stream = sorted(batches + others, key=lambda r: (r[0], r[2] is None, r[3]))
+    schema = pa.schema([("term", pa.int64()), ("block", pa.int32()), ("cluster", pa.int32()), ("doc_id", pa.int64()), ("terms", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))])
+    cut_up = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*stream[k : k + 11]), schema)], schema=schema) for k in range(0, len(stream), 11)]
+    found = {(t, i): c for b in clusters._assigned(iter(cut_up)) for t, c, i in zip(*[x.to_pylist() for x in b.columns])}
+    assert found == {(t, i): c for (t, i), (c, _) in got.items() if i not in of[t]}
+
+
 def test_errors(spark):
     for bad in ("nonsense", "", "idmap"):
         with pytest.raises(ValueError):
