@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lumenvec.llm import collocations, cqf, html, radix, resample
+from lumenvec.llm import collocations, cqf, html, licenses, radix, resample, secret_scan
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = "doc_id long, text string, lang string, n_words string, place string, `a.b` string"
@@ -217,3 +217,30 @@ def test_odd_pages(spark, monkeypatch, bytes_):
     got = sorted(map(tuple, html.extract(pages).select("page_id", "url", "n_chars").collect()), key=repr)
     assert got == sorted([(1, "http://a/x", 0), (2, None, 6), (None, "no host", 0), (4, "http://A:80/y", 4 + 5 * 20000), (5, "http://a/z", 1), (5, "http://a/z", 1)], key=repr)
     assert html.extract(pages.limit(0)).collect() == []
+
+
+# ---- mended: 9, and the pipeline's secret scans
+
+
+def test_repeated_notices_take_no_square_of_their_number(spark):
+    """20,000 notices in one text, with words between some of them; each is still found, and a text of other words has none."""
+    import time
+
+    notice = "licensed under the mit license "
+    long = notice * 20000
+    mixed = "".join(notice + ("and then " if k % 3 == 0 else "") for k in range(5000)) + "you may not use this file except in compliance with the license"
+    docs = spark.createDataFrame([(1, long), (2, mixed), (3, "plain words of prose " * 50000), (4, notice)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.labels, r.score, r.n_words) for r in licenses.scan(docs).collect()}
+    assert got == {1: ("mit", 1.0, 100000), 2: ("apache-2.0,mit", 1.0, 5000 * 5 + 2 * 1667 + 12), 3: ("", 0.0, 200000), 4: ("mit", 1.0, 5)}
+    assert time.time() - began < 120
+
+
+def test_redacted_columns_have_any_names(spark):
+    rows = [(1, 'x token = "abcdef123456" y', 7, "p", "q", 26), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "`doc_id` long, text string, `a.b` long, `_keep` string, `we``ird name` string, n_chars int")
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    assert got[0][2:5] == (7, "p", "q") and "abcdef123456" not in got[0][1] and got[0][5] == len(got[0][1]) and got[1] == (None,) * 6
+    assert secret_scan.redact(docs.limit(0)).collect() == []
