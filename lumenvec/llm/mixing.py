@@ -41,6 +41,12 @@ def _keys(docs: DataFrame, extra: list[Column], seed: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), _words(text()).alias("size"), (-F.ln(uniform) / quality(text())).alias("key"), *extra)
 
 
+def key_range(key: Column) -> Column:
+    """The range of a key: half of a range's width goes by keys of weight 1, half by those of weight 0.1, so for any weight between none holds over thrice its share."""
+    level = (2 - F.exp(-key) - F.exp(-key / 10.0)) / 2
+    return F.least(F.lit(RANGES - 1), F.floor(level * RANGES)).cast("int")
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
     """(source, source_size, target) from (source, source_size), a row for each source.
 
@@ -61,7 +67,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 def _mixed(docs: DataFrame, extra: list[Column], seed: int) -> DataFrame:
     rows = _keys(docs, extra, seed)
     # no document is in one task with all others of its source: first by ranges of its key
-    part = F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-F.col("key"))) * RANGES)).cast("int")
+    part = key_range(F.col("key"))
     rows = rows.withColumn("part", part)
     parts = _keys(docs, [], seed).withColumn("part", part).groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     goals = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")))

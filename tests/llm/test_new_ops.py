@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lumenvec.llm import collocations, cqf, html, licenses, radix, resample, secret_scan
+from lumenvec.llm import collocations, cqf, html, licenses, mixing, radix, resample, secret_scan
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = "doc_id long, text string, lang string, n_words string, place string, `a.b` string"
@@ -244,3 +244,15 @@ def test_redacted_columns_have_any_names(spark):
     got = sorted((tuple(r) for r in out.collect()), key=repr)
     assert got[0][2:5] == (7, "p", "q") and "abcdef123456" not in got[0][1] and got[0][5] == len(got[0][1]) and got[1] == (None,) * 6
     assert secret_scan.redact(docs.limit(0)).collect() == []
+
+
+def test_ranges_of_keys_are_even(spark):
+    """Whatever the share of symbols in a source's texts, no range holds much more than its share, and ranges follow the keys."""
+    from pyspark.sql import functions as F
+
+    for weight in (1.0, 0.6, 0.3, 0.1):
+        n = 200_000
+        rows = spark.range(n).select((-F.ln((F.col("id") + 0.5) / float(n)) / weight).alias("key")).select("key", mixing.key_range(F.col("key")).alias("part"))
+        got = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("part").collect()
+        assert max(r.n for r in got) <= 3 * n / mixing.RANGES + 2
+        assert all(a.high <= b.low for a, b in zip(got, got[1:]))
