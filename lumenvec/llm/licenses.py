@@ -20,6 +20,8 @@ K = 3
 NEAR = 3
 LEAST_VOTES = 0.4
 LEAST_AGREE = 0.9
+#: Words that tell licenses apart, besides numbers: those of a template must stand in the place, and no others of these may.
+TELLING = ("nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "lesser", "affero")
 #: Fixed phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Openings, notices, conditions and disclaimers of published licenses, a paragraph each, in lower case and without punctuation; fixed values.
@@ -102,7 +104,7 @@ def _common(a: Column, b: Column) -> Column:
 def _verified(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(row, label, score) of spans whose words agree, in order, with their template's: on one of its diagonals all words of the template are asked for, and NEAR more on either side.
 
-    A text meets all its spans at once, and its words are worked out once. What stands on a diagonal is
+    Numbers of the template must be there, and of TELLING the same words. A text meets all its spans at once, and its words are worked out once. What stands on a diagonal is
     told by two hashes, so that a notice that a text repeats is compared with its template once.
     """
     t = templates(docs.sparkSession)
@@ -124,7 +126,10 @@ def _verified(found: DataFrame, docs: DataFrame) -> DataFrame:
     # the template itself, NEAR words in (or from the start, at the start of a text), needs no comparing in order
     whole = F.exists(F.sequence(F.lit(1), F.lit(NEAR + 1)), lambda i: F.slice("near", i, size) == F.col("t_words"))
     most = _common(F.col("t_words"), F.filter("near", lambda x: F.array_contains("t_words", x)))
-    rows = each.select("row", "label", F.when(whole, 1.0).otherwise(most / size).alias("score"))
+    numbers = F.filter("t_words", lambda x: x.rlike(r"^[0-9]+$"))
+    told = F.array(*map(F.lit, TELLING))
+    same = (F.size(F.array_except(numbers, "near")) == 0) & (F.size(F.array_intersect(told, "t_words")) == F.size(F.array_intersect(told, "near"))) & (F.size(F.array_except(F.array_intersect(told, "t_words"), "near")) == 0)
+    rows = each.where(same).select("row", "label", F.when(whole, 1.0).otherwise(most / size).alias("score"))
     return rows.where(F.col("score") >= LEAST_AGREE)
 
 

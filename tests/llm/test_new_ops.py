@@ -256,3 +256,16 @@ def test_ranges_of_keys_are_even(spark):
         got = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("part").collect()
         assert max(r.n for r in got) <= 3 * n / mixing.RANGES + 2
         assert all(a.high <= b.low for a, b in zip(got, got[1:]))
+
+
+def test_licenses_that_differ_in_a_word(spark):
+    texts = {
+        1: ("either version 2 of the License, or (at your option) any later version", "gpl-2.0"),
+        2: ("either version 3 of the License, or (at your option) any later version", "gpl-3.0"),
+        3: ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+        4: ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa-4.0"),
+        5: ("Licensed under CC BY 4.0.", "cc-by,cc-by-4.0"),
+        6: ("licensed under the GNU Lesser General Public License", "gpl,lgpl"),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(docs).collect()} == {i: x for i, (_, x) in texts.items()}

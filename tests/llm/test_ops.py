@@ -523,7 +523,10 @@ def test_licenses_against_brute_force(spark):
                 bands[-1].append(d)
             for band in bands:
                 if sum(votes[d] for d in band) >= licenses.LEAST_VOTES * (len(tw) - 2):
-                    n = max(common(tw, w[max(d - licenses.NEAR, 0) : max(d - licenses.NEAR, 0) + len(tw) + 2 * licenses.NEAR]) for d in band) / len(tw)
+                    places = [w[max(d - licenses.NEAR, 0) : max(d - licenses.NEAR, 0) + len(tw) + 2 * licenses.NEAR] for d in band]
+                    told = lambda x: set(x) & set(licenses.TELLING)
+                    places = [x for x in places if {y for y in tw if y.isdigit()} <= set(x) and told(x) == told(tw)]
+                    n = max((common(tw, x) for x in places), default=0) / len(tw)
                     if n >= licenses.LEAST_AGREE:
                         labels.add(label)
                         best = max(best, n)
