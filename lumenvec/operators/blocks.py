@@ -164,13 +164,16 @@ def rounds(queries: DataFrame, directory_: DataFrame, rows: DataFrame, k: int, c
         directory_ = directory_.drop("size").join(sizes, ["term", "cluster"])
     every, held = settled(visits(asked, queries, directory_, cut))
 
+    folders = int(rows.schema["part"].metadata.get("folders", 0)) if "part" in rows.columns else 0
+
     def opened(which: DataFrame, some: np.ndarray | None) -> DataFrame:
         of = rows
         which = which.select("qid", "term", "cluster")
         if held is not None:
             which = F.broadcast(which)  # no more than are held
-        if some is not None and "part" in rows.columns and len(some):
-            of = rows.where(F.col("part").isin(_parts(rows, held.column("term").to_numpy()[some])))
+        if some is not None and folders and len(some):
+            terms = np.unique(held.column("term").to_numpy()[some])
+            of = rows.where(F.col("part").isin(sorted({int(t) % folders for t in terms})))
         return asked.scored(of.join(which, ["term", "cluster"]), "qid bigint, doc_id bigint", "terms", "weights", digits)
 
     before = held.column("before").to_numpy() if held is not None else None
@@ -189,11 +192,6 @@ def rounds(queries: DataFrame, directory_: DataFrame, rows: DataFrame, k: int, c
         last = end
 
 
-def _parts(rows: DataFrame, terms: np.ndarray) -> list[int]:
-    n = int(rows.schema["part"].metadata.get("folders", 0))
-    return sorted({int(t) % n for t in np.unique(terms)}) if n else list(range(MOST_FOLDERS))
-
-
 def with_folders(rows: DataFrame, folders: int) -> DataFrame:
     """Block rows that know how many folders they are in."""
     return rows.withMetadata("part", {"folders": folders})

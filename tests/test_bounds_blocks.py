@@ -110,7 +110,7 @@ def test_rounds_raise_the_threshold(spark):
     docs = zipf(4, 400, 24, 40)
     *_, directory, rows = _tables(spark, docs)
     q = frame(spark, docs[::80], "qid")
-    found = [(None if top is None else {r.qid: r.score for r in top.collect() if True}, opened.count()) for top, opened in blocks.rounds(q, directory, rows, 5, 6, 1.0, None, 6, (1, 3))]
+    found = [(None if top is None else {r.qid: r.score for r in top.collect()}, opened.count()) for top, opened in blocks.rounds(q, directory, rows, 5, 6, 1.0, None, 6, (1, 3))]
     assert found[0][0] is None and len(found) == 4
     best = [rows_of(blocks.search(q, directory, rows, 5, 6, 1.0, None, 6, strata)) for strata in ((), (1, 3), (1, 2, 3, 4, 5))]
     truth = [{(q_, i) for q_, _, i, _ in brute(docs, docs[::80], 5)}, *[{(r[0], r[2]) for r in x} for x in best]]
