@@ -14,7 +14,8 @@ from lumenvec.llm.linking import cut, set_folder
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their failing and repeated lines.
 
-    Null, empty and short texts go; equal rows are judged alike; other columns stay as they are.
+    Null, empty and short texts go; equal rows are judged alike, so there are no ties; other columns stay as
+    they are, whatever they are called. Long texts are judged whole; an empty table stays empty.
     """
     return quality.clean(docs)
 
@@ -28,7 +29,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Documents without an id stay, and so do all rows of an id that stays; texts that are null, empty
     or without words are like no other and stay. All columns are kept, whatever they are called; an
-    empty table stays empty.
+    empty table stays empty. Long texts are compared whole; of equal texts the smallest id stays.
     """
     goes = setjoin.components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("kept")).where("kept < doc_id")
     goes = cut(goes.select(F.col("doc_id").alias("gone")))
@@ -38,17 +39,29 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by the secret's kind in brackets; null and empty texts stay so, and so do other columns."""
+    """All documents, their secrets replaced by the secret's kind in brackets.
+
+    Null and empty texts stay so, and so do other columns, whatever they are called. Long texts are scanned whole, equal
+    rows alike; of secrets that begin at the same place the kind named first goes. An empty table stays empty.
+    """
     return secret_scan.redact(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents as often as it takes them, ties by id; documents without words, null ones too, are never taken."""
+    """The mix of sources: documents as often as it takes them, ties by id, then size.
+
+    Documents without words, null ones too, are never taken; the last document of a source may be cut, however long
+    it is, and equal rows are drawn each. Other columns stay; an empty table stays empty.
+    """
     return mixing.sample(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row, a null text counting as empty; an empty table gives none."""
+    """Token counts and digests of every row, a null text counting as empty.
+
+    Long texts are encoded whole; equal rows have equal digests, as merges of equal rank go from left to right. Other
+    columns aren't looked at; an empty table gives no rows.
+    """
     return bpe.digest(docs)
 
 

@@ -351,6 +351,8 @@ class Wrapper:
             every[self.parent[k]] += every[k]
         # classes alone don't rule out what the article, or most of the page, is in; comments may be most of it
         most = [holds[k] or (2 * every[k] > every[0] and not COMMENT_WORDS & set(_words(self.name[k]))) for k in range(n)]
+        # what is only called a header, inside the article, has its title
+        most = [x or (ASIDE_WORDS & set(_words(self.name[k])) == {"header"} and self._within(k, tags, ("article", "main"))) for k, x in enumerate(most)]
         words, linked, slots = ([0] * n for _ in range(3))
         for k in range(1, n):
             inside = off[self.parent[k]]

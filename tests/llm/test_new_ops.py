@@ -182,6 +182,11 @@ def test_articles():
     assert texts("") == [""] and texts("just text &lt;") == ["just text <"] and texts("<article>x</article <p") == ["x"]
 
 
+def test_header_of_an_article_is_its_title():
+    page = '<div class="site-header"><p>Site {0}</div><article><header class="entry-header"><h1>Title {0}</h1></header><div class="post-header">By someone {0}</div><p>Text {0}.<footer>Tags</footer></article>'
+    assert texts(*[page.format(k) for k in range(3)]) == [f"Title {k}\nBy someone {k}\nText {k}." for k in range(3)]
+
+
 def test_pages_without_an_article_element():
     page = '<div class="header"><ul><li><a>Home</a></ul></div><div id="content" class="with-sidebar"><h2>Title {0}</h2><p>Words {0} of the text.<p>More {0} words.</div><div class="sidebar"><p>Side {0} and a few more words</div><div id="comments"><p>Comment {0}</div><div>Always the same</div>'
     assert texts(*[page.format(k) for k in range(4)]) == [f"Title {k}\nWords {k} of the text.\nMore {k} words." for k in range(4)]
