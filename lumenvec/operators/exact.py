@@ -1,4 +1,7 @@
-"""Exact search: an equi-join on terms, a sum of products for each query and document, the k best."""
+"""Exact search: an equi-join on terms, a sum of products for each query and document, the k best.
+
+Where nearly all pairs share a term they aren't made rows of: see `tiles`.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from lumenvec.operators import tiles
 from lumenvec.operators.selectors import Selector
 from lumenvec.operators.topk import check_k, padded, top_k
 
@@ -36,6 +40,9 @@ def inverted(queries: DataFrame, vectors: DataFrame, k: int, selector: Selector
     """The k best documents with a positive score; what the selector leaves out never counts."""
     if selector is not None:
         vectors = selector.apply(vectors)
+    size = tiles.planned(queries)
+    if size is not None:
+        return tiles.search(queries, vectors, k, size, digits)
     return top_k(scores(queries, vectors, digits).where("score > 0"), check_k(k))
 
 
@@ -64,6 +71,10 @@ def brute(queries: DataFrame, query_ids: DataFrame, vectors: DataFrame, docs: Da
     other, they are among the first k + (documents with a term in common): as many places as it has
     scores, and k more, are joined to the numbered ids.
     """
+    size = tiles.planned(queries)
+    if size is not None:
+        found = tiles.search(queries, vectors, k, size, digits, zeros=(query_ids, docs))
+        return found.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "score": F.col("score").cast("double")})
     own = scores(queries, vectors, digits)
     seen = own.groupBy("qid").agg(F.count("*").alias("seen"), F.count_if(F.col("score") > 0).alias("above"))
     many = query_ids.join(seen, "qid", "left").where(F.coalesce("above", F.lit(0)) < check_k(k)).select("qid", (F.coalesce("seen", F.lit(0)) + k).alias("many"))

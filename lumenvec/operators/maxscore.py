@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenvec.operators import tiles
 from lumenvec.operators.exact import inverted, small_side
 from lumenvec.operators.topk import check_k, top_k
 from lumenvec.plans.store import settled
@@ -121,8 +122,12 @@ def search(queries: DataFrame, of: DataFrame, stats: DataFrame, k: int, digits:
     of: `lists`, stats: its `band_stats`; vectors: the same triples where they are better found by
     document. Batches with a negative weight on either side, those whose first terms have more than `most`
     of the postings, and those of fewer than `least` postings are searched by reading all postings of their terms.
+    Batches whose partial scores would be rows of nearly all pairs are searched in tiles, by bounds of each.
     """
     check_k(k)
+    size = tiles.planned(queries)
+    if size is not None:
+        return tiles.search(queries, of if vectors is None else vectors, k, size, digits, bounds=True)
     terms, held = settled(ordered(queries, stats, share))
     if held is not None:
         some = held.to_pandas()
