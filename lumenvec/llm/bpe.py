@@ -25,6 +25,9 @@ from lumenvec.llm._bytes import LOWER, slices, small_batches, word_hashes, words
 #: Words whose encoding a worker keeps (about 200 bytes a word).
 KEPT_WORDS = 250_000
 
+#: Longest pieces that are merged in step, by class of length; others one by one. What stands for no merge.
+PIECE_BYTES, NO_MERGE = (1, 8, 16, 32), np.iinfo(np.int64).max
+
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -85,6 +88,71 @@ class Bpe:
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_WHITE}{letter}{number}]+")
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.ids, self.toks = _Memo(self, 0), _Memo(self, 1)
+        self._tables()
+
+    def _tables(self) -> None:
+        """The merges as sorted arrays, and those of two bytes (256 more: a byte that ends a piece) by both."""
+        keys = np.fromiter(self.merges, np.int64, len(self.merges))
+        order = np.argsort(keys)
+        self.pairs = np.concatenate([keys[order], [np.iinfo(np.int64).max]])
+        self.results = np.concatenate([np.fromiter(self.merges.values(), np.int64, len(keys))[order], [NO_MERGE]])
+        self.bytes = np.array(self.inner + self.final, np.int64)
+        self.of_bytes = self.look_up(self.bytes[:, None] << 20 | self.bytes[None, :])
+
+    def look_up(self, pairs: np.ndarray) -> np.ndarray:
+        """The merge of each pair of symbols, NO_MERGE if there is none."""
+        at = np.searchsorted(self.pairs, pairs)
+        return np.where(self.pairs[at] == pairs, self.results[at], NO_MERGE)
+
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, offsets of each piece): what `merge` gives, many pieces in step."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        least = 0
+        for most in PIECE_BYTES:
+            at = np.flatnonzero((size > least) & (size <= most))
+            if len(at):
+                self._merge_rows(np.frombuffer(b"".join([pieces[i].ljust(most, b"\0") for i in at.tolist()]), np.uint8).reshape(-1, most), size[at], at, done)
+            least = most
+        for i in np.flatnonzero(size > least).tolist():
+            done.append((np.array([i]), np.array([self.merge(pieces[i].decode("utf-8", "surrogatepass"))], np.int64)))
+        counts = np.zeros(len(pieces), np.int64)
+        for at, ids in done:
+            counts[at] = (ids >= 0).sum(1)
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        out = np.zeros(offsets[-1], np.int64)
+        for at, ids in done:
+            there = ids >= 0
+            out[(offsets[at][:, None] + np.arange(ids.shape[1]))[there]] = ids[there]
+        return out, offsets
+
+    def _merge_rows(self, raw: np.ndarray, size: np.ndarray, at: np.ndarray, done: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """A row a piece: every round merges the pair of each row that comes first by rank, then from the left, until none is left."""
+        n = raw.shape[1]
+        where = np.arange(n)
+        code = raw.astype(np.int64)
+        code[np.arange(len(raw)), size - 1] += 256
+        # symbols with a -1 at the end, and the merge of each with the next one
+        syms = np.full((len(raw), n + 1), -1)
+        syms[:, :n] = np.where(where < size[:, None], self.bytes[code], -1)
+        found = np.full((len(raw), n), NO_MERGE)
+        found[:, : n - 1] = np.where(where[1:] < size[:, None], self.of_bytes[code[:, :-1], code[:, 1:]], NO_MERGE)
+        while len(at):
+            best = found.argmin(1)
+            merge = found[np.arange(len(at)), best]
+            more = merge != NO_MERGE
+            if not more.all():
+                done.append((at[~more], syms[~more, :n]))
+                at, syms, found, best, merge = at[more], syms[more], found[more], best[more], merge[more]
+            row = np.arange(len(at))
+            after = where > best[:, None]
+            syms[:, :n] = np.where(after, syms[:, 1:], syms[:, :n])
+            syms[row, best] = merge & 0xFFFFF
+            found[:, : n - 1] = np.where(after[:, : n - 1], found[:, 1:], found[:, : n - 1])
+            own, right = syms[row, best], syms[row, best + 1]
+            found[row, best] = np.where(right >= 0, self.look_up(own << 20 | np.maximum(right, 0)), NO_MERGE)
+            inner = np.flatnonzero(best)
+            found[inner, best[inner] - 1] = self.look_up(syms[inner, best[inner] - 1] << 20 | own[inner])
 
     def fill(self, word: str) -> tuple[str, str]:
         """Encodes a word without white space; no piece crosses white space, so words can be kept whole."""
@@ -206,6 +274,12 @@ class _Pool:
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
+        ids = range(max(bpe.strings, default=-1) + 1)
+        self.strings = []
+        # of each id its number and its vocabulary string, with the space that follows
+        for every in ([b"%d " % i for i in ids], [bpe.strings.get(i, "").encode() + b" " for i in ids]):
+            size = np.fromiter(map(len, every), np.int64, len(every))
+            self.strings.append((np.frombuffer(b"".join(every), np.uint8), np.cumsum(size) - size, size))
         self.clear()
 
     def clear(self) -> None:
@@ -215,19 +289,22 @@ class _Pool:
         self.count = np.zeros(1 << 16, np.int64)
         self.bytes = [bytearray(), bytearray()]
 
-    def add(self, h: int, word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
-        ids = [i for piece in self.bpe.pattern.findall(text) for i in self.bpe.merge(piece)]
+    def add(self, hashes: list[int], new: list[bytes]) -> None:
+        """Words that aren't there yet; their pieces are merged together."""
+        pieces = [self.bpe.pattern.findall(w.decode("utf-8", "replace")) for w in new]
+        ids, at = self.bpe.merge_all([p.encode("utf-8", "surrogatepass") for x in pieces for p in x])
+        at = at[np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(new)))])]
         k = len(self.slot)
-        if k == len(self.count):
+        while k + len(new) > len(self.count):
             self.size, self.start, self.count = (np.concatenate([x, np.zeros_like(x)], -1) for x in (self.size, self.start, self.count))
-        self.slot[h] = k
-        self.count[k] = len(ids)
-        for part, s in enumerate((" ".join(map(str, ids)), " ".join([self.bpe.strings[i] for i in ids]))):
-            raw = s.encode() + b" " if ids else b""
-            self.start[part, k], self.size[part, k] = len(self.bytes[part]), len(raw)
-            self.bytes[part] += raw
-        return k
+        here = slice(k, k + len(new))
+        self.slot.update(zip(hashes, range(k, k + len(new))))
+        self.count[here] = np.diff(at)
+        for part, (data, start, size) in enumerate(self.strings):
+            ends = np.concatenate([[0], np.cumsum(size[ids])])
+            own = ends[at]
+            self.start[part, here], self.size[part, here] = len(self.bytes[part]) + own[:-1], np.diff(own)
+            self.bytes[part] += data[np.repeat(start[ids] - ends[:-1], size[ids]) + np.arange(ends[-1])].tobytes()
 
     def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         hashes = word_hashes(data, starts, ends)
@@ -235,10 +312,14 @@ class _Pool:
         if len(self.slot) + len(unique) > max(KEPT_WORDS, len(unique)):
             self.clear()
         found = list(map(self.slot.get, keys := unique.tolist()))
-        for k, s in enumerate(found):
-            if s is None:
-                i = first[k]
-                found[k] = self.add(keys[k], data[starts[i] : ends[i]].tobytes())
+        new = [k for k, s in enumerate(found) if s is None]
+        if new:
+            n = len(self.slot)
+            at, to = starts[first[new]].tolist(), ends[first[new]].tolist()
+            raw = data.tobytes()
+            self.add([keys[k] for k in new], [raw[a:b] for a, b in zip(at, to)])
+            for i, k in enumerate(new, n):
+                found[k] = i
         return np.array(found, np.int64)[inverse]
 
     def joined(self, part: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
