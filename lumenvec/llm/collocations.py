@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenvec.llm import cqf
-from lumenvec.llm._bytes import LOWER, slices, small_batches, words
+from lumenvec.llm._bytes import LOWER, released, slices, small_batches, words
 from lumenvec.llm.linking import cut
 
 LEAST, LONGEST = 30, 4
@@ -75,7 +75,8 @@ def _shard(texts: pa.Array, langs: list[str]) -> Iterator[tuple[int, list[str],
         row = np.repeat(np.arange(hi - lo), np.diff(at))
         key = column.indices.to_numpy().astype(np.int64) * len(names) + own[row]
         entries, number = np.unique(key, return_inverse=True)
-        piece = np.concatenate([[0], np.cumsum(BREAKS[data])])[starts] + row
+        # breaks before a word; a running sum would take 8 bytes for every byte of text
+        piece = np.searchsorted(np.flatnonzero(BREAKS[data]), starts) + row
         breaks = np.flatnonzero(np.diff(piece)) + 1
         stream = np.insert(number.astype(np.int32) + 1, breaks, 0)
         yield len(starts), names[entries % len(names)].tolist(), column.dictionary.take(pa.array(entries // len(names))).to_pylist(), np.bincount(number), _packed(stream)
@@ -92,7 +93,7 @@ def shards(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([langs], pa.list_(pa.string())), pa.array([terms], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([stream], pa.binary())], ["shard", "n_tokens", "langs", "words", "counts", "stream"])
                 shard += 1
 
-    return docs.select(docs["lang"].cast("string"), docs["text"].cast("string")).mapInArrow(run, SHARDS)
+    return docs.select(docs["lang"].cast("string"), docs["text"].cast("string")).mapInArrow(released(run), SHARDS)
 
 
 def vocabulary(entries: DataFrame, least: int) -> tuple[DataFrame, int]:
@@ -137,7 +138,7 @@ def _numbered(own: DataFrame, entries: DataFrame, known: DataFrame) -> DataFrame
                     at = np.flatnonzero(found)
                     yield _translated(shard, raw, len(found), at, found[at])
 
-        return own.select("shard", "langs", "words", "stream").mapInArrow(look_up, "shard bigint, ids binary")
+        return own.select("shard", "langs", "words", "stream").mapInArrow(released(look_up), "shard bigint, ids binary")
     numbers = entries.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("numbers"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def _numbered(own: DataFrame, entries: DataFrame, known: DataFrame) -> DataFrame
             for shard, n, raw, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 yield _translated(shard, raw, n, *(pairs.values.field(k).to_numpy() for k in range(2)))
 
-    return own.select("shard", F.size("words").alias("size"), "stream").join(numbers, "shard").mapInArrow(joined, "shard bigint, ids binary")
+    return own.select("shard", F.size("words").alias("size"), "stream").join(numbers, "shard").mapInArrow(released(joined), "shard bigint, ids binary")
 
 
 def _runs(stream: np.ndarray, n: int) -> list[np.ndarray]:
@@ -162,7 +163,7 @@ def _pairs(ids: DataFrame, p: cqf.Packing) -> DataFrame:
                 there = (a > 0) & (c > 0)
                 yield _batch([(2, k, shard, x) for k, _, x in cqf.filters(p, [a[there], c[there]])])
 
-    return ids.mapInArrow(run, FILTERS)
+    return ids.mapInArrow(released(run), FILTERS)
 
 
 FILTERS = "n int, bucket bigint, shard bigint, filter binary"
@@ -192,7 +193,7 @@ def _longer(ids: DataFrame, kept: DataFrame, two: cqf.Packing, longer: list[cqf.
                     rows += [(p.n, k, shard, x) for k, _, x in cqf.filters(p, [x[there] for x in _runs(stream, p.n)])] if there.any() else []
                 yield _batch(rows)
 
-    return ids.join(kept, "shard").select("shard", "ids", "pairs").mapInArrow(run, FILTERS)
+    return ids.join(kept, "shard").select("shard", "ids", "pairs").mapInArrow(released(run), FILTERS)
 
 
 def _merge(found: DataFrame, packings: dict[int, cqf.Packing], n_shards: int, least: int) -> DataFrame:
@@ -232,7 +233,7 @@ def _kept(found: DataFrame, frequent: DataFrame, p: cqf.Packing) -> DataFrame:
             yield _batch(out)
 
     met = found.select("bucket", "shard", "filter").join(frequent.select("bucket", F.col("filter").alias("common")), "bucket")
-    return met.mapInArrow(run, FILTERS).groupBy("shard").agg(F.collect_list(F.struct("bucket", "filter")).alias("pairs"))
+    return met.mapInArrow(released(run), FILTERS).groupBy("shard").agg(F.collect_list(F.struct("bucket", "filter")).alias("pairs"))
 
 
 def _rows(frequent: DataFrame, packings: dict[int, cqf.Packing]) -> DataFrame:
@@ -246,7 +247,7 @@ def _rows(frequent: DataFrame, packings: dict[int, cqf.Packing]) -> DataFrame:
                 ids = np.stack(p.unpack(*p.restored(left, right)), 1).ravel()
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) + 1, n), pa.int32()), pa.array(ids)), pa.array(counts)], ["ids", "f"])
 
-    return frequent.select("n", "bucket", "filter").mapInArrow(run, "ids array<bigint>, f bigint")
+    return frequent.select("n", "bucket", "filter").mapInArrow(released(run), "ids array<bigint>, f bigint")
 
 
 def count(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
