@@ -33,8 +33,14 @@ FOLDER_ENTRIES, MOST_FOLDERS = 1 << 22, 1024
 
 def block_rows(member: DataFrame, vectors: DataFrame, folders: int = 1) -> DataFrame:
     """(term, cluster, doc_id, terms, weights, part): each block's documents with their vectors, blocks in order, dealt by folder and block."""
-    own = member.select("term", "cluster", "doc_id").join(to_rows(vectors), "doc_id").select("term", "cluster", "doc_id", "terms", "weights", F.pmod("term", F.lit(folders)).cast("int").alias("part"))
-    return own.repartition("part", "term", "cluster").sortWithinPartitions("part", "term", "cluster", "doc_id")
+    return of_rows(member, to_rows(vectors), folders)
+
+
+def of_rows(member: DataFrame, rows: DataFrame, folders: int = 1) -> DataFrame:
+    """The same of vectors as rows. A folder's blocks are dealt to as many tasks as its share of all, so that files don't multiply."""
+    own = member.select("term", "cluster", "doc_id").join(rows, "doc_id").select("term", "cluster", "doc_id", "terms", "weights", F.pmod("term", F.lit(folders)).cast("int").alias("part"))
+    tasks = -(-2 * int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")) // folders)
+    return own.repartition("part", F.pmod(F.xxhash64("term", "cluster"), F.lit(tasks))).sortWithinPartitions("part", "term", "cluster", "doc_id")
 
 
 def folders_for(entries: int) -> int:
@@ -144,10 +150,11 @@ def visits(asked: Asked, queries: DataFrame, directory_: DataFrame, cut: int) ->
     return s.select("qid", "list_no", "term", "cluster", "s", F.coalesce(ahead, F.lit(0)).alias("before"))
 
 
-def best(found: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id, score, rank): the k best distinct documents of each query, dealt once."""
+def best(found: DataFrame, k: int, copies: int) -> DataFrame:
+    """(qid, doc_id, score, rank): the k best distinct documents of each query, dealt once; copies: of a document at most, so that Spark limits groups before the shuffle."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-    once = found.repartition("qid").dropDuplicates(["qid", "doc_id"])
+    some = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k * copies).drop("rank")
+    once = some.dropDuplicates(["qid", "doc_id"])
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -156,13 +163,20 @@ def rounds(queries: DataFrame, directory_: DataFrame, rows: DataFrame, k: int, c
 
     strata: numbers of lists at which a round ends; () opens all that the prefix's threshold leaves at once.
     """
+    for top, found, _ in _rounds(queries, directory_, rows, k, cut, heap_factor, selector, digits, strata):
+        yield top, found
+
+
+def _rounds(queries: DataFrame, directory_: DataFrame, rows: DataFrame, k: int, cut: int, heap_factor: float, selector: Selector | None, digits: int, strata: Sequence[int]) -> Iterator[tuple[DataFrame | None, DataFrame, DataFrame]]:
+    """The same, and (qid, term, cluster) of the blocks that each round opens."""
     check_k(k)
     asked = Asked(queries)
     if selector is not None:
         rows = selector.apply(rows)
         sizes = rows.groupBy("term", "cluster").agg(F.count("*").alias("size"))
         directory_ = directory_.drop("size").join(sizes, ["term", "cluster"])
-    every, held = settled(visits(asked, queries, directory_, cut))
+    large = asked.local is None
+    every, held = settled(visits(asked, queries, directory_, cut), large)
 
     folders = int(rows.schema["part"].metadata.get("folders", 0)) if "part" in rows.columns else 0
 
@@ -177,18 +191,20 @@ def rounds(queries: DataFrame, directory_: DataFrame, rows: DataFrame, k: int, c
         return asked.scored(of.join(which, ["term", "cluster"]), "qid bigint, doc_id bigint", "terms", "weights", digits)
 
     before = held.column("before").to_numpy() if held is not None else None
-    found = opened(every.where(F.col("before") < k), np.flatnonzero(before < k) if held is not None else None)
+    which = every.where(F.col("before") < k)
+    found = opened(which, np.flatnonzero(before < k) if held is not None else None)
     top, last = None, 0
-    yield top, found
+    yield top, found, which.select("qid", "term", "cluster")
     for end in [*strata, cut]:
-        now = best(found if top is None else top.unionByName(found), k).select("qid", "doc_id", "score", "rank")
-        top, _ = settled(now)
+        # a document is in one block of a list, and among the best so far
+        now = best(found if top is None else top.unionByName(found), k, cut + 1).select("qid", "doc_id", "score", "rank")
+        top, _ = settled(now, large)
         tau = top.where(F.col("rank") == k).select("qid", F.col("score").alias("tau"))
         top = top.drop("rank")
         here = every.where((F.col("before") >= k) & (F.col("list_no") >= last) & (F.col("list_no") < end)).join(tau, "qid", "left")
         here = here.where(F.col("tau").isNull() | (F.col("s") * heap_factor >= F.col("tau")))
         found = opened(here, np.flatnonzero(before >= k) if held is not None else None)
-        yield top, found
+        yield top, found, here.select("qid", "term", "cluster")
         last = end
 
 
@@ -200,11 +216,27 @@ def with_folders(rows: DataFrame, folders: int) -> DataFrame:
 def search(queries: DataFrame, directory_: DataFrame, rows: DataFrame, k: int, cut: int = 10, heap_factor: float = 1.0, selector: Selector | None = None, digits: int = 6, strata: Sequence[int] = ()) -> DataFrame:
     """(qid, rank, doc_id, score): the k best of the documents opened."""
     *_, (top, found) = rounds(queries, directory_, rows, k, cut, heap_factor, selector, digits, strata)
-    return best(top.unionByName(found), k).select("qid", "rank", "doc_id", "score")
+    return best(top.unionByName(found), k, cut + 1).select("qid", "rank", "doc_id", "score")
 
 
 def evaluated(queries: DataFrame, directory_: DataFrame, rows: DataFrame, k: int, cut: int = 10, heap_factor: float = 1.0, strata: Sequence[int] = ()) -> DataFrame:
     """(qid, n_evaluated): documents whose vectors were scored, each once."""
-    opened = [found for _, found in rounds(queries, directory_, rows, k, cut, heap_factor, None, 6, strata)]
-    every = reduce(DataFrame.unionByName, opened)
-    return every.select("qid", "doc_id").distinct().groupBy("qid").agg(F.count("*").alias("n_evaluated"))
+    opened = [which for *_, which in _rounds(queries, directory_, rows, k, cut, heap_factor, None, 6, strata)]
+    return documents(reduce(DataFrame.unionByName, opened), rows, ["term", "cluster"], "n_evaluated")
+
+
+def documents(which: DataFrame, member: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(qid, name): number of distinct documents in each query's groups; `by` are a group's columns, and no group is given twice.
+
+    Documents in one group only are counted by group; rows of query and document are made of the others alone.
+    """
+    of = member.select(*by, "doc_id").withColumn("lists", F.count("*").over(Window.partitionBy("doc_id")))
+    lone = of.where(F.col("lists") == 1).groupBy(*by).agg(F.count("*").alias("n"))
+    shared = which.join(of.where(F.col("lists") > 1), by).select("qid", "doc_id").distinct().groupBy("qid").agg(F.count("*").alias("n"))
+    return which.join(lone, by).select("qid", "n").unionByName(shared).groupBy("qid").agg(F.sum("n").alias(name))
+
+
+def work(queries: DataFrame, directory_: DataFrame, rows: DataFrame, k: int, cut: int = 10, heap_factor: float = 1.0) -> DataFrame:
+    """(qid, n_candidates, n_evaluated): what `seismic.work` gives; documents are counted, and only the prefix is scored."""
+    every = documents(cut_terms(queries, cut).select("qid", "term"), rows, ["term"], "n_candidates")
+    return every.join(evaluated(queries, directory_, rows, k, cut, heap_factor), "qid").select("qid", "n_candidates", "n_evaluated")

@@ -21,6 +21,25 @@ def centroids(pruned: DataFrame, beta: int, seed: int) -> DataFrame:
     return c.where(F.col("cluster") < F.greatest(F.lit(1), want)).select("term", "cluster", "doc_id")
 
 
+def marked(rows: DataFrame, lam: int, beta: int, seed: int, every: bool = False) -> DataFrame:
+    """(term, doc_id, cluster, n, others): what `prune` (every: `prune_keeping`) leaves of each list, and of `centroids` the clusters they found, else null.
+
+    rows: vectors as rows; n: the list's length; others: whether it has documents that are no centroids.
+    Lists are dealt once for all of it, and a document's heaviest term is found in its row.
+    """
+    own = F.array_max(F.transform(F.arrays_zip("terms", "weights"), lambda e: F.named_struct(F.lit("w"), e["weights"], F.lit("t"), -e["terms"])))
+    of = rows.select("doc_id", own["t"].alias("own"), F.explode(F.arrays_zip("terms", "weights")).alias("e"))
+    of = of.select(F.col("e.terms").alias("term"), "doc_id", F.col("e.weights").alias("weight"), (F.col("e.terms") == -F.col("own")).alias("own"))
+    by = Window.partitionBy("term")
+    if lam > 0:
+        of = of.withColumn("r", F.row_number().over(by.orderBy(F.desc("weight"), F.asc("doc_id"))))
+        of = of.where((F.col("r") <= lam) | F.col("own") if every else F.col("r") <= lam)
+    drawn = by.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "term", "doc_id")), F.asc("doc_id"))
+    of = of.select("term", "doc_id", F.count("*").over(by).alias("n"), (F.row_number().over(drawn) - 1).alias("cluster"))
+    want = F.greatest(F.lit(1), F.floor(F.sqrt("n")) if beta == 0 else F.col("n") if beta < 0 else F.least(F.lit(beta), F.col("n")))
+    return of.select("term", "doc_id", F.when(F.col("cluster") < want, F.col("cluster")).alias("cluster"), "n", (F.col("n") > want).alias("others"))
+
+
 #: Documents of a list that meet its centroids in one place, about; products worked out at a time.
 BLOCK_DOCS, CHUNK_PRODUCTS = 1024, 1 << 22
 
@@ -31,20 +50,30 @@ def members(pruned: DataFrame, centers: DataFrame, vectors: DataFrame) -> DataFr
     Ties go to the lowest cluster, and so do documents that share nothing with any centroid. A long
     list is dealt in blocks of about BLOCK_DOCS documents, each with a copy of the list's centroids.
     """
-    rows = to_rows(vectors)
-    sized = pruned.select("term", "doc_id", F.ceil(F.count("*").over(Window.partitionBy("term")) / BLOCK_DOCS).cast("int").alias("blocks"))
-    own = sized.join(centers.select("term", "doc_id", "cluster"), ["term", "doc_id"], "left")
+    of = pruned.select("term", "doc_id").join(centers.select("term", "doc_id", "cluster"), ["term", "doc_id"], "left")
+    by = Window.partitionBy("term")
+    of = of.select("term", "doc_id", "cluster", F.count("*").over(by).alias("n"), (F.count("cluster").over(by) < F.count("*").over(by)).alias("others"))
+    return sized(of, to_rows(vectors)).drop("size")
+
+
+def sized(of: DataFrame, rows: DataFrame) -> DataFrame:
+    """(term, cluster, pos, doc_id, size): the same of `marked` lists, with the clusters' sizes. Lists of centroids alone need no vectors."""
+    alone = of.where(~F.col("others")).select("term", "cluster", F.lit(0).alias("pos"), "doc_id", F.lit(1).cast("bigint").alias("size"))
+    of = of.where("others")
+    centers = of.where("cluster is not null")
+    own = of.select("term", "doc_id", "cluster", F.ceil(F.col("n") / BLOCK_DOCS).cast("int").alias("blocks"))
     of = own.join(rows, "doc_id").select("term", "blocks", "doc_id", "cluster", "terms", "weights")
     every = F.when(F.col("cluster").isNull(), F.array(F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = of.select("term", F.explode(every).alias("block"), "cluster", "doc_id", "terms", F.col("weights").cast("array<double>").alias("weights"))
     # centroids come before the documents of their block
     dealt = dealt.repartition("term", "block").sortWithinPartitions("term", "block", F.desc_nulls_last("cluster"), "doc_id")
     placed = dealt.select(F.col("term").cast("bigint"), "block", "cluster", F.col("doc_id").cast("bigint"), "terms", "weights").mapInArrow(_assigned, "term bigint, cluster int, doc_id bigint")
-    kinds = {c: pruned.schema[c].dataType for c in ("term", "doc_id")}
+    kinds = {c: centers.schema[c].dataType for c in ("term", "doc_id")}
     placed = placed.select(F.col("term").cast(kinds["term"]), "cluster", F.col("doc_id").cast(kinds["doc_id"]), F.lit(1).alias("late"))
     every = placed.unionByName(centers.select("term", "cluster", "doc_id", F.lit(0).alias("late")))
     order = Window.partitionBy("term", "cluster").orderBy("late", "doc_id")
-    return every.select("term", "cluster", (F.row_number().over(order) - 1).alias("pos"), "doc_id")
+    size = F.count("*").over(Window.partitionBy("term", "cluster"))
+    return alone.unionByName(every.select("term", "cluster", (F.row_number().over(order) - 1).alias("pos"), "doc_id", size.alias("size")))
 
 
 def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +153,18 @@ def alpha_mass(pooled: DataFrame, alpha: float) -> DataFrame:
     return s.where(keep).select("term", "cluster", "s_term", "s_value")
 
 
+def cut_rows(rows: DataFrame, alpha: float) -> DataFrame:
+    """(doc_id, e): of each vector what `alpha_mass` leaves of a cluster with it alone, as an array of (s_term, s_value) by term."""
+    zero = F.lit(0.0)
+    down = F.array_sort(F.transform(F.arrays_zip("terms", "weights"), lambda e: F.named_struct(F.lit("v"), -F.greatest(zero, e["weights"].cast("double")), F.lit("t"), e["terms"])))
+    of = rows.select("doc_id", down.alias("a")).withColumn("total", F.aggregate("a", zero, lambda s, e: s - e["v"]))
+    least = F.round(F.lit(float(alpha)) * F.col("total"), 6)
+    start = F.named_struct(F.lit("before"), zero, F.lit("n"), F.lit(0))
+    more = lambda s, e: F.named_struct(F.lit("before"), s["before"] - e["v"], F.lit("n"), s["n"] + F.when((s["n"] == 0) | (F.round(s["before"], 6) < least), 1).otherwise(0))
+    kept = F.when(F.col("total") == 0, F.size("a")).otherwise(F.aggregate("a", start, more)["n"])
+    return of.select("doc_id", F.array_sort(F.transform(F.slice("a", F.lit(1), kept), lambda e: F.named_struct(F.lit("s_term"), e["t"], F.lit("s_value"), -e["v"]))).alias("e"))
+
+
 def blocks(member: DataFrame, vectors: DataFrame) -> DataFrame:
     """(term, cluster, doc_id, s_term, weight): each block with its documents' vectors, ordered so that row groups prune."""
     of = vectors.select("doc_id", F.col("term").alias("s_term"), "weight")

@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenvec.model import to_rows, to_triples
+from lumenvec.operators.clusters import alpha_mass, cut_rows, marked, max_pool, sized
 from lumenvec.operators.exact import small_side
 from lumenvec.operators.postings import cut_terms
 from lumenvec.operators.selectors import Selector
 from lumenvec.operators.topk import check_k, top_k
+from lumenvec.plans.store import written
 
 
 def summary_scores(queries: DataFrame, summary: DataFrame, cut: int) -> DataFrame:
@@ -78,18 +81,40 @@ def work(queries: DataFrame, member: DataFrame, summary: DataFrame, vectors: Dat
 
 def lists(vectors: DataFrame, lam: int, beta: int, seed: int, every: bool = False) -> DataFrame:
     """The members of all lists' clusters; every: no document is pruned from all its lists."""
-    from lumenvec.operators.clusters import centroids, members
-    from lumenvec.operators.postings import prune, prune_keeping
+    return sized_lists(to_rows(vectors), lam, beta, seed, every).drop("size")
 
-    pruned = (prune_keeping if every else prune)(vectors, lam)
-    return members(pruned, centroids(pruned, beta, seed), vectors)
 
+def sized_lists(rows: DataFrame, lam: int, beta: int, seed: int, every: bool = False, to: str | None = None) -> DataFrame:
+    """The same of vectors as rows, with the size of each member's cluster; to: a folder for the marked lists, which are read several times."""
+    of = marked(rows, lam, beta, seed, every)
+    if to is not None:
+        (of,) = written(rows.sparkSession, to, lists=of)
+    return sized(of, rows)
 
-def summaries(member: DataFrame, vectors: DataFrame, alpha: float) -> DataFrame:
-    """The summaries of clusters, from members that have best been written or persisted."""
-    from lumenvec.operators.clusters import alpha_mass, max_pool
 
-    return alpha_mass(max_pool(member, vectors), alpha)
+def _sized(member: DataFrame) -> DataFrame:
+    return member if "size" in member.columns else member.withColumn("size", F.count("*").over(Window.partitionBy("term", "cluster")))
 
 
-__all__ = ["evaluated", "lists", "search", "summaries", "summary_scores", "work"]
+def summaries(member: DataFrame, vectors: DataFrame, alpha: float, rows: DataFrame | None = None) -> DataFrame:
+    """The summaries of clusters, from members that have best been written or persisted; rows: the vectors as rows, if they are there.
+
+    A cluster of one document has what its vector leaves of itself, which needs no pooling.
+    """
+    of = _sized(member)
+    alone = of.where(F.col("size") == 1).join(cut_rows(to_rows(vectors) if rows is None else rows, alpha), "doc_id").select("term", "cluster", F.explode("e").alias("e"))
+    pooled = alpha_mass(max_pool(of.where(F.col("size") > 1), vectors), alpha)
+    return alone.select("term", "cluster", F.col("e.s_term").alias("s_term"), F.col("e.s_value").alias("s_value")).unionByName(pooled)
+
+
+def summary_rows(member: DataFrame, rows: DataFrame, alpha: float) -> DataFrame:
+    """(term, cluster, size, s_terms, s_values): what `blocks.directory` makes of members and their summaries, of vectors as rows."""
+    of = _sized(member)
+    alone = of.where(F.col("size") == 1).join(cut_rows(rows, alpha), "doc_id").select("term", "cluster", "size", "e")
+    many = of.where(F.col("size") > 1)
+    pooled = alpha_mass(max_pool(many, to_triples(rows)), alpha).groupBy("term", "cluster").agg(F.array_sort(F.collect_list(F.struct("s_term", "s_value"))).alias("e"))
+    pooled = many.where(F.col("pos") == 0).select("term", "cluster", "size").join(pooled, ["term", "cluster"])
+    return alone.unionByName(pooled).select("term", "cluster", "size", F.col("e.s_term").alias("s_terms"), F.col("e.s_value").alias("s_values"))
+
+
+__all__ = ["evaluated", "lists", "search", "sized_lists", "summaries", "summary_rows", "summary_scores", "work"]

@@ -29,8 +29,10 @@ def written(spark: SparkSession, to: str, parts: dict[str, str] | None = None, *
     return [spark.read.parquet(f"{to}/{name}") for name in tables]
 
 
-def settled(frame: DataFrame) -> tuple[DataFrame, pa.Table | None]:
-    """The rows, of 64 bytes at most, as a table that is broadcast, with its rows, if they are few; else persisted as they are, and None."""
+def settled(frame: DataFrame, large: bool = False) -> tuple[DataFrame, pa.Table | None]:
+    """The rows, of 64 bytes at most, as a table that is broadcast, with its rows, if they are few; else persisted as they are, and None. large: they aren't few, and are worked out once and written."""
+    if large:
+        return written(frame.sparkSession, folder(frame.sparkSession), rows=frame)[0], None
     some = frame.limit(LOCAL_ROWS + 1).toArrow()
     if some.num_rows <= LOCAL_ROWS:
         return F.broadcast(frame.sparkSession.createDataFrame(some)), some
