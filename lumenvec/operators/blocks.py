@@ -17,11 +17,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from lumenvec.model import to_rows
+from lumenvec.operators import tiles
 from lumenvec.operators.postings import cut_terms
 from lumenvec.operators.selectors import Selector
 from lumenvec.operators.topk import check_k
@@ -142,12 +144,38 @@ VISIT = "qid bigint, list_no int, term int, cluster int, size bigint"
 
 
 def visits(asked: Asked, queries: DataFrame, directory_: DataFrame, cut: int) -> DataFrame:
-    """(qid, list_no, term, cluster, s, before): blocks of the query's heaviest lists in visiting order, their summaries' scores, and how many documents those before it hold."""
+    """(qid, list_no, term, cluster, s, before, size): blocks of the query's heaviest lists in visiting order, their summaries' scores, and how many documents those before it hold."""
     s = asked.scored(directory_.join(asked.cuts(queries, cut), "term"), VISIT, "s_terms", "s_values", 6).withColumnRenamed("score", "s")
     # dealt by query once, for the order and all that follows
     order = Window.partitionBy("qid").orderBy("list_no", F.when(F.col("list_no") == 0, -F.col("s")).otherwise(F.lit(0.0)), "cluster", "term")
     ahead = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return s.select("qid", "list_no", "term", "cluster", "s", F.coalesce(ahead, F.lit(0)).alias("before"))
+    return s.select("qid", "list_no", "term", "cluster", "s", F.coalesce(ahead, F.lit(0)).alias("before"), "size")
+
+
+#: Documents from which a block is scored in tiles, of as many documents at most: only the k best of each leave it.
+TILE_LEAST, TILE_DOCS = 64, 4096
+
+
+def tiled(which: DataFrame, queries: DataFrame, rows: DataFrame, k: int, digits: int, parts: int) -> DataFrame:
+    """(qid, doc_id, score) of the k best documents for each query in each tile of large blocks; parts: of queries, so that a task holds a bounded number."""
+    whole = all(isinstance(t, IntegralType) for t in (queries.schema["weight"].dataType, rows.schema["weights"].dataType.elementType))
+    kinds = ["array<bigint>", "array<bigint>" if whole else "array<double>"]
+    arrays = lambda of: [F.col("terms").cast(kinds[0]).alias("terms"), F.col("weights").cast(kinds[1]).alias("weights")]
+    tiles_of = F.ceil(F.col("size") / TILE_DOCS)
+    all_of = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    own = lambda id_, n: F.pmod(F.xxhash64(id_), n)
+    # a block's tile and a part of the queries in one number
+    place = lambda tile, part: ((F.col("cluster").cast("bigint") * (1 << 20) + tile) * F.lit(parts) + part).alias("b")
+    parts_ = F.lit(parts).cast("bigint")
+    sizes = which.select("term", "cluster", "size").distinct()
+    q = which.select("qid", "term", "cluster", F.explode(all_of(tiles_of)).alias("tile")).join(to_rows(queries.withColumn("qid", F.col("qid").cast("bigint")), "qid"), "qid")
+    q = q.select(F.col("term").cast("bigint").alias("g"), place(F.col("tile"), own("qid", parts_)), F.lit(False).alias("doc"), F.lit(0.0).alias("by"), F.col("qid").alias("id"), *arrays(q))
+    d = rows.join(sizes, ["term", "cluster"]).withColumn("id", F.col("doc_id").cast("bigint"))
+    d = d.select("term", "cluster", "size", "id", "terms", "weights", F.explode(all_of(parts_)).alias("part"))
+    d = d.select(F.col("term").cast("bigint").alias("g"), place(own("id", tiles_of), F.col("part")), F.lit(True).alias("doc"), F.lit(0.0).alias("by"), "id", *arrays(d))
+    n = max(2 * tiles.TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = q.unionByName(d).repartition(n, "g", "b").sortWithinPartitions("g", "b", "doc", "by", "id")
+    return tiles.best_of(met, k, digits, whole, False, True)
 
 
 def best(found: DataFrame, k: int, copies: int) -> DataFrame:
@@ -159,7 +187,7 @@ def best(found: DataFrame, k: int, copies: int) -> DataFrame:
 
 
 def rounds(queries: DataFrame, directory_: DataFrame, rows: DataFrame, k: int, cut: int = 10, heap_factor: float = 1.0, selector: Selector | None = None, digits: int = 6, strata: Sequence[int] = ()) -> Iterator[tuple[DataFrame | None, DataFrame]]:
-    """For the prefix and for every round: the k best before it (none before the prefix), and (qid, doc_id, score) of the documents it opens.
+    """For the prefix and for every round: the k best before it (none before the prefix), and (qid, doc_id, score) of the documents it opens, of those in large blocks the k best of each tile.
 
     strata: numbers of lists at which a round ends; () opens all that the prefix's threshold leaves at once.
     """
@@ -180,15 +208,26 @@ def _rounds(queries: DataFrame, directory_: DataFrame, rows: DataFrame, k: int,
 
     folders = int(rows.schema["part"].metadata.get("folders", 0)) if "part" in rows.columns else 0
 
+    if held is not None:
+        most = pc.max(held.column("size")).as_py()
+    else:
+        most = directory_.agg(F.max("size")).first()[0]
+    large_blocks = (most or 0) >= TILE_LEAST
+    parts = 1 if asked.local is not None or not large_blocks else tiles.dealt(*tiles.measured(queries)[:2], k)[1]
+
     def opened(which: DataFrame, some: np.ndarray | None) -> DataFrame:
         of = rows
-        which = which.select("qid", "term", "cluster")
-        if held is not None:
-            which = F.broadcast(which)  # no more than are held
+        which = which.select("qid", "term", "cluster", "size")
         if some is not None and folders and len(some):
             terms = np.unique(held.column("term").to_numpy()[some])
             of = rows.where(F.col("part").isin(sorted({int(t) % folders for t in terms})))
-        return asked.scored(of.join(which, ["term", "cluster"]), "qid bigint, doc_id bigint", "terms", "weights", digits)
+        few = which.where(F.col("size") < TILE_LEAST).drop("size")
+        if held is not None:
+            few = F.broadcast(few)  # no more than are held
+        found = asked.scored(of.join(few, ["term", "cluster"]), "qid bigint, doc_id bigint", "terms", "weights", digits)
+        if large_blocks:
+            found = found.unionByName(tiled(which.where(F.col("size") >= TILE_LEAST), queries, of, k, digits, parts))
+        return found
 
     before = held.column("before").to_numpy() if held is not None else None
     which = every.where(F.col("before") < k)

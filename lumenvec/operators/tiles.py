@@ -83,21 +83,30 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, size: tuple[int, int]
     d = d.select(all_of(blocks).alias("b"), "id", "terms", "weights").select(own(groups).alias("g"), "b", F.lit(True).alias("doc"), (-norm if bounds else F.lit(0.0)).alias("by"), "id", "terms", "weights")
     # a number of partitions, as small ones would be put together by their bytes, not by their work
     met = q.unionByName(d).repartition(2 * groups * blocks, "g", "b").sortWithinPartitions("g", "b", "doc", "by", "id")
-    every = zeros is not None
+    found = best_of(met, k, digits, whole, bounds, zeros is not None)
+    found = found.select(F.col("qid").cast(queries.schema["qid"].dataType), F.col("doc_id").cast(vectors.schema["doc_id"].dataType), F.col("score").cast("bigint" if whole else "double"))
+    return top_k(found, k)
+
+
+def best_of(met: DataFrame, k: int, digits: int | None, whole: bool, bounds: bool, every: bool) -> DataFrame:
+    """(qid, doc_id, score) of the k best documents for each query of a block and group.
+
+    met: (g, b, doc, by, id, terms, weights), whole numbers g and b naming group and block, sorted by all up to id; every: whether scores of 0 and below count.
+    """
     step = 1.0 if whole else 10.0**-digits if digits is not None else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, at = None, None
         for b in batches:
-            pair = (b.column(0).to_numpy().astype(np.int64) << 32) | b.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)]
+            pair = np.stack([b.column(c).to_numpy().astype(np.int64) for c in (0, 1)], 1)
+            edges = [0, *(np.flatnonzero(np.diff(pair, axis=0).any(1)) + 1).tolist(), len(pair)]
             for lo, hi in zip(edges, edges[1:]):
                 if lo == hi:
                     continue
-                if pair[lo] != at:
+                if tuple(pair[lo]) != at:
                     if one is not None:
                         yield from one.found()
-                    one, at = _Block(k, step, whole, bounds, every), pair[lo]
+                    one, at = _Block(k, step, whole, bounds, every), tuple(pair[lo])
                 part = b.slice(lo, hi - lo)
                 n = hi - lo - part.column(2).true_count
                 one.ask(part.slice(0, n))
@@ -105,9 +114,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, size: tuple[int, int]
         if one is not None:
             yield from one.found()
 
-    found = met.mapInArrow(run, "qid bigint, doc_id bigint, score double")
-    found = found.select(F.col("qid").cast(queries.schema["qid"].dataType), F.col("doc_id").cast(vectors.schema["doc_id"].dataType), F.col("score").cast("bigint" if whole else "double"))
-    return top_k(found, k)
+    return met.mapInArrow(run, "qid bigint, doc_id bigint, score double")
 
 
 def _entries(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
