@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from lumenvec.model import to_triples
 from lumenvec.operators import tiles
 from lumenvec.operators.selectors import Selector
 from lumenvec.operators.topk import check_k, padded, top_k
@@ -37,12 +38,14 @@ def scores(queries: DataFrame, vectors: DataFrame, digits: int | None = None) ->
 
 
 def inverted(queries: DataFrame, vectors: DataFrame, k: int, selector: Selector | None = None, digits: int | None = None) -> DataFrame:
-    """The k best documents with a positive score; what the selector leaves out never counts."""
+    """The k best documents with a positive score; what the selector leaves out never counts. Queries and vectors are triples, or both rows."""
     if selector is not None:
         vectors = selector.apply(vectors)
     size = tiles.planned(queries)
     if size is not None:
         return tiles.search(queries, vectors, k, size, digits)
+    if "terms" in vectors.columns:
+        queries, vectors = to_triples(queries, "qid"), to_triples(vectors)
     return top_k(scores(queries, vectors, digits).where("score > 0"), check_k(k))
 
 

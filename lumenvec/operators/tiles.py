@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType, IntegralType, LongType
 
-from lumenvec.model import to_rows
+from lumenvec.model import to_rows, to_triples
 from lumenvec.operators.topk import check_k, top_k
 
 #: Fewer queries make no more pairs than so many a document, which a join bears.
@@ -30,13 +30,14 @@ LEAST_PRODUCTS = 0.25
 #: Pairs of a block and a group, about; entries, and rows of results, of a block at most; rows of all groups' results, about.
 TASKS, BLOCK_ENTRIES, BLOCK_RESULTS, ALL_RESULTS = 64, 1 << 22, 1 << 22, 1 << 26
 #: Queries of a tile, its cells and products worked out at a time, and cells of a matrix of frequent terms.
-TILE_QUERIES, TILE_CELLS, CHUNK_PRODUCTS, DENSE_CELLS = 1024, 1 << 22, 1 << 21, 1 << 23
+TILE_QUERIES, TILE_CELLS, CHUNK_PRODUCTS, DENSE_CELLS = 1024, 1 << 22, 1 << 20, 1 << 23
 #: A term is a matrix's column if this share of pairs have it on both sides: a product by entries takes about so many times as long.
 DENSE_SHARE = 1 / 256
 
 
 def measured(queries: DataFrame) -> tuple[int, int, float]:
     """(queries, their entries, products a pair of different queries), which tell what to expect of documents like them."""
+    queries = to_triples(queries, "qid") if "terms" in queries.columns else queries
     asked = queries.select("qid").distinct().count()
     by_term = queries.groupBy("term").agg(F.count("*").cast("double").alias("n"))
     n, pairs = by_term.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))).first()
@@ -59,17 +60,18 @@ def dealt(asked: int, entries: int, k: int) -> tuple[int, int]:
 def search(queries: DataFrame, vectors: DataFrame, k: int, size: tuple[int, int], digits: int | None = None, bounds: bool = False, zeros: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(qid, rank, doc_id, score): the k best documents of each query with a score above 0, ties by id.
 
-    size: `planned`; zeros: ids of (queries, documents), of which all count, whatever their score.
+    Both may be triples, or rows, which need no shuffle of their own. size: `planned`; zeros: ids of
+    (queries, documents), of which all count, whatever their score.
     """
     groups, blocks = dealt(*size, check_k(k))
-    kinds = {c: [x.schema[c].dataType for x in (queries, vectors)] for c in ("term", "weight")}
+    kinds = {c: [x.schema[f"{c}s"].dataType.elementType if "terms" in x.columns else x.schema[c].dataType for x in (queries, vectors)] for c in ("term", "weight")}
     whole = all(isinstance(t, IntegralType) for t in kinds["weight"])
     long = any(isinstance(t, LongType) for t in kinds["weight"])
     weight = ("bigint" if long else "int") if whole else "float" if all(isinstance(t, FloatType) for t in kinds["weight"]) else "double"
     term = "bigint" if any(isinstance(t, LongType) for t in kinds["term"]) else "int"
 
     def rows(of: DataFrame, key: str, every: DataFrame | None) -> DataFrame:
-        arrays = to_rows(of, key).select(F.col(key).cast("bigint").alias("id"), F.col("terms").cast(f"array<{term}>").alias("terms"), F.col("weights").cast(f"array<{weight}>").alias("weights"))
+        arrays = (of if "terms" in of.columns else to_rows(of, key)).select(F.col(key).cast("bigint").alias("id"), F.col("terms").cast(f"array<{term}>").alias("terms"), F.col("weights").cast(f"array<{weight}>").alias("weights"))
         if every is None:
             return arrays
         own = every.select(F.col(key).cast("bigint").alias("id")).distinct().join(arrays, "id", "left")
