@@ -155,8 +155,8 @@ class CsrWriter(DataSourceWriter):
         self.temporary = f"{self.to}.{options['name']}"
 
     def write(self, iterator):
-        # the first to come makes the file; its length is the same for all
-        with open(os.open(self.temporary, os.O_RDWR | os.O_CREAT), "r+b") as f:
+        # the file is there before any task, so one that comes after the rest were aborted makes none
+        with open(self.temporary, "r+b") as f:
             for row in iterator:
                 f.seek(row["at"])
                 f.write(row["bytes"])
@@ -366,7 +366,13 @@ def write_csr_frame(vectors: DataFrame, path: str, rows: int, cols: int, layout:
     every = spark.range(ranges).select(F.col("id").cast("int").alias("range"))
     parts = dealt.groupBy("range").cogroup(every.groupBy("range")).applyInArrow(part, "at long, bytes binary")
     os.makedirs(os.path.dirname(to) or ".", exist_ok=True)
-    parts.write.format("csr_sparse").option("path", to).option("size", str(size)).option("name", uuid.uuid4().hex).mode("append").save()
+    name = uuid.uuid4().hex
+    open(f"{to}.{name}", "xb").close()
+    try:
+        parts.write.format("csr_sparse").option("path", to).option("size", str(size)).option("name", name).mode("append").save()
+    finally:
+        if os.path.exists(f"{to}.{name}"):
+            os.remove(f"{to}.{name}")
 
 
 def convert_frame(spark: SparkSession, path: str, to: str | None = None) -> str:

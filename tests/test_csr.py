@@ -107,3 +107,13 @@ def test_repeated_terms(spark):
     y.add_frame(v, 2, duplicates="refuse")
     with pytest.raises(Exception, match="twice"):
         y.build()
+
+
+def test_tasks_that_come_after_an_abort_leave_no_file(tmp_path):
+    writer = csr.CsrWriter({"path": str(tmp_path / "c.csr"), "size": "8", "name": "n"})
+    (tmp_path / "c.csr.n").touch()
+    writer.write(iter([{"at": 0, "bytes": b"12345678"}]))
+    writer.abort([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([]))
+    assert os.listdir(tmp_path) == []
