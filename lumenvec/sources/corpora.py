@@ -21,8 +21,17 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities of parts by order."""
+    return _baskets(spark, sf_dir).groupBy("doc_id", "term").agg(F.sum("weight").alias("weight"))
+
+
+def basket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as rows with terms ascending: lines are dealt by order once, for adding them up and for the rows."""
+    return to_rows(_baskets(spark, sf_dir).repartition("doc_id").groupBy("doc_id", "term").agg(F.sum("weight").alias("weight")))
+
+
+def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("term")).agg(F.sum("l_quantity").alias("weight"))
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("term"), F.col("l_quantity").alias("weight"))
 
 
 def _hashed(c: str):
